@@ -9,14 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ROWS = F.lit(1)
 
 
 def any_true(value: Column) -> Column:
     """Kleene OR over a group: true > unknown > false, and an empty group is unknown."""
     return (
         F.when(F.bool_or(value), F.lit(True))
-        .when((F.count(value) == F.count(ROWS)) & (F.count(value) > 0), F.lit(False))
+        .when((F.count(value) == F.count("*")) & (F.count(value) > 0), F.lit(False))
         .otherwise(F.lit(None).cast("boolean"))
     )
 
@@ -31,7 +30,7 @@ def union_label(outcome: Column, opportunity: Column | None = None, expected: Co
     zero = outcome == F.lit(False)
     if opportunity is not None:
         zero = zero & opportunity
-    need = F.count(ROWS) if expected is None else F.max(expected)
+    need = F.count("*") if expected is None else F.max(expected)
     return (
         F.when(F.bool_or(outcome), F.lit(True))
         .when((F.count_if(zero) == need) & (F.count_if(zero) > 0), F.lit(False))

@@ -41,7 +41,7 @@ BINDINGS: dict[str, str] = {
                CASE WHEN count_if(l_linestatus = 'F') > 0
                     THEN round(sum(l_extendedprice), 2) END AS value_pre,
                CASE WHEN count_if(l_returnflag = 'A') > 0
-                    THEN round(sum(l_extendedprice * (1 - l_discount)), 2) END AS value_post,
+                    THEN round(sum(l_extendedprice * (1 - l_discount)), 4) END AS value_post,
                CASE WHEN count_if(l_linestatus = 'O') > 0 THEN round(sum(l_quantity), 2) END AS volume_pre,
                CASE WHEN count_if(l_returnflag = 'R') > 0
                     THEN round(sum(l_quantity * (1 + l_tax)), 2) END AS volume_post
@@ -84,9 +84,9 @@ BINDINGS: dict[str, str] = {
         FROM fx_lines GROUP BY 1, 2, 3, 4""",
     "fx_features": """
         SELECT entity_id, period, round(sum(l_extendedprice), 2) AS fs_aud_price,
-               round(sum(l_extendedprice * l_discount), 2) AS fs_aud_rebate,
+               round(sum(l_extendedprice * l_discount), 4) AS fs_aud_rebate,
                CASE WHEN count_if(l_returnflag = 'A') > 0 THEN round(sum(l_quantity), 2) END AS fs_aud_quantity,
-               CASE WHEN count_if(l_linestatus = 'F') > 1 THEN round(sum(l_extendedprice * l_tax), 2)
+               CASE WHEN count_if(l_linestatus = 'F') > 1 THEN round(sum(l_extendedprice * l_tax), 4)
                     END AS fs_aud_tax,
                CAST(count(DISTINCT o_orderkey) AS DOUBLE) AS fs_aud_orders,
                CAST(count_if(l_returnflag = 'R') AS DOUBLE) AS fs_aud_returns
@@ -172,11 +172,11 @@ BINDINGS: dict[str, str] = {
         FROM documents""",
     "fx_scores": """
         SELECT CAST(d.doc_id AS STRING) AS entity_id, CAST(d.doc_id % 7 + 2015 AS INT) AS period, 'full' AS model_id,
-               (d.n_chars % 997) / 997.0 AS prediction, l.quality = 0 AS outcome
+               CAST(d.n_chars % 997 AS DOUBLE) / CAST(997 AS DOUBLE) AS prediction, l.quality = 0 AS outcome
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id
         UNION ALL
         SELECT CAST(d.doc_id AS STRING), CAST(d.doc_id % 7 + 2015 AS INT), 'observability_only',
-               (d.doc_id % 101) / 101.0, l.quality = 0
+               CAST(d.doc_id % 101 AS DOUBLE) / CAST(101 AS DOUBLE), l.quality = 0
         FROM documents d JOIN labels l ON d.doc_id = l.doc_id""",
     "fx_surface": """
         SELECT o_orderpriority AS model_id, CAST(year(o_orderdate) AS STRING) AS scenario_id,
@@ -230,6 +230,64 @@ BINDINGS: dict[str, str] = {
         UNION ALL
         SELECT 'core', concat('LEGACY ', CAST(c_custkey AS STRING)), concat('customer  ', CAST(c_custkey + 1 AS STRING))
         FROM customer WHERE c_custkey % 75 = 0""",
+    # wide endpoint columns with opportunities and nested provenance text
+    "fx_endpoints": """
+        SELECT entity_id, period,
+               CASE WHEN k % 5 = 0 THEN NULL ELSE k % 5 = 1 END AS broad_outcome,
+               CASE WHEN k % 7 = 0 THEN NULL ELSE k % 7 < 6 END AS broad_source,
+               CASE WHEN k % 11 = 0 THEN NULL ELSE k % 11 < 10 END AS broad_observed,
+               CASE WHEN k % 5 < 2 AND k % 13 <> 0 THEN
+                    CASE WHEN k % 17 = 0 THEN concat('{"note": "', entity_id, '"}')
+                         ELSE concat('{"Decision-ID": ["d', CAST(k % 50 AS STRING), '", "d', CAST(k % 30 AS STRING),
+                              '"], "meta": {"items": [{"publish_date": "2020-01-05", "taxonomy_code": "C',
+                              CAST(k % 4 AS STRING), '"}]}}') END
+                    WHEN k % 13 = 0 THEN '[]' END AS broad_provenance,
+               CASE WHEN k % 3 = 0 THEN NULL ELSE k % 3 = 1 END AS narrow_outcome,
+               true AS narrow_source, k % 2 = 0 AS narrow_observed,
+               CASE WHEN k % 3 < 2 THEN concat('{"document_ids": ["d', CAST(k % 50 AS STRING),
+                    '"], "taxonomy_codes": ["C9"]}') END AS narrow_provenance
+        FROM (SELECT entity_id, period, CAST(entity_id AS INT) + period * 3 AS k FROM fx_panel) q
+        WHERE k % 101 <> 0""",
+    "fx_process": """
+        SELECT concat('p', CAST(event_id AS STRING)) AS record_id, event_type AS source_id,
+               CAST(user_id AS STRING) AS entity_id, 2023 AS period,
+               CASE WHEN event_id % 4 < 2 THEN 'endpoint_result' ELSE 'delayed_event' END AS record_kind,
+               CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS opportunity,
+               CASE CAST(floor(event_id / 3) AS BIGINT) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS verification,
+               CASE CAST(floor(event_id / 9) AS BIGINT) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS determination,
+               CASE CAST(floor(event_id / 27) AS BIGINT) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS recording,
+               CASE CAST(floor(event_id / 81) AS BIGINT) % 3 WHEN 0 THEN true WHEN 1 THEN false END AS outcome,
+               CASE WHEN event_id % 7 = 0 THEN 'STATED' END AS reason,
+               CASE WHEN event_id % 10 = 0 THEN 'OVDRS' END AS mask,
+               CASE WHEN event_id % 5 = 0 THEN ts END AS verification_date,
+               CASE WHEN event_id % 6 = 0 THEN ts END AS determination_date,
+               CASE WHEN event_id % 8 = 0 THEN ts END AS recording_date
+        FROM events""",
+    # evidence records of all roles against the document panel
+    "fx_doc_panel": """
+        SELECT CAST(doc_id AS STRING) AS entity_id, CAST(doc_id % 7 + 2015 AS INT) AS period,
+               make_timestamp(2016 + doc_id % 7, 3, 31, 12, 0, 0) AS anchor
+        FROM documents WHERE doc_id % 23 <> 0""",
+    "fx_records": """
+        SELECT concat(source_id, ':', entity_id) AS record_id, m.entity_id, m.period, source_id, channel_id, role, outcome,
+               opportunity,
+               CASE WHEN role = 'annual_at_anchor' AND CAST(m.entity_id AS INT) % 53 = 0
+                    THEN make_timestamp(2016 + m.period - 2015, 4, 1, 0, 0, 0)
+                    WHEN role = 'annual_at_anchor' THEN make_timestamp(2016 + m.period - 2015, 3, 31, 12, 0, 0)
+                    WHEN lag_days IS NOT NULL
+                    THEN make_timestamp(2016 + m.period - 2015, 3, 31, 6, 0, 0) + lag_days * INTERVAL 1 DAY
+                    END AS availability,
+               CAST(m.entity_id AS INT) % 31 <> 0 AS row_included
+        FROM fx_matrix m
+        UNION ALL
+        SELECT concat('delayed:', CAST(doc_id AS STRING), ':', CAST(n_regionkey AS STRING)),
+               CAST(doc_id AS STRING), CAST(doc_id % 7 + 2015 AS INT), 'appeal', 'S4', 'delayed_verification',
+               n_chars % 3 = 0, true,
+               CASE WHEN doc_id % 37 <> 0
+                    THEN make_timestamp(2016 + doc_id % 7, 3, 31, 9, 0, 0)
+                         + CAST(n_chars % 900 - 60 + n_regionkey AS INT) * INTERVAL 1 DAY END, true
+        FROM documents JOIN (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey < 2) r ON true
+        WHERE doc_id % 4 = 0""",
 }
 
 
@@ -258,8 +316,9 @@ def _inner_with(text: str, heads: list[str]) -> str:
 
 
 def comparison_sql(text: str) -> str:
-    """Full SQL over the registered tables."""
-    return _inner_with(text, [f"{n} AS ({BINDINGS[n]})" for n in _needs(text)])
+    """Full SQL over the registered tables. A filtered count stays 0 where count_if would be null."""
+    whole = _inner_with(text, [f"{n} AS ({BINDINGS[n]})" for n in _needs(text)])
+    return whole.replace("count_if(", "count(*) FILTER (WHERE ")
 
 
 class Inputs:
@@ -274,7 +333,9 @@ class Inputs:
     def __call__(self, name: str) -> DataFrame:
         if name in TABLES:
             return self.spark.read.parquet(self.path(name))
-        return self.sql(f"SELECT * FROM {name}")
+        df = self.sql(f"SELECT * FROM {name}")
+        zoned = [c for c, dtype in df.dtypes if dtype == "timestamp"]
+        return df.withColumns({c: df[c].cast("timestamp_ntz") for c in zoned}) if zoned else df
 
     def sql(self, text: str) -> DataFrame:
         bindings = _needs(text)

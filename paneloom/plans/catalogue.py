@@ -4,7 +4,10 @@ from importlib import import_module
 
 from paneloom.plans.bindings import QUERIES, SQL
 
-for _module in ("panel_queries",):
+for _module in (
+    "panel_queries",
+    "evidence_queries",
+):
     import_module(f"paneloom.plans.{_module}")
 
 __all__ = ["QUERIES", "SQL"]

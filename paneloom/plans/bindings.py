@@ -165,11 +165,6 @@ BINDINGS: dict[str, str] = {
                CASE WHEN d.n_chars > 200 THEN d.lang <> 'en' END, d.n_chars > 200,
                CASE WHEN d.doc_id % 5 <> 0 THEN CAST(d.n_chars % 400 AS INT) END
         FROM documents d""",
-    "fx_risk": """
-        SELECT CAST(doc_id AS STRING) AS entity_id, CAST(doc_id % 7 + 2015 AS INT) AS period,
-               doc_id % 19 <> 0 AS eligible, doc_id % 7 < 6 AS annual_mature, doc_id % 7 < 5 AS next_mature,
-               doc_id % 7 < 5 AS mature
-        FROM documents""",
     "fx_scores": """
         SELECT CAST(d.doc_id AS STRING) AS entity_id, CAST(d.doc_id % 7 + 2015 AS INT) AS period, 'full' AS model_id,
                CAST(d.n_chars % 997 AS DOUBLE) / CAST(997 AS DOUBLE) AS prediction, l.quality = 0 AS outcome
@@ -288,6 +283,10 @@ BINDINGS: dict[str, str] = {
                          + CAST(n_chars % 900 - 60 + n_regionkey AS INT) * INTERVAL 1 DAY END, true
         FROM documents JOIN (SELECT DISTINCT n_regionkey FROM nation WHERE n_regionkey < 2) r ON true
         WHERE doc_id % 4 = 0""",
+    "fx_risk": """
+        SELECT entity_id, period, anchor, CAST(entity_id AS INT) % 19 <> 0 AS eligible, period <= 2020 AS annual_mature,
+               period <= 2019 AS next_mature, period <= 2019 AS mature
+        FROM fx_doc_panel""",
 }
 
 

@@ -7,6 +7,7 @@ from paneloom.plans.bindings import QUERIES, SQL
 for _module in (
     "panel_queries",
     "evidence_queries",
+    "label_queries",
 ):
     import_module(f"paneloom.plans.{_module}")
 

@@ -238,3 +238,23 @@ def ppc_rate_error(outcomes: DataFrame, accuracy: Accuracy, pi: float) -> DataFr
     )
     gap = F.abs(F.col("observed_rate") - lookup(expected, F.col("source_id")))
     return rates.agg(F.max(gap).alias("rate_error"), F.sum("observed_count").alias("observed_count"))
+
+
+def latent_risk(
+    wide: DataFrame, scenarios: Mapping[str, float], fits: Mapping[float, Sequence[Mapping[str, Mapping]]],
+    channels: Mapping[str, str],
+) -> DataFrame:
+    """Risk per (scenario, parameter draw, row) from frozen fits; a scenario without a fit gives no rows.
+
+    ``scenarios`` maps a scenario to its prevalence, and ``fits`` a prevalence to its parameter
+    draws (accuracy and channel effect sizes). Prevalences match within 1e-12.
+    """
+    cells = []
+    for scenario, pi in scenarios.items():
+        draws = next((d for fitted, d in fits.items() if abs(fitted - pi) <= 1e-12), ())
+        for i, draw in enumerate(draws):
+            risk = quadrature_posterior(channels, draw["accuracy"], draw["sd"], pi)
+            cells.append(F.struct(F.lit(scenario).alias("scenario_id"), F.lit(i).alias("draw"), risk.alias("risk")))
+    if not cells:
+        raise ValueError("no scenario has a fitted prevalence")
+    return wide.select(*KEY, F.explode(F.array(*cells)).alias("_r")).select(*KEY, "_r.*")

@@ -101,19 +101,34 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str) -> Da
     return attach(df, ranks, [*by, value])
 
 
-def quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
-    """Exact linearly interpolated quantiles per group, without holding a group in memory."""
+def quantile_rows(df: DataFrame, by: Sequence[str], value: str, probabilities: Sequence[float]) -> DataFrame:
+    """Exact linearly interpolated quantiles, one row per (group, probability).
+
+    No group is held in memory: each distinct value knows the index range it covers and keeps only
+    the wanted indices that fall inside.
+    """
     counts = value_counts(df, by, value)
     totals = counts.groupBy(*by).agg(F.sum("rows").alias("_n"))
-    joined = attach(counts, totals, list(by))
     first, last = F.col("rows_upto") - F.col("rows"), F.col("rows_upto") - 1
-    picks, outputs = [], []
-    for name, p in probabilities.items():
-        target = (F.col("_n") - 1) * F.lit(p)
-        picks += [
-            F.max(F.when(F.floor(target).between(first, last), F.col(value))).alias(f"_lo_{name}"),
-            F.max(F.when(F.ceil(target).between(first, last), F.col(value))).alias(f"_hi_{name}"),
-        ]
-        low, high = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
-        outputs.append((low + (high - low) * (target - F.floor(target))).alias(name))
-    return joined.groupBy(*by).agg(F.max("_n").alias("_n"), *picks).select(*by, *outputs)
+
+    def target(p: Column) -> Column:
+        return (F.col("_n") - 1) * p
+
+    wanted = F.filter(
+        F.array(*[F.lit(float(p)) for p in probabilities]),
+        lambda p: F.floor(target(p)).between(first, last) | F.ceil(target(p)).between(first, last),
+    )
+    hits = attach(counts, totals, list(by)).select(*by, value, "_n", "rows", "rows_upto", F.explode(wanted).alias("p"))
+    low = F.max(F.when(F.floor(target(F.col("p"))).between(first, last), F.col(value)))
+    high = F.max(F.when(F.ceil(target(F.col("p"))).between(first, last), F.col(value)))
+    ends = hits.groupBy(*by, "p", "_n").agg(low.alias("_lo"), high.alias("_hi"))
+    share = target(F.col("p")) - F.floor(target(F.col("p")))
+    return ends.select(*by, "p", (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * share).alias("quantile"))
+
+
+def quantiles(df: DataFrame, by: Sequence[str], value: str, probabilities: Mapping[str, float]) -> DataFrame:
+    """The same with one column per named probability."""
+    rows = quantile_rows(df, by, value, list(probabilities.values()))
+    return rows.groupBy(*by).agg(
+        *[F.max(F.when(F.col("p") == F.lit(float(p)), F.col("quantile"))).alias(name) for name, p in probabilities.items()]
+    )

@@ -8,6 +8,7 @@ for _module in (
     "panel_queries",
     "evidence_queries",
     "label_queries",
+    "metric_queries",
 ):
     import_module(f"paneloom.plans.{_module}")
 

@@ -9,6 +9,7 @@ for _module in (
     "evidence_queries",
     "label_queries",
     "metric_queries",
+    "feature_queries",
 ):
     import_module(f"paneloom.plans.{_module}")
 

@@ -10,6 +10,7 @@ for _module in (
     "label_queries",
     "metric_queries",
     "feature_queries",
+    "model_queries",
 ):
     import_module(f"paneloom.plans.{_module}")
 

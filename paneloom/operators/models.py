@@ -86,10 +86,11 @@ class Prepared(Transformer):
 
 
 def prepare(df: DataFrame, features: Sequence[str]) -> Prepared:
-    kept = kept_features(df, features)
-    if not kept:
+    """Features without any value have no median and are dropped."""
+    fill = medians(df, features)
+    if not fill:
         raise ValueError("all training features are missing")
-    return Prepared(kept, medians(df, kept))
+    return Prepared([f for f in features if f in fill], fill)
 
 
 def make_learner(name: str, params: Mapping[str, Any], rows: int, columns: int) -> Any:
@@ -98,7 +99,7 @@ def make_learner(name: str, params: Mapping[str, Any], rows: int, columns: int)
     p = dict(params)
     if name in ("logistic", "elastic_net_logistic"):
         c = float(p.pop("C", 1.0))
-        return LogisticRegression(regParam=1 / (c * max(rows, 1)), maxIter=p.pop("maxIter", 200), tol=1e-8, **common, **p)
+        return LogisticRegression(regParam=1 / (c * max(rows, 1)), maxIter=p.pop("maxIter", 100), tol=1e-6, **common, **p)
     if name == "linear_svm":
         c = float(p.pop("C", 1.0))
         return LinearSVC(regParam=1 / (c * max(rows, 1)), **common, **p)
@@ -140,20 +141,24 @@ class Fitted:
 
 def fit(df: DataFrame, features: Sequence[str], label: str, learner: str, params: Mapping[str, Any] | None = None, weight: str | None = None) -> Fitted:
     """Fit a learner on rows with a 0/1 label; margin learners see standardised features."""
-    prepared = prepare(df, features)
-    rows = prepared.transform(df).select(
-        "_features", F.col(label).cast("double").alias("_label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_weight")
-    )
-    scaler = None
-    if learner in ("logistic", "elastic_net_logistic", "linear_svm", "mlp"):
-        scaler = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True).fit(rows)
-        rows = scaler.transform(rows).drop("_features").withColumnRenamed("_scaled", "_features")
-    rows = rows.persist()
+    base = df.select(
+        *features, F.col(label).cast("double").alias("_label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_weight")
+    ).persist()
+    rows = None
     try:
+        prepared = prepare(base, features)
+        rows = prepared.transform(base).select("_features", "_label", "_weight")
+        scaler = None
+        if learner in ("logistic", "elastic_net_logistic", "linear_svm", "mlp"):
+            scaler = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True).fit(rows)
+            rows = scaler.transform(rows).drop("_features").withColumnRenamed("_scaled", "_features")
+        rows = rows.persist()
         estimator = make_learner(learner, params or {}, rows.count(), len(prepared.features))
         return Fitted(prepared, estimator.fit(rows), scaler)
     finally:
-        rows.unpersist()
+        base.unpersist()
+        if rows is not None:
+            rows.unpersist()
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, *, inverse_regularization: float = 1.0, weight: str | None = None) -> Fitted:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paneloom.operators import features as feature_rules
 from paneloom.operators import labels, metrics, models, selection, weights
+from paneloom.operators.ranking import cut
 from paneloom.plans.bindings import Inputs, query
 from paneloom.plans.feature_queries import ENTRIES, _round
 from paneloom.plans.label_queries import CHANNEL_SQL, L0_SQL, SCORE_SQL, _l0, _scores
@@ -201,7 +202,8 @@ def _(fx: Inputs) -> DataFrame:
 
 
 def _training(fx: Inputs) -> DataFrame:
-    return fx("fx_domain").filter("period BETWEEN 1996 AND 1999").withColumn("y", F.col("outcome").cast("double"))
+    # every fit reads these rows, so they are placed once
+    return cut(fx("fx_domain").filter("period BETWEEN 1996 AND 1999").withColumn("y", F.col("outcome").cast("double")))
 
 
 @query("temporal_oof")
@@ -214,8 +216,8 @@ def _(fx: Inputs) -> DataFrame:
 
 @query("learner_library")
 def _(fx: Inputs) -> DataFrame:
-    train = _training(fx).filter("period < 1998")
-    held = _training(fx).filter("period = 1998")
+    rows = _training(fx)
+    train, held = rows.filter("period < 1998"), rows.filter("period = 1998")
     whole = None
     settings = {
         "logistic": {}, "elastic_net_logistic": {"elasticNetParam": 0.5}, "linear_svm": {"maxIter": 20},
@@ -294,7 +296,7 @@ def _(fx: Inputs) -> DataFrame:
 
 @query("pu_bagging_scores")
 def _(fx: Inputs) -> DataFrame:
-    rows = fx("fx_domain")
+    rows = cut(fx("fx_domain"))
     scored = models.pu_bagging(
         rows.filter("period < 2000"), rows.filter("period = 2000"), NUMERIC, F.col("spend") > 500000, 3, 2.0, "bags"
     )
@@ -385,13 +387,13 @@ def _document_panel(fx: Inputs) -> DataFrame:
 @query("nested_refit_cells")
 def _(fx: Inputs) -> DataFrame:
     outcomes = labels.channel_outcomes(_l0(fx), ["quality", "toxic", "lang", "appeal"])
-    rows = outcomes.join(_scores(fx), [*KEY, "channel_id"])
+    rows = cut(outcomes.join(_scores(fx), [*KEY, "channel_id"]))
 
     def mean_score(channels: DataFrame) -> DataFrame:
         return channels.groupBy(*KEY).agg(F.avg("channel_score").alias("target_value"))
 
     cells = selection.nested_refit(
-        _document_panel(fx), rows, 2019, {"S1": ["web"], "S2": ["lines"], "all": ["chars"]}, "logistic", {"L2": mean_score}
+        cut(_document_panel(fx)), rows, 2019, {"S1": ["web"], "S2": ["lines"], "all": ["chars"]}, "logistic", {"L2": mean_score}
     )
     return cells.withColumn("cross_entropy", F.round("cross_entropy", 3))
 

@@ -11,6 +11,8 @@ for _module in (
     "metric_queries",
     "feature_queries",
     "model_queries",
+    "robustness_queries",
+    "report_queries",
 ):
     import_module(f"paneloom.plans.{_module}")
 

@@ -38,8 +38,8 @@ def gate_blockers(
         F.count(F.lit(1)).alias("n"), F.max("average_precision").alias("ap"), F.max("precision_at").alias("yield"),
         F.max("positive_count").alias("positives"),
     )
-    left = model.select("fold", *[F.col(c).alias(f"c_{c}") for c in model.columns if c != "fold"])
-    right = model.select("fold", *[F.col(c).alias(f"r_{c}") for c in model.columns if c != "fold"])
+    left = model.select(*[F.col(c).alias(f"c_{c}") for c in model.columns])
+    right = model.select(*[F.col(c).alias(f"r_{c}") for c in model.columns])
     pair = deltas.groupBy("fold", "candidate").agg(
         F.count(F.lit(1)).alias("d_n"), F.max("reference").alias("d_reference"), F.max("delta").alias("d_delta")
     )
@@ -47,8 +47,8 @@ def gate_blockers(
         F.count(F.lit(1)).alias("b_n"), F.count_if(_bad(F.col("delta"))).alias("b_bad")
     )
     rows = (
-        grid.join(left, (grid["fold"] == left["fold"]) & (grid["candidate"] == F.col("c_model_id")), "left").drop(left["fold"])
-        .join(right, (grid["fold"] == right["fold"]) & (grid["reference"] == F.col("r_model_id")), "left").drop(right["fold"])
+        grid.join(left, (F.col("fold") == F.col("c_fold")) & (F.col("candidate") == F.col("c_model_id")), "left")
+        .join(right, (F.col("fold") == F.col("r_fold")) & (F.col("reference") == F.col("r_model_id")), "left")
         .join(pair, ["fold", "candidate"], "left")
         .join(boot, ["fold", "candidate"], "left")
     )

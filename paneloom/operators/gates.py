@@ -302,10 +302,11 @@ def known_case_ranks(predictions: DataFrame, cases: DataFrame) -> DataFrame:
     Counts come from running sums over distinct scores, so the reference set is never gathered.
     """
     by = ["period", "model_id"]
-    counts = value_counts(predictions, by, "prediction").select(*by, "prediction", "rows_upto")
-    sizes = predictions.groupBy(*by).agg(F.count("prediction").alias("reference_size"))
+    counts = value_counts(predictions, by, "prediction", totals=True).select(
+        *by, "prediction", "rows_upto", F.col("rows_upto_total").alias("reference_size")
+    )
     found = predictions.join(cases.select("case_id", *KEY), KEY)
-    joined = found.join(counts, [*by, "prediction"]).join(sizes, by)
+    joined = found.join(counts, [*by, "prediction"])
     return joined.select(
         "case_id", *KEY, "model_id", "prediction", "reference_size", (F.col("rows_upto") / F.col("reference_size")).alias("percentile"),
         ((F.col("rows_upto") + 1) / (F.col("reference_size") + 1)).alias("lower_tail_p"),

@@ -58,9 +58,9 @@ def precision_at(df: DataFrame, fraction: float, by: Sequence[str] = ()) -> Data
     """Precision among the top max(1, ceil(n x fraction)) rows."""
     if not 0 < fraction <= 1:
         raise ValueError("the fraction must lie in (0, 1]")
-    rows = positions(df, by, [("prediction", False), ("entity_id", True), ("period", True)])
-    sizes = df.groupBy(*by).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.lit(fraction))).alias("review_count"))
-    top = attach(rows, sizes, list(by)).filter("position <= review_count")
+    rows = positions(df, by, [("prediction", False), ("entity_id", True), ("period", True)], totals=True)
+    size = F.greatest(F.lit(1), F.ceil(F.col("position_total") * F.lit(fraction)))
+    top = rows.withColumn("review_count", size).filter("position <= review_count")
     return top.groupBy(*by).agg(
         F.max("review_count").alias("review_count"), (F.sum(_hit()) / F.max("review_count")).alias("precision")
     )
@@ -68,20 +68,22 @@ def precision_at(df: DataFrame, fraction: float, by: Sequence[str] = ()) -> Data
 
 def scored_summary(df: DataFrame, fraction: float, by: Sequence[str]) -> DataFrame:
     """Average precision, AUC, Brier and precision at a fraction, one row per group."""
-    ranks = cut(ranked(df, by))
-    sizes = df.groupBy(*by).agg(
+    ranks = running(
+        df, by, [("prediction", False), ("entity_id", True), ("period", True)],
+        {"position": F.lit(1).cast("long"), "hits": _hit()}, totals=True,
+    )
+    k = F.greatest(F.lit(1), F.ceil(F.col("position_total") * F.lit(fraction)))
+    gap = F.col("outcome").cast("double") - F.col("prediction")
+    top = ranks.groupBy(*by).agg(
         F.count(F.lit(1)).alias("row_count"),
         F.sum(_hit()).alias("positive_count"),
-        F.avg(F.pow(F.col("outcome").cast("double") - F.col("prediction"), F.lit(2))).alias("brier"),
-        F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) * F.lit(fraction))).alias("_k"),
-    )
-    top = attach(ranks, sizes.select(*by, "_k"), list(by)).groupBy(*by).agg(
+        F.avg(gap * gap).alias("brier"),
         (F.sum(F.when(F.col("outcome"), F.col("hits") / F.col("position"))) / F.nullif(F.sum(_hit()), F.lit(0))).alias(
             "average_precision"
         ),
-        (F.count_if(F.col("outcome") & (F.col("position") <= F.col("_k"))) / F.max("_k")).alias("precision_at"),
+        (F.count_if(F.col("outcome") & (F.col("position") <= k)) / F.max(k)).alias("precision_at"),
     )
-    return sizes.drop("_k").join(top, list(by)).join(roc_auc(df, by), list(by), "left")
+    return attach(top, roc_auc(df, by), list(by))
 
 
 def calibrated(scores: DataFrame, coefficients: DataFrame) -> DataFrame:
@@ -438,9 +440,11 @@ def budget_cost(
 ) -> DataFrame:
     """Cost of reviewing the top fraction. The best possible review of the same size is closed-form:
     savings take two values, one for positives and one for negatives."""
-    rows = positions(df, by, [("prediction", False), ("entity_id", True), ("period", True)])
-    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.sum(_hit()).alias("p"))
-    grid = with_grid(attach(rows, sizes, list(by)), [{"fraction": f} for f in fractions], {"fraction": "double"})
+    rows = running(
+        df, by, [("prediction", False), ("entity_id", True), ("period", True)], {"position": F.lit(1).cast("long"), "hits": _hit()},
+        totals=True,
+    ).withColumnsRenamed({"position_total": "n", "hits_total": "p"})
+    grid = with_grid(rows, [{"fraction": f} for f in fractions], {"fraction": "double"})
     k = F.greatest(F.lit(1), F.least(F.col("n"), F.ceil(F.col("n") * F.col("fraction"))))
     counts = grid.groupBy(*by, "fraction", "n", "p").agg(
         F.count_if(F.col("outcome") & (F.col("position") <= k)).alias("tp"), F.max(k).alias("k")

@@ -198,10 +198,9 @@ def train_ecdf(values: DataFrame, reference: DataFrame, value: str) -> DataFrame
         .groupBy("_v")
         .agg(F.sum("_r").alias("_r"))
     )
-    placed = running(both, [], [("_v", True)], {"_upto": F.col("_r")})
-    size = reference.agg(F.count(value).alias("_n"))
+    placed = running(both, [], [("_v", True)], {"_upto": F.col("_r")}, totals=True).withColumnRenamed("_upto_total", "_n")
     share = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), (F.col("_upto") - 0.5) / F.col("_n")))
-    table = attach(placed, size, []).select(F.col("_v").alias(value), F.when(F.col("_n") > 0, share).alias("ecdf"))
+    table = placed.select(F.col("_v").alias(value), F.when(F.col("_n") > 0, share).alias("ecdf"))
     return attach(values, table, [value])
 
 

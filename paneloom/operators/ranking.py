@@ -53,10 +53,12 @@ def running(
     by: Sequence[str],
     order: Sequence[tuple[str, bool]],
     sums: Mapping[str, Column],
+    totals: bool = False,
 ) -> DataFrame:
     """Inclusive running sums in total order inside each ``by`` group.
 
-    ``order`` lists (column, ascending) and must be unique within the group.
+    ``order`` lists (column, ascending) and must be unique within the group. ``totals`` adds the
+    group sum of each value as ``<name>_total``; it falls out of the partition totals.
     """
     by = list(by)
     sort = [F.col(c).asc_nulls_last() if up else F.col(c).desc_nulls_last() for c, up in order]
@@ -64,24 +66,38 @@ def running(
     placed = cut(
         measured.repartitionByRange(*[F.col(b).asc() for b in by], *sort).withColumn("_part", F.spark_partition_id())
     )
-    totals = placed.groupBy("_part", *by).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in sums])
+    # one row per (partition, group): the windows below see at most the partition count per group
+    parts = placed.groupBy("_part", *by).agg(*[F.sum(f"_v_{n}").alias(f"_v_{n}") for n in sums])
     before = Window.partitionBy(*by).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(
-        "_part", *by, *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums]
+    whole = Window.partitionBy(*by)
+    offsets = parts.select(
+        "_part",
+        *by,
+        *[F.coalesce(F.sum(f"_v_{n}").over(before), F.lit(0)).alias(f"_v_{n}") for n in sums],
+        *([F.sum(f"_v_{n}").over(whole).alias(f"_t_{n}") for n in sums] if totals else []),
+        F.lit(0).alias("_kind"),
     )
-    inside = Window.partitionBy("_part", *by).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.select("*", *[F.sum(f"_v_{n}").over(inside).alias(f"_l_{n}") for n in sums])
-    return attach(local, offsets, ["_part", *by]).select(
-        *df.columns, *[(F.col(f"_l_{n}") + F.col(f"_o_{n}")).alias(n) for n in sums]
+    # the offset enters its partition as a leading row, so no join moves the data once more
+    led = placed.withColumn("_kind", F.lit(1)).unionByName(offsets, allowMissingColumns=True)
+    inside = (
+        Window.partitionBy("_part", *by).orderBy("_kind", *sort).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
+    summed = [F.sum(f"_v_{n}").over(inside).alias(n) for n in sums]
+    if totals:
+        summed += [F.max(f"_t_{n}").over(inside).alias(f"{n}_total") for n in sums]
+    return led.select(*df.columns, *summed, "_kind").filter("_kind = 1").drop("_kind")
 
 
-def positions(df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "position") -> DataFrame:
-    """1-based position of each row in its group."""
-    return running(df, by, order, {name: F.lit(1).cast("long")})
+def positions(
+    df: DataFrame, by: Sequence[str], order: Sequence[tuple[str, bool]], name: str = "position", totals: bool = False
+) -> DataFrame:
+    """1-based position of each row in its group (and, with ``totals``, the group size)."""
+    return running(df, by, order, {name: F.lit(1).cast("long")}, totals)
 
 
-def value_counts(df: DataFrame, by: Sequence[str], value: str, extra: Mapping[str, Column] | None = None) -> DataFrame:
+def value_counts(
+    df: DataFrame, by: Sequence[str], value: str, extra: Mapping[str, Column] | None = None, totals: bool = False
+) -> DataFrame:
     """One row per distinct value: rows, rows up to and including it, and its average rank.
 
     Equal values collapse before the shuffle, so a heavy tie costs one row.
@@ -91,7 +107,7 @@ def value_counts(df: DataFrame, by: Sequence[str], value: str, extra: Mapping[st
         .groupBy(*by, value)
         .agg(F.count(F.lit(1)).alias("rows"), *[e.alias(n) for n, e in (extra or {}).items()])
     )
-    ranked = running(counted, by, [(value, True)], {"rows_upto": F.col("rows")})
+    ranked = running(counted, by, [(value, True)], {"rows_upto": F.col("rows")}, totals)
     return ranked.withColumn("average_rank", F.col("rows_upto") - F.col("rows") + (F.col("rows") + 1) / 2)
 
 
@@ -107,8 +123,7 @@ def quantile_rows(df: DataFrame, by: Sequence[str], value: str, probabilities: S
     No group is held in memory: each distinct value knows the index range it covers and keeps only
     the wanted indices that fall inside.
     """
-    counts = value_counts(df, by, value)
-    totals = counts.groupBy(*by).agg(F.sum("rows").alias("_n"))
+    counts = value_counts(df, by, value, totals=True).withColumnRenamed("rows_upto_total", "_n")
     first, last = F.col("rows_upto") - F.col("rows"), F.col("rows_upto") - 1
 
     def target(p: Column) -> Column:
@@ -118,7 +133,7 @@ def quantile_rows(df: DataFrame, by: Sequence[str], value: str, probabilities: S
         F.array(*[F.lit(float(p)) for p in probabilities]),
         lambda p: F.floor(target(p)).between(first, last) | F.ceil(target(p)).between(first, last),
     )
-    hits = attach(counts, totals, list(by)).select(*by, value, "_n", "rows", "rows_upto", F.explode(wanted).alias("p"))
+    hits = counts.select(*by, value, "_n", "rows", "rows_upto", F.explode(wanted).alias("p"))
     low = F.max(F.when(F.floor(target(F.col("p"))).between(first, last), F.col(value)))
     high = F.max(F.when(F.ceil(target(F.col("p"))).between(first, last), F.col(value)))
     ends = hits.groupBy(*by, "p", "_n").agg(low.alias("_lo"), high.alias("_hi"))

@@ -7,7 +7,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def _cell(value: Any, dtype: str) -> Column:
@@ -27,9 +26,10 @@ def with_grid(df: DataFrame, rows: Sequence[Mapping[str, Any]], schema: Mapping[
 
 
 def registry(spark: SparkSession, rows: Sequence[Mapping[str, Any]], schema: Mapping[str, str]) -> DataFrame:
-    """A configuration table as a DataFrame (a local relation, so its size is known)."""
-    struct = T.StructType.fromDDL(", ".join(f"{name} {dtype}" for name, dtype in schema.items()))
-    return spark.createDataFrame([tuple(row.get(name) for name in schema) for row in rows], struct)
+    """A configuration table as a DataFrame of literals: no Python worker, and a size the planner knows."""
+    if not rows:
+        return spark.createDataFrame([], ", ".join(f"{name} {dtype}" for name, dtype in schema.items()))
+    return with_grid(spark.range(0, 1, 1, 1), rows, schema).drop("id")
 
 
 def lookup(mapping: Mapping[str, Any], key: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.functions.dates import parse_timestamp
+from paneloom.functions.grid import registry
 from paneloom.functions.profile import profile
 from paneloom.functions.text import is_missing, parse_number
 
@@ -104,11 +105,11 @@ def audit_numerics(df: DataFrame, decimal_marks: Mapping[str, str]) -> DataFrame
 
 def audit_schema(df: DataFrame, required: Sequence[str], optional: Sequence[str] = (), allow_extra: bool = False) -> DataFrame:
     """Missing and unregistered columns as issue rows."""
-    rows = [("MISSING_REQUIRED_COLUMN", "FAIL", c, 1) for c in required if c not in df.columns]
-    severity = "WARN" if allow_extra else "FAIL"
     registered = {*required, *optional}
-    rows += [("UNREGISTERED_COLUMN", severity, c, 1) for c in df.columns if c not in registered]
-    return df.sparkSession.createDataFrame(rows, "code string, severity string, field string, count bigint")
+    found = [("MISSING_REQUIRED_COLUMN", "FAIL", c) for c in required if c not in df.columns]
+    found += [("UNREGISTERED_COLUMN", "WARN" if allow_extra else "FAIL", c) for c in df.columns if c not in registered]
+    rows = [{"code": code, "severity": severity, "field": c, "count": 1} for code, severity, c in found]
+    return registry(df.sparkSession, rows, {"code": "string", "severity": "string", "field": "string", "count": "bigint"})
 
 
 def audit_row_count(df: DataFrame, minimum: int) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneloom.functions.grid import registry, with_grid
@@ -66,14 +66,18 @@ def select_candidate(results: DataFrame, order: Sequence[str]) -> DataFrame:
 # ------------------------------------------------------------- calibration
 
 
+def _coefficients(spark: SparkSession, rows: Sequence[Mapping]) -> DataFrame:
+    types = {"model_id": "string", "intercept": "double", "slope": "double", "status": "string"}
+    return registry(spark, rows, {c: t for c, t in types.items() if c in rows[0]})
+
+
 def soft_platt(df: DataFrame, target: str = "target_value") -> DataFrame:
     """Intercept and slope on the logit of the score, fitted to a soft target; identity without variation."""
     spark = df.sparkSession
     rows = df.filter(F.col(target).isNotNull() & F.col("prediction").isNotNull())
     stats = rows.agg(F.count(F.lit(1)).alias("n"), (F.max(target) - F.min(target)).alias("spread")).first()
-    schema = "intercept double, slope double, status string"
     if stats["n"] < 2 or stats["spread"] <= 1e-12:
-        return spark.createDataFrame([(0.0, 1.0, "IDENTITY_INSUFFICIENT_TARGET_VARIATION")], schema)
+        return _coefficients(spark, [{"intercept": 0.0, "slope": 1.0, "status": "IDENTITY_INSUFFICIENT_TARGET_VARIATION"}])
     s = clipped(F.col("prediction"), 1e-6)
     halves = expand_soft(rows.select(F.ln(s / (1 - s)).alias("x"), F.col(target), F.lit(1.0).alias("w")), target, "w")
     vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(halves).persist()
@@ -81,7 +85,7 @@ def soft_platt(df: DataFrame, target: str = "target_value") -> DataFrame:
         model = LogisticRegression(labelCol="label", weightCol="label_weight", regParam=0.0, maxIter=100, tol=1e-10).fit(vectors)
     finally:
         vectors.unpersist()
-    return spark.createDataFrame([(float(model.intercept), float(model.coefficients[0]), "SOFT_PLATT")], schema)
+    return _coefficients(spark, [{"intercept": float(model.intercept), "slope": float(model.coefficients[0]), "status": "SOFT_PLATT"}])
 
 
 def hard_platt(df: DataFrame, inverse_regularization: float = 1.0) -> DataFrame:
@@ -92,7 +96,7 @@ def hard_platt(df: DataFrame, inverse_regularization: float = 1.0) -> DataFrame:
     fitted = []
     for row in sorted(counts, key=lambda r: r["model_id"]):
         if row["p"] in (0, row["n"]):
-            fitted.append((row["model_id"], 0.0, 1.0, "IDENTITY_INSUFFICIENT_CLASSES"))
+            fitted.append({"model_id": row["model_id"], "intercept": 0.0, "slope": 1.0, "status": "IDENTITY_INSUFFICIENT_CLASSES"})
             continue
         s = clipped(F.col("prediction"), 1e-6)
         mine = rows.filter(F.col("model_id") == row["model_id"]).select(
@@ -105,8 +109,10 @@ def hard_platt(df: DataFrame, inverse_regularization: float = 1.0) -> DataFrame:
             ).fit(vectors)
         finally:
             vectors.unpersist()
-        fitted.append((row["model_id"], float(model.intercept), float(model.coefficients[0]), "PLATT"))
-    return spark.createDataFrame(fitted, "model_id string, intercept double, slope double, status string")
+        fitted.append(
+            {"model_id": row["model_id"], "intercept": float(model.intercept), "slope": float(model.coefficients[0]), "status": "PLATT"}
+        )
+    return _coefficients(spark, fitted)
 
 
 def apply_platt(prediction: Column, intercept: Column, slope: Column) -> Column:

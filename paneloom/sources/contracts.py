@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paneloom.functions.grid import registry
 from paneloom.functions.text import blank_to_null, parse_flag
 from paneloom.operators.ranking import attach
 
@@ -35,7 +36,8 @@ def validate_contract(df: DataFrame, contract: Contract) -> DataFrame:
         found.append(("columns", ",".join(df.columns), 1))
     types = dict(df.dtypes)
     found += [("dtype", n, 1) for n, t in contract.columns.items() if n in types and types[n] != t]
-    result = spark.createDataFrame(found, "rule string, column_name string, violations bigint")
+    layout = {"rule": "string", "column_name": "string", "violations": "bigint"}
+    result = registry(spark, [dict(zip(layout, row, strict=True)) for row in found], layout)
 
     checks: list[tuple[str, str, Column]] = [("not_null", n, F.col(n).isNull()) for n in contract.not_null]
     checks += [("between", n, ~F.col(n).between(lo, hi)) for n, (lo, hi) in contract.between.items()]

@@ -64,9 +64,18 @@ def kept_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for f in features if counts[f] > 0]
 
 
+SMALL_SAMPLE = 100_000
+
+
 def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Exact medians; one number per feature comes to the driver."""
-    rows = quantile_rows(melt(df, [], features), ["feature"], "value", [0.5]).collect()
+    """Exact medians; one number per feature comes to the driver.
+
+    A counted small sample takes one aggregation. Anything larger is ranked across partitions.
+    """
+    if df.count() <= SMALL_SAMPLE:
+        row = df.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in features]).first()
+        return {f: row[f] for f in features if row[f] is not None}
+    rows = quantile_rows(melt(df, [], features).filter("value IS NOT NULL"), ["feature"], "value", [0.5]).collect()
     return {r["feature"]: r["quantile"] for r in rows}
 
 

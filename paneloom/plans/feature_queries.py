@@ -8,12 +8,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.operators import diagnostics, features
+from paneloom.operators.ranking import cut
 from paneloom.plans.bindings import Inputs, query
 
 KEY = ["entity_id", "period"]
 BASES = ["fs_aud_price", "fs_aud_rebate", "fs_aud_quantity", "fs_aud_tax", "fs_aud_orders", "fs_aud_returns"]
 
 
+def _placed(fx: Inputs, name: str) -> DataFrame:
+    """A binding that an operator reads several times, computed once."""
+    return cut(fx(name))
+
+
 def _round(df: DataFrame, digits: int = 7) -> DataFrame:
     return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
@@ -402,7 +408,7 @@ def _scale_sql(c: str) -> str:
 
 @query("value_scale_diagnostics", " UNION ALL ".join(_scale_sql(c) for c in BASES))
 def _(fx: Inputs) -> DataFrame:
-    return _round(diagnostics.diag_value_scale(fx("fx_features"), BASES), 5)
+    return _round(diagnostics.diag_value_scale(_placed(fx, "fx_features"), BASES), 5)
 
 
 @query(
@@ -438,7 +444,7 @@ def _(fx: Inputs) -> DataFrame:
 def _(fx: Inputs) -> DataFrame:
     return _round(
         diagnostics.diag_adjustments(
-            fx("fx_prepost"), {"value": ("value_pre", "value_post"), "volume": ("volume_pre", "volume_post")}
+            _placed(fx, "fx_prepost"), {"value": ("value_pre", "value_post"), "volume": ("volume_pre", "volume_post")}
         ),
         5,
     )
@@ -463,8 +469,8 @@ def _ratio_diag_sql(f: str, operands: str, zero: str) -> str:
 )
 def _(fx: Inputs) -> DataFrame:
     names = ["ratio_returns", "ratio_spread"]
-    ratios = features.feat_ratio(fx("fx_features"), {n: RATIOS[n] for n in names})
-    panel = ratios.join(fx("fx_features"), KEY)
+    base = _placed(fx, "fx_features")
+    panel = features.feat_ratio(base, {n: RATIOS[n] for n in names}).join(base, KEY)
     operands = {n: sorted(features.formula_inputs(RATIOS[n])) for n in names}
     return _round(
         diagnostics.diag_ratios(panel, names, operands, {"ratio_returns": "fs_aud_returns", "ratio_spread": "abs(fs_aud_quantity)"}), 5
@@ -499,5 +505,5 @@ def _redundancy_sql(a: str, b: str) -> str:
 
 @query("redundancy_diagnostics", " UNION ALL ".join(_redundancy_sql(a, b) for a, b in combinations(DUPLICATED, 2)))
 def _(fx: Inputs) -> DataFrame:
-    panel = fx("fx_features").withColumns({"double_tax": F.col("fs_aud_tax") * 2, "minus_tax": -F.col("fs_aud_tax")})
+    panel = _placed(fx, "fx_features").withColumns({"double_tax": F.col("fs_aud_tax") * 2, "minus_tax": -F.col("fs_aud_tax")})
     return _round(diagnostics.diag_redundancy(panel, DUPLICATED))

@@ -10,7 +10,7 @@ from paneloom.operators import labels, metrics, models, selection, weights
 from paneloom.operators.ranking import cut
 from paneloom.plans.bindings import Inputs, query
 from paneloom.plans.feature_queries import ENTRIES, _round
-from paneloom.plans.label_queries import CHANNEL_SQL, L0_SQL, SCORE_SQL, _l0, _scores
+from paneloom.plans.label_queries import CHANNEL_SQL, L0_SQL, QUALITY, SCORE_SQL, _l0, _scores
 from paneloom.plans.metric_queries import REGIMES, _draw
 
 KEY = ["entity_id", "period"]
@@ -326,8 +326,10 @@ HOLDOUT_SQL = f"""
 
 
 def _holdout(fx: Inputs) -> DataFrame:
-    outcomes = labels.channel_outcomes(_l0(fx), ["quality", "toxic", "lang", "appeal"])
-    rows = outcomes.join(_scores(fx), [*KEY, "channel_id"])
+    # the source grid feeds outcomes and scores
+    grid = cut(_l0(fx))
+    outcomes = labels.channel_outcomes(grid, ["quality", "toxic", "lang", "appeal"])
+    rows = cut(outcomes.join(labels.l2_channel_scores(grid, QUALITY, 180.0), [*KEY, "channel_id"]))
     return selection.channel_holdout_ce(rows, 2019, 1)
 
 

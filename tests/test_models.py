@@ -94,3 +94,11 @@ def test_grid_budget():
     assert len(models.grid({"a": 1}, {"b": [1, 2], "c": [3, 4, 5]}, 6)) == 6
     with pytest.raises(ValueError):
         models.grid({}, {"b": [1, 2, 3]}, 2)
+
+
+def test_medians_agree_on_both_paths(spark, monkeypatch):
+    rows = panel(spark).withColumn("z", F.when(F.col("x") > 0, F.col("x") * 3)).withColumn("empty", F.lit(None).cast("double"))
+    small = models.medians(rows, ["x", "z", "empty"])
+    monkeypatch.setattr(models, "SMALL_SAMPLE", 0)
+    large = models.medians(rows, ["x", "z", "empty"])
+    assert set(small) == set(large) == {"x", "z"} and all(small[k] == pytest.approx(large[k]) for k in small)

@@ -14,6 +14,7 @@ from paneloom.functions.grid import with_grid
 from paneloom.functions.provenance import canonical_references, is_placeholder
 from paneloom.functions.sets import derived_key, disagree, json_array, merged_arrays, single_or_null, sorted_set
 from paneloom.functions.text import blank_to_null, norm_code, parse_flag
+from paneloom.operators.cells import rollup_cells
 from paneloom.operators.ranking import attach
 
 PAIR = ["document_id", "entity_id"]
@@ -300,11 +301,19 @@ def collapse_grain(ledger: DataFrame) -> DataFrame:
 
 
 def merge_json_arrays(df: DataFrame, keys: Sequence[str], column: str) -> DataFrame:
-    """Sorted distinct union of JSON string arrays, with the count of cells that are no such array."""
+    """Sorted distinct union of JSON string arrays, with the count of cells that are no such array.
+
+    A key with a very long union continues in further cells, so no group is gathered whole.
+    """
     parsed = json_array(F.col(column))
     broken = F.col(column).isNotNull() & (F.col(column) != "") & parsed.isNull()
-    return df.groupBy(*keys).agg(
-        F.to_json(merged_arrays(parsed)).alias(column), F.count_if(broken).alias("invalid_cells")
+    checked = df.groupBy(*keys).agg(F.count_if(broken).alias("invalid_cells"))
+    merged = rollup_cells(df.select(*keys, F.explode(parsed).alias("_value")), keys, "_value")
+    return attach(checked, merged, keys).select(
+        *keys,
+        F.coalesce("cell", F.lit(0)).alias("cell"),
+        F.to_json(F.coalesce("values", F.array().cast("array<string>"))).alias(column),
+        "invalid_cells",
     )
 
 

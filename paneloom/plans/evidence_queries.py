@@ -540,7 +540,7 @@ def _(fx: Inputs) -> DataFrame:
 
 @query(
     "merged_json_arrays",
-    """SELECT user_id, to_json(list_sort(list_distinct(list(event_type)))) AS labels,
+    """SELECT user_id, 0 AS cell, to_json(list_sort(list_distinct(list(event_type)))) AS labels,
               count_if(event_id % 50 = 0) AS invalid_cells
        FROM (SELECT user_id, event_id, CASE WHEN event_id % 50 <> 0 THEN event_type END AS event_type FROM events) q
        GROUP BY 1""",

@@ -110,8 +110,7 @@ FLAGSHIP_SQL = """
 @query("flagship_pair_labels", FLAGSHIP_SQL)
 def _(fx: Inputs) -> DataFrame:
     panel = panels.build_panel(fx("fx_obs"), ["orders", "lineitem"])
-    wide = panel.select("entity_id", "period").join(fx("fx_prepost"), ["entity_id", "period"], "left")
-    rows = evidence.expand_pre_post(wide, {"amount": PREPOST["amount"]}).select(
+    rows = evidence.expand_pre_post(fx("fx_prepost"), {"amount": PREPOST["amount"]}).select(
         "*", F.lit("U").alias("unit"), F.lit("group").alias("scope"), F.lit("stock").alias("family")
     )
     pairs = evidence.matched_pairs(panel, rows, PAIR_ENDPOINTS[:1], 1.0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,35 +30,27 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
-    """Consecutive rows with equal keys, as one table each, from rows sorted by those keys.
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of complete runs of equal keys, from rows sorted by them, and where each run starts.
 
-    Only the run at hand is held, so its size is what the caller's key bounds.
+    The run at a batch's end waits for the next batch, so what is held is a batch and one run.
     """
-    held: list[pa.RecordBatch] = []
-    last = None
+    held: pa.Table | None = None
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        rows = list(zip(*[batch.column(k).to_pylist() for k in keys], strict=True))
-        start = 0
-        for i in range(batch.num_rows + 1):
-            if i < batch.num_rows and rows[i] == (last if i == 0 else rows[i - 1]):
-                continue
-            if i == 0:
-                if held:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                continue
-            if i < batch.num_rows:
-                held.append(batch.slice(start, i - start))
-                yield pa.Table.from_batches(held)
-                held = []
-                start = i
-        held.append(batch.slice(start))
-        last = rows[-1]
-    if held:
-        yield pa.Table.from_batches(held)
+        rows = pa.Table.from_batches([batch])
+        rows = pa.concat_tables([held, rows]) if held is not None else rows
+        values = [rows.column(k).to_numpy() for k in keys]
+        changed = np.zeros(rows.num_rows - 1, bool)
+        for v in values:
+            changed |= v[1:] != v[:-1]
+        starts = np.concatenate([[0], np.flatnonzero(changed) + 1])
+        held = rows.slice(int(starts[-1]))
+        if len(starts) > 1:
+            yield rows.slice(0, int(starts[-1])), starts[:-1]
+    if held is not None:
+        yield held, np.array([0])
 
 
 def scratch(spark: SparkSession, name: str) -> str:

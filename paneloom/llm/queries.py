@@ -1,6 +1,19 @@
 """All queries of the training-data operators."""
 
-from paneloom.llm import packing, token_counts, token_files
+from paneloom.llm import (
+    exact_topk,
+    graph_index,
+    jaccard_join,
+    mixing,
+    packing,
+    preference,
+    quality,
+    templates,
+    token_counts,
+    token_files,
+)
 from paneloom.llm.shared import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "packing", "token_counts", "token_files"]
+__all__ = [
+    "QUERIES", "SQL", "exact_topk", "graph_index", "jaccard_join", "mixing", "packing", "preference", "quality", "templates", "token_counts", "token_files",
+]

@@ -15,7 +15,8 @@ from contextlib import suppress
 from itertools import chain, filterfalse
 from unicodedata import is_normalized
 
-CACHED_WORDS = 500_000
+#: Words in each of two generations; a word takes about 200 bytes.
+CACHED_WORDS = 1_000_000
 
 
 class WordCache:

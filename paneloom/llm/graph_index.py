@@ -27,7 +27,7 @@ from paneloom.llm.exact_topk import matrix, usable
 from paneloom.llm.shared import query, stored, table
 
 SHARD_NODES, QUERY_ROWS = 4096, 4096
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH, STEP = 32, 64, 128, 1.2, 256, 4
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, BATCH, STEP = 32, 64, 192, 1.2, 256, 4
 #: Reverse edges that one node may get from a batch before pruning.
 NEW_EDGES = 64
 

@@ -30,12 +30,11 @@ from pyspark.sql import types as T
 
 from paneloom.llm.chunks import WordCache
 from paneloom.llm.components import components
-from paneloom.llm.shared import query, stored, table, whole_runs
+from paneloom.llm.shared import by_bytes, query, stored, table, whole_runs
 
 GRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999999, 128
 #: Nodes of a bucket that meet in one block of a task.
 BLOCK_NODES = 512
-ROWS_AT_ONCE = 256
 GRAMS_AT_ONCE = 4096
 VOCABULARY_AT_ONCE = 4096
 
@@ -45,7 +44,7 @@ _WORDS: list[WordCache] = []
 def choose_bands(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band can have when ``recall`` at the threshold takes at most so many hashes."""
     for rows in range(16, 0, -1):
-        bands = math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows))
+        bands = math.ceil(math.log1p(-recall) / math.log1p(-min(threshold**rows, 1 - 1e-12)))
         if bands * rows <= hashes:
             return bands, rows
     raise ValueError("more hashes are needed for this recall")
@@ -110,8 +109,7 @@ def sketches(documents: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in by_bytes(batch, "text"):
                 sets = [grams(w, n) for w in word_hashes([t or "" for t in part.column("text").to_pylist()])]
                 digests = [digest(s) for s in sets]
                 marks = [signature(s, bands, rows) if len(s) else None for s in sets]
@@ -267,8 +265,7 @@ def near_duplicates(
 
     def sets(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in by_bytes(batch, "text"):
                 found = [grams(w, n) for w in word_hashes([t or "" for t in part.column("text").to_pylist()])]
                 right = [digest(s) == d for s, d in zip(found, zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True), strict=True)]
                 out = pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])

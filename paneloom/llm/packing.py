@@ -25,9 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneloom.llm.chunks import Encoder, library
-from paneloom.llm.shared import query, table
+from paneloom.llm.shared import by_bytes, query, table
 
-ROWS_AT_ONCE = 256
 #: Tokens and documents that one window packs together.
 WINDOW_TOKENS, WINDOW_ROWS = 4_000_000, 8_000
 #: Linear cost of a token against the quadratic cost of a pair of tokens: six times the model width.
@@ -131,8 +130,7 @@ def pack(
             return pa.RecordBatch.from_arrays([columns[n] for n in names], names)
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in by_bytes(batch, "text"):
                 new = [b + end for b in encoder(path).batch(part.column("text").to_pylist())]
                 id_arrays.append(part.column("id"))
                 ids.extend(new)

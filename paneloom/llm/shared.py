@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from paneloom.sources.sinks import scratch_folder
@@ -53,6 +54,17 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
         yield held, np.array([0])
 
 
+def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about so many bytes of text each, and a row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """New folder beside the checkpoints, which every executor reaches."""
     folder = scratch_folder(spark, name)

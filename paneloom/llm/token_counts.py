@@ -21,9 +21,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneloom.llm.chunks import Encoder, special_strings
-from paneloom.llm.shared import query, table
+from paneloom.llm.shared import by_bytes, query, table
 
-ROWS_AT_ONCE = 256
 
 
 def byte_symbols() -> dict[int, str]:
@@ -104,8 +103,7 @@ def count_tokens(documents: DataFrame, path: str, pattern: str, id_col: str = "d
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
+            for part in by_bytes(batch, "text"):
                 counts = counter(path, pattern).batch(part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("n_bytes"), pa.array(counts, pa.int64())], ["id", "n_bytes", "n_tokens"]

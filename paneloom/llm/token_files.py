@@ -32,11 +32,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.llm.chunks import Encoder, library
-from paneloom.llm.shared import query, scratch, stored, table
+from paneloom.llm.shared import by_bytes, query, scratch, stored, table
 from paneloom.operators.ranking import running
 
 MAGIC = b"RVB1"
-ROWS_AT_ONCE = 256
 #: Tokens after which a task starts its next file.
 FILE_TOKENS = 4_000_000
 FILES = "part long, seq long, file string, n_docs long, n_tokens long"
@@ -150,8 +149,7 @@ def write_token_files(
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, kinds, strict=True)], ["part", "seq", "file", "n_docs", "n_tokens"])
 
         for batch in batches:
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                some = batch.slice(at, ROWS_AT_ONCE)
+            for some in by_bytes(batch, "text"):
                 new = [b + end for b in encoder(path, lowered).batch(some.column("text").to_pylist())]
                 docs.append(some.column("id"))
                 texts.extend(new)

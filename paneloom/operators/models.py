@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from paneloom.functions.draws import hash_number
 from paneloom.functions.grid import registry, with_grid
-from paneloom.functions.profile import melt
+from paneloom.functions.profile import melt, profile
 from paneloom.operators.metrics import average_precision, soft_log_loss
 from paneloom.operators.ranking import attach, cut, positions, quantile_rows, running
 
@@ -38,8 +38,12 @@ KEY = ["entity_id", "period"]
 # ------------------------------------------------------------- preparation
 
 
-def feature_groups(registry_rows: DataFrame) -> DataFrame:
-    """Feature lists of the groups: observability, content, and full (both plus ambiguous)."""
+def feature_groups(registry_rows: DataFrame, panel: DataFrame | None = None) -> DataFrame:
+    """Feature lists of the groups: observability, content, and full (both plus ambiguous).
+
+    With a panel, ``value_counts`` gives the values that each feature has in it, in the features' order;
+    a feature without a column has none.
+    """
     usable = registry_rows.filter(
         (F.coalesce("research_status", F.lit("LOCKED")) == "LOCKED")
         & (F.col("model_eligibility").isNull() | F.col("model_eligibility").isin("fit", "confirmatory"))
@@ -51,11 +55,14 @@ def feature_groups(registry_rows: DataFrame) -> DataFrame:
             F.when(F.col("role").isin("observability", "content", "ambiguous"), "full"),
         )
     )
-    return (
-        usable.select("feature_id", F.explode(groups).alias("feature_group"))
-        .groupBy("feature_group")
-        .agg(F.array_sort(F.collect_list("feature_id")).alias("features"))
-    )
+    rows = usable.select("feature_id", F.explode(groups).alias("feature_group"))
+    if panel is None:
+        return rows.groupBy("feature_group").agg(F.array_sort(F.collect_list("feature_id")).alias("features"))
+    names = [r["feature_id"] for r in usable.select("feature_id").distinct().collect() if r["feature_id"] in panel.columns]  # a registry
+    counted = profile(panel, {n: {"values": F.count(n)} for n in names}, label="feature_id")
+    counted = rows.join(counted, "feature_id", "left").na.fill(0, ["values"])
+    listed = counted.groupBy("feature_group").agg(F.array_sort(F.collect_list(F.struct("feature_id", "values"))).alias("_l"))
+    return listed.select("feature_group", F.col("_l.feature_id").alias("features"), F.col("_l.values").alias("value_counts"))
 
 
 def kept_features(df: DataFrame, features: Sequence[str]) -> list[str]:
@@ -64,21 +71,22 @@ def kept_features(df: DataFrame, features: Sequence[str]) -> list[str]:
     return [f for f in features if counts[f] > 0]
 
 
-SMALL_SAMPLE = 100_000
-
-
 def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
-    """Exact medians; one number per feature comes to the driver.
-
-    A counted small sample takes one aggregation. Anything larger is ranked across partitions.
-    """
-    if df.count() <= SMALL_SAMPLE:
-        row = df.agg(*[F.percentile(F.col(f).cast("double"), F.lit(0.5)).alias(f) for f in features]).first()
-        return {f: row[f] for f in features if row[f] is not None}
+    """Exact medians from values ranked across partitions; one number per feature comes to the driver."""
     rows = quantile_rows(melt(df, [], features).filter("value IS NOT NULL"), ["feature"], "value", [0.5]).collect()
     return {r["feature"]: r["quantile"] for r in rows}
 
 
+def medians_before(df: DataFrame, features: Sequence[str], periods: Sequence[int]) -> dict[int, dict[str, float]]:
+    """The medians of the rows before each of the configured periods, ranked together in one pass."""
+    grown = with_grid(df, [{"before": int(p)} for p in periods], {"before": "int"}).filter("period < before")
+    rows = quantile_rows(melt(grown, ["before"], features).filter("value IS NOT NULL"), ["before", "feature"], "value", [0.5])
+    found: dict[int, dict[str, float]] = {int(p): {} for p in periods}
+    for r in rows.collect():  # one number per period and feature
+        found[r["before"]][r["feature"]] = r["quantile"]
+    return found
+
+
 class Prepared(Transformer):
     """Median fill and vector assembly fixed on a fit sample."""
 
@@ -94,24 +102,28 @@ class Prepared(Transformer):
         return vectors.drop(*[f"_x_{f}" for f in self.features])
 
 
-def prepare(df: DataFrame, features: Sequence[str]) -> Prepared:
-    """Features without any value have no median and are dropped."""
-    fill = medians(df, features)
+def prepare(df: DataFrame, features: Sequence[str], fill: Mapping[str, float] | None = None) -> Prepared:
+    """Features without any value have no median and are dropped. ``fill`` gives medians taken before."""
+    fill = medians(df, features) if fill is None else fill
     if not fill:
-        raise ValueError("all training features are missing")
+        raise ValueError("no feature has a value in the rows to fit on")
     return Prepared([f for f in features if f in fill], fill)
 
 
-def make_learner(name: str, params: Mapping[str, Any], rows: int, columns: int) -> Any:
-    """Spark ML estimator of a registered learner. ``C`` is an inverse regularisation as in the registry."""
+def make_learner(name: str, params: Mapping[str, Any], total_weight: float, columns: int) -> Any:
+    """Spark ML estimator of a registered learner.
+
+    ``C`` is an inverse regularisation against the summed loss. Spark divides the loss by the sum of
+    weights, so the penalty is divided by it too.
+    """
     common = {"featuresCol": "_features", "labelCol": "_label", "weightCol": "_weight"}
     p = dict(params)
     if name in ("logistic", "elastic_net_logistic"):
         c = float(p.pop("C", 1.0))
-        return LogisticRegression(regParam=1 / (c * max(rows, 1)), maxIter=p.pop("maxIter", 100), tol=1e-6, **common, **p)
+        return LogisticRegression(regParam=1 / (c * total_weight), maxIter=p.pop("maxIter", 100), tol=1e-6, **common, **p)
     if name == "linear_svm":
         c = float(p.pop("C", 1.0))
-        return LinearSVC(regParam=1 / (c * max(rows, 1)), **common, **p)
+        return LinearSVC(regParam=1 / (c * total_weight), **common, **p)
     if name == "random_forest":
         return RandomForestClassifier(seed=p.pop("seed", 7), **common, **p)
     if name == "gradient_boosting":
@@ -148,21 +160,48 @@ class Fitted:
         return _probability(self.model.transform(rows), output)
 
 
-def fit(df: DataFrame, features: Sequence[str], label: str, learner: str, params: Mapping[str, Any] | None = None, weight: str | None = None) -> Fitted:
-    """Fit a learner on rows with a 0/1 label; margin learners see standardised features."""
+def resampled(rows: DataFrame) -> DataFrame:
+    """Rows repeated in proportion to their weight, for learners that take none; equal weights change nothing.
+
+    The fraction of a copy is settled by a hash of the row, so that a repeated task draws it again.
+    """
+    mean = rows.agg(F.avg("_weight").alias("m")).first()["m"] or 1.0
+    share = F.pmod(F.xxhash64("_features", "_label", "_weight"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.floor(F.col("_weight") / mean + share).cast("int")
+    return rows.withColumn("_copies", copies).filter("_copies > 0").select(*rows.columns, F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).drop("_copy")
+
+
+def fit(
+    df: DataFrame, features: Sequence[str], label: str, learner: str, params: Mapping[str, Any] | None = None, weight: str | None = None,
+    soft: bool = False, fill: Mapping[str, float] | None = None,
+) -> Fitted:
+    """Fit a learner on rows with a 0/1 label, or with a target in [0, 1] if ``soft``; margin learners see
+    standardised features.
+
+    A soft row counts once for each class, with its weight shared out by the target; it is one row
+    where features are prepared.
+    """
     base = df.select(
         *features, F.col(label).cast("double").alias("_label"), (F.col(weight) if weight else F.lit(1.0)).cast("double").alias("_weight")
     ).persist()
     rows = None
     try:
-        prepared = prepare(base, features)
+        prepared = prepare(base, features, fill)
         rows = prepared.transform(base).select("_features", "_label", "_weight")
         scaler = None
         if learner in ("logistic", "elastic_net_logistic", "linear_svm", "mlp"):
             scaler = StandardScaler(inputCol="_features", outputCol="_scaled", withMean=True, withStd=True).fit(rows)
             rows = scaler.transform(rows).drop("_features").withColumnRenamed("_scaled", "_features")
+        if soft:
+            halves = expand_soft(rows.filter("_label BETWEEN 0 AND 1"), "_label", "_weight")
+            rows = halves.select("_features", F.col("label").alias("_label"), F.col("label_weight").alias("_weight"))
+        if learner == "mlp":
+            rows = resampled(rows)
         rows = rows.persist()
-        estimator = make_learner(learner, params or {}, rows.count(), len(prepared.features))
+        total = rows.agg(F.sum("_weight").alias("w")).first()["w"] or 0.0
+        if total <= 0:
+            raise ValueError("the rows to fit on have no weight")
+        estimator = make_learner(learner, params or {}, total, len(prepared.features))
         return Fitted(prepared, estimator.fit(rows), scaler)
     finally:
         base.unpersist()
@@ -226,27 +265,37 @@ def estimable(df: DataFrame, target: str, soft: bool, by: Sequence[str] = ()) ->
 
 
 def grid(base: Mapping[str, Any], space: Mapping[str, Sequence[Any]], maximum: int) -> list[dict[str, Any]]:
-    """Cartesian settings; a grid beyond the budget is an error."""
+    """Every combination of the settings, at most ``maximum`` of them."""
     combinations = [{**base, **dict(zip(space, values, strict=True))} for values in product(*space.values())]
     if len(combinations) > maximum:
-        raise ValueError(f"{len(combinations)} settings exceed the budget of {maximum}")
+        raise ValueError(f"the grid has {len(combinations)} points, {len(combinations) - maximum} too many")
     return combinations
 
 
-def _two_classes(df: DataFrame, label: str) -> bool:
-    return bool(estimable(df, label, soft=False).first()["estimable"])
-
+def temporal_oof(
+    df: DataFrame, features: Sequence[str], label: str, learner: str, params: Mapping[str, Any] | None = None, weight: str | None = None,
+    soft: bool = False, years: Sequence[int] | None = None,
+) -> DataFrame | None:
+    """Scores of every period from a fit on strictly earlier periods; periods that can't be estimated
+    from those before them are left out. Null when no period can be scored.
 
-def temporal_oof(df: DataFrame, features: Sequence[str], label: str, learner: str, params: Mapping[str, Any] | None = None, weight: str | None = None) -> DataFrame | None:
-    """Scores of every period from a fit on strictly earlier periods; periods without two classes
-    before them are left out. Null when no period can be scored."""
-    years = sorted(r["period"] for r in df.select("period").distinct().collect())
+    ``years`` configures the scored periods; without it they are those of the rows. One pass says what
+    can be estimated, and one gives the medians of all fits.
+    """
+    if years is None:
+        years = sorted(r["period"] for r in df.select("period").distinct().collect())
+    if not years:
+        return None
+    grown = with_grid(df, [{"before": int(y)} for y in years], {"before": "int"}).filter("period < before")
+    fitting = sorted(r["before"] for r in estimable(grown, label, soft, ["before"]).filter("estimable").collect())
+    if not fitting:
+        return None
+    fills = medians_before(df, features, fitting)
     whole = None
-    for year in years:
+    for year in fitting:
         train, held = df.filter(F.col("period") < year), df.filter(F.col("period") == year)
-        if year == years[0] or not _two_classes(train, label):
-            continue
-        part = fit(train, features, label, learner, params, weight).score(held).select(*KEY, label, "prediction")
+        part = fit(train.filter(F.col(label).isNotNull()), features, label, learner, params, weight, soft, fills[year]).score(held)
+        part = part.select(*KEY, label, "prediction")
         whole = part if whole is None else whole.unionByName(part)
     return whole
 
@@ -262,37 +311,48 @@ def objective(predictions: DataFrame, target: str, soft: bool) -> float | None:
 
 def fit_fold(
     panel: DataFrame, labels: DataFrame, weights: DataFrame, outer_year: int, groups: Mapping[str, Sequence[str]],
-    learners: Mapping[str, Sequence[Mapping[str, Any]]],
+    learners: Mapping[str, Sequence[Mapping[str, Any]]], target: str = "outcome", soft: bool = False, ecdf: bool = False,
 ) -> DataFrame:
     """Tune on earlier periods, refit on all of them, score the outer period.
 
-    Output: (model_id, split, key, outcome, prediction) with split oof or outer. Outer labels are
-    never joined to fitted rows, and a missing weight counts as one.
+    ``labels`` holds ``target``: a boolean outcome, or a number in [0, 1] if ``soft``. With ``ecdf`` a soft
+    target is replaced by its rank among the targets of the earlier periods, so that the outer period
+    never shapes it. Output: (model_id, split, key, outcome, target, prediction) with split oof or outer;
+    a soft target gives no outcome. Outer labels are never joined to fitted rows, and a missing weight
+    counts as one.
     """
-    development = panel.filter(F.col("period") < outer_year).join(labels, KEY).join(weights, KEY, "left")
-    development = cut(development.na.fill(1.0, ["weight"]).withColumn("_y", F.col("outcome").cast("double")))
+    known = labels.select(*KEY, F.col(target).cast("double").alias("_y"))
+    development = panel.filter(F.col("period") < outer_year).join(known, KEY).join(weights, KEY, "left").na.fill(1.0, ["weight"])
+    if soft and ecdf:
+        ranked = train_ecdf(development.drop("weight"), development.select("_y"), "_y")
+        development = ranked.drop("_y").withColumnRenamed("ecdf", "_y").join(weights, KEY, "left").na.fill(1.0, ["weight"])
+    development = cut(development)
     outer = panel.filter(F.col("period") == outer_year)
+    outcome = F.lit(None).cast("boolean") if soft else F.col("_y") > 0
     whole = None
     for group, features in groups.items():
         for learner, settings in learners.items():
             best = None
             for params in settings:
-                oof = temporal_oof(development, features, "_y", learner, params, "weight")
+                oof = temporal_oof(development, features, "_y", learner, params, "weight", soft)
                 if oof is None:
                     continue
                 oof = cut(oof)
-                loss = objective(oof, "_y", soft=False)
+                loss = objective(oof, "_y", soft)
                 if loss is not None and (best is None or loss < best[0]):
                     best = (loss, params, oof)
             if best is None:
                 continue
             _, params, oof = best
-            model = fit(development, features, "_y", learner, params, "weight")
+            model = fit(development.filter("_y IS NOT NULL"), features, "_y", learner, params, "weight", soft)
             name = F.lit(f"{learner}:{group}").alias("model_id")
-            parts = oof.select(name, F.lit("oof").alias("split"), *KEY, (F.col("_y") > 0).alias("outcome"), "prediction")
-            outer_part = model.score(outer).select(
-                name, F.lit("outer").alias("split"), *KEY, F.lit(None).cast("boolean").alias("outcome"), "prediction"
+            parts = oof.select(
+                name, F.lit("oof").alias("split"), *KEY, outcome.alias("outcome"), F.col("_y").alias("target"), "prediction"
             )
+            outer_part = model.score(outer).select(
+                name, F.lit("outer").alias("split"), *KEY, F.lit(None).cast("boolean").alias("outcome"),
+                F.lit(None).cast("double").alias("target"), "prediction",
+            )
             parts = parts.unionByName(outer_part)
             whole = parts if whole is None else whole.unionByName(parts)
     if whole is None:

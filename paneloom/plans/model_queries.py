@@ -191,19 +191,18 @@ def _(fx: Inputs) -> DataFrame:
 
 @query(
     "feature_groups",
-    """SELECT * FROM (VALUES ('content_only', ['early_only', 'fs_aud_price', 'fs_aud_rebate', 'gone']), ('observability_only', ['fs_aud_quantity']),
-                             ('full', ['early_only', 'fs_aud_orders', 'fs_aud_price', 'fs_aud_quantity', 'fs_aud_rebate', 'gone'])) g(feature_group, features)
-       WHERE (SELECT count(*) FROM fx_features) > 0""",
+    """WITH n AS (SELECT count(fs_aud_price) AS p, count(fs_aud_rebate) AS r, count(fs_aud_quantity) AS q, count(fs_aud_orders) AS o FROM fx_features)
+       SELECT 'content_only' AS feature_group, ['early_only', 'fs_aud_price', 'fs_aud_rebate', 'gone'] AS features, [0, p, r, 0] AS value_counts FROM n
+       UNION ALL SELECT 'observability_only', ['fs_aud_quantity'], [q] FROM n
+       UNION ALL SELECT 'full', ['early_only', 'fs_aud_orders', 'fs_aud_price', 'fs_aud_quantity', 'fs_aud_rebate', 'gone'], [0, o, p, q, r, 0] FROM n""",
 )
 def _(fx: Inputs) -> DataFrame:
-    rows = feature_rules.registry_table(fx.spark, ENTRIES)
-    found = fx("fx_features").limit(1).select(F.lit(True).alias("_any"))
-    return models.feature_groups(rows).join(F.broadcast(found), F.lit(True)).drop("_any")
+    return models.feature_groups(feature_rules.registry_table(fx.spark, ENTRIES), fx("fx_features"))
 
 
 def _training(fx: Inputs) -> DataFrame:
     # every fit reads these rows, so they are placed once
-    return cut(fx("fx_domain").filter("period BETWEEN 1996 AND 1999").withColumn("y", F.col("outcome").cast("double")))
+    return cut(fx("fx_domain").withColumn("y", F.col("outcome").cast("double")))
 
 
 @query("temporal_oof")
@@ -233,7 +232,7 @@ def _(fx: Inputs) -> DataFrame:
 
 @query("tuned_fold_predictions")
 def _(fx: Inputs) -> DataFrame:
-    panel = fx("fx_domain").filter("period BETWEEN 1997 AND 2000").drop("outcome")
+    panel = fx("fx_domain").drop("outcome")
     outcomes = fx("fx_domain").select(*KEY, "outcome")
     loads = fx("fx_domain").filter("CAST(entity_id AS INT) % 9 <> 0").select(*KEY, F.lit(1.5).alias("weight"))
     predictions = models.fit_fold(
@@ -247,13 +246,13 @@ def _(fx: Inputs) -> DataFrame:
 
 @query(
     "soft_label_rows",
-    """SELECT entity_id, period, label, round(label_weight, 9) AS label_weight FROM (
-         SELECT entity_id, period, 1.0::DOUBLE AS label, prediction * 2 AS label_weight FROM fx_scores WHERE model_id = 'full'
-         UNION ALL SELECT entity_id, period, 0.0, (1 - prediction) * 2 FROM fx_scores WHERE model_id = 'full') q WHERE label_weight > 0""",
+    """SELECT model_id, entity_id, period, label, round(label_weight, 9) AS label_weight FROM (
+         SELECT model_id, entity_id, period, 1.0::DOUBLE AS label, prediction * 2 AS label_weight FROM fx_scores
+         UNION ALL SELECT model_id, entity_id, period, 0.0, (1 - prediction) * 2 FROM fx_scores) q WHERE label_weight > 0""",
 )
 def _(fx: Inputs) -> DataFrame:
-    rows = fx("fx_scores").filter("model_id = 'full'").withColumn("w", F.lit(2.0))
-    return models.expand_soft(rows, "prediction", "w").select(*KEY, "label", F.round("label_weight", 9).alias("label_weight"))
+    rows = fx("fx_scores").withColumn("w", F.lit(2.0))
+    return models.expand_soft(rows, "prediction", "w").select("model_id", *KEY, "label", F.round("label_weight", 9).alias("label_weight"))
 
 
 @query(

@@ -10,6 +10,6 @@ from paneloom.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("tests", cores=4)
+    session = local_session("tests", cores=int(os.environ.get("TEST_CPUS", "4")))
     yield session
     session.stop()

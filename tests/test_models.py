@@ -96,9 +96,51 @@ def test_grid_budget():
         models.grid({}, {"b": [1, 2, 3]}, 2)
 
 
-def test_medians_agree_on_both_paths(spark, monkeypatch):
+def test_medians(spark):
     rows = panel(spark).withColumn("z", F.when(F.col("x") > 0, F.col("x") * 3)).withColumn("empty", F.lit(None).cast("double"))
-    small = models.medians(rows, ["x", "z", "empty"])
-    monkeypatch.setattr(models, "SMALL_SAMPLE", 0)
-    large = models.medians(rows, ["x", "z", "empty"])
-    assert set(small) == set(large) == {"x", "z"} and all(small[k] == pytest.approx(large[k]) for k in small)
+    got = models.medians(rows, ["x", "z", "empty"])
+    want = rows.agg(F.percentile("x", F.lit(0.5)).alias("x"), F.percentile("z", F.lit(0.5)).alias("z")).first()
+    assert set(got) == {"x", "z"} and all(got[k] == pytest.approx(want[k]) for k in got)
+    before = models.medians_before(rows, ["x", "z"], [2017, 2019])
+    early = rows.filter("period < 2017").agg(F.percentile("x", F.lit(0.5)).alias("x")).first()
+    assert before[2017]["x"] == pytest.approx(early["x"]) and set(before) == {2017, 2019}
+
+
+def direct_fit(x, y, w, c):
+    """Weighted logistic fit on a standardised column: summed loss plus slope² / 2c."""
+    z = (x - x.mean()) / x.std(ddof=1)
+    beta = np.zeros(2)
+    design = np.stack([np.ones(len(z)), z], 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-design @ beta))
+        gradient = design.T @ (w * (p - y)) + np.array([0, beta[1] / c])
+        beta -= np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + np.diag([0, 1 / c]), gradient)
+    return 1 / (1 + np.exp(-design @ beta))
+
+
+@pytest.mark.parametrize("soft", [False, True])
+def test_weighted_fits_equal_a_direct_solution(spark, soft):
+    draw = np.random.default_rng(1)
+    x, w = draw.normal(size=80), draw.uniform(0.2, 5, 80)
+    y = draw.uniform(size=80) if soft else (draw.uniform(size=80) < 1 / (1 + np.exp(-x))).astype(float)
+    frame = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(zip(x, y, w, strict=True))], "i int, x double, y double, w double")
+    for c in (0.05, 1.0):
+        fitted = models.fit(frame, ["x"], "y", "logistic", {"C": c, "standardization": False}, "w", soft=soft)
+        got = [r.prediction for r in fitted.score(frame).orderBy("i").collect()]
+        assert got == pytest.approx(direct_fit(x, y, w, c).tolist(), abs=1e-4)
+
+
+def test_weights_of_learners_without_weights_become_copies(spark):
+    rows = spark.createDataFrame([(float(i), 1.0, 3.0 if i % 2 else 1.0) for i in range(2000)], "_features double, _label double, _weight double")
+    counts = {r.odd: r.n for r in models.resampled(rows).groupBy((F.col("_features") % 2).alias("odd")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts[1.0] / counts[0.0] == pytest.approx(3, rel=0.1)
+    assert models.resampled(rows.withColumn("_weight", F.lit(2.0))).count() == 2000
+
+
+def test_soft_fold_with_ranked_target(spark):
+    rows = panel(spark)
+    labels = rows.select("entity_id", "period", (1 / (1 + F.exp(-F.col("x")))).alias("p"))
+    weights_ = rows.select("entity_id", "period", F.lit(2.0).alias("weight")).filter("period > 2016")
+    got = models.fit_fold(rows.drop("y"), labels, weights_, 2019, {"g": ["x"]}, {"logistic": [{"C": 1.0}]}, "p", soft=True, ecdf=True)
+    parts = {r.split: r for r in got.groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.corr("target", "prediction").alias("c"), F.max("outcome").alias("o")).collect()}
+    assert set(parts) == {"oof", "outer"} and parts["oof"].c > 0.8 and parts["oof"].o is None

@@ -243,19 +243,22 @@ def endpoint_outcomes(panel: DataFrame, wide: DataFrame, endpoints: Mapping[str,
 def endpoint_decisions(results: DataFrame) -> DataFrame:
     """Positive endpoints exploded to (document, entity, period) with endpoints and codes.
 
-    Records without a document id get a key derived from their canonical provenance.
+    Records without a document id get a key derived from their canonical provenance. Malformed
+    provenance gives rows without a document, with the problem named.
     """
     mined = results.filter("outcome").withColumn("_m", mine_provenance("provenance"))
     ids = F.when(F.size("_m.document_ids") > 0, F.col("_m.document_ids")).otherwise(
         F.array(derived_key(F.col("_m.canonical")))
     )
     rows = mined.select(
-        *KEY, "endpoint", F.col("_m.codes").alias("codes"), F.col("_m.canonical").alias("ref"), F.explode(ids).alias("document_id")
-    )
+        *KEY, "endpoint", F.col("_m.codes").alias("codes"), F.col("_m.canonical").alias("ref"), F.col("_m.problem").alias("problem"),
+        F.explode(ids).alias("document_id"),
+    )
     return rows.groupBy("document_id", *KEY).agg(
         F.to_json(F.array_sort(F.collect_set("endpoint"))).alias("endpoints"),
         F.to_json(F.array_sort(F.array_distinct(F.flatten(F.collect_set("codes"))))).alias("codes"),
         F.count_distinct("ref").alias("reference_count"),
+        F.max("problem").alias("problem"),
     )
 
 

@@ -252,15 +252,20 @@ def _(fx: Inputs) -> DataFrame:
 @query(
     "mined_provenance",
     """SELECT entity_id, period,
-              CASE WHEN broad_provenance LIKE '%note%' OR broad_provenance = '[]' OR broad_provenance IS NULL THEN []
+              CASE WHEN bad OR broad_provenance LIKE '%note%' OR broad_provenance = '[]' OR broad_provenance IS NULL THEN []
                    ELSE list_sort(list_distinct(regexp_extract_all(broad_provenance, '"(d[0-9]+)"', 1))) END AS document_ids,
-              regexp_extract_all(coalesce(broad_provenance, ''), '[0-9]{4}-[0-9]{2}-[0-9]{2}') AS date_texts,
-              regexp_extract_all(coalesce(broad_provenance, ''), '"(C[0-9])"', 1) AS codes
-       FROM fx_endpoints""",
+              CASE WHEN bad THEN [] ELSE regexp_extract_all(coalesce(broad_provenance, ''), '[0-9]{4}-[0-9]{2}-[0-9]{2}') END AS date_texts,
+              CASE WHEN bad THEN [] ELSE regexp_extract_all(coalesce(broad_provenance, ''), '"(C[0-9])"', 1) END AS codes,
+              CASE WHEN bad THEN 'MALFORMED_PROVENANCE' END AS problem
+       FROM (SELECT *, CAST(entity_id AS INT) % 17 = 0 AND broad_provenance IS NOT NULL AS bad FROM fx_endpoints) e""",
 )
 def _(fx: Inputs) -> DataFrame:
-    rows = fx("fx_endpoints").withColumn("m", mine_provenance("broad_provenance"))
-    return rows.select("entity_id", "period", "m.document_ids", "m.date_texts", "m.codes")
+    # some cells are cut off in the middle, so that malformed ones are compared too
+    cell = F.when(F.col("entity_id").cast("int") % 17 == 0, F.expr("substring(broad_provenance, 1, length(broad_provenance) - 1)")).otherwise(
+        F.col("broad_provenance")
+    )
+    rows = fx("fx_endpoints").withColumn("m", mine_provenance(cell))
+    return rows.select("entity_id", "period", "m.document_ids", "m.date_texts", "m.codes", "m.problem")
 
 
 @query(
@@ -275,7 +280,8 @@ def _(fx: Inputs) -> DataFrame:
 @query(
     "endpoint_decision_ledger",
     f"""SELECT document_id, entity_id, period, to_json(list_sort(list_distinct(list(endpoint)))) AS endpoints,
-               to_json(list_sort(list_distinct(flatten(list(codes))))) AS codes, count(DISTINCT provenance) AS reference_count
+               to_json(list_sort(list_distinct(flatten(list(codes))))) AS codes, count(DISTINCT provenance) AS reference_count,
+               CAST(NULL AS STRING) AS problem
         FROM (SELECT *, unnest(CASE WHEN len(ids) = 0 THEN
                   [concat('embedded-provenance-', substring(sha256(replace(provenance, '": "', '":"')), 1, 16))] ELSE ids END)
                 AS document_id

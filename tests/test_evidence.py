@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from paneloom.functions.provenance import mine_text, reference_text
+from paneloom.functions.provenance import canonical_references, mine_provenance
 from paneloom.operators import cells, decisions, evidence, labels, riskset
 
 DAY = dt.datetime(2020, 3, 31, 12)
@@ -98,16 +98,22 @@ def test_month_shift_clamps_and_keeps_time(spark):
     assert not riskset.horizon_mature(panel, 1, "2020-02-29 07:29:59").first().mature
 
 
-def test_provenance_is_found_at_any_depth():
-    text = '{"a": [{"Decision ID": ["d2", 7]}, {"b": {"c": {"document_ids": "d1", "publishDate": "2020-01-02"}}}], "taxonomy-codes": ["x", null]}'
-    canonical, documents, dates, codes = mine_text(text)
-    assert documents == ["7", "d1", "d2"] and dates == ["2020-01-02"] and codes == ["x"]
-    assert canonical.startswith('{"a":[') and mine_text("[]")[0] is None and mine_text(" ")[0] is None
+def test_provenance_is_found_at_any_depth(spark):
+    text = '{"a": [{"Decision ID": ["d2", 7, ["d3"]]}, {"b": {"c": {"document_ids": "d1", "publishDate": "2020-01-02"}}}], "taxonomy-codes": ["x", null]}'
+    decoy = '{"k": "\\"documentid\\":\\"no\\"", "document_id": "a\\"b"}'
+    frame = spark.createDataFrame([(0, text), (1, "[]"), (2, " "), (3, None), (4, "{bad"), (5, decoy)], "i int, t string")
+    got = [r.m for r in frame.select("i", mine_provenance("t").alias("m")).orderBy("i").collect()]
+    assert (got[0].document_ids, got[0].date_texts, got[0].codes) == (["7", "d1", "d2", "d3"], ["2020-01-02"], ["x"])
+    assert got[0].canonical.startswith('{"a":[') and [g.canonical for g in got[1:5]] == [None] * 4
+    assert [g.problem for g in got] == [None] * 4 + ["MALFORMED_PROVENANCE", None] and got[5].document_ids == ['a"b']
 
 
-def test_reference_text_drops_empty_parts():
-    assert reference_text('["null", "[]", {"k": "nan"}]') is None
-    assert reference_text('["b", "{\\"z\\": 1, \\"a\\": \\"\\"}", "b"]') == '["b","{\\"z\\":1}"]'
+def test_references_drop_empty_parts(spark):
+    cells = ['["null", "[]", {"k": "nan"}]', '["b", "{\\"z\\": 1, \\"a\\": \\"\\"}", "b"]', '[{"a":[{"b":"n/a"},{"c":"x"}]}]', "[", None]
+    frame = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, t string")
+    got = [r.c for r in frame.select("i", canonical_references("t").alias("c")).orderBy("i").collect()]
+    assert got == [None, '["b","{\\"z\\":1}"]', '["{\\"a\\":[{\\"c\\":\\"x\\"}]}"]', None, None]
+
 
 
 def test_zero_needs_a_complete_year(spark):

@@ -51,6 +51,10 @@ def corner_bounds(rates: DataFrame, sensitivity: tuple[float, float], false_posi
     )
 
 
+#: Models that a surface may compare with each other.
+MOST_MODELS = 2000
+
+
 def _signed(surface: DataFrame, higher_is_better: bool) -> DataFrame:
     return surface.select("model_id", "scenario_id", (F.col("value") * (1.0 if higher_is_better else -1.0)).alias("value"))
 
@@ -58,7 +62,8 @@ def _signed(surface: DataFrame, higher_is_better: bool) -> DataFrame:
 def paired_dominance(surface: DataFrame, higher_is_better: bool = True, tolerance: float = 0.0) -> DataFrame:
     """Worst difference of each ordered model pair over their common scenarios.
 
-    The surface has one row per registered model and scenario.
+    The surface has one row per registered model and scenario; models are a registry of at most
+    ``MOST_MODELS``. A pair without a common scenario has no worst difference and dominates nothing.
     """
     rows = _signed(surface, higher_is_better)
     left = rows.withColumnsRenamed({"model_id": "model_a", "value": "_a"})
@@ -67,7 +72,16 @@ def paired_dominance(surface: DataFrame, higher_is_better: bool = True, toleranc
     worst = pairs.groupBy("model_a", "model_b").agg(
         F.count(F.lit(1)).alias("common_count"), F.min(F.col("_a") - F.col("_b")).alias("worst_difference")
     )
-    return worst.withColumn("dominates", F.col("worst_difference") > tolerance)
+    names = [r["model_id"] for r in rows.select("model_id").distinct().limit(MOST_MODELS + 1).collect()]
+    if len(names) > MOST_MODELS:
+        raise ValueError(f"more than {MOST_MODELS} models")
+    every = rows.select(F.col("model_id").alias("model_a")).distinct().select(
+        "model_a", F.explode(F.array(*[F.lit(n) for n in names]).cast("array<string>")).alias("model_b")
+    )
+    return every.filter(F.col("model_a") != F.col("model_b")).join(worst, ["model_a", "model_b"], "left").select(
+        "model_a", "model_b", F.coalesce("common_count", F.lit(0)).alias("common_count"), "worst_difference",
+        F.coalesce(F.col("worst_difference") > tolerance, F.lit(False)).alias("dominates"),
+    )
 
 
 def separated_dominance(surface: DataFrame, higher_is_better: bool = True, tolerance: float = 0.0) -> DataFrame:

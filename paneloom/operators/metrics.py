@@ -43,10 +43,8 @@ def roc_auc(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     sums = scores.groupBy(*by).agg(
         F.sum("hits").alias("p"), F.sum("rows").alias("n"), F.sum(F.col("hits") * F.col("average_rank")).alias("r")
     )
-    negative = F.col("n") - F.col("p")
-    return sums.select(
-        *by, F.try_divide(F.col("r") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * negative).alias("roc_auc")
-    )
+    p, n = F.col("p").cast("double"), F.col("n").cast("double")  # pair counts pass 64 bits
+    return sums.select(*by, F.try_divide(F.col("r") - p * (p + 1) / 2, p * (n - p)).alias("roc_auc"))
 
 
 def brier(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -222,6 +220,10 @@ def interval(samples: DataFrame, value: str, level: float, by: Sequence[str] = (
 # ------------------------------------------------------------- agreement with a soft target
 
 
+#: Whole numbers beyond 64 bits: factors of a pair count, and pair counts.
+PAIRS, COUNT = "decimal(19,0)", "decimal(38,0)"
+
+
 def concordance(df: DataFrame, target: str, score: str) -> DataFrame:
     """Share of pairs with different targets that the score orders the same way; score ties count half.
 
@@ -244,19 +246,24 @@ def concordance(df: DataFrame, target: str, score: str) -> DataFrame:
         F.sum(F.when(bit == 1, F.col("c")).otherwise(0)).alias("ones"),
     )
     upto = running(per_target, ["level", "prefix"], [("t", True)], {"zeros_upto": F.col("zeros")})
-    ordered = upto.agg(F.sum(F.col("ones") * (F.col("zeros_upto") - F.col("zeros"))).alias("ordered"))
+    smaller = (F.col("zeros_upto") - F.col("zeros")).cast(PAIRS)
+    ordered = upto.agg(F.sum((F.col("ones").cast(PAIRS) * smaller).cast(COUNT)).cast(COUNT).alias("ordered"))
 
-    def unlike_pairs(by: Sequence[str], inner: str) -> Column:
-        return (F.pow(F.sum(inner), F.lit(2)) - F.sum(F.pow(F.col(inner), F.lit(2)))) / 2
+    def unlike_pairs(inner: str) -> Column:
+        count = F.col(inner).cast(PAIRS)
+        whole = F.sum(inner).cast(PAIRS)
+        return ((whole * whole).cast(COUNT) - F.sum((count * count).cast(COUNT)).cast(COUNT)).cast(COUNT)
 
     per_t = rows.groupBy("t").agg(F.sum("c").alias("c"))
-    comparable = per_t.agg(unlike_pairs([], "c").alias("comparable"))
-    tied = rows.groupBy("s").agg(unlike_pairs(["s"], "c").alias("tied")).agg(F.sum("tied").alias("tied"))
+    comparable = per_t.agg(unlike_pairs("c").alias("comparable"))
+    tied = rows.groupBy("s").agg(unlike_pairs("c").alias("tied")).agg(F.sum("tied").cast(COUNT).alias("tied"))
     one_row = F.lit(True)
     whole = comparable.join(F.broadcast(ordered), one_row).join(F.broadcast(tied), one_row)
     return whole.select(
-        F.col("comparable").cast("long").alias("comparable_pairs"),
-        F.try_divide(F.col("ordered") + F.col("tied") / 2, F.col("comparable")).alias("concordance"),
+        (F.col("comparable") / 2).cast(COUNT).alias("comparable_pairs"),  # each pair was counted from both ends
+        F.try_divide(
+            F.col("ordered").cast("double") + F.col("tied").cast("double") / 4, F.col("comparable").cast("double") / 2
+        ).alias("concordance"),
     )
 
 

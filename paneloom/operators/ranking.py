@@ -37,10 +37,15 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def attach(df: DataFrame, aggregated: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
-    """Join an aggregate back to its rows. Hot keys are split by the adaptive skew join."""
+    """Join an aggregate back to its rows. Hot keys are split by the adaptive skew join.
+
+    Without keys the other side must be one row (or none, which gives nulls); more fail the query.
+    """
     if not keys:
         row = aggregated.select(F.struct(*aggregated.columns).alias("_one"))
-        return df.join(F.broadcast(row.limit(1)), how=how, on=F.lit(True)).select(*df.columns, "_one.*")
+        many = F.raise_error(F.lit("attach without keys needs a single row on the other side"))
+        one = row.agg(F.when(F.count(F.lit(1)) > 1, many).otherwise(F.any_value("_one")).alias("_one"))
+        return df.join(F.broadcast(one), how=how, on=F.lit(True)).select(*df.columns, "_one.*")
     right = aggregated.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in aggregated.columns])
     condition = F.lit(True)
     for key in keys:

@@ -245,7 +245,15 @@ def label_diff(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def table_digest(df: DataFrame) -> DataFrame:
-    """Row count and order-free content hash of a table, from the md5 of each row's text form."""
-    texts = [F.coalesce(F.col(c).cast("string"), F.lit("<null>")) for c in sorted(df.columns)]
-    part = F.conv(F.substring(F.md5(F.concat_ws("|", *texts).cast("binary")), 1, 8), 16, 10).cast("bigint")
-    return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(part).alias("content_hash"))
+    """Row count and order-free content hash of a table: the sum of 60 bits of the md5 of each row.
+
+    Every value carries its length, so no two rows share a text form; a null is told from any text.
+    """
+
+    def part(name: str) -> Column:
+        text = F.col(name).cast("string")
+        return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
+
+    row = F.md5(F.concat(*[part(c) for c in sorted(df.columns)]).cast("binary"))
+    bits = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count(F.lit(1)).alias("row_count"), F.sum(bits).cast("decimal(38,0)").alias("content_hash"))

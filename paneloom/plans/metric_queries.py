@@ -149,11 +149,10 @@ DELTA_SQL = f"""
 
 @query(
     "bootstrap_multiplicities",
-    f"SELECT rep, entity_id, times FROM ({RESAMPLED}) q WHERE model_id = 'full'",
+    f"SELECT rep, model_id, entity_id, times FROM ({RESAMPLED}) q",
 )
 def _(fx: Inputs) -> DataFrame:
-    rows = metrics.bootstrap_rows(fx("fx_scores").filter("model_id = 'full'"), REPS, "boot")
-    return rows.select("rep", "entity_id", "times")
+    return metrics.bootstrap_rows(fx("fx_scores"), REPS, "boot").select("rep", "model_id", "entity_id", "times")
 
 
 @query("bootstrap_delta", f"SELECT rep, round(delta, 9) AS delta FROM ({DELTA_SQL}) q")
@@ -184,7 +183,7 @@ TRACK = """SELECT CAST(prediction AS DOUBLE) AS s, CAST(n_chars % 40 AS DOUBLE)
                 FROM x) AS soft_log_loss,
                (SELECT round(corr(rt, rs), 9) FROM (SELECT rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS rt,
                   rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rs FROM x) r) AS spearman,
-               (SELECT count(*) FROM x a JOIN x b ON a.t < b.t) AS comparable_pairs,
+               (SELECT CAST(count(*) AS DECIMAL(38, 0)) FROM x a JOIN x b ON a.t < b.t) AS comparable_pairs,
                (SELECT round(avg(CASE WHEN a.s < b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 9)
                 FROM x a JOIN x b ON a.t < b.t) AS concordance""",
 )
@@ -268,14 +267,14 @@ def _(fx: Inputs) -> DataFrame:
        FROM fx_matrix CROSS JOIN (VALUES ('low', 0, 0.05::DOUBLE), ('low', 1, 0.05), ('high', 0, 0.2), ('high', 1, 0.2)) sc(scenario_id, draw, pi)
        JOIN (VALUES (0, 'quality', 0.8::DOUBLE, 0.95::DOUBLE), (0, 'toxic', 0.6, 0.99), (0, 'lang', 0.7, 0.9), (1, 'quality', 0.7, 0.9),
              (1, 'toxic', 0.5, 0.97), (1, 'lang', 0.75, 0.85)) acc(d, s, se, sp) ON d = draw AND s = source_id
-       WHERE period = 2019 GROUP BY scenario_id, draw, entity_id, pi""",
+       GROUP BY scenario_id, draw, entity_id, pi""",
 )
 def _(fx: Inputs) -> DataFrame:
     draws = [
         {"accuracy": {"quality": (0.8, 0.95), "toxic": (0.6, 0.99), "lang": (0.7, 0.9)}, "sd": {"A": 0.0, "B": 0.0}},
         {"accuracy": {"quality": (0.7, 0.9), "toxic": (0.5, 0.97), "lang": (0.75, 0.85)}, "sd": {"A": 0.0, "B": 0.0}},
     ]
-    wide = posterior.wide_outcomes(fx("fx_matrix").filter("period = 2019"), ["quality", "toxic", "lang"])
+    wide = posterior.wide_outcomes(fx("fx_matrix"), ["quality", "toxic", "lang"])
     risks = posterior.latent_risk(
         wide, {"low": 0.05, "high": 0.2, "unfitted": 0.4}, {0.05: draws, 0.2: draws},
         {"quality": "A", "toxic": "A", "lang": "B"},

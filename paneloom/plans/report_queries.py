@@ -276,8 +276,9 @@ def _(fx: Inputs) -> DataFrame:
 
 @query(
     "table_digest",
-    """SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substring(md5(concat_ws('|', CAST(o_custkey AS STRING), CAST(o_orderkey AS STRING),
-              o_orderpriority, o_orderstatus)), 1, 8) AS BIGINT)) AS BIGINT) AS content_hash FROM orders""",
+    """SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substring(md5(coalesce(length(c) || ':' || c, '-') || coalesce(length(k) || ':' || k, '-') ||
+              coalesce(length(p) || ':' || p, '-') || coalesce(length(s) || ':' || s, '-')), 1, 15) AS BIGINT)) AS DECIMAL(38, 0)) AS content_hash
+       FROM (SELECT CAST(o_custkey AS STRING) AS c, CAST(o_orderkey AS STRING) AS k, o_orderpriority AS p, o_orderstatus AS s FROM orders) t""",
 )
 def _(fx: Inputs) -> DataFrame:
     return reports.table_digest(fx("orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus"))

@@ -42,7 +42,7 @@ def _(fx: Inputs) -> DataFrame:
 
 @query("exclusion_refits")
 def _(fx: Inputs) -> DataFrame:
-    labels = cut(transport.relabel_without(_l0(fx), CHANNELS).filter("exclusion_id IN ('source:appeal', 'channel:S1', 'channel:S3')"))
+    labels = cut(transport.relabel_without(_l0(fx), CHANNELS))
     fixed = transport.select_outcomes(_targets(fx), "L1_ANNUAL")
     refits = transport.exclusion_refits(cut(_document_panel(fx)), labels, fixed, 2019, ["chars", "lines", "web"])
     return _round(transport.ablation(refits, 0.5), 3)
@@ -58,8 +58,8 @@ def _(fx: Inputs) -> DataFrame:
 
 
 def _halves(fx: Inputs) -> tuple[DataFrame, DataFrame]:
-    rows = cut(fx("fx_domain").filter("period BETWEEN 1997 AND 1999"))
-    return rows.filter("domain <> 'BUILDING' AND period < 1999"), rows.filter("domain = 'BUILDING' AND period = 1999")
+    rows = cut(fx("fx_domain"))
+    return rows.filter("domain <> 'BUILDING'"), rows.filter("domain = 'BUILDING'")
 
 
 @query("domain_support")
@@ -129,7 +129,8 @@ def _(fx: Inputs) -> DataFrame:
 
 @query(
     "censoring_summary",
-    f"""SELECT ['1997', '1999'] AS eligible_folds, count_if(NOT mature) AS not_mature_count, 'SKIPPED' AS status,
+    f"""SELECT (SELECT list_sort(list(DISTINCT CAST(period AS STRING))) FROM fx_panel WHERE period BETWEEN 1997 AND 1999 AND period <> 1998) AS eligible_folds,
+               count_if(NOT mature) AS not_mature_count, 'SKIPPED' AS status,
                'CENSORING_TIME_OR_EXIT_SOURCE_UNAVAILABLE' AS reason FROM ({RISK_SQL}) r""",
 )
 def _(fx: Inputs) -> DataFrame:
@@ -143,7 +144,7 @@ def _(fx: Inputs) -> DataFrame:
 
 
 def _transfer(fx: Inputs) -> DataFrame:
-    panel = fx("fx_domain").filter("period BETWEEN 1997 AND 1999")
+    panel = fx("fx_domain")
     support = panel.groupBy(F.col("domain").alias("level"), F.col("period").alias("fold")).agg(
         F.avg((F.col("spend") < 500000).cast("double")).alias("support_fraction")
     )
@@ -363,14 +364,18 @@ def _(fx: Inputs) -> DataFrame:
              FROM (SELECT year(o_orderdate) AS y, max(o_orderkey) AS best FROM orders GROUP BY 1) f GROUP BY 1) q""",
 )
 def _(fx: Inputs) -> DataFrame:
-    selections = fx("orders").groupBy(F.year("o_orderdate").alias("fold")).agg(F.max("o_orderkey").alias("best")).select(
+    return gates.selection_stability(_selections(fx), 3, 7)
+
+
+def _selections(fx: Inputs) -> DataFrame:
+    """The measurement that each year's last order selects."""
+    return fx("orders").groupBy(F.year("o_orderdate").alias("fold")).agg(F.max("o_orderkey").alias("best")).select(
         "fold", F.when(F.col("best") % 4 == 0, "none").otherwise(F.concat(F.lit("M"), (F.col("best") % 2).cast("string"))).alias("selected")
     )
-    return gates.selection_stability(selections, 3, 7)
 
 
 def _shape_rows(fx: Inputs, group: str) -> DataFrame:
-    rows = fx("fx_domain").filter("period BETWEEN 1997 AND 1999 AND balance IS NOT NULL")
+    rows = fx("fx_domain").filter("balance IS NOT NULL")  # the monitor must be known
     return gates.standardized(rows, "spend", "orders_made", "outcome", group)
 
 
@@ -391,7 +396,7 @@ def _(fx: Inputs) -> DataFrame:
 
 @query("shape_bootstrap")
 def _(fx: Inputs) -> DataFrame:
-    rows = _shape_rows(fx, "period").filter("grp = '1998'")
+    rows = _shape_rows(fx, "period")
     return _round(gates.shape_bootstrap(rows, (0.2, 0.8), 3, 1.0, 10, 0.1, "shape"), 4)
 
 
@@ -399,8 +404,8 @@ def _(fx: Inputs) -> DataFrame:
 def _(fx: Inputs) -> DataFrame:
     folds = gates.breakpoint_scan(_shape_rows(fx, "period"), (0.2, 0.8), 5, 1.0)
     domains = gates.breakpoint_scan(_shape_rows(fx, "domain"), (0.2, 0.8), 5, 1.0)
-    stability = fx("orders").agg((F.count(F.lit(1)) > 0).alias("passed"))
-    parent = fx("orders").agg(F.when(F.count(F.lit(1)) > 0, "PASS").alias("verdict"))
+    stability = gates.selection_stability(_selections(fx), 3, 7)
+    parent = _gate2(fx).filter("candidate = 'full'").select(F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("verdict"))
     cfg = {"breakpoint_tolerance": 0.5, "domain_difference_max": 1.0, "common_support_min": 0.2, "min_side_fraction": 0.1, "min_domains": 2}
     return _round(gates.gate3(folds, domains, stability, parent, cfg), 4)
 
@@ -608,10 +613,10 @@ def _(fx: Inputs) -> DataFrame:
 @query(
     "covariate_pool",
     """SELECT entity_id, period, round((spend - avg(spend) OVER ()) / stddev_pop(spend) OVER (), 6) AS spend, round((b - avg(b) OVER ()) / stddev_pop(b) OVER (), 6) AS balance
-       FROM (SELECT *, coalesce(balance, (SELECT quantile_cont(balance, 0.5) FROM fx_domain WHERE period < 1998)) AS b FROM fx_domain WHERE period < 1998) d""",
+       FROM (SELECT *, coalesce(balance, (SELECT quantile_cont(balance, 0.5) FROM fx_domain)) AS b FROM fx_domain) d""",
 )
 def _(fx: Inputs) -> DataFrame:
-    rows = fx("fx_domain").filter("period < 1998").select(*KEY, "spend", "balance")
+    rows = fx("fx_domain").select(*KEY, "spend", "balance")
     return _round(mcse.zscore_pool(rows, ["spend", "balance"]), 6)
 
 
@@ -628,15 +633,24 @@ def _(fx: Inputs) -> DataFrame:
     return mcse.invert_prevalence(rates).withColumns({"q": F.round("q", 9), "prevalence": F.round("prevalence", 8)})
 
 
+LATENT = "(SELECT * REPLACE (outcome OR CAST(entity_id AS INT) % 13 = 0 AS outcome) FROM fx_scores)"
+
+
 @query(
     "gap_metrics",
-    f"""SELECT a.model_id, a.period, round(a.average_precision, 8) AS ap_observed, round(u.roc_auc, 8) AS auc_observed
-        FROM ({AP_SQL}) a JOIN ({AUC_SQL}) u ON u.model_id = a.model_id AND u.period = a.period""",
+    f"""SELECT a.model_id, a.period, round(coalesce(a.average_precision, 0), 8) AS ap_observed, round(coalesce(u.roc_auc, 0.5), 8) AS auc_observed,
+               round(coalesce(la.average_precision, 0), 8) AS ap_latent, round(coalesce(lu.roc_auc, 0.5), 8) AS auc_latent,
+               round(coalesce(a.average_precision, 0) - coalesce(la.average_precision, 0), 8) AS ap_gap,
+               round(coalesce(u.roc_auc, 0.5) - coalesce(lu.roc_auc, 0.5), 8) AS auc_gap
+        FROM ({AP_SQL}) a JOIN ({AUC_SQL}) u ON u.model_id = a.model_id AND u.period = a.period
+        JOIN ({AP_SQL.replace("fx_scores", LATENT)}) la ON la.model_id = a.model_id AND la.period = a.period
+        JOIN ({AUC_SQL.replace("fx_scores", LATENT)}) lu ON lu.model_id = a.model_id AND lu.period = a.period""",
 )
 def _(fx: Inputs) -> DataFrame:
     latent = F.col("outcome") | (F.col("entity_id").cast("int") % 13 == 0)
     rows = fx("fx_scores").select("*", F.col("outcome").alias("observed"), latent.alias("latent"))
-    return _round(mcse.gap_metrics(rows, 0.1, ["model_id", "period"]), 8).select("model_id", "period", "ap_observed", "auc_observed")
+    gaps = mcse.gap_metrics(rows, 0.1, ["model_id", "period"])
+    return _round(gaps.drop("precision_observed", "precision_latent"), 8)
 
 
 @query(

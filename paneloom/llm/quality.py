@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from paneloom.llm.shared import query, table
 
-LABELLED, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 4500, 2_000_000, 4000, 3
+LABELLED, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 4500, 2_000_000, 4000, 6
 
 
 @dataclass

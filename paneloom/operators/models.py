@@ -120,7 +120,7 @@ def make_learner(name: str, params: Mapping[str, Any], total_weight: float, colu
     p = dict(params)
     if name in ("logistic", "elastic_net_logistic"):
         c = float(p.pop("C", 1.0))
-        return LogisticRegression(regParam=1 / (c * total_weight), maxIter=p.pop("maxIter", 100), tol=1e-6, **common, **p)
+        return LogisticRegression(regParam=1 / (c * total_weight), maxIter=p.pop("maxIter", 100), tol=p.pop("tol", 1e-6), **common, **p)
     if name == "linear_svm":
         c = float(p.pop("C", 1.0))
         return LinearSVC(regParam=1 / (c * total_weight), **common, **p)
@@ -390,7 +390,7 @@ def pu_bags(df: DataFrame, positive: Column, bags: int, ratio: float, seed: str)
 
 def pu_bagging(
     train: DataFrame, held: DataFrame, features: Sequence[str], positive: Column, bags: int, ratio: float, seed: str,
-    inverse_regularization: float = 1.0,
+    inverse_regularization: float = 1.0, tolerance: float = 1e-6,
 ) -> DataFrame | None:
     """Mean score of one logistic model per bag; null when the bags cannot be drawn."""
     members = cut(pu_bags(train, positive, bags, ratio, seed))
@@ -398,7 +398,7 @@ def pu_bagging(
         return None
     rows = held
     for bag in range(bags):
-        model = fit_logistic(members.filter(F.col("bag") == bag), features, "label", inverse_regularization=inverse_regularization)
+        model = fit(members.filter(F.col("bag") == bag), features, "label", "logistic", {"C": inverse_regularization, "tol": tolerance})
         rows = model.score(rows, f"_bag{bag}")
     mean = sum((F.col(f"_bag{b}") for b in range(bags)), F.lit(0.0)) / bags
     return rows.withColumn("prediction", mean).drop(*[f"_bag{b}" for b in range(bags)])

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from paneloom.functions.draws import hash_number
 from paneloom.functions.grid import with_grid
 from paneloom.functions.profile import profile
-from paneloom.operators.models import fit_logistic, kept_features, score
+from paneloom.operators.models import fit, kept_features, score
 from paneloom.operators.ranking import attach, positions
 
 KEY = ["entity_id", "period"]
@@ -43,7 +43,9 @@ def verified_keys(sources: DataFrame, channels: Sequence[str]) -> DataFrame:
     return sources.groupBy(*KEY).agg(F.bool_or(seen).alias("verified"))
 
 
-def verification_propensity(train: DataFrame, features: Sequence[str], flag: str = "verified") -> tuple[DataFrame, str | None]:
+def verification_propensity(
+    train: DataFrame, features: Sequence[str], flag: str = "verified", inverse_regularization: float = 1.0, tolerance: float = 1e-6
+) -> tuple[DataFrame, str | None]:
     """Rows with their verification propensity, or a reason why none can be fitted."""
     if not features:
         return train.withColumn("propensity", F.lit(None).cast("double")), "NO_PREDECISION_VERIFICATION_FEATURES"
@@ -58,13 +60,15 @@ def verification_propensity(train: DataFrame, features: Sequence[str], flag: str
         reason = "NO_ESTIMABLE_VERIFICATION_FEATURES"
     if reason is not None:
         return train.withColumn("propensity", F.lit(None).cast("double")), reason
-    model = fit_logistic(train.withColumn("_y", F.col(flag).cast("double")), kept, "_y", inverse_regularization=1.0)
+    model = fit(train.withColumn("_y", F.col(flag).cast("double")), kept, "_y", "logistic", {"C": inverse_regularization, "tol": tolerance})
     return score(model, train, "propensity"), None
 
 
-def stabilized_ipw(train: DataFrame, features: Sequence[str], flag: str = "verified") -> DataFrame:
+def stabilized_ipw(
+    train: DataFrame, features: Sequence[str], flag: str = "verified", inverse_regularization: float = 1.0, tolerance: float = 1e-6
+) -> DataFrame:
     """Stabilised weights p/p(x) and (1-p)/(1-p(x)); weight one with a reason when no model can be fitted."""
-    scored, reason = verification_propensity(train, features, flag)
+    scored, reason = verification_propensity(train, features, flag, inverse_regularization, tolerance)
     rate = train.agg(F.avg(F.col(flag).cast("double")).alias("_rate"))
     weight = (
         F.lit(1.0)

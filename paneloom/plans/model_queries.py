@@ -377,6 +377,118 @@ def _(fx: Inputs) -> DataFrame:
     return _round(metrics.scored_summary(outer, 0.1, ["model_id"]), 4)
 
 
+# ------------------------------------------------------------- fits with closed answers
+#
+# With one binary feature and next to no penalty, a fitted probability is the rate of its group, so
+# the fitting operators can be compared with plain averages.
+
+FREE = {"C": 1e12, "tol": 1e-12}
+BINARY_SQL = """SELECT *, CASE WHEN orders_made > 2 THEN 1.0::DOUBLE ELSE 0.0 END AS many, CAST(outcome AS INT) AS y,
+                       spend > 150000 AND CAST(entity_id AS INT) % 3 <> 0 AS verified FROM fx_domain"""
+
+
+def _binary(fx: Inputs) -> DataFrame:
+    return cut(
+        fx("fx_domain").select(
+            "*", (F.col("orders_made") > 2).cast("double").alias("many"), F.col("outcome").cast("double").alias("y"),
+            ((F.col("spend") > 150000) & (F.col("entity_id").cast("int") % 3 != 0)).alias("verified"),
+        )
+    )
+
+
+@query(
+    "saturated_weights",
+    f"""SELECT entity_id, period, round(CASE WHEN verified THEN r / p ELSE (1 - r) / (1 - p) END, 4) AS weight
+        FROM (SELECT *, avg(CAST(verified AS INT)) OVER () AS r, avg(CAST(verified AS INT)) OVER (PARTITION BY many) AS p FROM ({BINARY_SQL}) b) q""",
+)
+def _(fx: Inputs) -> DataFrame:
+    rows = weights.stabilized_ipw(_binary(fx), ["many"], inverse_regularization=1e12, tolerance=1e-12)
+    return rows.select(*KEY, F.round("weight", 4).alias("weight"))
+
+
+@query(
+    "saturated_learners",
+    f"""WITH b AS ({BINARY_SQL}), g AS (SELECT many, avg(y) AS p FROM b GROUP BY 1)
+        SELECT model_id, many, round(p, 5) AS prediction, (SELECT count(*) FROM b WHERE b.many = g.many) AS n
+        FROM g CROSS JOIN (VALUES ('logistic'), ('elastic_net_logistic'), ('decision_tree')) m(model_id)""",
+)
+def _(fx: Inputs) -> DataFrame:
+    rows, whole = _binary(fx), None
+    for learner, params in (("logistic", FREE), ("elastic_net_logistic", FREE), ("decision_tree", {"maxDepth": 1})):
+        part = models.fit(rows, ["many"], "y", learner, params).score(rows).select(F.lit(learner).alias("model_id"), "many", "prediction")
+        whole = part if whole is None else whole.unionByName(part)
+    return whole.groupBy("model_id", "many", F.round("prediction", 5).alias("prediction")).agg(F.count(F.lit(1)).alias("n"))
+
+
+OOF_SQL = f"""
+    WITH b AS ({BINARY_SQL}), k AS (SELECT DISTINCT period AS p FROM b),
+    g AS (SELECT p, many, avg(y) AS prediction FROM b JOIN k ON period < p GROUP BY 1, 2),
+    f AS (SELECT p FROM b JOIN k ON period < p GROUP BY 1 HAVING max(y) > min(y))
+    SELECT b.period, b.many, round(any_value(prediction), 5) AS prediction, count(*) AS n, sum(y) AS positives
+    FROM b JOIN f ON f.p = b.period JOIN g ON g.p = b.period AND g.many = b.many GROUP BY 1, 2"""
+
+
+@query("saturated_oof", OOF_SQL)
+def _(fx: Inputs) -> DataFrame:
+    rows = _binary(fx)
+    scored = models.temporal_oof(rows, ["many"], "y", "logistic", FREE).join(rows.select(*KEY, "many"), KEY)
+    return scored.groupBy("period", "many").agg(
+        F.round(F.any_value("prediction"), 5).alias("prediction"), F.count(F.lit(1)).alias("n"), F.sum("y").cast("long").alias("positives")
+    )
+
+
+@query(
+    "saturated_fold",
+    f"""WITH o AS (SELECT 'oof' AS split, period, many, prediction, n, positives FROM ({OOF_SQL}) s WHERE period < 2000),
+        b AS ({BINARY_SQL}), g AS (SELECT many, avg(y) AS p FROM b WHERE period < 2000 GROUP BY 1)
+        SELECT * FROM o UNION ALL SELECT 'outer', period, b.many, round(any_value(p), 5), count(*), NULL FROM b JOIN g ON g.many = b.many
+        WHERE period = 2000 GROUP BY 2, 3""",
+)
+def _(fx: Inputs) -> DataFrame:
+    rows = _binary(fx)
+    none = rows.limit(0).select(*KEY, F.lit(1.0).alias("weight"))
+    folds = models.fit_fold(
+        rows.select(*KEY, "many"), rows.select(*KEY, "outcome"), none, 2000, {"g": ["many"]}, {"logistic": [FREE, {"C": 1e-3}]}
+    )
+    return folds.join(rows.select(*KEY, "many"), KEY).groupBy("split", "period", "many").agg(
+        F.round(F.any_value("prediction"), 5).alias("prediction"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("outcome").cast("int")).alias("positives"),
+    )
+
+
+@query(
+    "saturated_bagging",
+    f"""WITH b AS ({BINARY_SQL}),
+        m AS (SELECT bag, b.many, label FROM (
+                SELECT bag, entity_id, period, 1.0::DOUBLE AS label FROM b CROSS JOIN range(3) g(bag) WHERE {BAG_POSITIVE}
+                UNION ALL
+                SELECT bag, entity_id, period, 0.0 FROM (
+                  SELECT bag, entity_id, period, row_number() OVER (PARTITION BY bag ORDER BY {_draw("bags", "bag", "entity_id", "period")}, entity_id, period) AS pos
+                  FROM b CROSS JOIN range(3) g(bag) WHERE NOT {BAG_POSITIVE}) u
+                WHERE pos <= (SELECT ceil(count(*) * 2.0) FROM b WHERE {BAG_POSITIVE})) q JOIN b USING (entity_id, period)),
+        r AS (SELECT many, avg(p) AS p FROM (SELECT bag, many, avg(label) AS p FROM m GROUP BY 1, 2) a GROUP BY 1)
+        SELECT many, round(p, 4) AS prediction, (SELECT count(*) FROM b WHERE b.many = r.many) AS n FROM r""",
+)
+def _(fx: Inputs) -> DataFrame:
+    rows = _binary(fx)
+    scored = models.pu_bagging(rows, rows, ["many"], F.expr(BAG_POSITIVE), 3, 2.0, "bags", 1e12, 1e-12)
+    return scored.groupBy("many").agg(F.round(F.any_value("prediction"), 4).alias("prediction"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "saturated_platt",
+    """WITH x AS (SELECT CASE WHEN s.prediction < 0.5 THEN 0.3::DOUBLE ELSE 0.8 END AS p, (d.n_chars % 41) / 40.0 AS t
+                  FROM fx_scores s JOIN documents d ON CAST(d.doc_id AS STRING) = s.entity_id),
+            m AS (SELECT ln(avg(t) FILTER (p < 0.5) / (1 - avg(t) FILTER (p < 0.5))) AS lo, ln(avg(t) FILTER (p > 0.5) / (1 - avg(t) FILTER (p > 0.5))) AS hi,
+                         ln(0.3 / 0.7) AS a, ln(0.8 / 0.2) AS b FROM x)
+       SELECT round(lo - a * (hi - lo) / (b - a), 4) AS intercept, round((hi - lo) / (b - a), 4) AS slope, 'SOFT_PLATT' AS status FROM m""",
+)
+def _(fx: Inputs) -> DataFrame:
+    docs = fx("documents").select(F.col("doc_id").cast("string").alias("entity_id"), ((F.col("n_chars") % 41) / 40).alias("target_value"))
+    rows = fx("fx_scores").withColumn("prediction", F.when(F.col("prediction") < 0.5, 0.3).otherwise(0.8)).join(docs, "entity_id")
+    return _round(selection.soft_platt(rows), 4)
+
+
 def _document_panel(fx: Inputs) -> DataFrame:
     return fx("documents").select(
         F.col("doc_id").cast("string").alias("entity_id"), (F.col("doc_id") % 7 + 2015).cast("int").alias("period"),

@@ -115,6 +115,39 @@ def _(fx: Inputs) -> DataFrame:
     )
 
 
+@query(
+    "path_rules",
+    """SELECT url AS relative_path, page_id, count(*) OVER () AS match_count, true AS cardinality_ok FROM pages
+       WHERE (url LIKE '%/en/%' OR url LIKE '%/fr/%') AND url NOT LIKE '%utm_%'""",
+)
+def _(fx: Inputs) -> DataFrame:
+    listed = fx("pages").select(F.col("url").alias("relative_path"), "page_id")
+    return files.matching_paths(listed, ["*/en/*", "*/fr/*"], ["*utm_*"])
+
+
+PAGE_SIGNATURE_SQL = """
+    SELECT page_id, sha256(html) AS sha256, CAST(NULL AS STRING) AS bom,
+           CASE WHEN contains(html, chr(13) || chr(10)) THEN 'CRLF' WHEN contains(html, chr(10)) THEN 'LF' ELSE 'NONE_OR_BINARY' END AS newline_style
+    FROM pages"""
+
+
+@query("content_signatures", PAGE_SIGNATURE_SQL)
+def _(fx: Inputs) -> DataFrame:
+    return files.content_signatures(fx("pages").select("page_id", F.col("html").cast("binary").alias("content")))
+
+
+@query(
+    "content_lock_drift",
+    f"""SELECT page_id, page_id % 10 > 1 AS hash_matches_lock FROM ({PAGE_SIGNATURE_SQL}) p""",
+)
+def _(fx: Inputs) -> DataFrame:
+    rows = fx("pages").select(F.col("page_id").cast("string").alias("path"), F.col("html").cast("binary").alias("content"))
+    now = files.content_signatures(rows)
+    page = F.col("path").cast("long")
+    locked = now.filter(page % 10 != 1).withColumn("sha256", F.when(page % 10 == 0, F.sha2("sha256", 256)).otherwise(F.col("sha256")))
+    return files.hash_drift(now, locked).select(page.alias("page_id"), "hash_matches_lock")
+
+
 @query("hash_lock_drift")
 def _(fx: Inputs) -> DataFrame:
     now = files.file_signatures(fx.spark, [fx.path("orders"), fx.path("customer"), fx.path("nation")])

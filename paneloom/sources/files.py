@@ -11,7 +11,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TAIL_BYTES = 4096
+#: Bytes that one cell can hold.
+LARGEST_FILE = 2**31 - 64
 
 
 def discover(
@@ -24,14 +25,15 @@ def discover(
     """
     if cardinality not in ("one", "one_or_none", "many"):
         raise ValueError(f"unknown cardinality: {cardinality}")
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(root)
-        .select("path", "length", "modificationTime")
-    )
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length")
     base = root.rstrip("/").rsplit("/", 1)[-1]
-    relative = F.substring_index(F.col("path"), f"/{base}/", -1)
+    listed = files.withColumn("relative_path", F.substring_index(F.col("path"), f"/{base}/", -1))
+    return matching_paths(listed, include, exclude, cardinality).select("relative_path", F.col("length").alias("size_bytes"), "path", "match_count", "cardinality_ok")
+
+
+def matching_paths(listed: DataFrame, include: Sequence[str], exclude: Sequence[str] = (), cardinality: str = "many") -> DataFrame:
+    """The rows whose ``relative_path`` matches, with the count and whether it keeps the cardinality rule."""
+    relative = F.col("relative_path")
 
     def matches(patterns: Sequence[str]):
         found = F.lit(False)
@@ -39,9 +41,7 @@ def discover(
             found = found | relative.rlike(fnmatch.translate(pattern))
         return found
 
-    kept = files.filter(matches(include) & ~matches(exclude)).select(
-        relative.alias("relative_path"), F.col("length").alias("size_bytes"), "path"
-    )
+    kept = listed.filter(matches(include) & ~matches(exclude))
     count = kept.agg(F.count(F.lit(1)).alias("match_count"))
     rule = {"one": F.col("match_count") == 1, "one_or_none": F.col("match_count") <= 1}.get(
         cardinality, F.col("match_count") >= 1
@@ -50,32 +50,37 @@ def discover(
 
 
 def file_signatures(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Size, time, sha-256, byte-order mark and newline style of each file, one task per file."""
+    """Size, time, sha-256, byte-order mark and newline style of each file, one task per file.
+
+    A file is one cell, so it may have up to 2 GiB; a larger one is a row without a hash that says so.
+    """
+    source = spark.read.format("binaryFile").load(paths)
+    listed = source.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
+    within = F.col("length") <= LARGEST_FILE  # pushed to the reader, which then never opens larger ones
+    signed = content_signatures(source.filter(within)).select("path", "sha256", "bom", "newline_style")
+    too_large = F.when(F.col("size_bytes") > LARGEST_FILE, "FILE_TOO_LARGE").alias("problem")
+    return listed.join(signed, "path", "left").select(*listed.columns, "sha256", "bom", "newline_style", too_large)
+
+
+def content_signatures(rows: DataFrame) -> DataFrame:
+    """sha-256, byte-order mark and newline style of the binary column ``content``, all of it."""
     content = F.col("content")
     head = F.hex(F.substring(content, 1, 3))
-    tail = F.hex(F.expr(f"right(content, {TAIL_BYTES})"))
-    paired = F.regexp_replace(tail, "(..)", "$1 ")
     bom = (
         F.when(head.startswith("EFBBBF"), "utf-8-sig")
         .when(head.startswith("FFFE"), "utf-16-le")
         .when(head.startswith("FEFF"), "utf-16-be")
     )
     newline = (
-        F.when(F.contains(paired, F.lit("0D 0A ")), "CRLF")
-        .when(F.contains(paired, F.lit("0A ")), "LF")
+        F.when(F.contains(content, F.lit(bytearray(b"\r\n"))), "CRLF")
+        .when(F.contains(content, F.lit(bytearray(b"\n"))), "LF")
         .otherwise("NONE_OR_BINARY")
     )
-    return (
-        spark.read.format("binaryFile")
-        .load(paths)
-        .select(
-            "path",
-            F.col("length").alias("size_bytes"),
-            F.col("modificationTime").alias("modified_at"),
-            F.sha2(content, 256).alias("sha256"),
-            bom.alias("bom"),
-            newline.alias("newline_style"),
-        )
+    return rows.select(
+        *[c for c in rows.columns if c != "content"],
+        F.sha2(content, 256).alias("sha256"),
+        bom.alias("bom"),
+        newline.alias("newline_style"),
     )
 
 

@@ -162,18 +162,18 @@ def multiplicities(units: DataFrame, replications: int, seed: str) -> DataFrame:
 
 
 def bootstrap_units(df: DataFrame) -> DataFrame:
-    """Dense index over the distinct (entity, period) rows."""
-    keys = df.select(*KEY).distinct()
-    placed = positions(keys, [], [("entity_id", True), ("period", True)], "_position")
+    """Dense index over the entities: an entity is drawn with all its periods."""
+    keys = df.select("entity_id").distinct()
+    placed = positions(keys, [], [("entity_id", True)], "_position")
     size = keys.agg(F.count(F.lit(1)).alias("n"))
-    return attach(placed.select(*KEY, (F.col("_position") - 1).alias("unit")), size, [])
+    return attach(placed.select("entity_id", (F.col("_position") - 1).alias("unit")), size, [])
 
 
 def bootstrap_rows(df: DataFrame, replications: int, seed: str) -> DataFrame:
     """Scored rows per replicate with their multiplicity; both models of a pair share the draws."""
     units = cut(bootstrap_units(df))
     times = multiplicities(units.select("unit", "n"), replications, seed)
-    return df.join(units, KEY).join(times, "unit").drop("unit", "n")
+    return df.join(units, "entity_id").join(times, "unit").drop("unit", "n")
 
 
 def replicate_precision(resampled: DataFrame) -> DataFrame:

@@ -127,13 +127,12 @@ def _draw(seed: str, *parts: str) -> str:
 
 RESAMPLED = f"""
     SELECT s.model_id, s.entity_id, s.prediction, s.outcome, b.rep, b.times
-    FROM fx_scores s JOIN (SELECT entity_id, period, row_number() OVER (ORDER BY entity_id, period) - 1 AS unit
-                           FROM (SELECT DISTINCT entity_id, period FROM fx_scores) k) u
-      ON u.entity_id = s.entity_id AND u.period = s.period
+    FROM fx_scores s JOIN (SELECT entity_id, row_number() OVER (ORDER BY entity_id) - 1 AS unit
+                           FROM (SELECT DISTINCT entity_id FROM fx_scores) k) u ON u.entity_id = s.entity_id
     JOIN (SELECT rep, {_draw("boot", "rep", "i")} % n AS unit, count(*) AS times
-          FROM (SELECT count(*) AS n FROM (SELECT DISTINCT entity_id, period FROM fx_scores) k) z
-          CROSS JOIN range({REPS}) r(rep) CROSS JOIN (SELECT row_number() OVER (ORDER BY entity_id, period) - 1 AS i
-                           FROM (SELECT DISTINCT entity_id, period FROM fx_scores) k) d GROUP BY 1, 2) b ON b.unit = u.unit"""
+          FROM (SELECT count(*) AS n FROM (SELECT DISTINCT entity_id FROM fx_scores) k) z
+          CROSS JOIN range({REPS}) r(rep) CROSS JOIN (SELECT row_number() OVER (ORDER BY entity_id) - 1 AS i
+                           FROM (SELECT DISTINCT entity_id FROM fx_scores) k) d GROUP BY 1, 2) b ON b.unit = u.unit"""
 COPIES = f"""
     SELECT model_id, rep, outcome, prediction, entity_id,
            row_number() OVER (PARTITION BY model_id, rep ORDER BY prediction DESC, entity_id, j) AS pos,

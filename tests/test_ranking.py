@@ -69,3 +69,42 @@ def test_bootstrap_draws_n_of_n(spark):
     assert totals == {i: 57 for i in range(6)}
     shuffled = metrics.multiplicities(units.repartition(5).select("unit", "n"), 6, "s")
     assert sorted(map(tuple, times.collect())) == sorted(map(tuple, shuffled.collect()))
+
+
+def test_bootstrap_draws_entities_with_all_their_periods(spark):
+    from paneloom.operators import metrics
+
+    rows = spark.createDataFrame(
+        [(str(i), p, m, float(i % 7), i % 3 == 0) for i in range(30) for p in (2019, 2020) for m in ("a", "b")],
+        "entity_id string, period int, model_id string, prediction double, outcome boolean",
+    )
+    drawn = metrics.bootstrap_rows(rows, 5, "s").collect()
+    times = {}
+    for r in drawn:
+        times.setdefault((r.rep, r.entity_id), []).append(r.times)
+    assert all(len(t) == 4 and len(set(t)) == 1 for t in times.values())
+    assert all(sum(t[0] for (rep, _), t in times.items() if rep == k) == 30 for k in range(5))
+
+
+def test_attach_without_keys_refuses_a_second_row(spark):
+    import pytest
+
+    from paneloom.operators.ranking import attach
+
+    rows = spark.range(3)
+    assert attach(rows, spark.range(1).withColumnRenamed("id", "x"), []).count() == 3
+    assert attach(rows, spark.range(0).withColumnRenamed("id", "x"), []).filter("x IS NULL").count() == 3
+    with pytest.raises(Exception, match="single row"):
+        attach(rows, spark.range(2).withColumnRenamed("id", "x"), []).collect()
+
+
+def test_pair_counts_beyond_64_bits(spark):
+    from pyspark.sql import functions as F
+
+    from paneloom.operators import metrics, reports
+
+    assert metrics.PAIRS and metrics.COUNT
+    a, b = (spark.createDataFrame([r], "x string, y string") for r in (("a|b", "c"), ("a", "b|c")))
+    assert reports.table_digest(a).first() != reports.table_digest(b).first()
+    whole = spark.range(1).select((F.lit(6_000_000_000).cast(metrics.PAIRS) * F.lit(6_000_000_000).cast(metrics.PAIRS)).cast(metrics.COUNT).alias("n"))
+    assert int(whole.first().n) == 36 * 10**18

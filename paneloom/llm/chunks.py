@@ -11,12 +11,16 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Callable
-from contextlib import suppress
-from itertools import chain, filterfalse
+from itertools import filterfalse
 from unicodedata import is_normalized
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Words in each of two generations; a word takes about 200 bytes.
 CACHED_WORDS = 1_000_000
+TEXTS_AT_ONCE = 500
 
 
 class WordCache:
@@ -47,14 +51,36 @@ class WordCache:
 MARK_PAIRS = (" . . ", " . , ", " , . ", " , , ")
 
 
-def split_marks(text: str) -> list[str]:
-    """Words, and apart from them the full stop or comma that a space or line end follows."""
+def part_marks(text: str) -> str | None:
+    """The text with a space before each full stop or comma that a space or line end follows.
+
+    None where two of them are side by side.
+    """
     parted = f" {text} ".replace(". ", " . ").replace(", ", " , ")
-    return [""] if any(pair in parted for pair in MARK_PAIRS) else parted[1:-1].split(" ")
+    return None if any(pair in parted for pair in MARK_PAIRS) else parted[1:-1]
+
+
+def concatenated(values: list[bytes | None], at: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """For each text the values of its words end to end; ``at`` has a word's place in ``values``."""
+    taken = pa.array(values, pa.large_binary()).take(pa.array(at))
+    where = np.frombuffer(taken.buffers()[1], np.int64)[: len(at) + 1]
+    data = memoryview(taken.buffers()[2] or b"")
+    borders = where[np.concatenate([[0], ends])].tolist()
+    return [bytes(data[x:y]) for x, y in zip(borders, borders[1:], strict=False)]
+
+
+def summed(values: list[int | None], at: np.ndarray, ends: np.ndarray) -> list[int]:
+    """For each text the sum of its words' values."""
+    upto = np.concatenate([[0], np.cumsum(np.array([v or 0 for v in values], np.int64)[at])])
+    return np.diff(upto[np.concatenate([[0], ends])]).tolist()
 
 
-def library(path: str, value: Callable) -> tuple[Callable, tuple[str, ...]]:
-    """Call of the tokenizers library that gives ``value`` of each text's ids; its special strings."""
+def library(path: str) -> tuple[Callable, tuple[str, ...]]:
+    """Call of the tokenizers library that gives each text's ids as little-endian 32-bit integers; its special strings.
+
+    Many texts go in one call with a special string between them, which the library splits off before
+    all else; its id then parts the ids.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -62,7 +88,20 @@ def library(path: str, value: Callable) -> tuple[Callable, tuple[str, ...]]:
     tokenizer.no_truncation()
     tokenizer.no_padding()
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
-    return lambda texts: [value(e.ids) for e in batch(texts, add_special_tokens=False)], special_strings(path)
+    specials = special_strings(path)
+
+    def encode(texts: list[str]) -> list[bytes]:
+        if not specials or any(s in t for t in texts for s in specials):
+            return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
+        border, out = tokenizer.token_to_id(specials[0]), []
+        for at in range(0, len(texts), TEXTS_AT_ONCE):
+            joined = specials[0].join(texts[at : at + TEXTS_AT_ONCE])
+            ids = np.array(batch([joined], add_special_tokens=False)[0].ids, "<u4")
+            cut, raw = np.flatnonzero(ids == border) * 4, ids.tobytes()
+            out += [raw[x:y] for x, y in zip([0, *(cut + 4).tolist()], [*cut.tolist(), len(raw)], strict=True)]
+        return out
+
+    return encode, specials
 
 
 def special_strings(path: str) -> tuple[str, ...]:
@@ -73,7 +112,9 @@ def special_strings(path: str) -> tuple[str, ...]:
 class Encoder:
     """Results for whole texts, joined from those of their words.
 
-    ``encode`` gives the result of each text in a list, ``join`` that of a text from its words'.
+    ``encode`` gives the result of each text in a list; ``join`` those of texts from their words',
+    :func:`concatenated` or :func:`summed`. Texts are split and words are numbered by Arrow, so
+    Python sees each word of a batch once.
     ``lowered`` says that the tokenizer lowers case and drops white space; else it must keep the
     space before a word, and a line end stays at the front of its word.
     """
@@ -117,16 +158,30 @@ class Encoder:
             return low if plain and not any(s in low for s in self.specials) else None
         return None if any(s in text for s in self.specials) else "\0" + text.replace("\n", " \n")
 
+    def _from_words(self, texts: list[str], cache: WordCache) -> list:
+        """The results of texts whose words are all certain, None for the others."""
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        split = split.combine_chunks() if isinstance(split, pa.ChunkedArray) else split
+        numbered = split.values.dictionary_encode()
+        # the words as one text and back: quicker than one by one
+        words = " ".join(pc.binary_join(pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary), " ").to_pylist()).split(" ")
+        found = cache.load(words)
+        values = [found[w] for w in words]
+        at, ends = numbered.indices.to_numpy(), split.offsets.to_numpy()[1:].astype(np.int64)
+        unsure = np.array([v is None for v in values], bool)[at]
+        upto = np.concatenate([[0], np.cumsum(unsure)])[np.concatenate([[0], ends])]
+        return [r if sure else None for r, sure in zip(self.join(values, at, ends), np.diff(upto) == 0, strict=True)]
+
     def batch(self, texts: list[str]) -> list:
         out: list = [None] * len(texts)
         prepared = [self._prepared(t) for t in texts]
-        for split, cache in ((split_marks, self.parted), (lambda text: text.split(" "), self.joined)):
-            lists = {i: split(t) for i, t in enumerate(prepared) if t is not None and out[i] is None}
-            found = cache.load(list(chain.from_iterable(lists.values()))).__getitem__
-            for i, words in lists.items():
-                with suppress(TypeError):  # a None among them
-                    out[i] = self.join(map(found, words))
+        for split, cache in ((part_marks, self.parted), (lambda text: text, self.joined)):
+            some = {i: split(t) for i, t in enumerate(prepared) if t is not None and out[i] is None}
+            some = {i: t for i, t in some.items() if t is not None}
+            if some:
+                for i, result in zip(some, self._from_words(list(some.values()), cache), strict=True):
+                    out[i] = result
         rest = [i for i, value in enumerate(out) if value is None]
         for i, value in zip(rest, self.encode([texts[i] for i in rest]) if rest else (), strict=True):
-            out[i] = self.join([value])
+            out[i] = value
         return out

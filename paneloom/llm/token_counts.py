@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.llm.chunks import Encoder, special_strings
+from paneloom.llm.chunks import Encoder, special_strings, summed
 from paneloom.llm.shared import by_bytes, query, table
 
 
@@ -89,7 +89,7 @@ def counter(path: str, pattern: str) -> Encoder:
     """One per Python worker: its tables and cached words serve all its tasks."""
     if (path, pattern) not in _COUNTERS:
         merger = PairMerger(path, pattern)
-        _COUNTERS[path, pattern] = Encoder(merger.counts, merger.specials, sum)
+        _COUNTERS[path, pattern] = Encoder(merger.counts, merger.specials, summed)
     return _COUNTERS[path, pattern]
 
 

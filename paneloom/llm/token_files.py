@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.chunks import Encoder, library
+from paneloom.llm.chunks import Encoder, concatenated, library
 from paneloom.llm.shared import by_bytes, query, scratch, stored, table
 from paneloom.operators.ranking import running
 
@@ -101,8 +101,8 @@ _ENCODERS: dict[str, Encoder] = {}
 def encoder(path: str, lowered: bool) -> Encoder:
     """One per Python worker: its tables and cached words serve all its tasks."""
     if path not in _ENCODERS:
-        encode, specials = library(path, lambda ids: np.array(ids, "<u4").tobytes())
-        _ENCODERS[path] = Encoder(encode, specials, b"".join, lowered)
+        encode, specials = library(path)
+        _ENCODERS[path] = Encoder(encode, specials, concatenated, lowered)
     return _ENCODERS[path]
 
 

@@ -8,7 +8,7 @@ import public_tokenizers as vocabularies
 import pytest
 from tokenizers import Tokenizer
 
-from paneloom.llm.chunks import Encoder, library
+from paneloom.llm.chunks import Encoder, concatenated, library
 from paneloom.llm.packing import assign, pack
 from paneloom.llm.shared import scratch
 from paneloom.llm.token_counts import count_tokens
@@ -34,12 +34,12 @@ def ids_of(path, text, end=(1,)):
 
 @pytest.mark.parametrize(("path", "lowered"), [(WORD, True), (BYTE, False)])
 def test_words_joined_give_the_ids_of_whole_texts(path, lowered):
-    encode, specials = library(path, lambda ids: list(ids))
-    encoder = Encoder(encode, specials, lambda parts: [i for p in parts for i in (p if p is not None else [][0])], lowered)
-    encoder.join = lambda parts: sum(map(list, parts), [])
+    encode, specials = library(path)
+    encoder = Encoder(encode, specials, concatenated, lowered)
     cases = texts(4000)
-    whole = [e.ids for e in Tokenizer.from_file(path).encode_batch(cases, add_special_tokens=False)]
+    whole = [np.array(e.ids, "<u4").tobytes() for e in Tokenizer.from_file(path).encode_batch(cases, add_special_tokens=False)]
     assert encoder.batch(cases) == whole
+    assert encoder.batch(cases[:50]) == whole[:50] and encoder.batch([]) == []
 
 
 def test_variable_length_values_round_trip():

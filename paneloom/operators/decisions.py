@@ -140,10 +140,15 @@ def year_consensus(df: DataFrame) -> DataFrame:
 
 
 def decision_metadata(df: DataFrame, by: Sequence[str] = tuple(PAIR)) -> DataFrame:
-    """Codes, single-valued fine, tri-state flags and known-date range per decision."""
+    """Decision numbers, codes, single-valued fine, tri-state flags and known-date range per decision.
+
+    One decision has a handful of numbers and codes of the taxonomy, so both are sets in a column.
+    """
     known = F.coalesce("known_date", "publish_date", "decision_date")
     flags = [tri.any_true(F.col(f)).alias(f) for f in FLAGS if f in df.columns]
+    numbers = [sorted_set(blank_to_null(F.trim("decision_number"))).alias("decision_numbers")] if "decision_number" in df.columns else []
     return df.groupBy(*by).agg(
+        *numbers,
         sorted_set(norm_code(F.col("code"))).alias("codes"),
         single_or_null(F.col("total_fine")).alias("total_fine"),
         *flags,
@@ -181,13 +186,30 @@ def resolve_decisions(df: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     )
 
 
+def _endpoint_rows(resolved: DataFrame) -> DataFrame:
+    """Positive and unknown decisions per endpoint."""
+    cells = F.array(*[F.struct(F.lit(e).alias("endpoint"), F.col(e).alias("hit")) for e in ENDPOINTS])
+    long = resolved.filter("period IS NOT NULL").select("*", F.explode(cells).alias("_c")).select("*", "_c.*").drop("_c")
+    return long.filter("hit IS NULL OR hit")
+
+
+def endpoint_cells(resolved: DataFrame, values: DataFrame, value: str) -> DataFrame:
+    """Sorted distinct ``value`` of the decisions that an endpoint's rollup is made of, in bounded cells.
+
+    ``values`` has the value per (document, entity). Positive decisions count where there are any, else
+    the unknown ones; ``cell`` is part of the key.
+    """
+    rows = _endpoint_rows(resolved).select(*PAIR, "period", "endpoint", "hit")
+    states = rows.groupBy("entity_id", "period", "endpoint").agg(F.bool_or(F.coalesce("hit", F.lit(False))).alias("_positive"))
+    chosen = rows.join(states, ["entity_id", "period", "endpoint"]).filter(F.coalesce("hit", F.lit(False)) == F.col("_positive"))
+    return rollup_cells(chosen.join(values.select(*PAIR, value), PAIR), ["entity_id", "period", "endpoint", "hit"], value)
+
+
 def endpoint_metadata(resolved: DataFrame) -> DataFrame:
     """Rollup per (entity, period, endpoint) of the positive decisions, or else of the unknown ones."""
     flags = [f for f in FLAGS if f in resolved.columns]
-    cells = F.array(*[F.struct(F.lit(e).alias("endpoint"), F.col(e).alias("hit")) for e in ENDPOINTS])
-    long = resolved.filter("period IS NOT NULL").select("*", F.explode(cells).alias("_c")).select("*", "_c.*").drop("_c")
     per_state = (
-        long.filter("hit IS NULL OR hit")
+        _endpoint_rows(resolved)
         .groupBy("entity_id", "period", "endpoint", "hit")
         .agg(
             F.count(F.lit(1)).alias("decision_count"),

@@ -11,6 +11,7 @@ from paneloom.functions.sets import derived_key, json_array
 from paneloom.functions.text import norm_text
 from paneloom.operators import cells, decisions, evidence
 from paneloom.operators import panel as panels
+from paneloom.operators.ranking import cut
 from paneloom.plans.bindings import Inputs, query
 
 # ------------------------------------------------------------- matched pairs
@@ -419,8 +420,10 @@ def _(fx: Inputs) -> DataFrame:
 
 @query(
     "decision_metadata",
-    f"""SELECT document_id, entity_id, codes, total_fine, has_fine, has_warning, first_known_date, last_known_date
-        FROM ({RESOLVED_SQL}) q""",
+    f"""SELECT q.document_id, q.entity_id, decision_numbers, codes, total_fine, has_fine, has_warning, first_known_date, last_known_date
+        FROM ({RESOLVED_SQL}) q JOIN (SELECT document_id, entity_id, list_sort(list_distinct(list(decision_number))) AS decision_numbers
+              FROM fx_decisions WHERE row_included AND hard_positive GROUP BY 1, 2) n
+        ON n.document_id = q.document_id AND n.entity_id = q.entity_id""",
 )
 def _(fx: Inputs) -> DataFrame:
     return decisions.decision_metadata(fx("fx_decisions").filter(decisions.included()))
@@ -485,13 +488,33 @@ def _(fx: Inputs) -> DataFrame:
     return decisions.endpoint_metadata(_resolved(fx))
 
 
+CHOSEN_SQL = f"""WITH resolved AS ({RESOLVED_SQL}), long AS ({LONG_SQL}),
+        chosen AS (SELECT entity_id, period, endpoint, bool_or(hit) AS pos FROM long GROUP BY 1, 2, 3
+                   HAVING bool_or(hit) OR count_if(hit IS NULL) > 0),
+        picked AS (SELECT l.* FROM long l JOIN chosen c ON c.entity_id = l.entity_id AND c.period = l.period AND c.endpoint = l.endpoint
+                   WHERE (pos AND hit) OR (pos IS DISTINCT FROM true AND hit IS NULL))"""
+
+
 @query(
     "endpoint_document_cells",
-    f"""SELECT entity_id, period, 0 AS cell, list_sort(list_distinct(list(document_id))) AS values
-        FROM ({RESOLVED_SQL}) r WHERE period IS NOT NULL GROUP BY 1, 2""",
+    f"""{CHOSEN_SQL}
+        SELECT entity_id, period, endpoint, hit, 0 AS cell, list_sort(list_distinct(list(document_id))) AS values FROM picked GROUP BY 1, 2, 3, 4""",
+)
+def _(fx: Inputs) -> DataFrame:
+    resolved = cut(_resolved(fx))
+    documents = resolved.select("document_id", "entity_id", F.col("document_id").alias("document"))
+    return decisions.endpoint_cells(resolved, documents, "document")
+
+
+@query(
+    "endpoint_number_cells",
+    f"""{CHOSEN_SQL}
+        SELECT p.entity_id, period, endpoint, hit, 0 AS cell, list_sort(list_distinct(list(decision_number))) AS values
+        FROM picked p JOIN fx_decisions d ON d.document_id = p.document_id AND d.entity_id = p.entity_id AND row_included AND hard_positive
+        GROUP BY 1, 2, 3, 4""",
 )
 def _(fx: Inputs) -> DataFrame:
-    return cells.rollup_cells(_resolved(fx).filter("period IS NOT NULL"), ["entity_id", "period"], "document_id")
+    return decisions.endpoint_cells(cut(_resolved(fx)), fx("fx_decisions").filter(decisions.included()), "decision_number")
 
 
 LEDGER_SQL = f"""

@@ -114,8 +114,10 @@ BINDINGS: dict[str, str] = {
                CASE WHEN CAST(event_id AS BIGINT) % 10 = 0 THEN availability + INTERVAL 1 DAY ELSE availability END,
                outcome, opportunity, concat('c', event_id)
         FROM fx_events WHERE CAST(event_id AS BIGINT) % 4 < 2""",
+    # 40 entities and 900 documents per 10,000 events, so that groups stay as large as they are while their number grows
     "fx_decisions": """
-        SELECT concat('d', CAST(event_id % 900 AS STRING)) AS document_id, CAST(user_id % 40 AS STRING) AS entity_id,
+        SELECT concat('d', CAST(event_id % 900 + 900 * CAST(floor(event_id / 10000) AS BIGINT) AS STRING)) AS document_id,
+               CAST(user_id % 40 + 40 * CAST(floor(event_id / 10000) AS BIGINT) AS STRING) AS entity_id,
                concat('n', CAST(event_id % 70 AS STRING)) AS decision_number,
                CASE WHEN event_id % 6 = 0 THEN CAST(2024 - event_id % 4 AS INT) END AS event_year,
                CASE WHEN event_id % 5 <> 0 THEN ts END AS decision_date,
@@ -132,7 +134,8 @@ BINDINGS: dict[str, str] = {
                concat('r', CAST(event_id AS STRING)) AS source_ref
         FROM events
         UNION ALL
-        SELECT concat('d', CAST(event_id % 900 AS STRING)), CAST(user_id % 40 AS STRING),
+        SELECT concat('d', CAST(event_id % 900 + 900 * CAST(floor(event_id / 10000) AS BIGINT) AS STRING)),
+               CAST(user_id % 40 + 40 * CAST(floor(event_id / 10000) AS BIGINT) AS STRING),
                concat('n', CAST(event_id % 70 AS STRING)),
                CASE WHEN event_id % 6 = 0 THEN CAST(2024 - event_id % 4 AS INT) END,
                CASE WHEN event_id % 5 <> 0 THEN ts END,
@@ -146,7 +149,7 @@ BINDINGS: dict[str, str] = {
                CASE WHEN event_id % 2 = 0 THEN event_id % 4 = 0 END, concat('again', CAST(event_id AS STRING))
         FROM events WHERE event_id % 13 = 0""",
     "fx_decision_panel": """
-        SELECT entity_id, period FROM (SELECT DISTINCT CAST(user_id % 40 AS STRING) AS entity_id FROM events) e
+        SELECT entity_id, period FROM (SELECT DISTINCT CAST(user_id % 40 + 40 * CAST(floor(event_id / 10000) AS BIGINT) AS STRING) AS entity_id FROM events) e
         JOIN (SELECT DISTINCT CAST(2018 + n_nationkey AS INT) AS period FROM nation WHERE n_nationkey < 8) p
         ON true""",
     # documents as an entity-period panel with three label sources

@@ -19,10 +19,24 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words in each of two generations; a word takes about 200 bytes.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 600_000
 TEXTS_AT_ONCE = 500
 
 
+_HELD: dict = {}
+
+
+def held(key: tuple, make: Callable):
+    """What ``make`` builds, kept in this Python worker until another key is asked for.
+
+    A worker outlives its task, so the tables of one operator go before those of the next are built.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 class WordCache:
     """Results by word, two generations of bounded size; ``make`` gives those of new words."""
 

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.llm.chunks import WordCache
+from paneloom.llm.chunks import WordCache, held
 from paneloom.llm.components import components
 from paneloom.llm.shared import by_bytes, query, stored, table, whole_runs
 
@@ -38,9 +38,6 @@ BLOCK_NODES = 512
 GRAMS_AT_ONCE = 4096
 VOCABULARY_AT_ONCE = 4096
 
-_WORDS: list[WordCache] = []
-
-
 def choose_bands(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
     """(bands, rows): the most rows a band can have when ``recall`` at the threshold takes at most so many hashes."""
     for rows in range(16, 0, -1):
@@ -61,10 +58,9 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     """64-bit hashes of each text's words."""
     import xxhash
 
-    if not _WORDS:
-        _WORDS.append(WordCache(lambda words: list(map(xxhash.xxh3_64_intdigest, words)), 400_000))
+    words_seen = held(("word hashes",), lambda: WordCache(lambda words: list(map(xxhash.xxh3_64_intdigest, words)), 200_000))
     lists = [t.lower().encode("utf-8", "surrogatepass").split() for t in texts]
-    get = _WORDS[0].load([w for words in lists for w in words]).__getitem__
+    get = words_seen.load([w for words in lists for w in words]).__getitem__
     return [np.fromiter(map(get, words), np.uint64, len(words)) for words in lists]
 
 

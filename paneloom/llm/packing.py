@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.llm.chunks import Encoder, concatenated, library
+from paneloom.llm.chunks import Encoder, concatenated, held, library
 from paneloom.llm.shared import by_bytes, query, table
 
 #: Tokens and documents that one window packs together.
@@ -62,15 +62,8 @@ def assign(lengths: np.ndarray, capacity: int, linear: float = LINEAR_COST) -> l
     return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str) -> Encoder:
-    """One per Python worker: its tables and cached words serve all its tasks."""
-    if path not in _ENCODERS:
-        encode, specials = library(path)
-        _ENCODERS[path] = Encoder(encode, specials, concatenated)
-    return _ENCODERS[path]
+    return held(("packing", path), lambda: Encoder(*library(path), concatenated))
 
 
 PIECE = T.StructType(

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from paneloom.llm.chunks import held
 from paneloom.llm.shared import query, table
 
 LABELLED, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 4500, 2_000_000, 4000, 6
@@ -39,26 +40,19 @@ class Model:
     slope: float = 0.0
 
 
-_COMPRESSORS: dict[int, tuple] = {}
-
-
-def compressors(model: Model):
-    """One pair per Python worker."""
+def compressors(model: Model) -> tuple:
+    """The compressors with the good and the bad dictionary."""
     import zstandard
 
-    key = hash((model.good, model.bad))
-    if key not in _COMPRESSORS:
-        _COMPRESSORS.clear()
-        pair = []
-        for content in (model.good, model.bad):
-            options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-            if len(content) >= 8:
-                words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-                words.precompute_compress(level=LEVEL)
-                options["dict_data"] = words
-            pair.append(zstandard.ZstdCompressor(**options))
-        _COMPRESSORS[key] = tuple(pair)
-    return _COMPRESSORS[key]
+    def one(content: bytes):
+        options = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        if len(content) >= 8:
+            words = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            words.precompute_compress(level=LEVEL)
+            options["dict_data"] = words
+        return zstandard.ZstdCompressor(**options)
+
+    return held(("compressors", hash((model.good, model.bad))), lambda: (one(model.good), one(model.bad)))
 
 
 def difference(text: str, pair) -> float:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.llm.chunks import Encoder, special_strings, summed
+from paneloom.llm.chunks import Encoder, held, special_strings, summed
 from paneloom.llm.shared import by_bytes, query, table
 
 
@@ -82,15 +82,12 @@ class PairMerger:
         return list(map(self.count, texts))
 
 
-_COUNTERS: dict[tuple[str, str], Encoder] = {}
-
-
 def counter(path: str, pattern: str) -> Encoder:
-    """One per Python worker: its tables and cached words serve all its tasks."""
-    if (path, pattern) not in _COUNTERS:
+    def make() -> Encoder:
         merger = PairMerger(path, pattern)
-        _COUNTERS[path, pattern] = Encoder(merger.counts, merger.specials, summed)
-    return _COUNTERS[path, pattern]
+        return Encoder(merger.counts, merger.specials, summed)
+
+    return held(("token counts", path, pattern), make)
 
 
 def count_tokens(documents: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.llm.chunks import Encoder, concatenated, library
+from paneloom.llm.chunks import Encoder, concatenated, held, library
 from paneloom.llm.shared import by_bytes, query, scratch, stored, table
 from paneloom.operators.ranking import running
 
@@ -95,15 +95,8 @@ def parse_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return doc_ids, nulls, counts, ranked[decode_values(control, np.frombuffer(content, "u1", -1, at), n_tokens)]
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(path: str, lowered: bool) -> Encoder:
-    """One per Python worker: its tables and cached words serve all its tasks."""
-    if path not in _ENCODERS:
-        encode, specials = library(path)
-        _ENCODERS[path] = Encoder(encode, specials, concatenated, lowered)
-    return _ENCODERS[path]
+    return held(("token files", path), lambda: Encoder(*library(path), concatenated, lowered))
 
 
 def write_token_files(

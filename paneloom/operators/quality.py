@@ -11,6 +11,7 @@ from paneloom.functions.dates import parse_timestamp
 from paneloom.functions.grid import registry
 from paneloom.functions.profile import profile
 from paneloom.functions.text import is_missing, parse_number
+from paneloom.operators.ranking import cut
 
 SAMPLE = 20
 
@@ -133,7 +134,12 @@ def audit_issues(
     allow_extra: bool = False,
     minimum_rows: int = 1,
 ) -> DataFrame:
-    """All issue rows (code, severity, field, count) of one source."""
+    """All issue rows (code, severity, field, count) of one source.
+
+    The columns that the audits look at are read from the source once and kept for all of them.
+    """
+    looked_at = dict.fromkeys([*keys, *required, *dates, *(numerics or {})])
+    whole, df = df, cut(df.select(*[c for c in looked_at if c in df.columns]))
     layout = ("code", "severity", "field", "count")
 
     def issue(rows: DataFrame, code: str, severity: str, count: str) -> DataFrame:
@@ -142,7 +148,7 @@ def audit_issues(
         )
 
     parts = [
-        audit_schema(df, required, optional, allow_extra),
+        audit_schema(whole, required, optional, allow_extra),
         audit_row_count(df, minimum_rows),
         audit_required(df, [c for c in required if c in df.columns], dates),
         audit_keys(df, keys),

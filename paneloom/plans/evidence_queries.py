@@ -834,7 +834,7 @@ def _(fx: Inputs) -> DataFrame:
 @query(
     "logical_sources",
     """SELECT r.source_id, l.physical_id, l.channel_id, count(*) AS records
-       FROM fx_records r JOIN (VALUES ('labels', 'quality', 'S1'), ('labels', 'toxic', 'S1'), ('pages', 'lang', 'S3'))
+       FROM fx_records r LEFT JOIN (VALUES ('labels', 'quality', 'S1'), ('labels', 'toxic', 'S1'), ('pages', 'lang', 'S3'))
             l(physical_id, source_id, channel_id) ON l.source_id = r.source_id GROUP BY 1, 2, 3""",
 )
 def _(fx: Inputs) -> DataFrame:
@@ -849,7 +849,7 @@ def _(fx: Inputs) -> DataFrame:
         ],
     )
     rows = fx("fx_records").select("source_id")
-    joined = rows.join(F.broadcast(registered), "source_id")
+    joined = rows.join(F.broadcast(registered), "source_id", "left")  # records of unregistered sources stay
     return joined.groupBy("source_id", "physical_id", "channel_id").agg(F.count(F.lit(1)).alias("records"))
 
 

@@ -76,7 +76,7 @@ def _(fx: Inputs) -> DataFrame:
         .groupBy("file", F.expr("event_id div 6400").alias("part"))
         .agg(F.to_json(F.collect_list(F.struct("event_id", "event_type"))).alias("value"))
     )
-    arrays.select("value").repartition(16).write.option("maxRecordsPerFile", 1).text(path)
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(path)
     rows = readers.read_source(fx.spark, path, "json", schema="event_id bigint, event_type string")
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
 

@@ -23,6 +23,7 @@ def local_session(name: str = "paneloom", cores: int | None = None) -> SparkSess
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.checkpoint.dir", f"{scratch}/checkpoint")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.local.dir", f"{scratch}/local")
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
         .getOrCreate()

@@ -66,14 +66,14 @@ def decode_values(control: np.ndarray, data: np.ndarray, count: int) -> np.ndarr
 
 
 def file_bytes(doc_ids: np.ndarray, nulls: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> list[bytes]:
-    found, at, often = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-often, kind="stable")
-    rank = np.empty(len(found), np.uint32)
-    rank[order] = np.arange(len(found), dtype=np.uint32)
-    control, data = encode_values(rank[at])
-    head = np.array([len(doc_ids), len(ids), len(found)], "<u8").tobytes()
+    often = np.bincount(ids)  # as long as the vocabulary
+    order = np.argsort(-often, kind="stable")[: np.count_nonzero(often)]
+    rank = np.zeros(len(often), np.uint32)
+    rank[order] = np.arange(len(order), dtype=np.uint32)
+    control, data = encode_values(rank[ids])
+    head = np.array([len(doc_ids), len(ids), len(order)], "<u8").tobytes()
     documents = (doc_ids.astype("<i8").tobytes(), nulls.astype(np.uint8).tobytes(), counts.astype("<i8").tobytes())
-    return [MAGIC, head, found[order].astype("<u4").tobytes(), *documents, control, data]
+    return [MAGIC, head, order.astype("<u4").tobytes(), *documents, control, data]
 
 
 def parse_file(content: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -161,7 +161,9 @@ def read_token_files(files: DataFrame, folder: str, with_ids: bool = False) -> D
     ``start`` counts the ids of all documents before; ``ids`` adds the ids themselves.
     """
     starts = running(files, [], [("part", True), ("seq", True)], {"upto": F.col("n_tokens")})
-    spread = starts.select("file", (F.col("upto") - F.col("n_tokens")).alias("first")).repartition("file")
+    # the list is short and each of its rows a whole file, so the number of tasks is not left to the list's size
+    tasks = max(1, min(files.count(), 4 * int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    spread = starts.select("file", (F.col("upto") - F.col("n_tokens")).alias("first")).repartition(tasks, "file")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs

@@ -56,12 +56,19 @@ def kth_best(scores: np.ndarray, k: int) -> np.ndarray:
 
 
 def feasible(query_unit: np.ndarray, units: np.ndarray, cosine: float) -> np.ndarray:
-    """Rows whose coordinates allow a cosine of at least this with the query."""
+    """Rows whose coordinates allow a cosine of at least this with the query.
+
+    A vector within the angle acos(cosine) of the query is between the query's angle to an axis minus and
+    plus that angle. An interval that passes the axis itself ends at 1, one that passes its opposite at -1.
+    """
     focus = np.argsort(-np.abs(query_unit))[:FOCUS]
     q = query_unit[focus]
-    slack = np.sqrt(np.maximum(0, (1 - q * q) * (1 - cosine * cosine))) + 1e-9
+    # the root of a rounded difference near 0 is right to some 1e-8
+    slack = np.sqrt(np.maximum(0, (1 - q * q) * (1 - cosine * cosine))) + 1e-7
+    low = np.where(q <= -cosine, -1.0, q * cosine - slack) - 1e-7
+    high = np.where(q >= cosine, 1.0, q * cosine + slack) + 1e-7
     near = units[:, focus]
-    return np.flatnonzero(((near >= q * cosine - slack) & (near <= q * cosine + slack)).all(1))
+    return np.flatnonzero(((near >= low) & (near <= high)).all(1))
 
 
 def search(ids: np.ndarray, vectors: np.ndarray, q_ids: np.ndarray, q_vectors: np.ndarray, beat: np.ndarray, k: int):

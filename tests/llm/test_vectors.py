@@ -55,6 +55,32 @@ def test_both_prunings_lose_nothing():
     assert set(near) <= set(feasible(unit[0], unit, 0.95)) and len(feasible(unit[0], unit, 0.95)) < 2000
 
 
+def test_coordinates_past_the_threshold_lose_nothing(spark):
+    assert 0 in feasible(np.array([0.95, np.sqrt(1 - 0.95**2)]), np.array([[1.0, 0.0]]), 0.6)
+    assert 0 in feasible(np.array([-0.95, np.sqrt(1 - 0.95**2)]), np.array([[-1.0, 0.0]]), 0.6)
+    rng = np.random.default_rng(8)
+    for dim in (1, 2, 3, 12):
+        units = rng.normal(size=(1500, dim)) * np.where(rng.random((1500, dim)) < 0.5, 0.05, 1)
+        units /= np.sqrt((units**2).sum(1))[:, None]
+        for cosine in (0.6, 0.8, 0.95, 0.999):
+            for unit in units[:60]:
+                assert set(np.flatnonzero(units @ unit >= cosine)) <= set(feasible(unit, units, cosine))
+    one_hot = rng.normal(size=(3000, 6)) * 0.1
+    one_hot[np.arange(3000), rng.integers(0, 6, 3000)] += rng.choice([-1, 1], 3000)
+    shapes = (one_hot, rng.normal(size=(2500, 2)), rng.normal(size=(2500, 3)))
+    rows = [(10_000 * n + i, v.tolist(), "x") for n, part in enumerate(shapes) for i, v in enumerate(64 * part / np.sqrt((part**2).sum(1))[:, None])]
+    got = {tuple(r) for r in exact_topk(frame(spark, rows), F.col("id") % 100 == 0, k=20, scale=64.0).collect()}
+    want = set()
+    for n in range(len(shapes)):
+        ids = np.array([i for i, _, _ in rows if i // 10_000 == n])
+        whole = np.floor(64 * np.array([v for i, v, _ in rows if i // 10_000 == n])).astype(np.int64)
+        for at in np.flatnonzero(ids % 100 == 0):
+            score = whole @ whole[at]
+            order = [j for j in np.lexsort((ids, -score)) if j != at][:20]
+            want |= {(int(ids[at]), r, int(ids[j]), int(score[j])) for r, j in enumerate(order, 1)}
+    assert got == want
+
+
 def test_products_stay_exact():
     for size in (10, 2**20, 2**29, 2**40):
         a = np.array([[size, -size + 1, 3]])

@@ -4,9 +4,11 @@ Pages become tokens: opening tags and text runs, each told apart by its path of
 the number of times a token occurs on each page is its occurrence vector; only a commutative hash of
 the vector is kept, so it is summed map-side and a host of any size is one small row per token.
 Tokens with equal vectors are an equivalence class. A class is valid if it is large and frequent
-enough and nests in one place of another class or at the top; the valid classes are the host's
-template. What a template holds as text on every page (notices, labels, slogans) is boilerplate, and
-the text between its tokens is in slots. ``extract`` returns the text of the slots in page order, but
+enough, holds tags, and these nest in one place of another class or at the top; the valid classes are
+the templates of the host's layouts. What a template holds as text on all pages of its layout (notices,
+labels, slogans) is boilerplate, and the text between its tokens is in slots. Pages without tags are
+not counted, and a layout of a ``LEAST_SHARE`` of the host's pages is enough. A text repeated on some
+pages of a layout is in no class with tags, so it stays. ``extract`` returns the text of the slots in page order, but
 for those that the page's own marks show to be no article: navigation, page headers, footers, asides,
 forms, adverts, notices, comments of readers, scripts and styles. A page that marks its article is
 read inside it only.
@@ -34,8 +36,8 @@ from pyspark.sql import types as T
 
 from paneloom.llm.shared import query, stored, table
 
-#: A class needs this many tokens, pages and share of its host's pages.
-LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 8, 1.0
+#: A class needs this many tokens, pages and share of its host's pages with markup.
+LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 3, 8, 0.1
 ROWS_AT_ONCE = 512
 
 MARKUP = re.compile(
@@ -232,8 +234,9 @@ def page_tokens(pages: DataFrame) -> DataFrame:
 def templates(pages: DataFrame) -> DataFrame:
     """(host, boilerplate): the text tokens of each host's template, of (host, page, html) rows.
 
-    A template's tokens are on every page, so their number is bounded by the smallest page.
+    A host's frequent tokens number at most the mean of a page's by ``LEAST_SHARE``.
     """
+    pages = pages.filter(F.col("html").rlike("<[a-zA-Z]"))
     sizes = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages")).filter(F.col("host_pages") >= LEAST_PAGES)
     whole = F.pmod(F.sum(F.col("vector").cast("decimal(38,0)")), F.lit(2**62).cast("decimal(38,0)"))
     vectors = page_tokens(pages).groupBy("host", "token", "is_text", "parent").agg(F.sum("pages").alias("pages"), whole.alias("vector"))
@@ -242,9 +245,10 @@ def templates(pages: DataFrame) -> DataFrame:
     )
     own = frequent.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("tokens")).filter(F.col("tokens") >= LEAST_TOKENS)
     held = frequent.join(own, ["host", "vector"])
-    above = held.filter("NOT is_text").select("host", F.col("token").alias("parent"), F.col("vector").alias("parent_vector")).distinct()
-    nested = held.join(above, ["host", "parent"], "left")
-    # the tokens that stand outside their class stand in one place of one other class, or at the top
+    tags = held.filter("NOT is_text")
+    above = tags.select("host", F.col("token").alias("parent"), F.col("vector").alias("parent_vector")).distinct()
+    nested = tags.join(above, ["host", "parent"], "left")
+    # the tags that stand outside their class stand in one place of one other class, or at the top
     outside = F.when(~F.coalesce(F.col("parent_vector") == F.col("vector"), F.lit(False)), F.coalesce(F.col("parent_vector"), F.lit(-1)))
     valid = nested.groupBy("host", "vector").agg(F.coalesce(F.min(outside) == F.max(outside), F.lit(True)).alias("valid")).filter("valid")
     text = held.filter("is_text").join(valid, ["host", "vector"])

@@ -185,6 +185,25 @@ def test_page_text(spark):
     assert templates.extract(frame.limit(0)).count() == 0
 
 
+NOTICE = "<html><body><div class=text><p>Body %d of %s.</p></div><div class=last>%s</div></body></html>"
+
+
+def test_templates_of_layouts(spark):
+    layouts = {"one": NOTICE, "two": "<html><body><table><tr><td>Body %d of %s.</td></tr></table><section>%s</section></body></html>"}
+    rows = [(i, layouts[k] % (i, k, f"Slogan {k}")) for i, k in enumerate(["one", "two"] * 15)]
+    rows += [(100, None), (101, ""), (102, "no markup")]
+    repeated = "<html><body><div><p>Body %d.</p><p>%s</p><p>%s</p><p>%s</p></div></body></html>"
+    copies = [(200 + i, repeated % (i, *(("a same", "b same", "c same") if i < 10 else (f"a {i}", f"b {i}", f"c {i}")))) for i in range(30)]
+    pages = [(i, f"http://l.example/{i}", h) for i, h in rows] + [(i, f"http://r.example/{i}", h) for i, h in copies]
+    pages += [(300 + i, None, NOTICE % (i, "none", "Slogan none")) for i in range(12)]
+    text = {r["page_id"]: r["text"] for r in templates.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert len(text) == len(pages)
+    assert all(text[i] == f"Body {i} of {k}." for i, k in enumerate(["one", "two"] * 15))
+    assert (text[100], text[101], text[102]) == ("", "", "no markup")
+    assert text[205] == "Body 5. a same b same c same"  # repeated text in one layout is no template
+    assert text[303] == "Body 3 of none."
+
+
 def test_folds_are_those_of_crc32(spark):
     rows = spark.range(50).select("id", quality.fold(F.col("id")).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)

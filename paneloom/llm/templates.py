@@ -10,8 +10,10 @@ labels, slogans) is boilerplate, and the text between its tokens is in slots. Pa
 not counted, and a layout of a ``LEAST_SHARE`` of the host's pages is enough. A text repeated on some
 pages of a layout is in no class with tags, so it stays. ``extract`` returns the text of the slots in page order, but
 for those that the page's own marks show to be no article: navigation, page headers, footers, asides,
-forms, adverts, notices, comments of readers, scripts and styles. A page that marks its article is
-read inside it only.
+forms, adverts, cookie notices, comments of readers, scripts and styles. Marks are whole names of a
+class, id or role, or a whole label, never parts of them; other names are left to the template. A page
+that marks its article is read inside it only, headings and figures included; an article inside a
+refused element is read if the page has no other.
 
 Character references are decoded, white space inside a block becomes one space, and blocks are joined
 by one space. Broken markup is read as browsers do: unknown ends are passed over, and open paragraphs,
@@ -47,12 +49,13 @@ MARKUP = re.compile(
     r"<(?P<tag>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S | re.I,
 )
-ATTRIBUTE = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+DIGITS = re.compile(r"[0-9]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split()
 )
-DROPPED = frozenset("nav footer aside form head button select option dialog menu figure svg math object audio video canvas map frameset".split())
+DROPPED = frozenset("nav footer aside form head button select option dialog menu svg math object audio video canvas map frameset".split())
 SCOPES = frozenset(("article", "main"))
 #: Tags that end an open one of the listed names when they begin.
 ENDS = {
@@ -62,23 +65,29 @@ ENDS = {
 ENDS |= {t: ("p",) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol pre section table ul".split()}
 #: An open tag of these names stops what a beginning tag may end.
 FENCES = frozenset("table ul ol dl div article section main aside nav header footer form body html blockquote".split())
-NO_ARTICLE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adsense|sponsor|sponsored|promo|promotion|banner|cookie|cookies|consent|gdpr|notice|alert|"
-    r"popup|modal|overlay|subscribe|newsletter|signup|login|sidebar|side|aside|widget|related|recommended|trending|comments?|commentlist|disqus|"
-    r"respond|reply|replies|share|sharing|social|breadcrumbs?|pagination|pager|nav|navbar|navigation|menu|topbar|masthead|header|footer|copyright|"
-    r"legal|search|form|toolbar|tags|taglist|byline-social|complementary|contentinfo|banner-ad)(?:$|[\s_-]|\d)",
-    re.I,
+#: Whole names that mark no article.
+NO_ARTICLE = frozenset(
+    "ad ads advert adverts advertisement advertisements adsense ad-banner ad-slot ad-container banner-ad sponsor sponsored promo promotion banner "
+    "comment cookie cookies cookie-notice cookie-banner cookie-consent cookie-bar consent gdpr popup modal newsletter newsletter-signup subscribe signup login "
+    "sidebar comments comment-list commentlist comments-area comments-section disqus disqus-thread social breadcrumb breadcrumbs pagination pager "
+    "nav navbar navigation main-nav site-nav menu main-menu topbar toolbar masthead header site-header page-header footer site-footer page-footer "
+    "copyright complementary contentinfo".split()
 )
-ARTICLE_MARK = re.compile(r"(?:^|[\s_-])(?:article|articlebody|post-content|entry-content|article-body|post-body|main-content|maincontent)(?:$|\s)", re.I)
-COMMON_ENDS = re.compile(r"^(?:©|\(c\)\s|copyright\b)", re.I)
+#: Those that stay inside an article, and those that refuse as a role only.
+HEADERS, ROLES = frozenset("header page-header masthead banner".split()), frozenset(("search", "form"))
+READERS = frozenset("comment comments comment-body comment-item reply".split())
+ARTICLE_MARKS = frozenset("article articlebody article-body article-content post-content entry-content post-body main-content maincontent role=main role=article".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an element is: free, an article inside a refused one, refused, or refused with the articles inside.
+FREE, DOUBTFUL, REFUSED, HARD = range(4)
 
 
 class Block:
-    """A run of text: its path, its words, whether it may be article text, and what share is linked."""
+    """A run of text: its path, its words, whether it is refused, and what share is linked."""
 
     __slots__ = ("linked", "path", "refused", "scoped", "text")
 
-    def __init__(self, path: int, refused: bool, scoped: bool, text: str, linked: int):
+    def __init__(self, path: int, refused: int, scoped: bool, text: str, linked: int):
         self.path, self.refused, self.scoped, self.text, self.linked = path, refused, scoped, text, linked
 
 
@@ -91,7 +100,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     blocks: list[Block] = []
     tokens: list[tuple[int, int]] = []
     # open tags: name, path, refused, scoped, linked
-    stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]
+    stack: list[tuple[str, int, int, bool, bool]] = [("", 0, FREE, False, False)]
     runs: list[str] = []
     linked = 0
 
@@ -151,14 +160,10 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
         _, path, refused, scoped, in_link = stack[-1]
         attributes = found.group("attributes")
         if tag in INLINE:
-            marks = _marks(attributes) if attributes else ""
-            if marks and NO_ARTICLE.search(marks) and not refused:
+            if attributes and refused < REFUSED and _names(attributes) & NO_ARTICLE:
                 close_block(holder())
-                tag = "span-block"
-                refused = True
+                refused = REFUSED  # for the blocks inside; its own text is of the block around it
             stack.append((tag, path, refused, scoped, in_link or tag == "a"))
-            if tag == "span-block":
-                stack[-1] = ("span", path, True, scoped, in_link)
             continue
         close_block(holder())
         if tag in ENDS:
@@ -171,14 +176,11 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
             _, path, refused, scoped, in_link = stack[-1]
         elif stack[-1][0] in INLINE and tag != "a":
             in_link = in_link and any(s[0] == "a" for s in stack)
-        marks = _marks(attributes) if attributes else ""
-        own = hashed(path, tag, marks)
+        own = hashed(path, tag, _marks(attributes) if attributes else "")
         tokens.append((own, path))
-        opens = tag in SCOPES or bool(marks and ARTICLE_MARK.search(marks))
-        if tag in DROPPED or tag == "header" and not scoped or marks and tag not in ("html", "body", "article", "main") and NO_ARTICLE.search(marks):
-            refused = True
-        elif tag == "article" and marks and re.search(r"comment|reply", marks, re.I):
-            refused = True
+        names = _names(attributes) if attributes else NO_NAMES
+        opens = tag in SCOPES or bool(names & ARTICLE_MARKS)
+        refused = _judged(tag, names, opens, scoped, refused)
         stack.append((tag, own, refused, scoped or opens, in_link))
         if attributes.endswith("/") and tag in ("div", "p", "span"):
             pass  # a slash does not close these
@@ -187,8 +189,46 @@ def parse(page: str) -> tuple[list[Block], list[tuple[int, int]]]:
     return blocks, tokens
 
 
+NO_NAMES: frozenset = frozenset()
+
+
+def _judged(tag: str, names: frozenset, opens: bool, scoped: bool, outer: int) -> int:
+    """What an element is inside an outer one."""
+    if tag in DROPPED:
+        return max(outer, REFUSED if tag in ("form", "dialog", "aside") else HARD)
+    if tag == "article" and names & READERS:
+        return HARD
+    if opens and outer >= REFUSED:
+        return FREE if tag == "main" or "role=main" in names else DOUBTFUL if outer == REFUSED else HARD
+    if opens:
+        return outer
+    if tag == "header" and not scoped:
+        return max(outer, REFUSED)
+    if tag in ("html", "body") or scoped and tag in HEADINGS:
+        return outer
+    marked = names & NO_ARTICLE
+    if scoped:
+        marked -= HEADERS
+    return max(outer, HARD if marked & READERS else REFUSED) if marked else outer
+
+
 def _marks(attributes: str) -> str:
-    return " ".join(a or b or c for a, b, c in ATTRIBUTE.findall(attributes))
+    """Values of the marking attributes without numbers, which differ by page."""
+    return DIGITS.sub("", " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attributes)))
+
+
+def _names(attributes: str) -> frozenset:
+    """Whole names in the marking attributes, without numbers at their end; a label is one name."""
+    names: list[str] = []
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        value, key = (a or b or c).lower().replace("_", "-"), key.lower()
+        found = [value.strip()] if key == "aria-label" else value.split()
+        names += [x.rstrip("0123456789").rstrip("-") for x in found]
+        if key == "role":
+            names += ["role=" + x for x in found]
+            if not ROLES.isdisjoint(found):
+                names.append("nav")
+    return frozenset(names)
 
 
 def text_token(block: Block) -> int:
@@ -213,7 +253,7 @@ def page_tokens(pages: DataFrame) -> DataFrame:
                 for path, parent in tags:
                     counts[path, False, parent] = counts.get((path, False, parent), 0) + 1
                 for block in blocks:
-                    if not block.refused:
+                    if block.refused < REFUSED:
                         key = (text_token(block), True, block.path)
                         counts[key] = counts.get(key, 0) + 1
                 for key, n in counts.items():
@@ -257,11 +297,12 @@ def templates(pages: DataFrame) -> DataFrame:
 
 def main_text(content: str, boilerplate: frozenset) -> str:
     """Text of the slots that belong to the article."""
-    blocks = [b for b in parse(content)[0] if not b.refused]
-    if any(b.scoped for b in blocks):
-        blocks = [b for b in blocks if b.scoped]
-    else:
-        blocks = [b for b in blocks if b.linked * 10 < len(b.text) * 9 and not COMMON_ENDS.match(b.text)]
+    blocks = [b for b in parse(content)[0] if b.refused < REFUSED]
+    if any(b.scoped and b.refused == FREE for b in blocks):
+        blocks = [b for b in blocks if b.scoped and b.refused == FREE]
+    else:  # two or more neighbours that are all links are a menu
+        links = [False, *(not b.scoped and b.linked * 10 >= len(b.text) * 9 for b in blocks), False]
+        blocks = [b for k, b in enumerate(blocks, 1) if not (links[k] and (links[k - 1] or links[k + 1]))]
     if boilerplate:
         slots = [b for b in blocks if signed(text_token(b)) not in boilerplate]
         blocks = slots or blocks

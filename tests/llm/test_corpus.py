@@ -204,6 +204,34 @@ def test_templates_of_layouts(spark):
     assert text[303] == "Body 3 of none."
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<div class='layout has-sidebar'><main><p>Text</p></main></div>", "Text"),
+        ("<div class='page no-sidebar'><article><p>Text</p></article></div>", "Text"),
+        ("<div class='page sidebar'><p>menu</p><main><p>Text</p></main></div>", "Text"),
+        ("<div class='page sidebar'><p>menu</p><article><p>Text</p></article></div>", "Text"),
+        ("<form><p>menu</p><main><p>Text</p></main></form>", "Text"),
+        ("<article class='post comments-open'><p>Text</p></article>", "Text"),
+        ("<article><header class='entry-header'><h1>Head</h1></header><p>Text</p></article>", "Head Text"),
+        ("<article><div class='article-header'><h1>Head</h1></div><p>Text</p></article>", "Head Text"),
+        ("<article><div class='header'><h1>Head</h1></div><p>Text</p></article>", "Head Text"),
+        *((f"<article><div class='{name}'>Part</div><p>Text</p></article>", "Part Text") for name in "legal search side tags notice related share".split()),
+        ("<article><figure><img><figcaption>Part</figcaption></figure><p>Text</p></article>", "Part Text"),
+        ("<div><p>Copyright law is old.</p><p>(c) is a mark.</p><p><a href=x>A linked line</a></p><p>Text</p></div>", "Copyright law is old. (c) is a mark. A linked line Text"),
+        ("<div class='next-article'>Next</div><div aria-label='Ads in the search for a banner'><p>Text</p></div>", "Next Text"),
+        # what stays out
+        ("<article><p>Text</p><div class='comments'><article><p>reader</p></article></div></article>", "Text"),
+        ("<article><p>Text</p></article><div class='sidebar'><article><p>teaser</p></article></div>", "Text"),
+        ("<div class='comments'><article><p>reader</p></article></div><div><p>Text</p></div>", "Text"),
+        ("<div class='site-header'>name</div><div role='search'>find</div><div id='ad-3'>buy</div><nav>go</nav><p>Text</p><div class=footer>end</div>", "Text"),
+        ("<header><p>name</p></header><ul><li><a href=1>one</a><li><a href=2>two</a></ul><p>Text</p><aside>more</aside>", "Text"),
+    ],
+)
+def test_marks_are_whole_names(page, want):
+    assert templates.main_text(f"<html><body>{page}</body></html>", frozenset()) == want
+
+
 def test_folds_are_those_of_crc32(spark):
     rows = spark.range(50).select("id", quality.fold(F.col("id")).alias("f")).collect()
     assert all(r["f"] == zlib.crc32(str(r["id"]).encode()) % 5 for r in rows)

@@ -73,11 +73,21 @@ def _coefficients(spark: SparkSession, rows: Sequence[Mapping]) -> DataFrame:
 
 def soft_platt(df: DataFrame, target: str = "target_value") -> DataFrame:
     """Intercept and slope on the logit of the score, fitted to a soft target; identity without variation."""
-    spark = df.sparkSession
+    return _coefficients(df.sparkSession, [_soft_fit(df, target)])
+
+
+def soft_platt_by_model(df: DataFrame, target: str = "target_value") -> DataFrame:
+    """``soft_platt`` of every model_id."""
+    models = [r["model_id"] for r in df.select("model_id").distinct().orderBy("model_id").collect()]
+    mine = [{"model_id": m} | _soft_fit(df.filter(F.col("model_id").eqNullSafe(F.lit(m))), target) for m in models]
+    return _coefficients(df.sparkSession, mine) if mine else soft_platt(df).select(F.lit("").alias("model_id"), "*").limit(0)
+
+
+def _soft_fit(df: DataFrame, target: str) -> dict:
     rows = df.filter(F.col(target).isNotNull() & F.col("prediction").isNotNull())
     stats = rows.agg(F.count(F.lit(1)).alias("n"), (F.max(target) - F.min(target)).alias("spread")).first()
     if stats["n"] < 2 or stats["spread"] <= 1e-12:
-        return _coefficients(spark, [{"intercept": 0.0, "slope": 1.0, "status": "IDENTITY_INSUFFICIENT_TARGET_VARIATION"}])
+        return {"intercept": 0.0, "slope": 1.0, "status": "IDENTITY_INSUFFICIENT_TARGET_VARIATION"}
     s = clipped(F.col("prediction"), 1e-6)
     halves = expand_soft(rows.select(F.ln(s / (1 - s)).alias("x"), F.col(target), F.lit(1.0).alias("w")), target, "w")
     vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(halves).persist()
@@ -85,7 +95,7 @@ def soft_platt(df: DataFrame, target: str = "target_value") -> DataFrame:
         model = LogisticRegression(labelCol="label", weightCol="label_weight", regParam=0.0, maxIter=100, tol=1e-10).fit(vectors)
     finally:
         vectors.unpersist()
-    return _coefficients(spark, [{"intercept": float(model.intercept), "slope": float(model.coefficients[0]), "status": "SOFT_PLATT"}])
+    return {"intercept": float(model.intercept), "slope": float(model.coefficients[0]), "status": "SOFT_PLATT"}
 
 
 def hard_platt(df: DataFrame, inverse_regularization: float = 1.0) -> DataFrame:

@@ -44,11 +44,13 @@ def verified_keys(sources: DataFrame, channels: Sequence[str]) -> DataFrame:
 
 
 def verification_propensity(
-    train: DataFrame, features: Sequence[str], flag: str = "verified", inverse_regularization: float = 1.0, tolerance: float = 1e-6
-) -> tuple[DataFrame, str | None]:
-    """Rows with their verification propensity, or a reason why none can be fitted."""
+    train: DataFrame, features: Sequence[str], flag: str = "verified", inverse_regularization: float = 1.0, tolerance: float = 1e-6,
+    rows: DataFrame | None = None,
+) -> tuple[DataFrame, str | None]:
+    """``rows`` (by default those of the fit) with their verification propensity, or a reason why none can be fitted."""
+    rows = train if rows is None else rows
     if not features:
-        return train.withColumn("propensity", F.lit(None).cast("double")), "NO_PREDECISION_VERIFICATION_FEATURES"
+        return rows.withColumn("propensity", F.lit(None).cast("double")), "NO_PREDECISION_VERIFICATION_FEATURES"
     classes = train.agg(F.count_if(flag).alias("yes"), F.count_if(~F.col(flag)).alias("no")).first()
     reason = None
     if classes["yes"] == 0:
@@ -59,16 +61,20 @@ def verification_propensity(
     if reason is None and not kept:
         reason = "NO_ESTIMABLE_VERIFICATION_FEATURES"
     if reason is not None:
-        return train.withColumn("propensity", F.lit(None).cast("double")), reason
+        return rows.withColumn("propensity", F.lit(None).cast("double")), reason
     model = fit(train.withColumn("_y", F.col(flag).cast("double")), kept, "_y", "logistic", {"C": inverse_regularization, "tol": tolerance})
-    return score(model, train, "propensity"), None
+    return score(model, rows, "propensity"), None
 
 
 def stabilized_ipw(
-    train: DataFrame, features: Sequence[str], flag: str = "verified", inverse_regularization: float = 1.0, tolerance: float = 1e-6
-) -> DataFrame:
-    """Stabilised weights p/p(x) and (1-p)/(1-p(x)); weight one with a reason when no model can be fitted."""
-    scored, reason = verification_propensity(train, features, flag, inverse_regularization, tolerance)
+    train: DataFrame, features: Sequence[str], flag: str = "verified", inverse_regularization: float = 1.0, tolerance: float = 1e-6,
+    rows: DataFrame | None = None,
+) -> DataFrame:
+    """Stabilised weights p/p(x) and (1-p)/(1-p(x)) of ``rows``, by default those of the fit.
+
+    Propensity and rate are those of ``train``. Weight one with a reason when no model can be fitted.
+    """
+    scored, reason = verification_propensity(train, features, flag, inverse_regularization, tolerance, rows)
     rate = train.agg(F.avg(F.col(flag).cast("double")).alias("_rate"))
     weight = (
         F.lit(1.0)

@@ -69,8 +69,8 @@ def _with_propensity(fx: Inputs) -> DataFrame:
 
 @query("stabilized_weights")
 def _(fx: Inputs) -> DataFrame:
-    train = _flagged(fx).filter("period < 1999")
-    rows = weights.stabilized_ipw(train, NUMERIC)
+    whole = _flagged(fx)
+    rows = weights.stabilized_ipw(whole.filter("period < 1999"), NUMERIC, rows=whole)
     return rows.groupBy("period", "verified", "reason").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("weight"), 4).alias("mean_weight"), F.min("weight").alias("least_weight")
     )
@@ -365,8 +365,7 @@ def _(fx: Inputs) -> DataFrame:
 @query("soft_platt")
 def _(fx: Inputs) -> DataFrame:
     docs = fx("documents").select(F.col("doc_id").cast("string").alias("entity_id"), ((F.col("n_chars") % 41) / 40).alias("target_value"))
-    rows = fx("fx_scores").filter("model_id = 'full'").join(docs, "entity_id")
-    return _round(selection.soft_platt(rows), 4)
+    return _round(selection.soft_platt_by_model(fx("fx_scores").join(docs, "entity_id")), 4)
 
 
 @query("calibrated_evaluation")

@@ -6,6 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from paneloom.operators import features, models, newton, selection, weights
+from paneloom.plans import catalogue
+
+FOLDER = "/root/testdata/sf0.001"
 
 
 def newton_numpy(x, y, w, penalty, steps=60):
@@ -45,6 +48,19 @@ def test_soft_platt_matches_newton(spark):
     assert selection.soft_platt(flat).first().status.startswith("IDENTITY")
 
 
+def test_fits_reach_all_models_and_rows(spark):
+    run = catalogue.QUERIES
+    assert {r["model_id"] for r in run["soft_platt"](spark, FOLDER).collect()} == {"full", "observability_only"}
+    periods = {r["period"] for r in run["stabilized_weights"](spark, FOLDER).collect()}
+    assert min(periods) < 1999 <= max(periods)
+    rows = panel(spark).withColumn("verified", F.col("outcome"))
+    early = rows.filter("period < 2018")
+    got = weights.stabilized_ipw(early, ["x"], rows=rows)
+    assert got.count() == rows.count()
+    both = got.select("entity_id", "period", F.col("weight").alias("w")).join(weights.stabilized_ipw(early, ["x"]), ["entity_id", "period"])
+    assert both.count() == early.count() and both.filter("abs(w - weight) > 1e-9").count() == 0
+
+
 def panel(spark):
     rng = np.random.default_rng(8)
     rows = [(str(i), 2015 + i % 5, float(rng.normal()), bool(rng.random() < 0.5)) for i in range(300)]

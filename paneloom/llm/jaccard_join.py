@@ -227,6 +227,12 @@ def _verified(threshold: float):
     return run
 
 
+def texts_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, d1, d2, text) of the rows equal in id and text hash to a wanted node; no text meets another node of its id."""
+    same = F.col("id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return documents.join(wanted.withColumnsRenamed({"id": "_id", "text_hash": "_hash"}), same).select("node", "d1", "d2", "text")
+
+
 def near_duplicates(
     documents: DataFrame, n: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -256,8 +262,8 @@ def near_duplicates(
     met = cells.join(about.drop("copies"), "node").repartition(*cell_key).sortWithinPartitions(*cell_key)
     needed = stored(met.mapInArrow(_needed(threshold), "key long, low long, high long, block long, node long"), "needed")
 
-    wanted = needed.select("node").distinct().join(node_rows.select("node", "id", "d1", "d2"), "node")
-    texts = named.join(wanted.withColumnRenamed("id", "_id"), F.col("id").eqNullSafe(F.col("_id"))).select("node", "d1", "d2", "text")
+    wanted = needed.select("node").distinct().join(node_rows.select("node", "id", "text_hash", "d1", "d2"), "node")
+    texts = texts_of(named, wanted)
 
     def sets(batches):
         for batch in batches:

@@ -156,6 +156,17 @@ def test_near_duplicates(spark, documents):
     assert jaccard_join.near_duplicates(documents([])).count() == 0
 
 
+def test_texts_of_one_id_meet_their_own_node_only(spark, documents):
+    rows = [(None if i % 2 else 7, prose(i // 2, 40) + (" more" if i % 4 > 1 else ""), "s") for i in range(120)]
+    named = documents(rows).select(F.col("doc_id").alias("id"), "text")
+    wanted = named.select("id", F.xxhash64("text").alias("text_hash")).distinct().select(
+        F.monotonically_increasing_id().alias("node"), "id", "text_hash", F.lit(0).alias("d1"), F.lit(0).alias("d2")
+    )
+    assert jaccard_join.texts_of(named, wanted).count() == len(rows)
+    copies = documents([(None, prose(k, 60) + end, "s") for k in range(20) for end in ("", " end")])
+    assert [r["links"] for r in jaccard_join.near_duplicates(copies).collect()] == [1] * 40
+
+
 def test_bands_meet_the_recall():
     for threshold in (0.5, 0.8, 0.95):
         bands, rows = jaccard_join.choose_bands(threshold, 0.999)

@@ -1,9 +1,12 @@
 """All queries of the training-data operators."""
 
 from paneloom.llm import (
+    centroids,
     exact_topk,
     graph_index,
+    hard_negatives,
     jaccard_join,
+    language,
     mixing,
     packing,
     preference,
@@ -15,5 +18,6 @@ from paneloom.llm import (
 from paneloom.llm.shared import QUERIES, SQL
 
 __all__ = [
-    "QUERIES", "SQL", "exact_topk", "graph_index", "jaccard_join", "mixing", "packing", "preference", "quality", "templates", "token_counts", "token_files",
+    "QUERIES", "SQL", "centroids", "exact_topk", "graph_index", "hard_negatives", "jaccard_join", "language", "mixing", "packing", "preference", "quality",
+    "templates", "token_counts", "token_files",
 ]

@@ -27,9 +27,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneloom.functions.draws import hash_number
-from paneloom.functions.grid import registry, with_grid
+from paneloom.functions.grid import registry
 from paneloom.functions.profile import melt, profile
+from paneloom.operators.fits import OPEN, PASS, Cell, SharedFits
 from paneloom.operators.metrics import average_precision, soft_log_loss
+from paneloom.operators.nested import members, nested_ecdf, nested_medians
 from paneloom.operators.ranking import attach, cut, positions, quantile_rows, running
 
 KEY = ["entity_id", "period"]
@@ -78,13 +80,9 @@ def medians(df: DataFrame, features: Sequence[str]) -> dict[str, float]:
 
 
 def medians_before(df: DataFrame, features: Sequence[str], periods: Sequence[int]) -> dict[int, dict[str, float]]:
-    """The medians of the rows before each of the configured periods, ranked together in one pass."""
-    grown = with_grid(df, [{"before": int(p)} for p in periods], {"before": "int"}).filter("period < before")
-    rows = quantile_rows(melt(grown, ["before"], features).filter("value IS NOT NULL"), ["before", "feature"], "value", [0.5])
-    found: dict[int, dict[str, float]] = {int(p): {} for p in periods}
-    for r in rows.collect():  # one number per period and feature
-        found[r["before"]][r["feature"]] = r["quantile"]
-    return found
+    """The medians of the rows before each of the configured periods, selected in one sort; no row is copied per period."""
+    marked = df.withColumn("_sets", members(F.col("period"), periods))
+    return dict(zip((int(p) for p in periods), nested_medians(marked, features, len(periods), "_sets"), strict=True))
 
 
 class Prepared(Transformer):
@@ -272,32 +270,148 @@ def grid(base: Mapping[str, Any], space: Mapping[str, Sequence[Any]], maximum: i
     return combinations
 
 
+def estimable_before(df: DataFrame, label: str, periods: Sequence[int], soft: bool) -> list[int]:
+    """The periods that can be estimated from the rows before them: counts and extremes of each period, run up."""
+    t = F.col(label).cast("double")
+    stats = df.groupBy("period").agg(F.count(t).alias("n"), F.min(t).alias("low"), F.max(t).alias("high")).collect()  # one row a period
+    found = []
+    for p in periods:
+        some = [r for r in stats if r["period"] is not None and r["period"] < p and r["n"]]
+        low, high = min((r["low"] for r in some), default=0.0), max((r["high"] for r in some), default=0.0)
+        spread = high - low > 1e-12 if soft else int(high) > int(low)
+        if spread and sum(r["n"] for r in some) >= 2:
+            found.append(int(p))
+    return found
+
+
+def shared(learner: str, params: Mapping[str, Any] | None) -> bool:
+    """Whether fits of this learner go through the shared passes."""
+    return learner == "logistic" and set(params or {}) <= {"C", "tol", "maxIter"}
+
+
+def receipt_of(model: Any, learner: str, params: Mapping[str, Any] | None) -> dict[str, Any]:
+    """Steps and verdict of a library fit; learners without an optimiser's history always end."""
+    summary = getattr(model, "summary", None)
+    summary = summary() if callable(summary) else summary
+    if summary is None or not hasattr(summary, "totalIterations"):
+        return {"steps": None, "loss": None, "converged": True}
+    most = int((params or {}).get("maxIter", model.getOrDefault("maxIter")))
+    history = list(summary.objectiveHistory)
+    # a model of the intercept alone needs no step
+    return {"steps": int(summary.totalIterations), "loss": float(history[-1]) if history else None, "converged": summary.totalIterations < most}
+
+
+RECEIPT = "model_id string, setting int, period int, row_count long, status string, converged boolean, steps int, loss double"
+
+
+def oof_candidates(
+    df: DataFrame, groups: Mapping[str, Sequence[str]], learners: Mapping[str, Sequence[Mapping[str, Any]]], label: str, weight: str | None = None,
+    soft: bool = False, years: Sequence[int] | None = None, ranked: bool = False, final: int | None = None,
+) -> tuple[DataFrame | None, list[tuple], SharedFits | None]:
+    """Out-of-fold scores of every candidate (learner, group, setting), with a receipt of every fit.
+
+    A period is scored by fits on strictly earlier periods; periods that can't be estimated from those
+    before them are left out. A candidate with a fit that did not converge is void: it has receipts but no
+    scores. With ``ranked`` the target of a fit, and of the rows it scores, is its rank among the targets
+    before the scored period, so that no later row shapes it. ``final`` adds a fit on all rows before that
+    period to the shared ones.
+
+    Logistic candidates of all groups, settings and periods share their passes; others are fitted one by one.
+    Scores are (key, model_id, setting, target, prediction). Receipts follow ``RECEIPT``.
+    """
+    if years is None:
+        years = sorted(r["period"] for r in df.select("period").distinct().collect() if r["period"] is not None)
+    known = df.filter(F.col(label).isNotNull())
+    tops = [int(y) for y in years if final is None or y < final] + ([int(final)] if final is not None else [])
+    fitting = estimable_before(df, label, tops, soft)
+    scored_years = [y for y in fitting if y != final]
+    empty = (None, [], None)
+    if not fitting:
+        return empty
+    place = {y: i for i, y in enumerate(fitting)}
+    if ranked:
+        rows = nested_ecdf(df, label, "period", fitting, "_targets")
+        target = F.try_element_at("_targets", lookup_number(F.col("period"), place) + 1)
+    else:
+        rows, target = df.withColumn("_targets", F.array(F.col(label).cast("double"))), F.col(label).cast("double")
+    rows = cut(rows.withColumn("_target", target))
+    receipts: list[tuple] = []
+    parts: list[DataFrame] = []
+    features = sorted({f for fs in groups.values() for f in fs})
+    cells, void = [], set()
+    settings = [(f"{n}:{g}", n, g, k, p) for g in groups for n, ps in learners.items() for k, p in enumerate(ps)]
+    for model_id, learner, group, k, params in settings:
+        if not shared(learner, params):
+            continue
+        for y in fitting:
+            cells.append(Cell(f"{model_id}|{k}|{y}", place[y], tuple(groups[group]), place[y] if ranked else 0, 1 / float(params.get("C", 1.0))))
+    fits = None
+    if cells:
+        steps = max(int(p.get("maxIter", 100)) for _, n, _, _, p in settings if shared(n, p))
+        tolerance = min(float(p.get("tol", 1e-8)) for _, n, _, _, p in settings if shared(n, p))
+        load = F.col(weight).cast("double") if weight else F.lit(1.0)
+        base = rows.select(
+            *[F.col(f).cast("double").alias(f) for f in features], load.alias("weight"), members(F.col("period"), fitting).alias("sets"),
+            F.col("_targets").alias("labels"),
+        )
+        most = {f"{m}|{k}": int(p.get("maxIter", 100)) for m, n, _, k, p in settings if shared(n, p)}
+        fits = SharedFits(cut(base.filter(F.col("labels").isNotNull() & (F.size("sets") > 0))), cells, steps, tolerance, most)
+        for one in fits.fits.values():
+            model_id, k, y = one.cell.name.rsplit("|", 2)
+            receipts.append((model_id, int(k), int(y), one.row_count, one.status, one.status == PASS, one.steps, one.losses[-1] if one.losses else None))
+            if one.status == OPEN and int(y) != final:
+                void.add((model_id, int(k)))
+        asked = {y: [f"{m}|{k}|{y}" for m, n, _, k, p in settings if shared(n, p) and (m, k) not in void] for y in scored_years}
+        names = F.coalesce(*[F.when(F.col("period") == y, F.array(*map(F.lit, a))) for y, a in asked.items() if a], F.array().cast("array<string>"))
+        found = fits.score(rows, [*KEY, "_target"], names)
+        bits = F.split("cell", r"\|")
+        parts.append(found.select(*KEY, bits[0].alias("model_id"), bits[1].cast("int").alias("setting"), F.col("_target").alias("target"), "prediction"))
+    others = [s for s in settings if not shared(s[1], s[4])]
+    if others:
+        fills = medians_before(known, features, fitting)
+    for model_id, learner, group, k, params in others:
+        mine, whole = [], None
+        for y in scored_years:
+            goal = F.col("_targets")[place[y] if ranked else 0]
+            train = rows.filter(F.col("period") < y).withColumn("_goal", goal).filter("_goal IS NOT NULL")
+            fill = {f: v for f, v in fills[y].items() if f in groups[group]}
+            if not fill:
+                mine.append((model_id, k, y, None, "NO_FEATURE_WITH_VALUES", False, None, None))
+                continue
+            model = fit(train, groups[group], "_goal", learner, params, weight, soft, fill)
+            facts = receipt_of(model.model, learner, params)
+            status = PASS if facts["converged"] else OPEN
+            mine.append((model_id, k, y, None, status, facts["converged"], facts["steps"], facts["loss"]))
+            if status == OPEN:
+                break
+            part = model.score(rows.filter(F.col("period") == y)).select(
+                *KEY, F.lit(model_id).alias("model_id"), F.lit(k).alias("setting"), F.col("_target").alias("target"), "prediction"
+            )
+            whole = part if whole is None else whole.unionByName(part)
+        receipts += mine
+        if whole is not None and all(r[4] != OPEN for r in mine):
+            parts.append(whole)
+    scores = None
+    for part in parts:
+        scores = part if scores is None else scores.unionByName(part)
+    return scores, receipts, fits
+
+
+def lookup_number(column: Column, numbers: Mapping[int, int]) -> Column:
+    return F.coalesce(*[F.when(column == F.lit(k), F.lit(v)) for k, v in numbers.items()]) if numbers else F.lit(None).cast("int")
+
+
 def temporal_oof(
     df: DataFrame, features: Sequence[str], label: str, learner: str, params: Mapping[str, Any] | None = None, weight: str | None = None,
     soft: bool = False, years: Sequence[int] | None = None,
 ) -> DataFrame | None:
     """Scores of every period from a fit on strictly earlier periods; periods that can't be estimated
-    from those before them are left out. Null when no period can be scored.
+    from those before them are left out. Null when no period can be scored, or when a fit did not converge.
 
-    ``years`` configures the scored periods; without it they are those of the rows. One pass says what
-    can be estimated, and one gives the medians of all fits.
+    ``years`` configures the scored periods; without it they are those of the rows.
     """
-    if years is None:
-        years = sorted(r["period"] for r in df.select("period").distinct().collect())
-    if not years:
-        return None
-    grown = with_grid(df, [{"before": int(y)} for y in years], {"before": "int"}).filter("period < before")
-    fitting = sorted(r["before"] for r in estimable(grown, label, soft, ["before"]).filter("estimable").collect())
-    if not fitting:
-        return None
-    fills = medians_before(df, features, fitting)
-    whole = None
-    for year in fitting:
-        train, held = df.filter(F.col("period") < year), df.filter(F.col("period") == year)
-        part = fit(train.filter(F.col(label).isNotNull()), features, label, learner, params, weight, soft, fills[year]).score(held)
-        part = part.select(*KEY, label, "prediction")
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
+    scores, _, _ = oof_candidates(df, {"": features}, {learner: [dict(params or {})]}, label, weight, soft, years)
+    return None if scores is None else scores.select(*KEY, F.col("target").alias(label), "prediction")
 
 
 def objective(predictions: DataFrame, target: str, soft: bool) -> float | None:
@@ -309,55 +423,96 @@ def objective(predictions: DataFrame, target: str, soft: bool) -> float | None:
     return None if value is None else -value
 
 
-def fit_fold(
+def tune_fold(
     panel: DataFrame, labels: DataFrame, weights: DataFrame, outer_year: int, groups: Mapping[str, Sequence[str]],
     learners: Mapping[str, Sequence[Mapping[str, Any]]], target: str = "outcome", soft: bool = False, ecdf: bool = False,
-) -> DataFrame:
-    """Tune on earlier periods, refit on all of them, score the outer period.
+) -> tuple[DataFrame | None, DataFrame, DataFrame]:
+    """Tune on earlier periods, refit on all of them, score the outer period: (predictions, models, receipts).
 
     ``labels`` holds ``target``: a boolean outcome, or a number in [0, 1] if ``soft``. With ``ecdf`` a soft
-    target is replaced by its rank among the targets of the earlier periods, so that the outer period
-    never shapes it. Output: (model_id, split, key, outcome, target, prediction) with split oof or outer;
-    a soft target gives no outcome. Outer labels are never joined to fitted rows, and a missing weight
-    counts as one.
+    target is replaced, for every fit, by its rank among the targets before the period that the fit scores.
+    Predictions are (model_id, split, key, outcome, target, prediction) with split oof or outer; a soft target
+    gives no outcome. Outer labels are never joined to fitted rows, and a missing weight counts as one.
+
+    ``models`` has one row per (learner, group): status, reason, settings tried and valid, the chosen one and
+    its loss. A setting whose inner fits did not all converge is not valid; a model whose final fit did not
+    converge scores nothing. ``receipts`` has one row per fit, period being the one that it scores.
     """
+    spark = panel.sparkSession
     known = labels.select(*KEY, F.col(target).cast("double").alias("_y"))
-    development = panel.filter(F.col("period") < outer_year).join(known, KEY).join(weights, KEY, "left").na.fill(1.0, ["weight"])
-    if soft and ecdf:
-        ranked = train_ecdf(development.drop("weight"), development.select("_y"), "_y")
-        development = ranked.drop("_y").withColumnRenamed("ecdf", "_y").join(weights, KEY, "left").na.fill(1.0, ["weight"])
-    development = cut(development)
+    development = cut(panel.filter(F.col("period") < outer_year).join(known, KEY).join(weights, KEY, "left").na.fill(1.0, ["weight"]))
     outer = panel.filter(F.col("period") == outer_year)
-    outcome = F.lit(None).cast("boolean") if soft else F.col("_y") > 0
-    whole = None
+    outcome = F.lit(None).cast("boolean") if soft else F.col("target") > 0
+    scores, receipts, fits = oof_candidates(development, groups, learners, "_y", "weight", soft, ranked=soft and ecdf, final=outer_year)
+    losses: dict[tuple[str, int], float] = {}
+    if scores is not None:
+        scores = cut(scores)
+        losses = {k: v for k, v in objectives(scores, soft).items() if v is not None}
+    finals = {(r[0], r[1]): r for r in receipts if r[2] == outer_year}
+    rows, chosen, whole = [], {}, None
     for group, features in groups.items():
         for learner, settings in learners.items():
-            best = None
-            for params in settings:
-                oof = temporal_oof(development, features, "_y", learner, params, "weight", soft)
-                if oof is None:
-                    continue
-                oof = cut(oof)
-                loss = objective(oof, "_y", soft)
-                if loss is not None and (best is None or loss < best[0]):
-                    best = (loss, params, oof)
-            if best is None:
-                continue
-            _, params, oof = best
-            model = fit(development.filter("_y IS NOT NULL"), features, "_y", learner, params, "weight", soft)
-            name = F.lit(f"{learner}:{group}").alias("model_id")
-            parts = oof.select(
-                name, F.lit("oof").alias("split"), *KEY, outcome.alias("outcome"), F.col("_y").alias("target"), "prediction"
-            )
-            outer_part = model.score(outer).select(
-                name, F.lit("outer").alias("split"), *KEY, F.lit(None).cast("boolean").alias("outcome"),
-                F.lit(None).cast("double").alias("target"), "prediction",
-            )
-            parts = parts.unionByName(outer_part)
-            whole = parts if whole is None else whole.unionByName(parts)
-    if whole is None:
+            model_id = f"{learner}:{group}"
+            valid = {k: losses[model_id, k] for k in range(len(settings)) if (model_id, k) in losses}
+            facts = [model_id, "SKIPPED", "INSUFFICIENT_POSITIVES", len(settings), len(valid), None, None]
+            if valid:
+                k = min(valid, key=lambda i: (valid[i], i))
+                facts[5:] = [k, valid[k]]
+                chosen[model_id] = k
+                if shared(learner, settings[k]):
+                    ok = finals.get((model_id, k), (None,) * 5)[4] == PASS
+                else:
+                    goal = development.withColumn("_goal", F.col("_y")).filter("_goal IS NOT NULL")
+                    if soft and ecdf:
+                        goal = nested_ecdf(goal, "_y", "period", [outer_year], "_e").withColumn("_goal", F.col("_e")[0])
+                    model = fit(goal, features, "_goal", learner, settings[k], "weight", soft)
+                    receipt = receipt_of(model.model, learner, settings[k])
+                    ok = receipt["converged"]
+                    receipts.append((model_id, k, outer_year, None, PASS if ok else OPEN, ok, receipt["steps"], receipt["loss"]))
+                    if ok:
+                        part = model.score(outer).select(F.lit(model_id).alias("model_id"), *KEY, "prediction")
+                        whole = part if whole is None else whole.unionByName(part)
+                facts[1:3] = [PASS, None] if ok else ["SKIPPED", OPEN]
+            rows.append(tuple(facts))
+    names = [f"{m}|{k}|{outer_year}" for m, k in chosen.items() if fits is not None and f"{m}|{k}|{outer_year}" in fits.fits]
+    if names:
+        part = fits.score(outer, KEY, F.array(*map(F.lit, names))).select(F.split("cell", r"\|")[0].alias("model_id"), *KEY, "prediction")
+        whole = part if whole is None else whole.unionByName(part)
+    models = spark.createDataFrame(
+        rows, "model_id string, status string, reason string, evaluated_settings int, valid_settings int, setting int, loss double"
+    )
+    table = spark.createDataFrame(receipts, RECEIPT)
+    if not chosen:
+        return None, models, table
+    pick = F.coalesce(*[F.when(F.col("model_id") == m, F.lit(k)) for m, k in chosen.items()])
+    predictions = scores.filter(F.col("setting") == pick).select(
+        "model_id", F.lit("oof").alias("split"), *KEY, outcome.alias("outcome"), "target", "prediction"
+    )
+    if whole is not None:
+        nothing = {"outcome": F.lit(None).cast("boolean"), "target": F.lit(None).cast("double"), "split": F.lit("outer")}
+        predictions = predictions.unionByName(whole.withColumns(nothing))
+    return predictions, models, table
+
+
+def objectives(scores: DataFrame, soft: bool) -> dict[tuple[str, int], float | None]:
+    """Tuning loss of every candidate over its pooled out-of-fold rows, in one pass."""
+    by = ["model_id", "setting"]
+    rows = scores.filter(F.col("target").isNotNull())
+    if soft:
+        return {(r["model_id"], r["setting"]): r["soft_log_loss"] for r in soft_log_loss(rows, "target", "prediction", by).collect()}
+    values = average_precision(rows.withColumn("outcome", F.col("target") > 0), by).collect()
+    return {(r["model_id"], r["setting"]): None if r["average_precision"] is None else -r["average_precision"] for r in values}
+
+
+def fit_fold(
+    panel: DataFrame, labels: DataFrame, weights: DataFrame, outer_year: int, groups: Mapping[str, Sequence[str]],
+    learners: Mapping[str, Sequence[Mapping[str, Any]]], target: str = "outcome", soft: bool = False, ecdf: bool = False,
+) -> DataFrame:
+    """The predictions of ``tune_fold``; an error when no learner can be fitted."""
+    predictions, _, _ = tune_fold(panel, labels, weights, outer_year, groups, learners, target, soft, ecdf)
+    if predictions is None:
         raise ValueError(f"fold {outer_year}: no learner can be fitted")
-    return whole
+    return predictions
 
 
 def combine_predictions(*parts: DataFrame) -> DataFrame:
@@ -371,37 +526,87 @@ def combine_predictions(*parts: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- positive-unlabelled bagging
 
 
-def pu_bags(df: DataFrame, positive: Column, bags: int, ratio: float, seed: str) -> DataFrame:
-    """Membership of the bags: all positives, and the ceil(P x ratio) unlabelled rows with the
-    smallest hashes of the bag. Nothing when either side has fewer than two rows."""
+#: Leading bits of a hash by which the size of a bag is first located.
+BIN_BITS = 12
+
+
+def bag_limits(df: DataFrame, positive: Column, bags: int, ratio: float, seed: str) -> list[tuple] | None:
+    """For each bag the (hash, entity, period) of its last unlabelled row, the ceil(P x ratio)-th in that
+    order; null when either side has fewer than two rows.
+
+    Hashes are first counted by their leading bits, so rows are neither copied per bag nor sorted but for
+    the one bin of each bag where its size is reached.
+    """
     counts = df.agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("u")).first()
     if counts["p"] < 2 or counts["u"] < 2:
-        return df.limit(0).select("*", F.lit(0).alias("bag"), F.lit(0.0).alias("label"))
+        return None
     size = min(counts["u"], max(1, math.ceil(counts["p"] * ratio)))
-    numbered = with_grid(df, [{"bag": b} for b in range(bags)], {"bag": "int"})
-    unlabelled = numbered.filter(~positive).withColumn("_h", hash_number(seed, F.col("bag"), F.col("entity_id"), F.col("period")))
-    chosen = positions(unlabelled, ["bag"], [("_h", True), ("entity_id", True), ("period", True)]).filter(F.col("position") <= size)
-    return (
-        numbered.filter(positive)
-        .withColumn("label", F.lit(1.0))
-        .unionByName(chosen.drop("_h", "position").withColumn("label", F.lit(0.0)))
+    unlabelled = df.filter(~positive).select(*KEY)
+    draws = F.array(*[bag_hash(seed, b) for b in range(bags)])
+    bins = unlabelled.select(F.posexplode(F.transform(draws, lambda h: F.shiftright(h, 60 - BIN_BITS))).alias("bag", "bin"))
+    table: dict[int, list] = {b: [] for b in range(bags)}
+    for r in bins.groupBy("bag", "bin").agg(F.count(F.lit(1)).alias("n")).collect():  # bags times 2^BIN_BITS numbers at most
+        table[r["bag"]].append((r["bin"], r["n"]))
+    edge: dict[int, tuple[int, int]] = {}
+    for bag, found in table.items():
+        before = 0
+        for bin_, n in sorted(found):
+            if before + n >= size:
+                edge[bag] = (bin_, size - before)
+                break
+            before += n
+    near = unlabelled.select(*KEY, F.posexplode(draws).alias("bag", "h")).filter(
+        F.coalesce(*[F.when(F.col("bag") == b, F.shiftright("h", 60 - BIN_BITS) == e[0]) for b, e in edge.items()])
     )
+    place = positions(near, ["bag"], [("h", True), ("entity_id", True), ("period", True)])
+    last = place.filter(F.coalesce(*[F.when(F.col("bag") == b, F.col("position") == e[1]) for b, e in edge.items()]))
+    limits = {r["bag"]: (r["h"], r["entity_id"], r["period"]) for r in last.collect()}  # one row a bag
+    return [limits[b] for b in range(bags)]
+
+
+def bag_hash(seed: str, bag: int) -> Column:
+    return hash_number(seed, bag, F.col("entity_id"), F.col("period"))
+
+
+def bag_sets(positive: Column, limits: Sequence[tuple], seed: str) -> Column:
+    """Numbers of the bags that hold a row: all for a positive, for others those whose limit it doesn't pass."""
+    inside = []
+    for bag, (h, entity, period) in enumerate(limits):
+        draw = bag_hash(seed, bag)
+        tie = (F.col("entity_id") < F.lit(entity)) | ((F.col("entity_id") == F.lit(entity)) & (F.col("period") <= F.lit(period)))
+        drawn = (draw < F.lit(h)) | ((draw == F.lit(h)) & tie)
+        inside.append(F.when(positive | (~positive & drawn), F.lit(bag)))  # nothing where it is unknown
+    return F.array_compact(F.array(*inside))
+
+
+def pu_bags(df: DataFrame, positive: Column, bags: int, ratio: float, seed: str) -> DataFrame:
+    """Membership of the bags: all positives, and the ceil(P x ratio) unlabelled rows with the
+    smallest hashes of the bag. Nothing when either side has fewer than two rows."""
+    limits = bag_limits(df, positive, bags, ratio, seed)
+    if limits is None:
+        return df.limit(0).select("*", F.lit(0).alias("bag"), F.lit(0.0).alias("label"))
+    return df.select("*", F.explode(bag_sets(positive, limits, seed)).alias("bag"), F.coalesce(positive, F.lit(False)).cast("double").alias("label"))
 
 
 def pu_bagging(
     train: DataFrame, held: DataFrame, features: Sequence[str], positive: Column, bags: int, ratio: float, seed: str,
-    inverse_regularization: float = 1.0, tolerance: float = 1e-6,
+    inverse_regularization: float = 1.0, tolerance: float = 1e-8,
 ) -> DataFrame | None:
-    """Mean score of one logistic model per bag; null when the bags cannot be drawn."""
-    members = cut(pu_bags(train, positive, bags, ratio, seed))
-    if members.isEmpty():
+    """Mean score of one logistic model per bag; null when the bags cannot be drawn.
+
+    A row carries the numbers of its bags, so the bags are fitted together in shared passes and scored by
+    one product. A bag whose fit did not converge scores nothing; null when that holds for all.
+    """
+    limits = bag_limits(train, positive, bags, ratio, seed)
+    if limits is None:
         return None
-    rows = held
-    for bag in range(bags):
-        model = fit(members.filter(F.col("bag") == bag), features, "label", "logistic", {"C": inverse_regularization, "tol": tolerance})
-        rows = model.score(rows, f"_bag{bag}")
-    mean = sum((F.col(f"_bag{b}") for b in range(bags)), F.lit(0.0)) / bags
-    return rows.withColumn("prediction", mean).drop(*[f"_bag{b}" for b in range(bags)])
+    rows = train.select(
+        *[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("weight"), bag_sets(positive, limits, seed).alias("sets"),
+        F.array(F.coalesce(positive, F.lit(False)).cast("double")).alias("labels"),
+    )
+    cells = [Cell(str(b), b, tuple(features), 0, 1 / inverse_regularization) for b in range(bags)]
+    fits = SharedFits(cut(rows.filter(F.size("sets") > 0)), cells, tolerance=tolerance)
+    return fits.mean_score(held) if fits.fitted() else None
 
 
 # ------------------------------------------------------------- tracks

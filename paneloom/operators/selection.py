@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Mapping, Sequence
+from typing import Any
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -10,7 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paneloom.functions.grid import registry, with_grid
-from paneloom.operators.models import expand_soft, temporal_oof
+from paneloom.operators.fits import ONE_CLASS, OPEN, Cell, SharedFits
+from paneloom.operators.nested import members
 from paneloom.operators.ranking import attach, cut
 
 KEY = ["entity_id", "period"]
@@ -73,29 +76,34 @@ def _coefficients(spark: SparkSession, rows: Sequence[Mapping]) -> DataFrame:
 
 def soft_platt(df: DataFrame, target: str = "target_value") -> DataFrame:
     """Intercept and slope on the logit of the score, fitted to a soft target; identity without variation."""
-    return _coefficients(df.sparkSession, [_soft_fit(df, target)])
+    return _coefficients(df.sparkSession, [{k: v for k, v in r.items() if k != "model_id"} for r in _soft_fits(df, target, [None], F.lit(0))])
 
 
 def soft_platt_by_model(df: DataFrame, target: str = "target_value") -> DataFrame:
-    """``soft_platt`` of every model_id."""
+    """``soft_platt`` of every model_id; the models share the passes of one fit."""
     models = [r["model_id"] for r in df.select("model_id").distinct().orderBy("model_id").collect()]
-    mine = [{"model_id": m} | _soft_fit(df.filter(F.col("model_id").eqNullSafe(F.lit(m))), target) for m in models]
-    return _coefficients(df.sparkSession, mine) if mine else soft_platt(df).select(F.lit("").alias("model_id"), "*").limit(0)
+    if not models:
+        return soft_platt(df).select(F.lit("").alias("model_id"), "*").limit(0)
+    number = F.coalesce(*[F.when(F.col("model_id").eqNullSafe(F.lit(m)), F.lit(i)) for i, m in enumerate(models)])
+    return _coefficients(df.sparkSession, _soft_fits(df, target, models, number))
 
 
-def _soft_fit(df: DataFrame, target: str) -> dict:
-    rows = df.filter(F.col(target).isNotNull() & F.col("prediction").isNotNull())
-    stats = rows.agg(F.count(F.lit(1)).alias("n"), (F.max(target) - F.min(target)).alias("spread")).first()
-    if stats["n"] < 2 or stats["spread"] <= 1e-12:
-        return {"intercept": 0.0, "slope": 1.0, "status": "IDENTITY_INSUFFICIENT_TARGET_VARIATION"}
+def _soft_fits(df: DataFrame, target: str, models: Sequence, number: Column) -> list[dict]:
     s = clipped(F.col("prediction"), 1e-6)
-    halves = expand_soft(rows.select(F.ln(s / (1 - s)).alias("x"), F.col(target), F.lit(1.0).alias("w")), target, "w")
-    vectors = VectorAssembler(inputCols=["x"], outputCol="features").transform(halves).persist()
-    try:
-        model = LogisticRegression(labelCol="label", weightCol="label_weight", regParam=0.0, maxIter=100, tol=1e-10).fit(vectors)
-    finally:
-        vectors.unpersist()
-    return {"intercept": float(model.intercept), "slope": float(model.coefficients[0]), "status": "SOFT_PLATT"}
+    rows = df.filter(F.col(target).isNotNull() & F.col("prediction").isNotNull()).select(
+        F.ln(s / (1 - s)).alias("x"), F.lit(1.0).alias("weight"), F.array(number.cast("int")).alias("sets"), F.array(F.col(target).cast("double")).alias("labels")
+    )
+    fits = SharedFits(cut(rows), [Cell(str(i), i, ("x",), 0, 0.0) for i in range(len(models))], steps=100)
+    out = []
+    for i, model in enumerate(models):
+        fit = fits.fits[str(i)]
+        if fit.raw is None:
+            status = "IDENTITY_INSUFFICIENT_TARGET_VARIATION" if fit.status == ONE_CLASS else "IDENTITY_NONCONVERGENCE"
+            out.append({"model_id": model, "intercept": 0.0, "slope": 1.0, "status": status})
+            continue
+        slope = float(fit.raw[1] / fits.spread[0])
+        out.append({"model_id": model, "intercept": float(fit.raw[0]) - slope * float(fits.middle[0]), "slope": slope, "status": "SOFT_PLATT"})
+    return out
 
 
 def hard_platt(df: DataFrame, inverse_regularization: float = 1.0) -> DataFrame:
@@ -150,32 +158,85 @@ def score_cell(oof: DataFrame, targets: DataFrame, held: DataFrame) -> DataFrame
 
 def nested_refit(
     panel: DataFrame, channels: DataFrame, outer_year: int, features: Mapping[str, Sequence[str]], learner: str,
-    targets: Mapping[str, Callable[[DataFrame], DataFrame]],
+    targets: Mapping[str, Callable[[DataFrame], DataFrame]], settings: Sequence[Mapping[str, Any]] = ({},),
 ) -> DataFrame:
     """(candidate x held channel) refits. The held channel leaves the target, the feature list (its own
     entry in ``features`` is dropped), tuning and calibration; only earlier periods are read.
 
-    ``targets`` builds a soft target (key, target_value) from channel rows.
+    ``targets`` builds a soft target (key, target_value) from channel rows. Each cell tunes ``settings`` on
+    the soft cross-entropy of its out-of-fold scores; the fits of all (cell, setting, period) share their
+    passes, the cells' targets being one array of a row, and so do the calibrations. A setting with a fit
+    that did not converge is void; a cell without a valid one has status MODEL_NONCONVERGENCE.
     """
-    development = channels.filter(F.col("period") < outer_year)
-    rows = panel.filter(F.col("period") < outer_year)
-    names = sorted(r["channel_id"] for r in development.select("channel_id").distinct().collect())
+    if learner != "logistic":
+        raise ValueError("refit cells share logistic fits")
+    development = cut(channels.filter(F.col("period") < outer_year))
+    names = sorted(r["channel_id"] for r in development.select("channel_id").distinct().collect())  # a registry
+    grid = [(candidate, held) for candidate in targets for held in names]
+    if not grid:
+        return registry(panel.sparkSession, [], CELL_TYPES)
     whole = None
-    for candidate, build in targets.items():
-        for held in names:
-            target = build(development.filter(F.col("channel_id") != held)).filter("target_value IS NOT NULL")
-            used = sorted({f for channel, fs in features.items() if channel != held for f in fs})
-            joined = rows.join(target, KEY).withColumn("w", F.lit(1.0))
-            train = cut(expand_soft(joined, "target_value", "w"))
-            oof = temporal_oof(train, used, "label", learner, None, "label_weight")
-            # both halves of a row carry the same score
-            scores = oof.groupBy(*KEY).agg(F.max("prediction").alias("prediction"))
-            cell = score_cell(scores, target, development.filter(F.col("channel_id") == held)).select(
-                F.lit(candidate).alias("candidate"), F.lit(held).alias("held_channel"), "row_count", "cross_entropy",
-                F.when(F.col("row_count") > 0, "PASS").otherwise("NO_ROWS").alias("status"), F.lit(0).alias("outer_rows_used"),
-            )
-            whole = cell if whole is None else whole.unionByName(cell)
-    return whole
+    for i, (candidate, held) in enumerate(grid):
+        part = targets[candidate](development.filter(F.col("channel_id") != held)).filter("target_value IS NOT NULL")
+        part = part.select(*KEY, F.lit(i).alias("i"), F.col("target_value").cast("double").alias("y"))
+        whole = part if whole is None else whole.unionByName(part)
+    listed = whole.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("i", "y"))).alias("_m"))  # one entry a cell
+    labels = F.transform(F.sequence(F.lit(0), F.lit(len(grid) - 1)), lambda i: F.try_element_at("_m", i))
+    rows = cut(panel.filter(F.col("period") < outer_year).join(listed, KEY).withColumn("labels", labels).drop("_m"))
+    years = sorted(r["period"] for r in rows.select("period").distinct().collect())[1:]
+    used = {held: tuple(sorted({f for channel, fs in features.items() if channel != held for f in fs})) for held in names}
+    every = sorted({f for fs in used.values() for f in fs})
+    prepared = rows.select(
+        *[F.col(f).cast("double").alias(f) for f in every], F.lit(1.0).alias("weight"), members(F.col("period"), years).alias("sets"), "labels"
+    )
+    cells = [
+        Cell(f"{i}|{k}|{y}", j, used[held], i, 1 / float(p.get("C", 1.0)))
+        for i, (_, held) in enumerate(grid) for k, p in enumerate(settings) for j, y in enumerate(years)
+    ]
+    most = {f"{i}|{k}": int(p.get("maxIter", 100)) for i in range(len(grid)) for k, p in enumerate(settings)}
+    fits = SharedFits(cut(prepared.filter(F.size("sets") > 0)), cells, 100, most=most)
+    void = {tuple(n.split("|")[:2]) for n, f in fits.fits.items() if f.status == OPEN}
+    asked = F.flatten(
+        F.transform(
+            F.sequence(F.lit(0), F.lit(len(grid) - 1)),
+            lambda i: F.when(F.col("labels")[i].isNotNull(), F.array(*[F.concat_ws("|", i, F.lit(k), F.col("period")) for k in range(len(settings))]))
+            .otherwise(F.array().cast("array<string>")),
+        )
+    )
+    at = F.split("cell", r"\|")
+    found = fits.score(rows, [*KEY, "labels"], asked).select(*KEY, at[0].cast("int").alias("i"), at[1].cast("int").alias("k"), "prediction", "labels")
+    oof = cut(found.select(*KEY, "i", "k", "prediction", F.col("labels")[F.col("i")].alias("target_value")))
+    p = clipped(F.col("prediction"), 1e-9)
+    losses = oof.groupBy("i", "k").agg(F.avg(cross_entropy(F.col("target_value"), p)).alias("loss")).collect()  # one row a (cell, setting)
+    best: dict[int, tuple[float, int]] = {}
+    for r in losses:
+        if (str(r["i"]), str(r["k"])) not in void:
+            best[r["i"]] = min(best.get(r["i"], (math.inf, 0)), (r["loss"], r["k"]))
+    facts = [
+        {"i": i, "candidate": candidate, "held_channel": held, "setting": best[i][1] if i in best else None,
+         "tuning_loss": best[i][0] if i in best else None,
+         "failed": None if i in best else "MODEL_NONCONVERGENCE" if any(v[0] == str(i) for v in void) else "NO_ROWS"}
+        for i, (candidate, held) in enumerate(grid)
+    ]
+    kinds = {"i": "int", "candidate": "string", "held_channel": "string", "setting": "int", "tuning_loss": "double", "failed": "string"}
+    table = registry(panel.sparkSession, facts, kinds)
+    mine = cut(oof.join(F.broadcast(table.filter("failed IS NULL")), "i").filter("k = setting").withColumn("model_id", F.col("i").cast("string")))
+    curve = soft_platt_by_model(mine).select(F.col("model_id").cast("int").alias("i"), "intercept", "slope")
+    p = clipped(apply_platt(F.col("prediction"), F.col("intercept"), F.col("slope")), 1e-6)
+    seen = development.filter("outcome IS NOT NULL").select(*KEY, F.col("channel_id").alias("held_channel"), F.col("outcome").cast("double").alias("_y"))
+    scored = mine.join(F.broadcast(curve), "i").join(seen, [*KEY, "held_channel"])
+    sums = scored.groupBy("i").agg(F.count(F.lit(1)).alias("row_count"), F.avg(cross_entropy(F.col("_y"), p)).alias("cross_entropy"))
+    joined = attach(table, sums, ["i"]).na.fill(0, ["row_count"])
+    status = F.coalesce("failed", F.when(F.col("row_count") > 0, "PASS").otherwise("NO_ROWS"))
+    return joined.select(
+        "candidate", "held_channel", "setting", "tuning_loss", "row_count", "cross_entropy", status.alias("status"), F.lit(0).alias("outer_rows_used")
+    )
+
+
+CELL_TYPES = {
+    "candidate": "string", "held_channel": "string", "setting": "int", "tuning_loss": "double", "row_count": "long", "cross_entropy": "double",
+    "status": "string", "outer_rows_used": "int",
+}
 
 
 def receipt_violations(cells: DataFrame, channels: Sequence[str], candidates: Sequence[str]) -> DataFrame:

@@ -9,12 +9,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.functions.draws import hash_number
-from paneloom.functions.grid import with_grid
+from paneloom.functions.grid import lookup, with_grid
 from paneloom.functions.profile import melt, profile
 from paneloom.functions.sets import sorted_set
-from paneloom.operators import models
+from paneloom.operators.fits import OPEN, PASS, Cell, SharedFits
 from paneloom.operators.metrics import average_precision, roc_auc
-from paneloom.operators.ranking import attach, cut, quantiles
+from paneloom.operators.nested import members
+from paneloom.operators.ranking import attach, cut, quantiles, running
 
 KEY = ["entity_id", "period"]
 
@@ -52,37 +53,43 @@ def relabel_without(sources: DataFrame, channels: Mapping[str, str]) -> DataFram
 
 
 def exclusion_refits(
-    panel: DataFrame, relabelled: DataFrame, fixed: DataFrame, outer_period: int, features: Sequence[str], learner: str = "logistic"
-) -> DataFrame:
-    """Average precision on the fixed outer outcome of models trained on each exclusion's labels."""
-    names = sorted(r["exclusion_id"] for r in relabelled.select("exclusion_id").distinct().collect())
+    panel: DataFrame, relabelled: DataFrame, fixed: DataFrame, outer_period: int, features: Sequence[str], learner: str = "logistic",
+    inverse_regularization: float = 1.0,
+) -> DataFrame:
+    """Average precision on the fixed outer outcome of models trained on each exclusion's labels.
+
+    The labels of all exclusions are one array of a row, and their models share the passes of one fit.
+    """
+    names = sorted(r["exclusion_id"] for r in relabelled.select("exclusion_id").distinct().collect())  # a registry
     held = cut(panel.filter(F.col("period") == outer_period).join(fixed.filter("outcome IS NOT NULL").select(*KEY, "outcome"), KEY))
-    whole = None
-    for name in names:
-        labels = relabelled.filter((F.col("exclusion_id") == name) & F.col("outcome").isNotNull()).select(
-            *KEY, F.col("outcome").cast("double").alias("_y")
-        )
-        train = cut(panel.filter(F.col("period") < outer_period).join(labels, KEY))
-        stats = train.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p")).first()
-        ok = stats["p"] not in (None, 0.0, float(stats["n"]))
-        row = held.agg(F.count(F.lit(1)).alias("outer_rows")).select(
-            F.lit(name).alias("exclusion_id"), F.lit(stats["n"]).alias("train_rows"), "outer_rows"
-        )
-        if ok:
-            scored = models.fit(train, features, "_y", learner).score(held)
-            row = attach(row, average_precision(scored), [])
-        else:
-            row = row.withColumn("average_precision", F.lit(None).cast("double"))
-        row = row.withColumn("status", F.lit("PASS" if ok else "TWO_CLASSES_REQUIRED"))
-        whole = row if whole is None else whole.unionByName(row)
-    return whole
-
-
-def ablation(refits: DataFrame, baseline: float) -> DataFrame:
-    """Difference of every refit to the baseline."""
-    return refits.select(
-        "exclusion_id", "average_precision", (F.col("average_precision") - F.lit(float(baseline))).alias("delta_to_baseline"), "status"
+    number = lookup({n: i for i, n in enumerate(names)}, F.col("exclusion_id"))
+    listed = (
+        relabelled.filter("outcome IS NOT NULL")
+        .groupBy(*KEY)
+        .agg(F.map_from_entries(F.collect_set(F.struct(number.alias("i"), F.col("outcome").cast("double").alias("y")))).alias("_m"))
+    )
+    train = panel.filter(F.col("period") < outer_period).join(listed, KEY)
+    labels = F.transform(F.sequence(F.lit(0), F.lit(max(0, len(names) - 1))), lambda i: F.try_element_at("_m", i))
+    rows = cut(
+        train.select(*[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("weight"), F.array(F.lit(0)).alias("sets"), labels.alias("labels"))
     )
+    if learner != "logistic":
+        raise ValueError("exclusion refits share logistic fits")
+    fits = SharedFits(rows, [Cell(n, 0, tuple(features), i, 1 / inverse_regularization) for i, n in enumerate(names)])
+    scored = fits.score(held, [*KEY, "outcome"], F.array(*map(F.lit, names)).cast("array<string>"))
+    by = ["cell"]
+    found = attach(fits.receipts().select("cell", F.col("row_count").alias("train_rows"), "status"), average_precision(scored, by), by)
+    table = attach(found, held.agg(F.count(F.lit(1)).alias("outer_rows")), [])
+    return table.select(F.col("cell").alias("exclusion_id"), "train_rows", "outer_rows", "average_precision", "status")
+
+
+def ablation(refits: DataFrame, baseline: float | DataFrame) -> DataFrame:
+    """Difference of every refit to the baseline, a number or a one-row table with average_precision."""
+    if isinstance(baseline, DataFrame):
+        rows = attach(refits, baseline.select(F.col("average_precision").alias("_base")), [])
+    else:
+        rows = refits.withColumn("_base", F.lit(float(baseline)))
+    return rows.select("exclusion_id", "average_precision", (F.col("average_precision") - F.col("_base")).alias("delta_to_baseline"), "status")
 
 
 def source_summary(ledger: DataFrame) -> DataFrame:
@@ -99,55 +106,88 @@ def source_summary(ledger: DataFrame) -> DataFrame:
 # ------------------------------------------------------------- domain support
 
 
-def support_scores(
-    development: DataFrame, held: DataFrame, features: Sequence[str], folds: int, seed: str
-) -> DataFrame:
-    """Cross-fitted score of belonging to the held domain; an entity is always in one fold.
+def domain_levels(panel: DataFrame, domain: str) -> list[str]:
+    """The levels of a domain in order; a domain is a registry."""
+    return sorted(r[0] for r in panel.filter(F.col(domain).isNotNull()).select(F.col(domain).cast("string")).distinct().collect())
 
-    Classes are balanced by weight. Output keeps the features and adds is_held, fold, prediction.
-    """
-    both = development.select(*KEY, *features).withColumn("is_held", F.lit(False)).unionByName(
-        held.select(*KEY, *features).withColumn("is_held", F.lit(True))
-    )
-    rows = cut(both.withColumn("fold", F.pmod(hash_number(seed, F.col("entity_id")), F.lit(folds)).cast("int")))
-    whole = None
-    for fold in range(folds):
-        train = rows.filter(F.col("fold") != fold)
-        counts = train.agg(F.count(F.lit(1)).alias("n"), F.count_if("is_held").alias("h")).first()
-        if counts["h"] in (0, counts["n"]):
-            raise ValueError("a support fold lacks one of the domains")
-        weight = F.when(F.col("is_held"), counts["n"] / (2 * counts["h"])).otherwise(counts["n"] / (2 * (counts["n"] - counts["h"])))
-        fitted = models.fit_logistic(
-            train.withColumn("_y", F.col("is_held").cast("double")).withColumn("_w", weight), features, "_y", weight="_w"
-        )
-        part = fitted.score(rows.filter(F.col("fold") == fold))
-        whole = part if whole is None else whole.unionByName(part)
-    return whole
 
+def support_scores(
+    panel: DataFrame, domain: str, features: Sequence[str], folds: int, seed: str, periods: Sequence[int] | None = None,
+    drop: bool = False, inverse_regularization: float = 1.0,
+) -> tuple[DataFrame, DataFrame]:
+    """Cross-fitted scores of belonging to each level of a domain, and the receipts of their fits.
+
+    A level's development rows are those of the other levels. With ``periods`` each of them is a case of its
+    own: the level's rows of the period against the other levels' earlier rows. Classes are balanced by
+    weight, and an entity is always in one fold. With ``drop`` every case is also fitted without each
+    feature, on the sub-matrix of its curvature. All fits share their passes.
 
-def domain_support(scores: DataFrame, bounds: tuple[float, float]) -> DataFrame:
+    Scores are (level, fold_period, feature_id, key, is_held, prediction); feature_id is empty for all features.
+    """
+    levels = domain_levels(panel, domain)
+    tops = [None] if periods is None else [int(p) for p in periods]
+    spans = len(tops)
+    level = lookup({n: i for i, n in enumerate(levels)}, F.col(domain).cast("string"))
+    rows = panel.filter(F.col(domain).isNotNull()).withColumn("_level", level)
+    rows = rows.withColumn("_fold", F.pmod(hash_number(seed, F.col("entity_id")), F.lit(folds)).cast("int"))
+    every = F.sequence(F.lit(0), F.lit(max(0, len(levels) - 1)))
+    if periods is None:
+        cases = every
+    else:
+        own = F.array_compact(F.array(*[F.when(F.col("period") == p, F.col("_level") * spans + j) for j, p in enumerate(tops)]))
+        later = members(F.col("period"), tops)
+        others = F.filter(every, lambda i: i != F.col("_level"))
+        cases = F.concat(own, F.flatten(F.transform(others, lambda i: F.transform(later, lambda j: i * spans + j))))
+    rows = rows.withColumn("_cases", cases.cast("array<int>"))
+    sets = F.flatten(
+        F.transform("_cases", lambda c: F.array_compact(F.array(*[F.when(F.col("_fold") != k, c * folds + k) for k in range(folds)])))
+    )
+    labels = F.transform(every, lambda i: (i == F.col("_level")).cast("double"))
+    rows = cut(rows)
+    prepared = rows.select(
+        *[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("weight"), sets.cast("array<int>").alias("sets"), labels.alias("labels")
+    )
+    left_out = ["", *features] if drop and len(features) > 1 else [""]
+    cells = []
+    for i in range(len(levels)):
+        for j in range(spans):
+            for k in range(folds):
+                case = i * spans + j
+                for f in left_out:
+                    used = tuple(x for x in features if x != f)
+                    cells.append(Cell(f"{case}|{k}|{f}", case * folds + k, used, i, 1 / inverse_regularization, True, f"{case}|{k}|" if f else None))
+    fits = SharedFits(cut(prepared.filter(F.size("sets") > 0)), cells)
+    asked = F.flatten(F.transform("_cases", lambda c: F.array(*[F.concat_ws("|", c, F.col("_fold"), F.lit(f)) for f in left_out])))
+    scored = fits.score(rows, [*KEY, "_level"], asked)
+    case = F.split("cell", r"\|")[0].cast("int")
+    at = F.floor(case / spans).cast("int")
+
+    def named(df: DataFrame) -> DataFrame:
+        names = F.try_element_at(F.array(*map(F.lit, levels)).cast("array<string>"), at + 1)
+        period = F.try_element_at(F.array(*map(F.lit, tops)).cast("array<int>"), (case % spans) + 1)
+        return df.withColumns({"level": names, "fold_period": period, "feature_id": F.split("cell", r"\|", 3)[2]})
+
+    scores = named(scored).select("level", "fold_period", "feature_id", *KEY, (F.col("_level") == at).alias("is_held"), "prediction")
+    return scores, named(fits.receipts(rows.sparkSession)).withColumn("crossfit_fold", F.split("cell", r"\|")[1].cast("int")).drop("cell")
+
+
+def domain_support(scores: DataFrame, bounds: tuple[float, float], by: Sequence[str] = ()) -> DataFrame:
     """Share of held rows inside the bounds and the AUC of the domain score."""
-    share = scores.agg(
+    share = scores.groupBy(*by).agg(
         F.count_if("is_held").alias("held_rows"),
         F.avg(F.when(F.col("is_held"), F.col("prediction").between(*bounds).cast("double"))).alias("support_fraction"),
     )
-    return attach(share, roc_auc(scores.withColumn("outcome", F.col("is_held"))), [])
+    return attach(share, roc_auc(scores.withColumn("outcome", F.col("is_held")), by), list(by))
 
 
-def support_drivers(
-    development: DataFrame, held: DataFrame, features: Sequence[str], folds: int, bounds: tuple[float, float], minimum: float, seed: str
-) -> DataFrame:
-    """Support and AUC without each feature: gain, AUC drop, and whether it restores the support."""
+def support_drivers(support: DataFrame, minimum: float, by: Sequence[str] = ("level", "fold_period")) -> DataFrame:
+    """Support and AUC without each feature: gain, AUC drop, and whether it restores the support.
 
-    def result(used: Sequence[str], name: str) -> DataFrame:
-        return domain_support(support_scores(development, held, used, folds, seed), bounds).withColumn("feature_id", F.lit(name))
-
-    base = result(features, "").select(F.col("support_fraction").alias("_s"), F.col("roc_auc").alias("_a"))
-    whole = None
-    for f in features:
-        part = result([x for x in features if x != f], f)
-        whole = part if whole is None else whole.unionByName(part)
-    return attach(whole, base, []).select(
+    ``support`` has one row per case and feature left out; the empty one stands for all features.
+    """
+    base = support.filter("feature_id = ''").select(*by, F.col("support_fraction").alias("_s"), F.col("roc_auc").alias("_a"))
+    return attach(support.filter("feature_id <> ''"), base, list(by)).select(
+        *by,
         "feature_id",
         "support_fraction",
         (F.col("support_fraction") - F.col("_s")).alias("support_gain"),
@@ -241,44 +281,112 @@ def censoring_summary(decisions: DataFrame, registry: DataFrame) -> DataFrame:
 
 
 def domain_transfer(
-    panel: DataFrame, domain: str, levels: Sequence[str], folds: Sequence[int], candidate: Sequence[str], reference: Sequence[str],
-    margin: float, support: DataFrame, support_minimum: float, learner: str = "logistic",
-) -> DataFrame:
-    """Leave-one-domain-out grid: train on other levels and earlier periods, score the held level in the fold.
-
-    ``support`` has (level, fold, support_fraction). Non-inferior means AP at least the reference
-    AP less the margin, with enough support. A cell that cannot be fitted stays with its reason.
+    panel: DataFrame, domain: str, candidate: Sequence[str], reference: Sequence[str], margin: float, support: DataFrame, support_minimum: float,
+    settings: Sequence[Mapping[str, Any]] = ({},), folds: Sequence[int] | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """Leave-one-domain-out grid over all levels and periods of the panel: (cells, receipts).
+
+    A cell trains on the other levels' earlier periods and scores its level in its period. With several
+    settings each cell tunes on those rows alone: a setting's loss is the negative average precision of its
+    scores pooled over the inner periods. The fit that leaves out a level before a period serves that cell
+    and the tuning of all later ones, so there is one model per (level, period, features, setting), and all
+    share the passes of one fit. Rows of one period are scored once per model, and one sort ranks the pools
+    of all folds.
+
+    ``folds`` are the scored periods (by default those with an earlier one). ``support`` has (level, fold,
+    support_fraction). Non-inferior means AP at least the reference AP less the margin, with enough support.
+    A cell that can't be fitted or scored stays, with its reason. Equal losses choose the first setting.
     """
-    rows = cut(panel.filter("outcome IS NOT NULL").withColumn("_y", F.col("outcome").cast("double")))
-    whole = None
-    for level in levels:
-        for fold in folds:
-            train = rows.filter((F.col(domain) != level) & (F.col("period") < fold))
-            held = rows.filter((F.col(domain) == level) & (F.col("period") == fold))
-            classes = train.agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("p")).first()
-            cell = held.agg(F.count(F.lit(1)).alias("held_rows"), F.count_if("outcome").alias("held_positives")).select(
-                F.lit(level).alias("level"), F.lit(fold).alias("fold"), "held_rows", "held_positives"
-            )
-            if classes["p"] not in (None, 0.0, float(classes["n"])):
-                for name, features in (("candidate_ap", candidate), ("reference_ap", reference)):
-                    scored = models.fit(train, features, "_y", learner).score(held)
-                    cell = attach(cell, average_precision(scored).withColumnRenamed("average_precision", name), [])
-            else:
-                cell = cell.withColumns({n: F.lit(None).cast("double") for n in ("candidate_ap", "reference_ap")})
-            whole = cell if whole is None else whole.unionByName(cell)
-    joined = attach(whole, support.select("level", "fold", "support_fraction"), ["level", "fold"])
-    complete = F.col("candidate_ap").isNotNull() & F.col("reference_ap").isNotNull() & F.col("support_fraction").isNotNull()
-    inside = F.col("support_fraction") >= support_minimum
-    return joined.select(
-        "*", complete.alias("complete"), (complete & inside & (F.col("candidate_ap") >= F.col("reference_ap") * (1 - margin))).alias("non_inferior")
+    levels, spark = domain_levels(panel, domain), panel.sparkSession
+    level = lookup({n: i for i, n in enumerate(levels)}, F.col(domain).cast("string"))
+    rows = cut(panel.filter(F.col(domain).isNotNull()).withColumn("_level", level).withColumn("_y", F.col("outcome").cast("double")))
+    years = sorted(r["period"] for r in rows.select("period").distinct().collect() if r["period"] is not None)
+    folds = sorted(int(f) for f in (years[1:] if folds is None else folds))
+    tops = sorted({*folds, *(y for y in years[1:] if len(settings) > 1 and folds and y < folds[-1])})
+    span, every = len(tops), F.sequence(F.lit(0), F.lit(max(0, len(levels) - 1)))
+    groups = {"candidate": list(candidate), "reference": list(reference)}
+    later = members(F.col("period"), tops)
+    sets = F.flatten(F.transform(F.filter(every, lambda i: i != F.col("_level")), lambda i: F.transform(later, lambda j: i * span + j)))
+    features = sorted({f for fs in groups.values() for f in fs})
+    prepared = rows.filter("_y IS NOT NULL").select(
+        *[F.col(f).cast("double").alias(f) for f in features], F.lit(1.0).alias("weight"), sets.cast("array<int>").alias("sets"),
+        F.array("_y").alias("labels"),
+    )
+    cells = [
+        Cell(f"{i}|{y}|{g}|{k}", i * span + j, tuple(fs), 0, 1 / float(p.get("C", 1.0)))
+        for i in range(len(levels)) for j, y in enumerate(tops) for g, fs in groups.items() for k, p in enumerate(settings)
+    ]
+    fits = SharedFits(cut(prepared.filter(F.size("sets") > 0)), cells)
+    at = F.split("cell", r"\|")
+    kinds = [at[0].cast("int").alias("_out"), at[1].cast("int").alias("fold"), at[2].alias("side"), at[3].cast("int").alias("setting")]
+    receipts = cut(fits.receipts(spark).select(*kinds, "row_count", "status", "converged", "steps", "loss"))
+    asked = F.flatten(
+        F.transform(every if len(settings) > 1 else F.array("_level"), lambda i: F.array(
+            *[F.concat_ws("|", i, F.col("period"), F.lit(g), F.lit(k)) for g in groups for k in range(len(settings))]))
+    )
+    scored = cut(fits.score(rows, [*KEY, "_level", "outcome"], asked).select(*KEY, "_level", "outcome", *kinds, "prediction"))
+    by = ["_out", "side"]
+    if len(settings) > 1:
+        known = scored.filter((F.col("_out") != F.col("_level")) & F.col("outcome").isNotNull())
+        hit, order = F.col("outcome").cast("long"), [("prediction", False), ("entity_id", True), ("period", True)]
+        sums = {f"_h{f}": F.when(F.col("period") < f, hit).otherwise(0) for f in folds} | {f"_n{f}": (F.col("period") < f).cast("long") for f in folds}
+        ranked = running(known, [*by, "setting"], order, sums)
+        inside = [F.col("outcome") & (F.col("period") < f) for f in folds]
+        values = ranked.groupBy(*by, "setting").agg(
+            *[F.sum(F.when(c, F.col(f"_h{f}") / F.col(f"_n{f}"))).alias(f"_s{f}") for c, f in zip(inside, folds, strict=True)],
+            *[F.count_if(c).alias(f"_p{f}") for c, f in zip(inside, folds, strict=True)],
+        )
+        pools = F.explode(F.array(*[F.struct(F.lit(f).alias("fold"), F.try_divide(f"_s{f}", f"_p{f}").alias("inner_ap")) for f in folds]))
+        values = values.select(*by, "setting", pools.alias("_p")).select(*by, "setting", "_p.*")
+        # a setting with an inner fit that did not converge is void
+        bad = receipts.filter(F.col("status") == OPEN).groupBy(*by, "setting").agg(F.min("fold").alias("_bad"))
+        values = attach(values, bad, [*by, "setting"]).filter(F.col("inner_ap").isNotNull() & (F.col("_bad").isNull() | (F.col("_bad") >= F.col("fold"))))
+        best = F.max_by("setting", F.struct(F.col("inner_ap"), -F.col("setting")))
+        chosen = values.groupBy(*by, "fold").agg(best.alias("_setting"))
+    else:
+        chosen = receipts.filter(F.col("fold").isin(folds)).select(*by, "fold", F.col("setting").alias("_setting"))
+    chosen = cut(chosen)
+    final = scored.filter(F.col("_out") == F.col("_level")).join(chosen, [*by, "fold"]).filter("setting = _setting")
+    ap = average_precision(final.filter("outcome IS NOT NULL"), [*by, "fold"])
+    wide = {}
+    for side in groups:
+        rest = attach(chosen.filter(F.col("side") == side), ap, [*by, "fold"]).drop("side")
+        fit = receipts.filter(F.col("side") == side).select("_out", "fold", F.col("setting").alias("_setting"), F.col("status").alias(f"{side}_fit"))
+        wide[side] = attach(rest, fit, ["_out", "fold", "_setting"]).withColumnsRenamed({"_setting": f"{side}_setting", "average_precision": f"{side}_ap"})
+    held = rows.filter(F.col("period").isin(folds)).groupBy(F.col("_level").alias("_out"), F.col("period").alias("fold")).agg(
+        F.any_value(F.col(domain).cast("string")).alias("level"), F.count(F.lit(1)).alias("held_rows"), F.count("outcome").alias("observed_rows"),
+        F.count_if("outcome").alias("held_positives"),
+    )
+    trained = receipts.groupBy("_out", "fold").agg(F.max("row_count").alias("train_rows"))
+    cell = ["_out", "fold"]
+    joined = attach(attach(attach(attach(held, trained, cell), wide["candidate"], cell), wide["reference"], cell), support.select("level", "fold", "support_fraction"), ["level", "fold"])
+    reason = (
+        F.when(F.coalesce("train_rows", F.lit(0)) == 0, "NO_OTHER_DOMAIN_DEVELOPMENT_ROWS")
+        .when(F.coalesce("candidate_fit", F.lit("")) == OPEN, OPEN)
+        .when(F.coalesce("reference_fit", F.lit("")) == OPEN, OPEN)
+        .when((F.coalesce("candidate_fit", F.lit("")) != PASS) | (F.coalesce("reference_fit", F.lit("")) != PASS), "DOMAIN_REFIT_PREDICTIONS_UNAVAILABLE")
+        .when((F.col("held_positives") == 0) | (F.col("held_positives") == F.col("observed_rows")), "HELD_DOMAIN_TEST_CLASS_UNAVAILABLE")
+        .when(F.col("support_fraction").isNull(), "DOMAIN_SUPPORT_UNAVAILABLE")
     )
+    inside = F.col("support_fraction") >= support_minimum
+    table = joined.withColumn("reason", reason).withColumn("complete", F.col("reason").isNull())
+    better = F.col("candidate_ap") >= F.col("reference_ap") * (1 - margin)
+    result = table.select(
+        "level", "fold", F.coalesce("train_rows", F.lit(0).cast("long")).alias("train_rows"), "held_rows", "observed_rows", "held_positives",
+        "candidate_setting", "reference_setting", "candidate_ap", "reference_ap", "support_fraction", "complete",
+        (F.col("complete") & inside & better).alias("non_inferior"), "reason",
+    )
+    names = F.try_element_at(F.array(*map(F.lit, levels)).cast("array<string>"), F.col("_out") + 1)
+    return result, receipts.select(names.alias("level"), "fold", "side", "setting", "row_count", "status", "converged", "steps", "loss")
 
 
-def transfer_summary(cells: DataFrame, expected: int) -> DataFrame:
-    """Robust share over the expected grid; an incomplete grid is no evidence."""
+def transfer_summary(cells: DataFrame, minimum_levels: int = 2) -> DataFrame:
+    """Robust share over the expected grid, which is every level with rows in a fold; an incomplete grid, or
+    one with too few levels, is no evidence."""
     return cells.agg(
         F.count_if("complete").alias("complete_cells"),
-        F.lit(expected).cast("long").alias("expected_cells"),
-        (F.count_if("non_inferior") / F.lit(expected)).alias("robust_fraction"),
-        (F.count_if("complete") == expected).alias("evidence_complete"),
+        F.count(F.lit(1)).alias("expected_cells"),
+        F.count_distinct("level").alias("level_count"),
+        F.try_divide(F.count_if("non_inferior"), F.count(F.lit(1))).alias("robust_fraction"),
+        ((F.count_if("complete") == F.count(F.lit(1))) & (F.count(F.lit(1)) > 0) & (F.count_distinct("level") >= minimum_levels)).alias("evidence_complete"),
     )

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from paneloom.functions.profile import melt
 from paneloom.operators import features as feature_rules
-from paneloom.operators import labels, metrics, models, selection, weights
+from paneloom.operators import labels, metrics, models, nested, selection, weights
 from paneloom.operators.ranking import cut
 from paneloom.plans.bindings import Inputs, query
 from paneloom.plans.feature_queries import ENTRIES, _round
@@ -216,7 +217,7 @@ def _(fx: Inputs) -> DataFrame:
 @query("learner_library")
 def _(fx: Inputs) -> DataFrame:
     rows = _training(fx)
-    train, held = rows.filter("period < 1998"), rows.filter("period = 1998")
+    train = rows.filter("period < 1998")
     whole = None
     settings = {
         "logistic": {}, "elastic_net_logistic": {"elasticNetParam": 0.5}, "linear_svm": {"maxIter": 20},
@@ -224,7 +225,7 @@ def _(fx: Inputs) -> DataFrame:
         "decision_tree": {"maxDepth": 4}, "gaussian_nb": {}, "mlp": {"hidden": [4], "maxIter": 20},
     }
     for learner, params in settings.items():
-        scores = models.fit(train, NUMERIC, "y", learner, params).score(held)
+        scores = models.fit(train, NUMERIC, "y", learner, params).score(rows)
         part = scores.select(F.lit(learner).alias("model_id"), *KEY, "outcome", "prediction")
         whole = part if whole is None else whole.unionByName(part)
     return _round(metrics.roc_auc(whole, ["model_id"]), 3)
@@ -258,14 +259,45 @@ def _(fx: Inputs) -> DataFrame:
 @query(
     "training_ecdf",
     """SELECT v.entity_id, v.period, round(greatest(1e-6, least(1 - 1e-6, (count(r.spend) - 0.5) / (SELECT count(*) FROM fx_domain WHERE period < 1997))), 9) AS ecdf
-       FROM (SELECT * FROM fx_domain WHERE period = 1997) v LEFT JOIN (SELECT spend FROM fx_domain WHERE period < 1997) r ON r.spend <= v.spend GROUP BY 1, 2""",
+       FROM fx_domain v LEFT JOIN (SELECT spend FROM fx_domain WHERE period < 1997) r ON r.spend <= v.spend GROUP BY 1, 2""",
 )
 def _(fx: Inputs) -> DataFrame:
     rows = fx("fx_domain")
-    result = models.train_ecdf(rows.filter("period = 1997"), rows.filter("period < 1997"), "spend")
+    result = models.train_ecdf(rows, rows.filter("period < 1997"), "spend")
     return result.select(*KEY, F.round("ecdf", 9).alias("ecdf"))
 
 
+@query(
+    "fold_ecdf",
+    """WITH k AS (SELECT DISTINCT period AS p FROM fx_domain),
+            r AS (SELECT entity_id, period, p, count_if(period < p) OVER (PARTITION BY p ORDER BY spend RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+                         count_if(period < p) OVER (PARTITION BY p) AS n FROM fx_domain CROSS JOIN k)
+       SELECT entity_id, period, p AS fold, round(greatest(1e-6, least(1 - 1e-6, (upto - 0.5) / n)), 9) AS ecdf FROM r WHERE n > 0 AND period <= p""",
+)
+def _(fx: Inputs) -> DataFrame:
+    rows = fx("fx_domain").select(*KEY, "spend")
+    folds = sorted(r["period"] for r in rows.select("period").distinct().collect())
+    ranked = nested.nested_ecdf(rows, "spend", "period", folds)
+    each = F.explode(F.arrays_zip(F.array(*map(F.lit, folds)).alias("fold"), F.col("ecdf")))
+    return ranked.select(*KEY, each.alias("e")).select(*KEY, "e.fold", F.round("e.ecdf", 9).alias("ecdf")).filter("ecdf IS NOT NULL")
+
+
+@query(
+    "fold_medians",
+    " UNION ALL ".join(
+        f"""SELECT p AS fold, '{c}' AS feature, round(quantile_cont({c}, 0.5), 6) AS median FROM fx_domain
+            JOIN (SELECT DISTINCT period AS p FROM fx_domain) k ON period < p WHERE {c} IS NOT NULL GROUP BY 1"""
+        for c in NUMERIC
+    ),
+)
+def _(fx: Inputs) -> DataFrame:
+    rows = fx("fx_domain")
+    folds = sorted(r["period"] for r in rows.select("period").distinct().collect())
+    marked = melt(rows.withColumn("sets", nested.members(F.col("period"), folds)), ["sets"], NUMERIC)
+    found = nested.nested_quantiles(marked, len(folds))
+    return found.select(F.element_at(F.array(*map(F.lit, folds)), F.col("set") + 1).alias("fold"), "feature", F.round("quantile", 6).alias("median"))
+
+
 @query(
     "estimability",
     """SELECT domain, count(y) AS known_count, count(y) >= 2 AND max(y) > min(y) AS estimable
@@ -297,7 +329,7 @@ def _(fx: Inputs) -> DataFrame:
 def _(fx: Inputs) -> DataFrame:
     rows = cut(fx("fx_domain"))
     scored = models.pu_bagging(
-        rows.filter("period < 2000"), rows.filter("period = 2000"), NUMERIC, F.col("spend") > 500000, 3, 2.0, "bags"
+        rows.filter("period < 2000"), rows, NUMERIC, F.col("spend") > 500000, 20, 2.0, "bags"
     )
     return scored.groupBy("domain").agg(
         F.count(F.lit(1)).alias("n"), F.min("prediction").alias("low"), F.max("prediction").alias("high")
@@ -436,41 +468,123 @@ def _(fx: Inputs) -> DataFrame:
     )
 
 
+#: A penalty that leaves the intercept alone, so that every row gets the rate of all fitted rows.
+FLAT = {"C": 1e-24}
+
+
+def _fold_sql(flag: str) -> str:
+    """Predictions of the better of two settings, FREE (the rate of the row's group) and FLAT (the rate of all rows)."""
+    return f"""
+    WITH b AS (SELECT entity_id, period, CASE WHEN {flag} THEN 1.0::DOUBLE ELSE 0.0 END AS many, CAST(outcome AS INT) AS y FROM fx_domain WHERE period <= 2000),
+    k AS (SELECT DISTINCT period AS p FROM b), g AS (SELECT p, many, avg(y) AS free FROM b JOIN k ON period < p GROUP BY 1, 2),
+    f AS (SELECT p, avg(y) AS flat FROM b JOIN k ON period < p GROUP BY 1 HAVING max(y) > min(y)),
+    s AS (SELECT b.*, 0 AS setting, free AS prediction FROM b JOIN f ON f.p = period JOIN g ON g.p = period AND g.many = b.many
+          UNION ALL SELECT b.*, 1, flat FROM b JOIN f ON f.p = period),
+    a AS (SELECT setting, sum(CASE WHEN y = 1 THEN hits / pos END) / sum(y) AS ap FROM (
+            SELECT setting, y, sum(y) OVER w AS hits, row_number() OVER w AS pos FROM s WHERE period < 2000
+            WINDOW w AS (PARTITION BY setting ORDER BY round(prediction, 11) DESC, entity_id, period)) q GROUP BY 1),
+    c AS (SELECT setting FROM a ORDER BY ap DESC, setting LIMIT 1)
+    SELECT CASE WHEN period < 2000 THEN 'oof' ELSE 'outer' END AS split, period, many, round(any_value(prediction), 5) AS prediction, count(*) AS n,
+           CASE WHEN period < 2000 THEN sum(y) END AS positives, setting FROM s JOIN c USING (setting) GROUP BY 1, 2, 3, setting"""
+
+
+def _tuned(fx: Inputs, flag: str) -> DataFrame:
+    rows = _binary(fx).withColumn("many", F.expr(flag).cast("double"))
+    none = rows.limit(0).select(*KEY, F.lit(1.0).alias("weight"))
+    folds, found, _ = models.tune_fold(
+        rows.select(*KEY, "many"), rows.select(*KEY, "outcome"), none, 2000, {"g": ["many"]}, {"logistic": [FREE, FLAT]}
+    )
+    folds = folds.join(F.broadcast(found.select("model_id", "setting")), "model_id")
+    return folds.join(rows.select(*KEY, "many"), KEY).groupBy("split", "period", "many", "setting").agg(
+        F.round(F.any_value("prediction"), 5).alias("prediction"), F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("outcome").cast("int")).alias("positives"),
+    )
+
+
+@query("saturated_fold", _fold_sql("orders_made > 2"))
+def _(fx: Inputs) -> DataFrame:
+    return _tuned(fx, "orders_made > 2")
+
+
+@query("saturated_fold_large_orders", _fold_sql("top_order > 200000"))
+def _(fx: Inputs) -> DataFrame:
+    return _tuned(fx, "top_order > 200000")
+
+
 @query(
-    "saturated_fold",
-    f"""WITH o AS (SELECT 'oof' AS split, period, many, prediction, n, positives FROM ({OOF_SQL}) s WHERE period < 2000),
-        b AS ({BINARY_SQL}), g AS (SELECT many, avg(y) AS p FROM b WHERE period < 2000 GROUP BY 1)
-        SELECT * FROM o UNION ALL SELECT 'outer', period, b.many, round(any_value(p), 5), count(*), NULL FROM b JOIN g ON g.many = b.many
-        WHERE period = 2000 GROUP BY 2, 3""",
+    "saturated_ranked_fold",
+    """WITH b AS (SELECT entity_id, period, CASE WHEN orders_made > 2 THEN 1.0::DOUBLE ELSE 0.0 END AS many, round(CAST(entity_id AS INT) % 13 / 12.0, 6) + period % 3 AS t FROM fx_domain),
+       k AS (SELECT DISTINCT period AS p FROM b),
+       r AS (SELECT b.*, p, count_if(period < p) OVER (PARTITION BY p ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto,
+                    count_if(period < p) OVER (PARTITION BY p) AS n FROM b CROSS JOIN k WHERE p <= 2000 AND period <= p),
+       e AS (SELECT *, greatest(1e-6, least(1 - 1e-6, (upto - 0.5) / n)) AS rank FROM r WHERE n > 0),
+       g AS (SELECT p, many, avg(rank) AS prediction FROM e WHERE period < p GROUP BY 1, 2)
+       SELECT 'oof' AS split, e.period, e.many, round(any_value(prediction), 5) AS prediction, count(*) AS n, round(avg(rank), 6) AS target
+       FROM e JOIN g ON g.p = e.p AND g.many = e.many WHERE e.period = e.p AND e.p < 2000 GROUP BY 2, 3
+       UNION ALL SELECT 'outer', 2000, b.many, round(any_value(prediction), 5), count(*), NULL FROM b JOIN g ON g.p = 2000 AND g.many = b.many WHERE period = 2000 GROUP BY 3""",
 )
 def _(fx: Inputs) -> DataFrame:
     rows = _binary(fx)
+    target = F.round(F.col("entity_id").cast("int") % 13 / 12, 6) + F.col("period") % 3
     none = rows.limit(0).select(*KEY, F.lit(1.0).alias("weight"))
     folds = models.fit_fold(
-        rows.select(*KEY, "many"), rows.select(*KEY, "outcome"), none, 2000, {"g": ["many"]}, {"logistic": [FREE, {"C": 1e-3}]}
+        rows.select(*KEY, "many"), rows.select(*KEY, target.alias("t")), none, 2000, {"g": ["many"]}, {"logistic": [FREE]}, "t", soft=True, ecdf=True
     )
     return folds.join(rows.select(*KEY, "many"), KEY).groupBy("split", "period", "many").agg(
-        F.round(F.any_value("prediction"), 5).alias("prediction"), F.count(F.lit(1)).alias("n"),
-        F.sum(F.col("outcome").cast("int")).alias("positives"),
+        F.round(F.any_value("prediction"), 5).alias("prediction"), F.count(F.lit(1)).alias("n"), F.round(F.avg("target"), 6).alias("target")
+    )
+
+
+RECEIPT_ROWS = f"""
+    SELECT p AS period, count(*) AS row_count FROM ({BINARY_SQL}) b JOIN (SELECT DISTINCT period AS p FROM fx_domain WHERE period <= 2000) k ON b.period < p
+    GROUP BY 1 HAVING max(y) > min(y)"""
+
+
+def _capped(fx: Inputs) -> tuple:
+    """A setting whose fits may take one step only, beside one that may go on."""
+    rows = _binary(fx)
+    none = rows.limit(0).select(*KEY, F.lit(1.0).alias("weight"))
+    return models.tune_fold(
+        rows.select(*KEY, "many"), rows.select(*KEY, "outcome"), none, 2000, {"g": ["many"]},
+        {"logistic": [FREE | {"maxIter": 1}, FREE]},
     )
 
 
+@query(
+    "fit_receipts",
+    f"""SELECT 'logistic:g' AS model_id, setting, period, row_count, CASE WHEN setting = 0 THEN 'MODEL_NONCONVERGENCE' ELSE 'PASS' END AS status,
+               setting = 1 AS converged FROM ({RECEIPT_ROWS}) r CROSS JOIN (VALUES (0), (1)) s(setting)""",
+)
+def _(fx: Inputs) -> DataFrame:
+    return _capped(fx)[2].select("model_id", "setting", "period", "row_count", "status", "converged")
+
+
+@query(
+    "tuned_models",
+    f"""WITH o AS ({OOF_SQL})
+        SELECT 'logistic:g' AS model_id, 'PASS' AS status, NULL::VARCHAR AS reason, 2 AS evaluated_settings, 1 AS valid_settings, 1 AS setting
+        WHERE EXISTS (SELECT * FROM o WHERE period < 2000)""",
+)
+def _(fx: Inputs) -> DataFrame:
+    return _capped(fx)[1].drop("loss")
+
+
 @query(
     "saturated_bagging",
     f"""WITH b AS ({BINARY_SQL}),
         m AS (SELECT bag, b.many, label FROM (
-                SELECT bag, entity_id, period, 1.0::DOUBLE AS label FROM b CROSS JOIN range(3) g(bag) WHERE {BAG_POSITIVE}
+                SELECT bag, entity_id, period, 1.0::DOUBLE AS label FROM b CROSS JOIN range(20) g(bag) WHERE {BAG_POSITIVE}
                 UNION ALL
                 SELECT bag, entity_id, period, 0.0 FROM (
                   SELECT bag, entity_id, period, row_number() OVER (PARTITION BY bag ORDER BY {_draw("bags", "bag", "entity_id", "period")}, entity_id, period) AS pos
-                  FROM b CROSS JOIN range(3) g(bag) WHERE NOT {BAG_POSITIVE}) u
+                  FROM b CROSS JOIN range(20) g(bag) WHERE NOT {BAG_POSITIVE}) u
                 WHERE pos <= (SELECT ceil(count(*) * 2.0) FROM b WHERE {BAG_POSITIVE})) q JOIN b USING (entity_id, period)),
         r AS (SELECT many, avg(p) AS p FROM (SELECT bag, many, avg(label) AS p FROM m GROUP BY 1, 2) a GROUP BY 1)
         SELECT many, round(p, 4) AS prediction, (SELECT count(*) FROM b WHERE b.many = r.many) AS n FROM r""",
 )
 def _(fx: Inputs) -> DataFrame:
     rows = _binary(fx)
-    scored = models.pu_bagging(rows, rows, ["many"], F.expr(BAG_POSITIVE), 3, 2.0, "bags", 1e12, 1e-12)
+    scored = models.pu_bagging(rows, rows, ["many"], F.expr(BAG_POSITIVE), 20, 2.0, "bags", 1e12, 1e-12)
     return scored.groupBy("many").agg(F.round(F.any_value("prediction"), 4).alias("prediction"), F.count(F.lit(1)).alias("n"))
 
 

@@ -11,7 +11,7 @@ from paneloom.plans.bindings import Inputs, query
 from paneloom.plans.evidence_queries import ENDPOINT_SQL, _endpoints
 from paneloom.plans.feature_queries import _round
 from paneloom.plans.label_queries import L0_SQL, RISK_SQL, TARGET_SQL, _l0, _risk, _targets
-from paneloom.plans.metric_queries import AP_SQL, AUC_SQL, DELTA_SQL, PAIRS, RANKED, REPS
+from paneloom.plans.metric_queries import AP_SQL, AUC_SQL, DELTA_SQL, PAIRS, RANKED, REPS, _draw
 from paneloom.plans.model_queries import _document_panel
 
 KEY = ["entity_id", "period"]
@@ -44,8 +44,38 @@ def _(fx: Inputs) -> DataFrame:
 def _(fx: Inputs) -> DataFrame:
     labels = cut(transport.relabel_without(_l0(fx), CHANNELS))
     fixed = transport.select_outcomes(_targets(fx), "L1_ANNUAL")
-    refits = transport.exclusion_refits(cut(_document_panel(fx)), labels, fixed, 2019, ["chars", "lines", "web"])
-    return _round(transport.ablation(refits, 0.5), 3)
+    panel, features = cut(_document_panel(fx)), ["chars", "lines", "web"]
+    refits = transport.exclusion_refits(panel, labels, fixed, 2019, features)
+    whole = _targets(fx).filter("target_id = 'L1_ANNUAL'").select(F.lit("none").alias("exclusion_id"), *KEY, "outcome")
+    baseline = transport.exclusion_refits(panel, cut(whole), fixed, 2019, features).select("average_precision")
+    return _round(transport.ablation(cut(refits), cut(baseline)), 3)
+
+
+#: With one binary feature and no penalty a model scores every row by the rate of its group.
+SATURATED_REFIT_SQL = f"""
+    WITH p AS (SELECT CAST(doc_id AS VARCHAR) AS entity_id, doc_id % 7 + 2015 AS period, source = 'web' AS web FROM documents),
+    r AS (SELECT * FROM ({RELABEL_SQL}) q UNION ALL SELECT 'none', entity_id, period, outcome FROM ({TARGET_SQL}) t WHERE target_id = 'L1_ANNUAL'),
+    h AS (SELECT entity_id, outcome FROM ({TARGET_SQL}) t WHERE target_id = 'L1_ANNUAL' AND outcome IS NOT NULL AND period = 2019),
+    t AS (SELECT exclusion_id, web, avg(CAST(outcome AS INT)) AS rate FROM r JOIN p USING (entity_id, period) WHERE period < 2019 AND outcome IS NOT NULL GROUP BY 1, 2),
+    c AS (SELECT exclusion_id, count(*) AS train_rows, max(CAST(outcome AS INT)) > min(CAST(outcome AS INT)) AS fit FROM r JOIN p USING (entity_id, period)
+          WHERE period < 2019 AND outcome IS NOT NULL GROUP BY 1),
+    s AS (SELECT exclusion_id, outcome, count_if(outcome) OVER w AS hits, row_number() OVER w AS pos FROM h JOIN p USING (entity_id) JOIN t USING (web)
+          WHERE p.period = 2019 WINDOW w AS (PARTITION BY exclusion_id ORDER BY round(rate, 11) DESC, entity_id)),
+    a AS (SELECT exclusion_id, sum(CASE WHEN outcome THEN hits / pos END) / nullif(count_if(outcome), 0) AS ap FROM s GROUP BY 1),
+    e AS (SELECT DISTINCT exclusion_id FROM r),
+    m AS (SELECT exclusion_id, CASE WHEN fit THEN ap END AS ap, coalesce(fit, false) AS fit FROM e LEFT JOIN c USING (exclusion_id) LEFT JOIN a USING (exclusion_id))
+    SELECT exclusion_id, round(ap, 8) AS average_precision, round(ap - (SELECT ap FROM m WHERE exclusion_id = 'none'), 8) AS delta_to_baseline,
+           CASE WHEN fit THEN 'PASS' ELSE 'TWO_CLASSES_REQUIRED' END AS status FROM m WHERE exclusion_id <> 'none'"""
+
+
+@query("saturated_refits", SATURATED_REFIT_SQL)
+def _(fx: Inputs) -> DataFrame:
+    labels = transport.relabel_without(_l0(fx), CHANNELS).select("exclusion_id", *KEY, "outcome")
+    whole = _targets(fx).filter("target_id = 'L1_ANNUAL'").select(F.lit("none").alias("exclusion_id"), *KEY, "outcome")
+    fixed = transport.select_outcomes(_targets(fx), "L1_ANNUAL")
+    refits = cut(transport.exclusion_refits(cut(_document_panel(fx)), cut(labels.unionByName(whole)), fixed, 2019, ["web"], inverse_regularization=1e12))
+    base = refits.filter("exclusion_id = 'none'").select("average_precision")
+    return _round(transport.ablation(refits.filter("exclusion_id <> 'none'"), base), 8)
 
 
 @query(
@@ -57,21 +87,54 @@ def _(fx: Inputs) -> DataFrame:
     return transport.source_summary(fx("fx_records"))
 
 
-def _halves(fx: Inputs) -> tuple[DataFrame, DataFrame]:
-    rows = cut(fx("fx_domain"))
-    return rows.filter("domain <> 'BUILDING'"), rows.filter("domain = 'BUILDING'")
+@query("domain_support")
+def _(fx: Inputs) -> DataFrame:
+    scores, _ = transport.support_scores(fx("fx_domain"), "domain", ["spend", "orders_made", "balance"], 3, "support")
+    return _round(transport.domain_support(cut(scores), (0.1, 0.9), ["level"]), 3)
+
+
+#: Three groups of rows by two binary features, so that models with both, or with one, are rates of groups.
+SUPPORT_ROWS = """SELECT entity_id, period, domain, CASE WHEN orders_made > 2 THEN 1.0::DOUBLE ELSE 0.0 END AS many,
+                         CASE WHEN orders_made = 2 THEN 1.0::DOUBLE ELSE 0.0 END AS two FROM fx_domain"""
+SUPPORT_SQL = f"""
+    WITH b AS (SELECT *, {_draw("support", "entity_id")} % 2 AS fold FROM ({SUPPORT_ROWS}) r), l AS (SELECT DISTINCT domain AS level FROM b),
+    y AS (SELECT DISTINCT period AS p FROM b WHERE period >= 1999),
+    x AS (SELECT b.*, level, p, domain = level AS held FROM b CROSS JOIN l CROSS JOIN y WHERE (domain = level AND period = p) OR (domain <> level AND period < p)),
+    u AS (SELECT x.*, '' AS feature_id, many * 2 + two AS v FROM x UNION ALL SELECT x.*, 'many', two FROM x UNION ALL SELECT x.*, 'two', many FROM x),
+    g AS (SELECT level, p, feature_id, k, v, count_if(held) AS h, count_if(NOT held) AS d FROM u JOIN (VALUES (0), (1)) f(k) ON fold <> k GROUP BY 1, 2, 3, 4, 5),
+    q AS (SELECT *, h / sum(h) OVER w / (h / sum(h) OVER w + d / sum(d) OVER w) AS score FROM g WINDOW w AS (PARTITION BY level, p, feature_id, k)),
+    s AS (SELECT u.*, round(score, 9) AS score FROM u JOIN q ON q.level = u.level AND q.p = u.p AND q.feature_id = u.feature_id AND q.k = u.fold AND q.v = u.v),
+    r AS (SELECT *, rank() OVER (PARTITION BY level, p, feature_id ORDER BY score) + (count(*) OVER (PARTITION BY level, p, feature_id, score) - 1) / 2.0 AS r FROM s),
+    t AS (SELECT level, p AS fold_period, feature_id, count_if(held) AS held_rows, avg(CASE WHEN held THEN CAST(score BETWEEN 0.48 AND 0.52 AS INT) END) AS support_fraction,
+                 (sum(r) FILTER (held) - count_if(held) * (count_if(held) + 1) / 2.0) / (count_if(held) * count_if(NOT held)) AS roc_auc FROM r GROUP BY 1, 2, 3)"""
 
 
-@query("domain_support")
+def _support(fx: Inputs) -> DataFrame:
+    rows = fx("fx_domain").select(
+        *KEY, "domain", (F.col("orders_made") > 2).cast("double").alias("many"), (F.col("orders_made") == 2).cast("double").alias("two")
+    )
+    scores, _ = transport.support_scores(rows, "domain", ["many", "two"], 2, "support", _late(rows), True, 1e12)
+    return transport.domain_support(cut(scores), (0.48, 0.52), ["level", "fold_period", "feature_id"])
+
+
+def _late(rows: DataFrame) -> list[int]:
+    return sorted(r["period"] for r in rows.select("period").distinct().collect() if r["period"] >= 1999)
+
+
+@query("saturated_support", f"{SUPPORT_SQL} SELECT level, fold_period, feature_id, held_rows, round(support_fraction, 6) AS support_fraction, round(roc_auc, 6) AS roc_auc FROM t")
 def _(fx: Inputs) -> DataFrame:
-    scores = transport.support_scores(*_halves(fx), ["spend", "orders_made", "balance"], 3, "support")
-    return _round(transport.domain_support(cut(scores), (0.1, 0.9)), 3)
+    return _round(_support(fx), 6)
 
 
-@query("support_drivers")
+@query(
+    "support_drivers",
+    f"""{SUPPORT_SQL}
+        SELECT level, fold_period, a.feature_id, round(a.support_fraction, 6) AS support_fraction, round(a.support_fraction - b.support_fraction, 6) AS support_gain,
+               round(b.roc_auc - a.roc_auc, 6) AS auc_drop, b.support_fraction < 0.5 AND a.support_fraction >= 0.5 AS restores_support
+        FROM t a JOIN (SELECT * FROM t WHERE feature_id = '') b USING (level, fold_period) WHERE a.feature_id <> ''""",
+)
 def _(fx: Inputs) -> DataFrame:
-    drivers = transport.support_drivers(*_halves(fx), ["spend", "orders_made"], 2, (0.1, 0.9), 0.8, "support")
-    return _round(drivers, 3)
+    return _round(transport.support_drivers(cut(_support(fx)), 0.5), 6)
 
 
 def _shift_sql(c: str) -> str:
@@ -143,24 +206,69 @@ def _(fx: Inputs) -> DataFrame:
     return transport.censoring_summary(decisions, registry)
 
 
+TRANSFER_FREE, TRANSFER_FLAT = {"C": 1e12}, {"C": 1e-24}
+TRANSFER_SQL = """
+    WITH b AS (SELECT entity_id, period, domain, CAST(outcome AS INT) AS y, CAST(orders_made > 2 AS INT) AS many, CAST(entity_id AS INT) % 2 AS odd, spend FROM fx_domain),
+    l AS (SELECT DISTINCT domain AS level FROM b), k AS (SELECT DISTINCT period AS p FROM b WHERE period > (SELECT min(period) FROM b)),
+    u AS (SELECT b.*, 'candidate' AS side, many AS v FROM b UNION ALL SELECT b.*, 'reference', odd FROM b),
+    g AS (SELECT level, p, side, v, avg(y) AS free FROM u JOIN l ON domain <> level JOIN k ON period < p GROUP BY 1, 2, 3, 4),
+    f AS (SELECT level, p, avg(y) AS flat, count(*) AS train_rows FROM b JOIN l ON domain <> level JOIN k ON period < p GROUP BY 1, 2 HAVING max(y) > min(y)),
+    s AS (SELECT u.*, f.level, 0 AS setting, free AS prediction FROM u JOIN f ON f.p = period JOIN g ON g.level = f.level AND g.p = period AND g.side = u.side AND g.v = u.v
+          UNION ALL SELECT u.*, f.level, 1, flat FROM u JOIN f ON f.p = period),
+    i AS (SELECT level, p AS fold, side, setting, y, sum(y) OVER w AS hits, row_number() OVER w AS pos FROM s JOIN k ON period < p AND domain <> level
+          WINDOW w AS (PARTITION BY level, p, side, setting ORDER BY round(prediction, 11) DESC, entity_id, period)),
+    a AS (SELECT level, fold, side, setting, sum(CASE WHEN y = 1 THEN hits / pos END) / sum(y) AS ap FROM i GROUP BY 1, 2, 3, 4),
+    c AS (SELECT level, fold, side, arg_max(setting, (ap, -setting)) AS setting FROM a GROUP BY 1, 2, 3),
+    n AS (SELECT s.level, fold, s.side, c.setting, y, sum(y) OVER w AS hits, row_number() OVER w AS pos FROM s
+          JOIN c ON c.level = s.level AND s.domain = s.level AND c.fold = s.period AND c.side = s.side AND c.setting = s.setting
+          WINDOW w AS (PARTITION BY s.level, fold, s.side ORDER BY round(prediction, 11) DESC, entity_id, period)),
+    m AS (SELECT level, fold, side, any_value(setting) AS setting, sum(CASE WHEN y = 1 THEN hits / pos END) / nullif(sum(y), 0) AS ap FROM n GROUP BY 1, 2, 3),
+    h AS (SELECT domain AS level, period AS fold, count(*) AS held_rows, sum(y) AS held_positives, avg(CAST(spend < 500000 AS INT)) AS support_fraction FROM b JOIN k ON p = period GROUP BY 1, 2),
+    t AS (SELECT h.level, h.fold, coalesce(train_rows, (SELECT count(*) FROM b WHERE domain <> h.level AND period < h.fold)) AS train_rows, held_rows, held_rows AS observed_rows,
+                 held_positives::BIGINT AS held_positives, x.setting AS candidate_setting, r.setting AS reference_setting, round(x.ap, 8) AS candidate_ap,
+                 round(r.ap, 8) AS reference_ap, round(support_fraction, 8) AS support_fraction,
+                 CASE WHEN x.setting IS NULL OR r.setting IS NULL THEN 'DOMAIN_REFIT_PREDICTIONS_UNAVAILABLE'
+                      WHEN held_positives IN (0, held_rows) THEN 'HELD_DOMAIN_TEST_CLASS_UNAVAILABLE' END AS reason
+          FROM h LEFT JOIN f ON f.level = h.level AND f.p = h.fold LEFT JOIN m x ON x.level = h.level AND x.fold = h.fold AND x.side = 'candidate'
+          LEFT JOIN m r ON r.level = h.level AND r.fold = h.fold AND r.side = 'reference'),
+    z AS (SELECT *, reason IS NULL AS complete, reason IS NULL AND support_fraction >= 0.8 AND candidate_ap >= reference_ap * 0.95 AS non_inferior FROM t)"""
+
+
 def _transfer(fx: Inputs) -> DataFrame:
-    panel = fx("fx_domain")
+    panel = fx("fx_domain").select(
+        "*", (F.col("orders_made") > 2).cast("double").alias("many"), (F.col("entity_id").cast("int") % 2).cast("double").alias("odd")
+    )
     support = panel.groupBy(F.col("domain").alias("level"), F.col("period").alias("fold")).agg(
         F.avg((F.col("spend") < 500000).cast("double")).alias("support_fraction")
     )
-    return transport.domain_transfer(
-        panel, "domain", ["BUILDING", "MACHINERY"], [1999], ["spend", "orders_made"], ["orders_made"], 0.05, support, 0.8
-    )
+    cells, _ = transport.domain_transfer(panel, "domain", ["many"], ["odd"], 0.05, support, 0.8, [TRANSFER_FREE, TRANSFER_FLAT])
+    return cells
 
 
-@query("domain_transfer")
+@query("domain_transfer", f"{TRANSFER_SQL} SELECT * FROM z")
+def _(fx: Inputs) -> DataFrame:
+    return _round(_transfer(fx), 8)
+
+
+@query(
+    "domain_transfer_summary",
+    f"""{TRANSFER_SQL}
+        SELECT count_if(complete) AS complete_cells, count(*) AS expected_cells, count(DISTINCT level) AS level_count,
+               round(count_if(non_inferior) / count(*), 9) AS robust_fraction, count_if(complete) = count(*) AND count(DISTINCT level) >= 2 AS evidence_complete FROM z""",
+)
 def _(fx: Inputs) -> DataFrame:
-    return _round(_transfer(fx), 3)
+    return _round(transport.transfer_summary(cut(_transfer(fx))), 9)
 
 
-@query("domain_transfer_summary")
+@query("domain_transfer_full")
 def _(fx: Inputs) -> DataFrame:
-    return transport.transfer_summary(cut(_transfer(fx)), 2)
+    """Penalised fits of all features, with support from cross-fitted domain scores of every level and period."""
+    panel = cut(fx("fx_domain"))
+    features = ["spend", "orders_made", "top_order", "balance"]
+    scores, _ = transport.support_scores(panel, "domain", features, 3, "support", _late(panel))
+    support = transport.domain_support(cut(scores), (0.1, 0.9), ["level", "fold_period"]).withColumnRenamed("fold_period", "fold")
+    cells, _ = transport.domain_transfer(panel, "domain", features, ["orders_made"], 0.05, cut(support), 0.8, [{"C": 0.1}, {"C": 1.0}], _late(panel))
+    return _round(cells, 4)
 
 
 # ------------------------------------------------------------- partial identification

@@ -72,11 +72,11 @@ def nearest(vectors: np.ndarray, centroids: np.ndarray) -> tuple[np.ndarray, np.
     return held, distance, measured
 
 
-def start(rows: DataFrame, k: int, seed: int) -> np.ndarray:
+def start(rows: DataFrame, k: int, seed: int, dim: int) -> np.ndarray:
     """The k vectors with the smallest sha-256 of ``seed:id``."""
     digest = F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")), 256)
     first = rows.orderBy(digest.asc_nulls_last(), "vector").limit(k).select("vector").collect()  # k vectors
-    return np.array([r["vector"] for r in first], np.int64).reshape(len(first), -1)
+    return np.array([r["vector"] for r in first], np.int64).reshape(len(first), dim)
 
 
 def moved(rows: DataFrame, centroids: np.ndarray) -> np.ndarray:
@@ -123,7 +123,7 @@ def cluster(
     whole = F.transform(v, lambda x: F.floor(x.cast("double") * scale))
     kept = vectors.filter(v.isNotNull() & (F.size(v) == dim) & sound).select(F.col(id_col).alias("id"), whole.alias("vector"))
     rows = stored(kept, "cluster-vectors")
-    centroids = start(rows, k, seed)
+    centroids = start(rows, k, seed, dim)
     for _ in range(rounds if len(centroids) else 0):
         after = moved(rows, centroids)
         if (after == centroids).all():

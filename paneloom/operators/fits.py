@@ -172,9 +172,10 @@ class SharedFits:
                     continue
                 fill = (fills[cell.rows][f] - self.middle[j]) / self.spread[j]
                 mean = (total + (n - present) * fill) / n
-                deviation = np.sqrt(max(0.0, (squares + (n - present) * fill * fill) / n - mean * mean))
+                square = (squares + (n - present) * fill * fill) / n
+                deviation = np.sqrt(max(0.0, square - mean * mean))
                 column = np.zeros(1 + 2 * p)
-                if deviation > 1e-9:
+                if deviation * deviation > 1e-12 * square:  # below that the difference is rounding: a constant
                     column[[0, 1 + j, 1 + p + j]] = -mean / deviation, 1 / deviation, fill / deviation
                 columns.append(column)
             if not columns:

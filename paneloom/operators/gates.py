@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paneloom.functions.grid import registry, with_grid
-from paneloom.operators.metrics import bootstrap_rows
+from paneloom.operators.nested import replicate_quantiles
 from paneloom.operators.newton import fit_many, hinge_design, interaction_design
 from paneloom.operators.ranking import attach, cut, quantile_rows, value_counts
+from paneloom.operators.resample import multiplicity_arrays
 
 KEY = ["entity_id", "period"]
 
@@ -227,68 +228,119 @@ def common_support(ranges: DataFrame) -> DataFrame:
 def shape_bootstrap(
     rows: DataFrame, quantile_range: tuple[float, float], points: int, inverse_regularization: float, replications: int, alpha: float, seed: str
 ) -> DataFrame:
-    """Interval of the interaction and the breakpoint from resampled rows; one-class resamples drop out.
+    """Intervals of the interaction and the breakpoint of every group, from its entities resampled.
 
-    Every replicate is a group of the shared fits, with the multiplicity as weight.
+    A row carries how often each replicate draws it. Every (group, replicate, position) is a cell of the
+    shared fits, weighted by that number, and the positions are quantiles of the replicate by the same
+    numbers, so no row is copied. One-class replicates drop out; a group without any has an open interval.
     """
-    base = rows.withColumnRenamed("grp", "_g")
-    drawn = bootstrap_rows(base, replications, seed).select(
-        F.col("rep").cast("string").alias("grp"), "z", "monitor", "label", F.col("times").cast("double").alias("weight")
+    times = multiplicity_arrays(rows, ["grp"], replications, seed)
+    table = cut(attach(rows, times, ["grp", "entity_id"]).filter("times IS NOT NULL"))
+    hit = F.transform("times", lambda t: t * F.col("label").cast("int"))
+    ones, total = (
+        table.select("grp", F.posexplode(c).alias("rep", "t")).groupBy("grp", "rep").agg(F.sum("t").alias(n)) for c, n in ((hit, "ones"), (F.col("times"), "n"))
     )
-    table = cut(drawn)
-    sizes = table.groupBy("grp").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).collect()
-    groups = [r["grp"] for r in sizes if r["lo"] < r["hi"]]
+    both = ones.join(total, ["grp", "rep"]).filter("ones > 0 AND ones < n").collect()  # one row a group and replicate
+    valid: dict[str, list[int]] = {}
+    for r in both:
+        valid.setdefault(r["grp"], []).append(r["rep"])
     low, high = quantile_range
     wanted = [low + (high - low) * i / (points - 1) for i in range(points)]
-    copies = table.select("grp", F.col("z"), F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))).alias("_c"))
-    spots = quantile_rows(copies, ["grp"], "z", wanted).collect()
-    candidates = {g: sorted({r["quantile"] for r in spots if r["grp"] == g}) for g in groups}
+    spots: dict[tuple, set] = {}
+    for r in replicate_quantiles(table.select(F.col("grp").alias("feature"), F.col("z").alias("value"), "times"), replications, wanted).collect():
+        spots.setdefault((r["feature"], r["set"]), set()).add(r["quantile"])
+    candidates = {g: [(rep, p) for rep in sorted(reps) for p in sorted(spots[g, rep])] for g, reps in valid.items()}
     penalty = 1 / inverse_regularization
-    hinge = fit_many(table, "grp", candidates, hinge_design, 6, penalty)
-    plain = fit_many(table, "grp", {g: [0.0] for g in groups}, interaction_design, 4, penalty)
-    best = hinge.sort_values(["grp", "loss", "point"]).groupby("grp", as_index=False).first()[["grp", "point"]]
-    merged = best.merge(plain[["grp", "b3"]], on="grp")
-    frame = rows.sparkSession.createDataFrame(merged.astype({"grp": str}), "grp string, breakpoint double, interaction double")
+    hinge = fit_many(table, "grp", candidates, hinge_design, 6, penalty, times="times")
+    plain = fit_many(table, "grp", {g: [(rep, 0.0) for rep in sorted(reps)] for g, reps in valid.items()}, interaction_design, 4, penalty, times="times")
+    best = hinge.sort_values(["grp", "rep", "loss", "point"]).groupby(["grp", "rep"], as_index=False).first()[["grp", "rep", "point"]]
+    merged = best.merge(plain[["grp", "rep", "b3"]], on=["grp", "rep"]).drop(columns="rep")
+    frame = rows.sparkSession.createDataFrame(merged.astype({"grp": str, "point": float, "b3": float}), "grp string, breakpoint double, interaction double")
     q = [alpha / 2, 1 - alpha / 2]
 
     def end(value: str, i: int) -> Column:
         empty = float("-inf") if i == 0 else float("inf")
         return F.coalesce(F.percentile(value, F.lit(q[i])), F.lit(empty))
 
-    return frame.agg(
-        F.count(F.lit(1)).alias("valid_replications"),
+    every = rows.select("grp").distinct().join(frame, "grp", "left")
+    return every.groupBy("grp").agg(
+        F.count("breakpoint").alias("valid_replications"),
         end("interaction", 0).alias("interaction_lower"), end("interaction", 1).alias("interaction_upper"),
         end("breakpoint", 0).alias("breakpoint_lower"), end("breakpoint", 1).alias("breakpoint_upper"),
     )
 
 
-def gate3(folds: DataFrame, domains: DataFrame, stability: DataFrame, parent: DataFrame, cfg: Mapping[str, float]) -> DataFrame:
-    """Shape verdict from fold breakpoints, domain breakpoints, common support and measurement stability.
+def standardized_claims(df: DataFrame, claims: Sequence[str], monitor: str, outcome: str, group: str) -> DataFrame:
+    """Rows of the shape fits for several claims, each feature by its own scale; grp is claim|group."""
+    whole = None
+    for claim in claims:
+        part = standardized(df, claim, monitor, outcome, group).withColumn("grp", F.concat(F.lit(f"{claim}|"), F.col("grp")))
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
 
-    ``parent`` has one row with the parent gate's verdict. A parent that did not pass, or an
-    unstable measurement, skips the gate with its reason.
+
+def threshold_claims(folds: DataFrame, domains: DataFrame, intervals: DataFrame, cfg: Mapping[str, float]) -> DataFrame:
+    """Verdict of every threshold claim: stable over folds, alike and supported across domains, both sides
+    filled, and an interval for every fold's breakpoint.
+
+    folds and domains are scans whose grp is claim|fold or claim|level; intervals are those of the folds.
     """
-    spread = folds.agg(
-        F.count(F.lit(1)).alias("fold_count"), F.stddev_pop("breakpoint").alias("breakpoint_sd"), F.min("side_fraction").alias("min_side_fraction")
-    )
-    across = domains.agg(F.count(F.lit(1)).alias("domain_count"), (F.max("breakpoint") - F.min("breakpoint")).alias("domain_difference"))
-    box = common_support(domains).select("common_support")
-    stable = stability.select(F.col("passed").alias("_stable"))
-    rows = attach(attach(attach(attach(spread, across, []), box, []), stable, []), parent.select("verdict"), [])
-    ok = (
+    claim = F.split("grp", r"\|")[0].alias("claim")
+    known = intervals.filter(F.abs("breakpoint_lower") < float("inf")).select("grp", F.lit(1).alias("_i"))
+    spread = attach(folds, known, ["grp"]).groupBy(claim).agg(
+        F.count(F.lit(1)).alias("fold_count"), F.stddev_pop("breakpoint").alias("breakpoint_sd"), F.min("side_fraction").alias("min_side_fraction"),
+        F.count("_i").alias("interval_count"),
+    )
+    ranges = domains.select(claim, "breakpoint", "z_low", "z_high")
+    box = ranges.groupBy("claim").agg(F.max("z_low").alias("_l"), F.min("z_high").alias("_h"), F.count(F.lit(1)).alias("_n"))
+    share = F.greatest(F.lit(0.0), F.col("_h") - F.col("_l")) / F.greatest(F.col("z_high") - F.col("z_low"), F.lit(1e-12))
+    across = attach(ranges, box, ["claim"]).groupBy("claim").agg(
+        F.count(F.lit(1)).alias("domain_count"), F.when(F.count(F.lit(1)) >= 2, F.max("breakpoint") - F.min("breakpoint")).alias("domain_difference"),
+        F.coalesce(F.min(F.when(F.col("_n") >= 2, share)), F.lit(0.0)).alias("common_support"),
+    )
+    passed = (
         (F.col("breakpoint_sd") <= cfg["breakpoint_tolerance"])
         & (F.col("domain_difference") <= cfg["domain_difference_max"])
         & (F.col("common_support") >= cfg["common_support_min"])
         & (F.col("min_side_fraction") >= cfg["min_side_fraction"])
         & (F.col("domain_count") >= cfg["min_domains"])
+        & (F.col("interval_count") == F.col("fold_count"))
+    )
+    joined = spread.join(across, "claim", "full").na.fill(0, ["fold_count", "interval_count", "domain_count"])
+    return joined.withColumn("method_pass", F.coalesce(passed, F.lit(False)))
+
+
+def gate3(directions: DataFrame, claims: DataFrame, stability: DataFrame, parent: DataFrame, cfg: Mapping[str, float]) -> DataFrame:
+    """Shape verdict: every registered claim holds, the interaction has one direction in enough folds, and
+    no fold's simultaneous interval of it holds zero.
+
+    ``directions`` has a row per fold with interaction, interaction_lower and interaction_upper; ``claims``
+    are those of ``threshold_claims``; ``parent`` has one row with the parent gate's verdict. A parent that
+    did not pass, an unstable measurement, or no evidence skips the gate with its reason.
+    """
+    away = (F.col("interaction_lower") > 0) | (F.col("interaction_upper") < 0)
+    shape = directions.agg(
+        F.count("interaction").alias("direction_folds"),
+        F.greatest(F.count_if(F.col("interaction") > 0), F.count_if(F.col("interaction") < 0)).alias("same_direction_folds"),
+        (F.coalesce(F.bool_and(F.coalesce(away, F.lit(False))), F.lit(False))).alias("intervals_exclude_zero"),
+    )
+    held = claims.agg(F.count(F.lit(1)).alias("claim_count"), F.count_if("method_pass").alias("claims_passed"))
+    stable = stability.select(F.col("passed").alias("_stable"))
+    rows = attach(attach(attach(shape, held, []), stable, []), parent.select("verdict"), [])
+    ok = (
+        (F.col("claim_count") == cfg["claims"])
+        & (F.col("claims_passed") == cfg["claims"])
+        & (F.col("same_direction_folds") >= cfg["same_direction_min"])
+        & F.col("intervals_exclude_zero")
     )
     reason = (
-        F.when(F.col("verdict") != "PASS", "PARENT_GATE_NOT_PASS")
-        .when(~F.col("_stable"), "MEASUREMENT_NOT_STABLE")
-        .when(F.col("fold_count") == 0, "NO_FOLD_BREAKPOINTS")
+        F.when(F.coalesce("verdict", F.lit("")) != "PASS", "PARENT_GATE_NOT_PASS")
+        .when(~F.coalesce("_stable", F.lit(False)), "MEASUREMENT_NOT_STABLE")
+        .when(F.col("direction_folds") == 0, "NO_FOLD_DIRECTIONS")
+        .when(F.col("claim_count") != cfg["claims"], "THRESHOLD_CLAIMS_MISSING")
     )
     return rows.select(
-        "fold_count", "breakpoint_sd", "min_side_fraction", "domain_count", "domain_difference", "common_support",
+        "direction_folds", "same_direction_folds", "intervals_exclude_zero", "claim_count", "claims_passed",
         F.when(reason.isNotNull(), "SKIPPED").when(ok, "PASS").otherwise("FAIL").alias("shape_verdict"), reason.alias("reason"),
     )
 

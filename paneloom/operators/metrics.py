@@ -6,15 +6,19 @@ from distributed running sums, so a model that holds most of the rows is still s
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.functions.draws import hash_number
 from paneloom.functions.grid import registry, with_grid
 from paneloom.operators.ranking import attach, average_ranks, cut, positions, quantile_rows, running, value_counts
+from paneloom.operators.resample import paired_samples, replicate_precision, replicate_sums
 
 KEY = ["entity_id", "period"]
 
@@ -176,34 +180,15 @@ def bootstrap_rows(df: DataFrame, replications: int, seed: str) -> DataFrame:
     return df.join(units, "entity_id").join(times, "unit").drop("unit", "n")
 
 
-def replicate_precision(resampled: DataFrame) -> DataFrame:
-    """Average precision per (model, replicate), copies of a row ranked next to each other."""
-    ranks = running(
-        resampled, ["model_id", "rep"], [("prediction", False), ("entity_id", True), ("period", True)],
-        {"_rank": F.col("times"), "_hits": F.col("times") * _hit()},
-    )
-    first_rank, first_hit = F.col("_rank") - F.col("times"), F.col("_hits") - F.col("times")
-    copies = F.sequence(F.lit(1), F.col("times").cast("int"))
-    gain = F.aggregate(copies, F.lit(0.0), lambda total, j: total + (first_hit + j) / (first_rank + j))
-    return ranks.groupBy("model_id", "rep").agg(
-        (F.sum(F.when(F.col("outcome"), gain)) / F.nullif(F.sum(F.when(F.col("outcome"), F.col("times"))), F.lit(0))).alias(
-            "average_precision"
-        )
-    )
-
-
 def bootstrap_delta(
     df: DataFrame, candidate: str, reference: str, replications: int, level: float, seed: str
 ) -> DataFrame:
-    """Replicate differences of average precision; replicates without a positive drop out."""
+    """Replicate differences of average precision; unknown where a replicate has no positive.
+
+    Replicates are arrays of a row, not rows of their own (``resample``).
+    """
     rows = df.filter(F.col("model_id").isin(candidate, reference))
-    scores = replicate_precision(bootstrap_rows(rows, replications, seed))
-    return scores.groupBy("rep").agg(
-        (
-            F.max(F.when(F.col("model_id") == candidate, F.col("average_precision")))
-            - F.max(F.when(F.col("model_id") == reference, F.col("average_precision")))
-        ).alias("delta")
-    )
+    return paired_samples(replicate_precision(rows, [], replications, seed), {candidate: reference}).select("rep", "delta")
 
 
 def interval(samples: DataFrame, value: str, level: float, by: Sequence[str] = ()) -> DataFrame:
@@ -351,19 +336,40 @@ def utility_replicates(df: DataFrame, scenarios: Sequence[Mapping[str, Any]], dr
     """Net utility per (model, scenario, replicate).
 
     ``df`` has risk as an array with one value per parameter draw; each replicate takes one draw
-    by hash. Candidate and reference share the resample and the draw.
+    by hash. Candidate and reference share the resample and the draw. An unknown risk counts nowhere.
     """
-    resampled = bootstrap_rows(df, replications, seed)
-    ranks = running(
-        resampled, ["model_id", "rep"], [("prediction", False), ("entity_id", True), ("period", True)],
-        {"_upto": F.col("times")},
-    )
-    pick = F.pmod(hash_number(seed, "draw", F.col("rep")), F.lit(draws)).cast("int")
-    rows = ranks.withColumn("_risk", F.get(F.col("risk"), pick))
-    sizes = rows.groupBy("model_id", "rep").agg(F.sum("times").alias("_n"))
-    grid = with_grid(attach(rows, sizes, ["model_id", "rep"]), scenarios, UTILITY).withColumn("_k", _review_size(F.col("_n")))
-    units = F.greatest(F.lit(0), F.least(F.col("times"), F.col("_k") - (F.col("_upto") - F.col("times"))))
-    return _utility_sums(grid, ["model_id", "rep"], units, F.col("_risk"), "times")
+    pick = np.array([int(hashlib.md5(f"{seed}:draw:{r}".encode()).hexdigest()[:15], 16) % draws for r in range(replications)])
+
+    def visit(rows: pa.RecordBatch, times: np.ndarray, before: np.ndarray, _: np.ndarray, n: np.ndarray) -> dict[str, np.ndarray]:
+        values = np.array([[np.nan if x is None else x for x in (v or [None] * draws)] for v in rows.column("risk").to_pylist()], float)
+        risk = values[:, pick]
+        out = {}
+        for i, s in enumerate(scenarios):
+            size = np.minimum(n, np.maximum(1, np.ceil(n * s["review_fraction"])))
+            units = np.clip(size - before, 0, times)
+            out[f"tp{i}"], out[f"fp{i}"] = np.nansum(units * risk, 0), np.nansum(units * (1 - risk), 0)
+            out[f"fn{i}"] = np.nansum((times - units) * risk, 0)
+            out[f"k{i}"] = np.zeros(replications)
+            if (before[0] == 0).all():  # the first rows of a model bring the size, once
+                out[f"k{i}"] = size
+        return out
+
+    names = [f"{part}{i}" for i in range(len(scenarios)) for part in ("tp", "fp", "fn", "k")]
+    found = replicate_sums(df, [], replications, seed, visit, names, ["risk"])
+    wide = found.groupBy("model_id").agg(*[F.max_by("sums", F.col("name") == n).alias(n) for n in names])
+    whole = None
+    for i, s in enumerate(scenarios):
+        each = F.posexplode(F.arrays_zip(*[F.col(f"{p}{i}").alias(p) for p in ("tp", "fp", "fn", "k")])).alias("rep", "v")
+        net = (
+            s["true_positive_benefit"] * F.col("v.tp") - s["false_positive_cost"] * F.col("v.fp") - s["false_negative_cost"] * F.col("v.fn")
+            - s["review_cost"] * F.col("v.k")
+        )
+        part = wide.select("model_id", F.lit(s["scenario_id"]).alias("scenario_id"), each).select(
+            "model_id", "rep", "scenario_id", F.col("v.k").cast("long").alias("reviewed_cases"), F.col("v.tp").alias("expected_true_positives"),
+            F.col("v.fp").alias("expected_false_positives"), F.col("v.fn").alias("expected_false_negatives"), net.alias("net_utility"),
+        )
+        whole = part if whole is None else whole.unionByName(part)
+    return whole
 
 
 def utility_bootstrap(

@@ -36,7 +36,10 @@ def counts(df: DataFrame, sets: str = "sets") -> DataFrame:
 
 def offsets(placed: DataFrame) -> DataFrame:
     """(feature, part, set, inside, before, n): rows of a set in a part, in earlier parts and in all."""
-    parts = placed.select("feature", "part", "rows", F.explode("sets").alias("set")).groupBy("feature", "part", "set").agg(F.sum("rows").alias("inside"))
+    return spots_of(placed.select("feature", "part", "rows", F.explode("sets").alias("set")).groupBy("feature", "part", "set").agg(F.sum("rows").alias("inside")))
+
+
+def spots_of(parts: DataFrame) -> DataFrame:
     by = Window.partitionBy("feature", "set")  # one row a part
     before = F.sum("inside").over(by.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     return parts.select("*", F.coalesce(before, F.lit(0)).alias("before"), F.sum("inside").over(by).alias("n"))
@@ -50,10 +53,13 @@ def walk(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple]:
             rows = batch.slice(at, SLICE)
             names = rows.column("feature").to_pylist()
             edges = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
-            lists, many = rows.column("sets"), rows.column("rows").to_numpy()
-            lengths = np.diff(lists.offsets.to_numpy())
-            here = np.zeros((len(names), size), np.int64)
-            np.add.at(here, (np.repeat(np.arange(len(names)), lengths), lists.flatten().to_numpy()), np.repeat(many, lengths))
+            if "times" in rows.schema.names:
+                here = rows.column("times").flatten().to_numpy().reshape(len(names), size).astype(np.int64)
+            else:
+                lists, many = rows.column("sets"), rows.column("rows").to_numpy()
+                lengths = np.diff(lists.offsets.to_numpy())
+                here = np.zeros((len(names), size), np.int64)
+                np.add.at(here, (np.repeat(np.arange(len(names)), lengths), lists.flatten().to_numpy()), np.repeat(many, lengths))
             values, part = rows.column("value").to_numpy(), rows.column("part")[0].as_py()
             for start, stop in zip(edges, edges[1:], strict=False):
                 if names[start] != now:
@@ -70,7 +76,28 @@ def nested_quantiles(df: DataFrame, size: int, probabilities: Sequence[float] =
     two per feature, set and probability, reach the driver.
     """
     placed = counts(df)
-    spots = offsets(placed)
+    return selected(placed, offsets(placed), size, probabilities)
+
+
+def replicate_quantiles(df: DataFrame, size: int, probabilities: Sequence[float]) -> DataFrame:
+    """(feature, set, p, quantile) where the sets are replicates: ``df`` has feature, value and times, an array
+    of how often each of ``size`` replicates draws the row."""
+    rows = df.filter(F.col("value").isNotNull()).select("feature", "value", "times")
+    placed = cut(rows.repartitionByRange("feature", "value").sortWithinPartitions("feature", "value").withColumn("part", F.spark_partition_id()))
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, np.ndarray] = {}
+        for feature, part, _, upto, held in walk(batches, size):
+            found[feature, part] = found.get((feature, part), 0) + upto[-1] - held
+        for (feature, part), total in found.items():
+            yield pa.RecordBatch.from_pydict({"feature": pa.array([feature]), "part": pa.array([part], pa.int32()), "inside": pa.array([total.tolist()])})
+
+    parts = placed.mapInArrow(add, "feature string, part int, inside array<long>")
+    return selected(placed, spots_of(parts.select("feature", "part", F.posexplode("inside").alias("set", "inside")).filter("inside > 0")), size, probabilities)
+
+
+def selected(placed: DataFrame, spots: DataFrame, size: int, probabilities: Sequence[float]) -> DataFrame:
+    """The wanted places of every (feature, set), read off the placed rows."""
     ends = F.explode(
         F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(k).alias("end"), f((F.col("n") - 1) * p).cast("long").alias("at"))
                   for p in probabilities for k, f in enumerate((F.floor, F.ceil))])

@@ -20,21 +20,22 @@ Design = Callable[[pd.DataFrame, float], np.ndarray]
 
 
 def fit_many(
-    df: DataFrame, group: str, points: dict[str, Sequence[float]], design: Design, width: int, penalty: float, steps: int = 25,
-    tolerance: float = 1e-8,
+    df: DataFrame, group: str, points: dict[str, Sequence], design: Design, width: int, penalty: float, steps: int = 25,
+    tolerance: float = 1e-8, times: str | None = None,
 ) -> pd.DataFrame:
     """Penalised logistic coefficients and mean log-loss per (group, point).
 
     ``df`` has the group column, label (0/1), weight and whatever the design reads. ``points``
-    lists the design parameters of each group.
+    lists the design parameters of each group. With ``times``, an array column of multiplicities, points are
+    (replicate, parameter): the replicate's multiplicity is a factor of the weight, and rows are not copied.
     """
-    keys = [(g, i, float(p)) for g, ps in points.items() for i, p in enumerate(ps)]
+    keys = [(g, i, p if times else float(p)) for g, ps in points.items() for i, p in enumerate(ps)]
     size = width + width * width + 2
     schema = f"grp string, idx int, {', '.join(f's{i} double' for i in range(size))}"
     names = [f"s{i}" for i in range(size)]
 
     def sums(beta: dict[tuple[str, int], np.ndarray]) -> pd.DataFrame:
-        by_group: dict[str, list[tuple[int, float, np.ndarray]]] = {}
+        by_group: dict[str, list[tuple]] = {}
         for g, i, p in keys:
             by_group.setdefault(g, []).append((i, p, beta[(g, i)]))
 
@@ -42,9 +43,11 @@ def fit_many(
             totals: dict[tuple[str, int], np.ndarray] = {}
             for batch in batches:
                 for g, rows in batch.groupby(group):
-                    y, w = rows["label"].to_numpy(float), rows["weight"].to_numpy(float)
+                    y, base = rows["label"].to_numpy(float), rows["weight"].to_numpy(float)
+                    drawn = np.stack(rows[times].to_numpy()) if times else None
                     for i, p, b in by_group.get(g, ()):
-                        x = design(rows, p)
+                        w = base * drawn[:, p[0]] if times else base
+                        x = design(rows, p[1] if times else p)
                         mu = 1 / (1 + np.exp(-np.clip(x @ b, -35, 35)))
                         part = np.concatenate(
                             [
@@ -73,11 +76,11 @@ def fit_many(
             break
     final = {(r.grp, r.idx): np.array(r[2:], dtype=float) for r in sums(beta).itertuples(index=False)}
     rows = [
-        (g, p, final[(g, i)][-2] / final[(g, i)][-1], *beta[(g, i)])
+        (g, *(p if times else (p,)), final[(g, i)][-2] / final[(g, i)][-1], *beta[(g, i)])
         for g, i, p in keys
         if (g, i) in final and final[(g, i)][-1] > 0
     ]
-    return pd.DataFrame(rows, columns=["grp", "point", "loss", *[f"b{i}" for i in range(width)]])
+    return pd.DataFrame(rows, columns=["grp", *(["rep"] if times else []), "point", "loss", *[f"b{i}" for i in range(width)]])
 
 
 def interaction_design(rows: pd.DataFrame, _: float) -> np.ndarray:

@@ -171,27 +171,30 @@ def _(fx: Inputs) -> DataFrame:
 
 # ------------------------------------------------------------- soft target agreement
 
-TRACK = """SELECT CAST(prediction AS DOUBLE) AS s, CAST(n_chars % 40 AS DOUBLE) / 40 AS t
-           FROM fx_scores JOIN documents ON CAST(doc_id AS STRING) = entity_id WHERE model_id = 'observability_only'"""
+MODELS = ["full", "observability_only"]
+TRACK = """SELECT model_id AS m, CAST(prediction AS DOUBLE) AS s, CAST(n_chars % 40 AS DOUBLE) / 40 AS t
+           FROM fx_scores JOIN documents ON CAST(doc_id AS STRING) = entity_id"""
 
 
 @query(
     "track_metrics",
-    f"""WITH x AS ({TRACK})
-        SELECT (SELECT round(-avg(t * ln(greatest(1e-9, least(1 - 1e-9, s))) + (1 - t) * ln(1 - greatest(1e-9, least(1 - 1e-9, s)))), 9)
-                FROM x) AS soft_log_loss,
-               (SELECT round(corr(rt, rs), 9) FROM (SELECT rank() OVER (ORDER BY t) + (count(*) OVER (PARTITION BY t) - 1) / 2.0 AS rt,
-                  rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0 AS rs FROM x) r) AS spearman,
-               (SELECT CAST(count(*) AS DECIMAL(38, 0)) FROM x a JOIN x b ON a.t < b.t) AS comparable_pairs,
-               (SELECT round(avg(CASE WHEN a.s < b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 9)
-                FROM x a JOIN x b ON a.t < b.t) AS concordance""",
+    f"""WITH x AS ({TRACK}),
+        l AS (SELECT m, round(-avg(t * ln(greatest(1e-9, least(1 - 1e-9, s))) + (1 - t) * ln(1 - greatest(1e-9, least(1 - 1e-9, s)))), 9) AS soft_log_loss FROM x GROUP BY 1),
+        r AS (SELECT m, round(corr(rt, rs), 9) AS spearman FROM (SELECT m, rank() OVER (PARTITION BY m ORDER BY t) + (count(*) OVER (PARTITION BY m, t) - 1) / 2.0 AS rt,
+                rank() OVER (PARTITION BY m ORDER BY s) + (count(*) OVER (PARTITION BY m, s) - 1) / 2.0 AS rs FROM x) q GROUP BY 1),
+        p AS (SELECT a.m, CAST(count(*) AS DECIMAL(38, 0)) AS comparable_pairs, round(avg(CASE WHEN a.s < b.s THEN 1.0 WHEN a.s = b.s THEN 0.5 ELSE 0.0 END), 9) AS concordance
+              FROM x a JOIN x b ON a.m = b.m AND a.t < b.t GROUP BY 1)
+        SELECT m AS model_id, soft_log_loss, spearman, comparable_pairs, concordance FROM l JOIN r USING (m) JOIN p USING (m)""",
 )
 def _(fx: Inputs) -> DataFrame:
     docs = fx("documents").select(
         F.col("doc_id").cast("string").alias("entity_id"), ((F.col("n_chars") % 40) / 40).alias("target_value")
     )
-    rows = fx("fx_scores").filter("model_id = 'observability_only'").join(docs, "entity_id")
-    return _round(metrics.track_metrics(rows))
+    rows, whole = fx("fx_scores").join(docs, "entity_id"), None
+    for model in MODELS:
+        part = metrics.track_metrics(rows.filter(F.col("model_id") == model)).withColumn("model_id", F.lit(model))
+        whole = part if whole is None else whole.unionByName(part)
+    return _round(whole)
 
 
 # ------------------------------------------------------------- utility and cost
@@ -338,19 +341,21 @@ def _(fx: Inputs) -> DataFrame:
 
 @query(
     "cost_threshold",
-    f"""WITH s AS (SELECT prediction AS p, outcome AS y, 1.0 + CAST(entity_id AS INT) % 3 AS w FROM fx_scores WHERE model_id = 'full'),
-             q AS (SELECT unnest(quantile_cont(p, [{", ".join(f"{i / 100!r}" for i in range(101))}])) AS c FROM s),
-             g AS (SELECT *, greatest(0, least(1, (fpc + rev) / (fpc + fnc + ben))) AS bayes FROM {REGIME_ROWS}),
-             c AS (SELECT regime_id, c AS t FROM g, q UNION SELECT regime_id, bayes FROM g UNION SELECT regime_id, v FROM g, (VALUES (0.0::DOUBLE), (0.5), (1.0)) f(v)),
-             k AS (SELECT regime_id, t, any_value(bayes) AS bayes, sum(CASE WHEN p >= t THEN w * (rev + CASE WHEN y THEN -ben ELSE fpc END)
-                          WHEN y THEN w * fnc ELSE 0 END) AS cost FROM c JOIN g USING (regime_id) CROSS JOIN s GROUP BY 1, 2),
-             m AS (SELECT regime_id, min(cost) AS best FROM k GROUP BY 1)
-        SELECT regime_id, round(arg_min(t, abs(t - bayes)), 9) AS threshold, true AS searched, round(min(cost), 6) AS cost
-        FROM k JOIN m USING (regime_id) WHERE cost <= best + 1e-12 GROUP BY 1""",
+    f"""WITH s AS (SELECT model_id AS i, prediction AS p, outcome AS y, 1.0 + CAST(entity_id AS INT) % 3 AS w FROM fx_scores),
+             q AS (SELECT i, unnest(quantile_cont(p, [{", ".join(f"{i / 100!r}" for i in range(101))}])) AS c FROM s GROUP BY 1),
+             g AS (SELECT r.*, i, greatest(0, least(1, (fpc + rev) / (fpc + fnc + ben))) AS bayes FROM {REGIME_ROWS.replace("rg(", "r(")} CROSS JOIN (SELECT DISTINCT i FROM s) d),
+             c AS (SELECT regime_id, i, c AS t FROM g JOIN q USING (i) UNION SELECT regime_id, i, bayes FROM g UNION SELECT regime_id, i, v FROM g, (VALUES (0.0::DOUBLE), (0.5), (1.0)) f(v)),
+             k AS (SELECT regime_id, i, t, any_value(bayes) AS bayes, sum(CASE WHEN p >= t THEN w * (rev + CASE WHEN y THEN -ben ELSE fpc END)
+                          WHEN y THEN w * fnc ELSE 0 END) AS cost FROM c JOIN g USING (regime_id, i) JOIN s USING (i) GROUP BY 1, 2, 3),
+             m AS (SELECT regime_id, i, min(cost) AS best FROM k GROUP BY 1, 2)
+        SELECT i AS model_id, regime_id, round(arg_min(t, abs(t - bayes)), 9) AS threshold, true AS searched, round(min(cost), 6) AS cost
+        FROM k JOIN m USING (regime_id, i) WHERE cost <= best + 1e-12 GROUP BY 1, 2""",
 )
 def _(fx: Inputs) -> DataFrame:
-    rows = fx("fx_scores").filter("model_id = 'full'").withColumn("weight", 1.0 + F.col("entity_id").cast("int") % 3)
-    result = metrics.select_threshold(rows, REGIMES)
+    rows, result = fx("fx_scores").withColumn("weight", 1.0 + F.col("entity_id").cast("int") % 3), None
+    for model in MODELS:
+        part = metrics.select_threshold(rows.filter(F.col("model_id") == model), REGIMES).withColumn("model_id", F.lit(model))
+        result = part if result is None else result.unionByName(part)
     return result.withColumns({"threshold": F.round("threshold", 9), "cost": F.round("cost", 6)})
 
 

@@ -619,9 +619,40 @@ def _(fx: Inputs) -> DataFrame:
         return channels.groupBy(*KEY).agg(F.avg("channel_score").alias("target_value"))
 
     cells = selection.nested_refit(
-        cut(_document_panel(fx)), rows, 2019, {"S1": ["web"], "S2": ["lines"], "all": ["chars"]}, "logistic", {"L2": mean_score}
+        cut(_document_panel(fx)), rows, 2019, {"S1": ["web"], "S2": ["lines"], "all": ["chars"]}, "logistic", {"L2": mean_score}, [{"C": 0.01}, {"C": 1.0}]
     )
-    return cells.withColumn("cross_entropy", F.round("cross_entropy", 3))
+    return cells.withColumns({"cross_entropy": F.round("cross_entropy", 3), "tuning_loss": F.round("tuning_loss", 3)})
+
+
+#: One scored period and one binary feature: fits and calibrations are rates of groups.
+REFIT_SQL = f"""
+    WITH c AS (SELECT * FROM ({CHANNEL_SQL}) a JOIN ({SCORE_SQL}) b USING (entity_id, period, channel_id) WHERE period < 2017),
+    w AS (SELECT CAST(doc_id AS VARCHAR) AS entity_id, doc_id % 7 + 2015 AS period, source = 'web' AS web FROM documents),
+    h AS (SELECT DISTINCT channel_id AS held FROM c),
+    t AS (SELECT held, entity_id, period, web, avg(channel_score) AS t FROM c JOIN w USING (entity_id, period) JOIN h ON channel_id <> held GROUP BY 1, 2, 3, 4 HAVING avg(channel_score) IS NOT NULL),
+    o AS (SELECT DISTINCT held FROM t WHERE period = 2015 GROUP BY held HAVING count(*) >= 2 AND max(t) - min(t) > 1e-12),
+    p AS (SELECT s.*, k, CASE WHEN k = 0 THEN (SELECT avg(t) FROM t e WHERE e.held = s.held AND e.period = 2015 AND e.web = s.web)
+                 ELSE (SELECT avg(t) FROM t e WHERE e.held = s.held AND e.period = 2015) END AS prediction FROM t s JOIN o USING (held) CROSS JOIN (VALUES (0), (1)) v(k) WHERE period = 2016),
+    l AS (SELECT held, k, -avg(t * ln(greatest(1e-9, least(1 - 1e-9, prediction))) + (1 - t) * ln(1 - greatest(1e-9, least(1 - 1e-9, prediction)))) AS loss FROM p GROUP BY 1, 2),
+    b AS (SELECT held, arg_min(k, (loss, k)) AS k, min(loss) AS loss FROM l GROUP BY 1),
+    m AS (SELECT p.*, CASE WHEN k = 0 THEN avg(t) OVER (PARTITION BY held, web) ELSE avg(t) OVER (PARTITION BY held) END AS fit FROM p JOIN b USING (held, k)),
+    q AS (SELECT m.held, count(*) AS n, avg(-(y * ln(greatest(1e-6, least(1 - 1e-6, fit))) + (1 - y) * ln(1 - greatest(1e-6, least(1 - 1e-6, fit))))) AS ce
+          FROM m JOIN (SELECT entity_id, period, channel_id AS held, CAST(outcome AS INT) AS y FROM c WHERE outcome IS NOT NULL) z USING (entity_id, period, held) GROUP BY 1)
+    SELECT 'L2' AS candidate, held AS held_channel, k AS setting, round(loss, 6) AS tuning_loss, coalesce(n, 0) AS row_count, round(ce, 5) AS cross_entropy,
+           CASE WHEN n > 0 THEN 'PASS' ELSE 'NO_ROWS' END AS status, 0 AS outer_rows_used FROM h LEFT JOIN b USING (held) LEFT JOIN q USING (held)"""
+
+
+@query("saturated_refit_cells", REFIT_SQL)
+def _(fx: Inputs) -> DataFrame:
+    grid = cut(_l0(fx))
+    outcomes = labels.channel_outcomes(grid, ["quality", "toxic", "lang", "appeal"])
+    rows = cut(outcomes.join(labels.l2_channel_scores(grid, QUALITY, 180.0), [*KEY, "channel_id"]))
+
+    def mean_score(channels: DataFrame) -> DataFrame:
+        return channels.groupBy(*KEY).agg(F.avg("channel_score").alias("target_value"))
+
+    cells = selection.nested_refit(cut(_document_panel(fx)), rows, 2017, {"all": ["web"]}, "logistic", {"L2": mean_score}, [FREE, FLAT])
+    return cells.withColumns({"cross_entropy": F.round("cross_entropy", 5), "tuning_loss": F.round("tuning_loss", 6)})
 
 
 @query(

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from paneloom.operators import gates, identify, mcse, metrics, transport
+from paneloom.operators import gates, identify, mcse, metrics, resample, transport
 from paneloom.operators.ranking import cut
 from paneloom.plans.bindings import Inputs, query
 from paneloom.plans.evidence_queries import ENDPOINT_SQL, _endpoints
 from paneloom.plans.feature_queries import _round
 from paneloom.plans.label_queries import L0_SQL, RISK_SQL, TARGET_SQL, _l0, _risk, _targets
-from paneloom.plans.metric_queries import AP_SQL, AUC_SQL, DELTA_SQL, PAIRS, RANKED, REPS, _draw
+from paneloom.plans.metric_queries import AP_SQL, AUC_SQL, PAIRS, RANKED, REPS, _draw
 from paneloom.plans.model_queries import _document_panel
 
 KEY = ["entity_id", "period"]
@@ -365,12 +365,47 @@ def _(fx: Inputs) -> DataFrame:
 
 # ------------------------------------------------------------- gates
 
-FOLDS = [2018, 2019, 2020]
+GATE = {
+    "interval_level": 0.95, "absolute_improvement": 0.01, "relative_improvement": 0.1, "same_direction_min": 2, "max_yield_decline": 0.9,
+    "min_positives": 1,
+}
+FOLD_SQL = f"""
+    SELECT a.period AS fold, a.model_id, average_precision, precision_at, positives, n
+    FROM ({AP_SQL}) a JOIN (SELECT model_id, period, count_if(outcome AND pos <= greatest(1, ceil(n * 0.1))) / max(greatest(1, ceil(n * 0.1))) AS precision_at,
+                                   count_if(outcome) AS positives, max(n) AS n FROM ({RANKED}) r GROUP BY 1, 2) p ON p.model_id = a.model_id AND p.period = a.period"""
+#: Every fold draws its own entities; draw i of a replicate picks by a hash of fold, replicate and i.
+SAMPLE_SQL = f"""
+    WITH u AS (SELECT *, row_number() OVER (PARTITION BY period ORDER BY entity_id) - 1 AS unit, count(*) OVER (PARTITION BY period) AS n
+               FROM (SELECT DISTINCT entity_id, period FROM fx_scores) k),
+    t AS (SELECT period, rep, {_draw("boot", "period", "rep", "unit")} % n AS unit, count(*) AS times FROM u CROSS JOIN range({REPS}) r(rep) GROUP BY 1, 2, 3),
+    c AS (SELECT model_id, s.period, rep, outcome, prediction, s.entity_id, unnest(range(times)) AS j FROM fx_scores s JOIN u USING (entity_id, period) JOIN t USING (period, unit)),
+    p AS (SELECT *, row_number() OVER w AS pos, count_if(outcome) OVER w AS hits FROM c
+          WINDOW w AS (PARTITION BY model_id, period, rep ORDER BY prediction DESC, entity_id, j ROWS UNBOUNDED PRECEDING)),
+    a AS (SELECT model_id, period, rep, sum(CASE WHEN outcome THEN hits / pos END) / nullif(count_if(outcome), 0) AS ap FROM p GROUP BY 1, 2, 3)
+    SELECT period AS fold, rep, max(ap) FILTER (model_id = 'full') - max(ap) FILTER (model_id <> 'full') AS delta FROM a GROUP BY 1, 2"""
+GATE_SQL = f"""
+    WITH m AS ({FOLD_SQL}),
+         f AS (SELECT c.fold, c.average_precision - r.average_precision AS delta, r.average_precision AS rap, c.positives,
+                      CASE WHEN r.precision_at <> 0 THEN greatest(0, (r.precision_at - c.precision_at) / r.precision_at) END AS decline
+               FROM m c JOIN m r ON r.fold = c.fold AND c.model_id = 'full' AND r.model_id = 'observability_only'),
+         d AS (SELECT fold, delta, row_number() OVER (PARTITION BY fold ORDER BY rep) AS i FROM ({SAMPLE_SQL}) s WHERE delta IS NOT NULL),
+         s AS (SELECT quantile_cont(v, 0.025) AS lower, count(*) AS reps FROM (
+                 SELECT i, avg(delta) AS v FROM d GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT fold) FROM d)) q)
+    SELECT 'full' AS candidate, 'observability_only' AS reference, count(delta) AS fold_count, count_if(delta > 0) AS same_direction_folds, avg(delta) AS mean_delta,
+           any_value(lower) AS interval_lower, greatest(0.01, 0.1 * avg(rap)) AS required_improvement, coalesce(max(decline), 0) AS max_yield_decline,
+           min(positives) AS min_positive_count, any_value(reps) AS replications_used, count(delta) = count(*) AND count(rap) = count(*) AS evidence_complete,
+           avg(delta) >= greatest(0.01, 0.1 * avg(rap)) AND any_value(lower) > 0 AND count_if(delta > 0) >= 2 AND coalesce(max(decline), 0) <= 0.9
+             AND min(positives) >= 1 AS passed
+    FROM f CROSS JOIN s"""
+
+
+def _folds(fx: Inputs) -> list[int]:
+    return sorted(r["period"] for r in fx("fx_scores").select("period").distinct().collect())
 
 
 def _fold_metrics(fx: Inputs) -> DataFrame:
     return cut(
-        metrics.scored_summary(fx("fx_scores").filter("period BETWEEN 2018 AND 2020"), 0.1, ["model_id", "period"]).select(
+        metrics.scored_summary(fx("fx_scores"), 0.1, ["model_id", "period"]).select(
             F.col("period").alias("fold"), "model_id", "average_precision", "precision_at", "positive_count"
         )
     )
@@ -386,59 +421,48 @@ def _fold_deltas(table: DataFrame) -> DataFrame:
 
 
 def _fold_samples(fx: Inputs) -> DataFrame:
-    """One replicate series for every fold, shifted per fold."""
-    base = metrics.bootstrap_delta(fx("fx_scores"), "full", "observability_only", REPS, 0.95, "boot")
-    folds = F.explode(F.array(*[F.lit(f) for f in FOLDS])).alias("fold")
-    return cut(base).select(folds, "rep", "delta").select(
-        "fold", F.lit("full").alias("candidate"), "rep", (F.col("delta") + (F.col("fold") - 2019) * 0.01).alias("delta")
-    )
+    """Replicates drawn inside each fold, all folds and models in one pass."""
+    precision = resample.replicate_precision(fx("fx_scores"), ["period"], REPS, "boot")
+    return cut(resample.paired_samples(precision, PAIRS, ["period"]).withColumnRenamed("period", "fold"))
 
 
-@query(
-    "gate_blockers",
-    """SELECT * FROM (VALUES (2018, 'BOOTSTRAP_TOO_SHORT', 'full'), (2019, 'BOOTSTRAP_TOO_SHORT', 'full'), (2019, 'AP_MISSING', 'observability_only'),
-              (2020, 'BOOTSTRAP_PAIR_MISSING', 'full'), (2020, 'REQUIRED_PAIR_MISSING', 'full'), (2018, 'REQUIRED_PAIR_MISSING', 'extra'),
-              (2019, 'REQUIRED_PAIR_MISSING', 'extra'), (2020, 'REQUIRED_PAIR_MISSING', 'extra'), (2018, 'BOOTSTRAP_PAIR_MISSING', 'extra'),
-              (2019, 'BOOTSTRAP_PAIR_MISSING', 'extra'), (2020, 'BOOTSTRAP_PAIR_MISSING', 'extra')) g(fold, reason, subject)
-       WHERE (SELECT count(*) FROM fx_scores) > 0""",
-)
+@query("fold_bootstrap", f"SELECT fold, rep, round(delta, 9) AS delta FROM ({SAMPLE_SQL}) s")
 def _(fx: Inputs) -> DataFrame:
-    table = _fold_metrics(fx)
-    samples = _fold_samples(fx).filter("fold < 2020")
-    deltas = _fold_deltas(table).filter("fold < 2020")
-    broken = table.withColumn(
-        "average_precision",
-        F.when((F.col("fold") == 2019) & (F.col("model_id") == "observability_only"), F.lit(None)).otherwise(F.col("average_precision")),
-    )
-    return gates.gate_blockers(broken, deltas, samples, FOLDS, {**PAIRS, "extra": "observability_only"}, 1800)
+    return _round(_fold_samples(fx).select("fold", "rep", "delta"), 9)
 
 
-GATE = {
-    "interval_level": 0.95, "absolute_improvement": 0.01, "relative_improvement": 0.1, "same_direction_min": 2, "max_yield_decline": 0.9,
-    "min_positives": 1,
-}
-FOLD_SQL = f"""
-    SELECT a.period AS fold, a.model_id, average_precision, precision_at, positives
-    FROM ({AP_SQL}) a JOIN (SELECT model_id, period, count_if(outcome AND pos <= greatest(1, ceil(n * 0.1))) / max(greatest(1, ceil(n * 0.1))) AS precision_at,
-                                   count_if(outcome) AS positives FROM ({RANKED}) r GROUP BY 1, 2) p ON p.model_id = a.model_id AND p.period = a.period
-    WHERE a.period BETWEEN 2018 AND 2020"""
-GATE_SQL = f"""
-    WITH m AS ({FOLD_SQL}),
-         f AS (SELECT c.fold, c.average_precision - r.average_precision AS delta, r.average_precision AS rap, c.positives,
-                      CASE WHEN r.precision_at <> 0 THEN greatest(0, (r.precision_at - c.precision_at) / r.precision_at) END AS decline
-               FROM m c JOIN m r ON r.fold = c.fold AND c.model_id = 'full' AND r.model_id = 'observability_only'),
-         s AS (SELECT quantile_cont(delta, 0.025) AS lower, count(delta) AS reps FROM ({DELTA_SQL}) d)
-    SELECT 'full' AS candidate, 'observability_only' AS reference, count(delta) AS fold_count, count_if(delta > 0) AS same_direction_folds, avg(delta) AS mean_delta,
-           any_value(lower) AS interval_lower, greatest(0.01, 0.1 * avg(rap)) AS required_improvement, coalesce(max(decline), 0) AS max_yield_decline,
-           min(positives) AS min_positive_count, any_value(reps) AS replications_used, true AS evidence_complete,
-           avg(delta) >= greatest(0.01, 0.1 * avg(rap)) AND any_value(lower) > 0 AND count_if(delta > 0) >= 2 AND coalesce(max(decline), 0) <= 0.9
-             AND min(positives) >= 1 AS passed
-    FROM f CROSS JOIN s"""
+#: Facts damaged by what the rows of a fold are, so that what blocks is seen in the data only.
+BLOCKER_SQL = f"""
+    WITH m AS (SELECT fold, model_id, CASE WHEN model_id = 'full' OR positives % 2 = 1 THEN average_precision END AS ap, average_precision, precision_at AS y, positives, n
+               FROM ({FOLD_SQL}) f),
+    b AS (SELECT s.fold, count(*) AS b_n, count_if(delta IS NULL) AS b_bad FROM ({SAMPLE_SQL}) s JOIN m ON m.fold = s.fold AND model_id = 'full'
+          WHERE positives % 5 <> 0 AND (positives % 3 <> 0 OR rep < 30) GROUP BY 1),
+    x AS (SELECT c.fold, c.ap AS cap, r.ap AS rap, c.y AS cy, r.y AS ry, c.average_precision - r.average_precision AS delta, c.positives % 4 <> 1 AS present, b_n, b_bad
+          FROM m c JOIN m r ON r.fold = c.fold AND c.model_id = 'full' AND r.model_id <> 'full' LEFT JOIN b ON b.fold = c.fold),
+    e AS (SELECT fold, present, unnest([
+            CASE WHEN NOT present THEN {{'reason': 'REQUIRED_PAIR_MISSING', 'subject': 'full'}} END, CASE WHEN present AND delta IS NULL THEN {{'reason': 'DELTA_AP_MISSING', 'subject': 'full'}} END,
+            CASE WHEN present AND cap IS NULL THEN {{'reason': 'AP_MISSING', 'subject': 'full'}} END, CASE WHEN present AND rap IS NULL THEN {{'reason': 'AP_MISSING', 'subject': 'observability_only'}} END,
+            CASE WHEN present AND cy IS NULL THEN {{'reason': 'YIELD_MISSING', 'subject': 'full'}} END, CASE WHEN present AND ry IS NULL THEN {{'reason': 'YIELD_MISSING', 'subject': 'observability_only'}} END,
+            CASE WHEN present AND ry <= 0 THEN {{'reason': 'REFERENCE_YIELD_NONPOSITIVE', 'subject': 'full'}} END, CASE WHEN b_n IS NULL THEN {{'reason': 'BOOTSTRAP_PAIR_MISSING', 'subject': 'full'}} END,
+            CASE WHEN b_n < {REPS} THEN {{'reason': 'BOOTSTRAP_TOO_SHORT', 'subject': 'full'}} END, CASE WHEN b_bad > 0 THEN {{'reason': 'BOOTSTRAP_NONFINITE', 'subject': 'full'}} END,
+            {{'reason': 'REQUIRED_PAIR_MISSING', 'subject': 'extra'}}, {{'reason': 'BOOTSTRAP_PAIR_MISSING', 'subject': 'extra'}}]) AS f FROM x)
+    SELECT fold, f.reason AS reason, f.subject AS subject FROM e WHERE f IS NOT NULL"""
+
+
+@query("gate_blockers", BLOCKER_SQL)
+def _(fx: Inputs) -> DataFrame:
+    table = _fold_metrics(fx)
+    kept = F.broadcast(table.filter("model_id = 'full'").select("fold", F.col("positive_count").alias("_p")))  # one row a fold
+    deltas = _fold_deltas(table).join(kept, "fold").filter("_p % 4 <> 1")
+    samples = _fold_samples(fx).join(kept, "fold").filter("_p % 5 <> 0 AND (_p % 3 <> 0 OR rep < 30)")
+    sound = (F.col("model_id") == "full") | (F.col("positive_count") % 2 == 1)
+    broken = table.withColumn("average_precision", F.when(sound, F.col("average_precision")))
+    return gates.gate_blockers(broken, deltas, samples, _folds(fx), {**PAIRS, "extra": "observability_only"}, REPS)
 
 
 def _gate2(fx: Inputs) -> DataFrame:
     table = _fold_metrics(fx)
-    return gates.gate2(table, _fold_deltas(table), _fold_samples(fx), FOLDS, PAIRS, GATE)
+    return gates.gate2(table, _fold_deltas(table), _fold_samples(fx), _folds(fx), PAIRS, GATE)
 
 
 @query(
@@ -453,15 +477,14 @@ def _(fx: Inputs) -> DataFrame:
 
 @query(
     "gate2_domain_binding",
-    f"""SELECT candidate, rf AS robust_fraction, d AS domain_evidence_complete, d AND rf >= 0.8 AS domain_pass, passed AND d AND rf >= 0.8 AS passed,
-               CASE WHEN NOT d THEN 'INSUFFICIENT_EVIDENCE' WHEN passed AND rf >= 0.8 THEN 'PASS' ELSE 'FAIL' END AS verdict
-        FROM (SELECT 'full' AS candidate, 0.9::DOUBLE AS rf, true AS d, passed FROM ({GATE_SQL}) g) q""",
+    f"""{TRANSFER_SQL}, verdicts AS (SELECT * FROM ({GATE_SQL}) w),
+        evidence AS (SELECT round(count_if(non_inferior) / nullif(count(*), 0), 7) AS rf, count(*) > 0 AND count(DISTINCT level) >= 2 AS d FROM z WHERE complete)
+        SELECT candidate, rf AS robust_fraction, d AS domain_evidence_complete, d AND coalesce(rf >= 0.3, false) AS domain_pass, passed AND d AND coalesce(rf >= 0.3, false) AS passed,
+               CASE WHEN NOT d OR NOT evidence_complete THEN 'INSUFFICIENT_EVIDENCE' WHEN passed AND rf >= 0.3 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM verdicts CROSS JOIN evidence""",
 )
 def _(fx: Inputs) -> DataFrame:
-    domains = fx("fx_domain").agg(F.count(F.lit(1)).alias("n")).select(
-        F.lit("full").alias("candidate"), F.lit(0.9).alias("robust_fraction"), (F.col("n") > 0).alias("evidence_complete")
-    )
-    return gates.gate2_with_domains(_gate2(fx), domains, 0.8)
+    domains = transport.transfer_summary(cut(_transfer(fx)).filter("complete"))
+    return _round(gates.gate2_with_domains(_gate2(fx), domains.withColumn("candidate", F.lit("full")), 0.3))
 
 
 @query(
@@ -508,14 +531,35 @@ def _(fx: Inputs) -> DataFrame:
     return _round(gates.shape_bootstrap(rows, (0.2, 0.8), 3, 1.0, 10, 0.1, "shape"), 4)
 
 
+CLAIMS = ["spend", "top_order"]
+SHAPE = {
+    "breakpoint_tolerance": 0.5, "domain_difference_max": 1.0, "common_support_min": 0.2, "min_side_fraction": 0.1, "min_domains": 2, "claims": 2,
+    "same_direction_min": 3,
+}
+
+
+def _claims(fx: Inputs, replications: int) -> tuple[DataFrame, DataFrame]:
+    """Directions of the first claim's interaction, and the verdicts of all claims; alpha is shared by three."""
+    rows = fx("fx_domain").filter("balance IS NOT NULL")
+    by_fold = cut(gates.standardized_claims(rows, CLAIMS, "orders_made", "outcome", "period"))
+    folds = cut(gates.breakpoint_scan(by_fold, (0.2, 0.8), 5, 1.0))
+    domains = gates.breakpoint_scan(gates.standardized_claims(rows, CLAIMS, "orders_made", "outcome", "domain"), (0.2, 0.8), 5, 1.0)
+    intervals = cut(gates.shape_bootstrap(by_fold, (0.2, 0.8), 3, 1.0, replications, 0.05 / 3, "shape"))
+    own = folds.join(intervals, "grp").filter(F.col("grp").startswith(f"{CLAIMS[0]}|"))
+    return own.select("grp", "interaction", "interaction_lower", "interaction_upper"), gates.threshold_claims(folds, domains, intervals, SHAPE)
+
+
+@query("threshold_claims")
+def _(fx: Inputs) -> DataFrame:
+    return _round(_claims(fx, 10)[1], 4)
+
+
 @query("gate3_verdict")
 def _(fx: Inputs) -> DataFrame:
-    folds = gates.breakpoint_scan(_shape_rows(fx, "period"), (0.2, 0.8), 5, 1.0)
-    domains = gates.breakpoint_scan(_shape_rows(fx, "domain"), (0.2, 0.8), 5, 1.0)
+    directions, claims = _claims(fx, 10)
     stability = gates.selection_stability(_selections(fx), 3, 7)
     parent = _gate2(fx).filter("candidate = 'full'").select(F.when(F.col("passed"), "PASS").otherwise("FAIL").alias("verdict"))
-    cfg = {"breakpoint_tolerance": 0.5, "domain_difference_max": 1.0, "common_support_min": 0.2, "min_side_fraction": 0.1, "min_domains": 2}
-    return _round(gates.gate3(folds, domains, stability, parent, cfg), 4)
+    return gates.gate3(cut(directions), cut(claims), stability, parent, SHAPE)
 
 
 RANKS_SQL = """

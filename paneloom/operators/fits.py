@@ -39,7 +39,8 @@ PASS, ONE_CLASS, NO_FEATURE, OPEN = "PASS", "TWO_CLASSES_REQUIRED", "NO_FEATURE_
 class Cell:
     """``rows`` is the number of the set the cell is fitted on, ``label`` the place of its target in labels.
 
-    ``penalty`` is 1 / C against the summed loss; the intercept is free. ``balanced`` weighs both classes alike.
+    ``penalty`` is 1 / C against the summed loss; the intercept is free. ``lasso`` is the share of it that
+    falls on absolute values instead of half squares. ``balanced`` weighs both classes alike.
     """
 
     name: str
@@ -49,6 +50,7 @@ class Cell:
     penalty: float = 1.0
     balanced: bool = False
     lead: str | None = None
+    lasso: float = 0.0
 
 
 @dataclass
@@ -250,9 +252,10 @@ class SharedFits:
     def _step(self, cell: Cell, turn: np.ndarray, now: dict, sums: tuple, curvature: dict[str, np.ndarray]) -> bool:
         """Move a cell; true once it is settled."""
         fit, beta = self.fits[cell.name], now["beta"]
-        ridge = np.full(len(beta), cell.penalty)
-        ridge[0] = 0
-        loss = sums[0] + float((ridge * beta * beta).sum()) / 2
+        ridge = np.full(len(beta), cell.penalty * (1 - cell.lasso))
+        flat_price = np.full(len(beta), cell.penalty * cell.lasso)
+        ridge[0] = flat_price[0] = 0
+        loss = sums[0] + float((ridge * beta * beta).sum()) / 2 + float((flat_price * np.abs(beta)).sum())
         fit.steps += 1
         if now["loss"] is not None and loss > now["loss"] + 1e-12 * abs(now["loss"]):
             if np.abs(beta - now["kept"]).max() < self.tolerance:
@@ -264,8 +267,12 @@ class SharedFits:
         fit.losses.append(float(loss))
         matrix = curvature[cell.lead if cell.lead in curvature else cell.name]
         bend = turn.T @ matrix @ turn + np.diag(ridge)
-        size = np.sqrt(np.maximum(np.diag(bend), 1e-300))  # equal scales, so that a heavy penalty hides no other term
-        change = np.linalg.lstsq(bend / np.outer(size, size), (turn.T @ sums[1] + ridge * beta) / size, rcond=None)[0] / size
+        slope = turn.T @ sums[1] + ridge * beta
+        if cell.lasso > 0:
+            change = beta - sparse_minimum(bend, bend @ beta - slope, flat_price, beta)
+        else:
+            size = np.sqrt(np.maximum(np.diag(bend), 1e-300))  # equal scales, so that a heavy penalty hides no other term
+            change = np.linalg.lstsq(bend / np.outer(size, size), slope / size, rcond=None)[0] / size
         now["kept"], now["loss"], now["beta"] = beta, loss, beta - change
         if settled or np.abs(change).max() < self.tolerance:
             fit.status = PASS
@@ -329,6 +336,20 @@ class SharedFits:
         return rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(output, T.DoubleType())]))
 
 
+def sparse_minimum(bend: np.ndarray, pull: np.ndarray, price: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Minimum of b' bend b / 2 - pull b + price |b|, coordinate by coordinate; as many numbers as a cell has features."""
+    b, diagonal = start.copy(), np.maximum(np.diag(bend), 1e-300)
+    for _ in range(2000):
+        moved = 0.0
+        for j in range(len(b)):
+            free = pull[j] - bend[j] @ b + diagonal[j] * b[j]
+            new = np.sign(free) * max(0.0, abs(free) - price[j]) / diagonal[j]
+            moved, b[j] = max(moved, abs(new - b[j])), new
+        if moved < 1e-13:
+            break
+    return b
+
+
 def flat(total: np.ndarray, names: np.ndarray | None = None) -> pa.RecordBatch:
     """(cell, place, value) of the sums that are not zero."""
     row, place = np.nonzero(total)

@@ -286,7 +286,8 @@ def estimable_before(df: DataFrame, label: str, periods: Sequence[int], soft: bo
 
 def shared(learner: str, params: Mapping[str, Any] | None) -> bool:
     """Whether fits of this learner go through the shared passes."""
-    return learner == "logistic" and set(params or {}) <= {"C", "tol", "maxIter"}
+    own = {"logistic": {"C", "tol", "maxIter"}, "elastic_net_logistic": {"C", "tol", "maxIter", "elasticNetParam"}}
+    return learner in own and set(params or {}) <= own[learner]
 
 
 def receipt_of(model: Any, learner: str, params: Mapping[str, Any] | None) -> dict[str, Any]:
@@ -344,7 +345,8 @@ def oof_candidates(
         if not shared(learner, params):
             continue
         for y in fitting:
-            cells.append(Cell(f"{model_id}|{k}|{y}", place[y], tuple(groups[group]), place[y] if ranked else 0, 1 / float(params.get("C", 1.0))))
+            penalty, lasso = 1 / float(params.get("C", 1.0)), float(params.get("elasticNetParam", 0.0))
+            cells.append(Cell(f"{model_id}|{k}|{y}", place[y], tuple(groups[group]), place[y] if ranked else 0, penalty, lasso=lasso))
     fits = None
     if cells:
         steps = max(int(p.get("maxIter", 100)) for _, n, _, _, p in settings if shared(n, p))

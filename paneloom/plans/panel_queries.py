@@ -115,6 +115,12 @@ def _(fx: Inputs) -> DataFrame:
     )
 
 
+@query("tree_signatures")
+def _(fx: Inputs) -> DataFrame:
+    found = files.tree_signatures(fx.spark, [fx.path(t) for t in ("orders", "customer", "documents")], 2**16)
+    return found.select(F.substring_index("path", "/", -1).alias("file"), "size_bytes", "chunk_count", "tree_sha256", "problem")
+
+
 @query(
     "path_rules",
     """SELECT url AS relative_path, page_id, count(*) OVER () AS match_count, true AS cardinality_ok FROM pages

@@ -6,13 +6,18 @@ import fnmatch
 import hashlib
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from urllib.parse import quote, unquote
 
+import pyarrow as pa
+import pyarrow.fs as pa_fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes that one cell can hold.
 LARGEST_FILE = 2**31 - 64
+#: Bytes of a hashed range, and of what is read of it at a time.
+CHUNK, PIECE = 2**26, 2**22
 
 
 def discover(
@@ -49,17 +54,79 @@ def matching_paths(listed: DataFrame, include: Sequence[str], exclude: Sequence[
     return kept.join(F.broadcast(count), how="inner", on=F.lit(True)).withColumn("cardinality_ok", rule)
 
 
-def file_signatures(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """Size, time, sha-256, byte-order mark and newline style of each file, one task per file.
+def file_signatures(spark: SparkSession, paths: str | list[str], largest: int = LARGEST_FILE) -> DataFrame:
+    """Size, time, sha-256, byte-order mark and newline style of each file, of any size.
 
-    A file is one cell, so it may have up to 2 GiB; a larger one is a row without a hash that says so.
+    Files of up to ``largest`` bytes are one cell of Spark's binary reader. Larger ones, which a cell can't
+    hold, are streamed by one task each in pieces of bounded size; their store must be one that Arrow opens,
+    else the row says so in ``problem``.
     """
     source = spark.read.format("binaryFile").load(paths)
     listed = source.select("path", F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at"))
-    within = F.col("length") <= LARGEST_FILE  # pushed to the reader, which then never opens larger ones
-    signed = content_signatures(source.filter(within)).select("path", "sha256", "bom", "newline_style")
-    too_large = F.when(F.col("size_bytes") > LARGEST_FILE, "FILE_TOO_LARGE").alias("problem")
-    return listed.join(signed, "path", "left").select(*listed.columns, "sha256", "bom", "newline_style", too_large)
+    within = F.col("length") <= largest  # pushed to the reader, which then never opens larger ones
+    signed = content_signatures(source.filter(within)).select("path", "sha256", "bom", "newline_style", F.lit(None).cast("string").alias("problem"))
+    large = listed.filter(F.col("size_bytes") > largest).select("path", F.col("size_bytes").alias("stop"), F.lit(0).cast("long").alias("start"))
+    whole = signed.unionByName(streamed(large.repartition("path")).select(*signed.columns))
+    return listed.join(whole, "path", "left").select(*listed.columns, "sha256", "bom", "newline_style", "problem")
+
+
+def tree_signatures(spark: SparkSession, paths: str | list[str], chunk: int = CHUNK) -> DataFrame:
+    """(path, size_bytes, chunk_count, tree_sha256, problem): sha-256 of the chunks' sha-256 digests in order.
+
+    A file is listed as ranges of ``chunk`` bytes that are hashed by as many tasks as there are ranges, so
+    the largest file takes no longer than others. What meets per file is 32 bytes a range. The tree hash
+    depends on the chunk size; files of one chunk or none have one digest below it, or none.
+    """
+    listed = spark.read.format("binaryFile").load(paths).select("path", F.col("length").alias("size_bytes"))
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("size_bytes") - 1, F.lit(chunk).cast("long"))).alias("start")
+    ranges = listed.filter("size_bytes > 0").select("path", "size_bytes", starts)
+    ranges = ranges.select("path", "start", F.least(F.col("start") + chunk, "size_bytes").alias("stop")).repartition("path", "start")
+    parts = streamed(ranges).groupBy("path").agg(
+        F.array_sort(F.collect_list(F.struct("start", "sha256"))).alias("d"), F.count(F.lit(1)).alias("chunk_count"), F.max("problem").alias("problem")
+    )
+    joined = listed.join(parts, "path", "left").na.fill(0, ["chunk_count"])
+    digests = F.coalesce(F.concat_ws("", F.transform("d", lambda x: x["sha256"])), F.lit(""))
+    tree = F.when(F.col("problem").isNull(), F.sha2(F.unhex(digests), 256))
+    return joined.select("path", "size_bytes", "chunk_count", tree.alias("tree_sha256"), "problem")
+
+
+def streamed(ranges: DataFrame) -> DataFrame:
+    """(path, start, sha256, bom, newline_style, problem) of byte ranges, read in pieces of ``PIECE`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [sign_range(*r) for r in zip(*[batch.column(c).to_pylist() for c in ("path", "start", "stop")], strict=True)]
+            columns = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = (pa.string(), pa.int64(), *[pa.string()] * 4)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["path", "start", "sha256", "bom", "newline_style", "problem"]
+            )
+
+    return ranges.select("path", "start", "stop").mapInArrow(run, "path string, start long, sha256 string, bom string, newline_style string, problem string")
+
+
+def sign_range(path: str, start: int, stop: int) -> tuple:
+    try:
+        if path.startswith("file:") or ":" not in path.split("/")[0]:
+            store, inside = pa_fs.LocalFileSystem(), re.sub("^file:/+", "/", path)
+        else:
+            store, inside = pa_fs.FileSystem.from_uri(quote(path, safe=":/@"))
+            inside = unquote(inside)
+        digest, head, crlf, lf, last, at = hashlib.sha256(), b"", False, False, b"", start
+        with store.open_input_file(inside) as f:
+            while at < stop:
+                piece = f.read_at(min(PIECE, stop - at), at)
+                if not piece:
+                    return path, start, None, None, None, "FILE_ENDED_EARLY"
+                digest.update(piece)
+                head = head or piece[:3]
+                crlf, lf = crlf or b"\r\n" in last + piece, lf or b"\n" in piece
+                last, at = piece[-1:], at + len(piece)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError):
+        return path, start, None, None, None, "STORE_NOT_READABLE_IN_PIECES"
+    marks = ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be"))
+    bom = next((name for mark, name in marks if head.startswith(mark)), None)
+    return path, start, digest.hexdigest(), bom, "CRLF" if crlf else "LF" if lf else "NONE_OR_BINARY", None
 
 
 def content_signatures(rows: DataFrame) -> DataFrame:

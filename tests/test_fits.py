@@ -31,9 +31,18 @@ def table():
                          "y": (rng.random(n) < p).astype(float), "soft": p, "w": 1.0 + np.arange(n) % 3})
 
 
+FRAMES = {}
+
+
 def frame(spark, table):
+    if "df" not in FRAMES:  # placed once for all tests
+        FRAMES["df"] = placed(spark, table).cache()
+    return FRAMES["df"]
+
+
+def placed(spark, table):
     df = spark.createDataFrame(table.astype({"period": "int32"}))
-    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in ("a", "b", "c") else F.col(c) for c in df.columns]).repartition(6)
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in ("a", "b", "c") else F.col(c) for c in df.columns]).repartition(3)
 
 
 def prepared(df):
@@ -67,6 +76,29 @@ def test_cells_match_direct_fits(spark, table):
     assert np.allclose(mean.prediction, [np.mean([got[c.name, e] for c in CELLS]) for e in mean.entity_id])
 
 
+def test_sparse_fits_meet_the_conditions_of_a_minimum(spark, table):
+    df = prepared(frame(spark, table))
+    x = table[["a", "b", "c"]].to_numpy()
+    x = np.where(np.isnan(x), np.nanmedian(x, 0), x)
+    z, w, y = (x - x.mean(0)) / x.std(0), table.w.to_numpy(), table.y.to_numpy()
+    cells = [Cell(f"l{p}", 0, ("a", "b", "c"), 0, p, lasso=0.5) for p in (0.5, 60.0, 1e5)]
+    shared = SharedFits(df, cells)
+    got = {(r["cell"], r["entity_id"]): r["prediction"] for r in shared.score(df, ["entity_id"], F.array(*[F.lit(c.name) for c in cells])).collect()}
+    for c in cells:
+        mu = np.array([got[c.name, e] for e in table.entity_id])
+        eta = np.log(mu / (1 - mu))
+        b = np.linalg.lstsq(np.column_stack([np.ones(len(z)), z]), eta, rcond=None)[0][1:]
+        slope = z.T @ (w * (mu - y)) + c.penalty * 0.5 * b
+        for j in range(3):  # a coefficient is zero only where the slope is within the price
+            if abs(b[j]) > 1e-7:
+                assert slope[j] == pytest.approx(-np.sign(b[j]) * c.penalty * 0.5, abs=1e-3)
+            else:
+                assert abs(slope[j]) <= c.penalty * 0.5 + 1e-3
+        assert abs((w * (mu - y)).sum()) < 1e-3
+    assert all(f.status == "PASS" for f in shared.fits.values())
+    assert np.ptp([got["l100000.0", e] for e in table.entity_id]) < 1e-9
+
+
 def test_passes_do_not_grow_with_cells(spark, table):
     df = prepared(frame(spark, table)).cache()
     one = SharedFits(df, CELLS[:1]).passes

@@ -73,3 +73,50 @@ def test_alias_precedence(spark):
     assert got[("s", "Old 1")] == ("A", "registered_raw_alias")
     assert got[("s", "  old   1 ")] == ("B", "registered_normalized_alias")
     assert got[("s", "ｎew 2")] == ("NEW 2", "normalized_identity") and got[("t", "Old 1")] == ("OLD 1", "normalized_identity")
+
+
+def test_files_of_any_size_have_signatures(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from paneloom.sources import files
+
+    texts = {"a b.txt": b"\xef\xbb\xbfone\r\ntwo", "c.bin": bytes(range(256)) * 40, "e": b"", "f.txt": b"x" * 4095 + b"\r\n" + b"y" * 9000, "g": b"\xfe\xffab\n"}
+    for name, content in texts.items():
+        (tmp_path / name).write_bytes(content)
+    monkeypatch.setattr(files, "PIECE", 4096)
+
+    def rows(df):
+        return {r["path"].rsplit("/", 1)[1].replace("%20", " "): r for r in df.collect()}
+
+    plain, cut = (rows(files.file_signatures(spark, str(tmp_path), largest)) for largest in (files.LARGEST_FILE, 5))
+    for name, content in texts.items():
+        for r in (plain[name], cut[name]):
+            assert (r["sha256"], r["size_bytes"], r["problem"]) == (hashlib.sha256(content).hexdigest(), len(content), None), name
+            assert (r["bom"], r["newline_style"]) == (plain[name]["bom"], plain[name]["newline_style"])
+    assert plain["f.txt"]["newline_style"] == "CRLF" and plain["a b.txt"]["bom"] == "utf-8-sig"
+    for chunk in (7, 4096, 2**26):
+        trees = rows(files.tree_signatures(spark, str(tmp_path), chunk))
+        for name, content in texts.items():
+            parts = [hashlib.sha256(content[i : i + chunk]).digest() for i in range(0, len(content), chunk)]
+            assert (trees[name]["tree_sha256"], trees[name]["chunk_count"]) == (hashlib.sha256(b"".join(parts)).hexdigest(), len(parts)), (name, chunk)
+    assert files.sign_range("nosuch://host/file", 0, 5)[5] == "STORE_NOT_READABLE_IN_PIECES"
+
+
+def test_a_file_beyond_one_cell(spark, tmp_path):
+    import hashlib
+    import shutil
+
+    from paneloom.sources import files
+
+    if shutil.disk_usage(tmp_path).free < 8 * 2**30:
+        import pytest
+
+        pytest.skip("no room")
+    with open(tmp_path / "large", "wb") as f:
+        f.truncate(3 * 2**30)  # sparse
+    row = files.file_signatures(spark, str(tmp_path)).first()
+    assert row["size_bytes"] == 3 * 2**30 and row["problem"] is None
+    digest = hashlib.sha256()
+    for _ in range(3 * 2**30 // 2**24):
+        digest.update(bytes(2**24))
+    assert row["sha256"] == digest.hexdigest()

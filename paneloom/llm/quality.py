@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paneloom.llm.chunks import held
-from paneloom.llm.shared import query, table
+from paneloom.llm.shared import by_bytes, query, table
 
 LABELLED, DICTIONARY_BYTES, BLOCK_BYTES, LEVEL = 4500, 2_000_000, 4000, 6
 
@@ -73,8 +73,9 @@ def differences(rows: DataFrame, model: Model, text: str = "text") -> DataFrame:
     def run(batches):
         pair = compressors(shared.value)
         for batch in batches:
-            values = [difference(t or "", pair) for t in batch.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(values, pa.float64())], [*kept, "difference"])
+            for some in by_bytes(batch, text):
+                values = [difference(t or "", pair) for t in some.column(text).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[some.column(c) for c in kept], pa.array(values, pa.float64())], [*kept, "difference"])
 
     return rows.mapInArrow(run, T.StructType([*[rows.schema[c] for c in kept], T.StructField("difference", T.DoubleType())]))
 
@@ -117,12 +118,13 @@ def fit(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     # a repeated id counts once; what is gathered is bounded by the sample
     texts = found.filter("text <> ''").groupBy("id", "label", "part").agg(F.min("text").alias("text"))
     docs_of = {label: sum(1 for c in chosen if c[1] == label and c[2] == "dictionary") for label in (0, 1)}
-    most = F.when(F.col("label") == 1, DICTIONARY_BYTES // max(1, docs_of[1])).otherwise(DICTIONARY_BYTES // max(1, docs_of[0]))
-    spare = F.greatest(F.lit(1), F.length("text") - most + 1)
-    piece = F.substring(F.col("text"), (F.pmod(seeded(F.col("id")), spare) + 1).cast("int"), most.cast("int"))
+    most = F.when(F.col("label") == 1, DICTIONARY_BYTES // max(1, docs_of[1])).otherwise(DICTIONARY_BYTES // max(1, docs_of[0])) - 1  # and a line end
+    content = F.encode("text", "utf-8")
+    spare = F.greatest(F.lit(1), F.octet_length("text") - most + 1)
+    piece = F.substring(content, (F.pmod(seeded(F.col("id")), spare) + 1).cast("int"), most.cast("int"))
     pieces = texts.filter("part = 'dictionary'").select("id", "label", piece.alias("piece")).collect()
     pieces.sort(key=lambda r: str(r["id"]))
-    good, bad = (b"\n".join(r["piece"].encode() for r in pieces if r["label"] == label)[:DICTIONARY_BYTES] for label in (1, 0))
+    good, bad = (b"\n".join(bytes(r["piece"]) for r in pieces if r["label"] == label) for label in (1, 0))
     model = Model(good, bad)
     curve = differences(texts.filter("part = 'curve'").select("id", "label", "text"), model).collect()
     curve.sort(key=lambda r: str(r["id"]))
@@ -151,8 +153,9 @@ def accepted(documents: DataFrame, model: Model, threshold: float, text_col: str
     def run(batches):
         pair = compressors(shared.value)
         for batch in batches:
-            values = np.array([difference(t or "", pair) for t in batch.column(text_col).to_pylist()])
-            yield batch.filter(pa.array(shared.value.intercept + shared.value.slope * values >= least, pa.bool_()))
+            for some in by_bytes(batch, text_col):
+                values = np.array([difference(t or "", pair) for t in some.column(text_col).to_pylist()])
+                yield some.filter(pa.array(shared.value.intercept + shared.value.slope * values >= least, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 

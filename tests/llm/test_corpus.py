@@ -118,6 +118,36 @@ def test_quality(spark, documents):
     assert {round(r["score"], 6) for r in quality.score(frame, none).collect()} == {0.5}
 
 
+def test_scores_equal_a_plain_recomputation(documents, spark):
+    import math
+
+    import zstandard
+
+    rows = [(i, prose(i, 60) + (" é ü 漢字" if i % 2 else " buy now !!!"), "s") for i in range(120)] + [(500, "é" * 3000, "s"), (501, None, "s"), (502, prose(1, 2500), "s")]
+    frame = documents(rows)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    model = quality.fit(frame, labels)
+    assert 0 < len(model.good) <= quality.DICTIONARY_BYTES and 0 < len(model.bad) <= quality.DICTIONARY_BYTES
+
+    def size(block, words):
+        options = {"level": quality.LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+        return len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(words, dict_type=zstandard.DICT_TYPE_RAWCONTENT), **options).compress(block))
+
+    texts = {i: (t or "").encode() for i, t, _ in rows}
+    for r in quality.score(frame.withColumn("difference", F.lit("x")).withColumn("label", F.lit("y")), model).collect():
+        blocks = [texts[r["doc_id"]][k : k + quality.BLOCK_BYTES] for k in range(0, len(texts[r["doc_id"]]), quality.BLOCK_BYTES)]
+        saved = sum(size(b, model.bad) - size(b, model.good) for b in blocks) / max(1, len(texts[r["doc_id"]]))
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-(model.intercept + model.slope * saved))), abs=1e-12)
+
+
+def test_dictionary_pieces_are_cut_by_bytes(documents, spark, monkeypatch):
+    monkeypatch.setattr(quality, "DICTIONARY_BYTES", 900)
+    frame = documents([(i, ("漢字" if i % 2 else "ab ") * 400, "s") for i in range(60)])
+    model = quality.fit(frame, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int"))
+    # every sampled document has its share: 20 of each class, with a line end between them
+    assert model.good.count(b"\n") == 19 and model.bad.count(b"\n") == 19 and 700 <= len(model.good) <= 900
+
+
 def gram_set(text):
     words = (text or "").lower().split()
     return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()

@@ -31,7 +31,6 @@ import html as entities
 import re
 
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,6 +91,8 @@ class Block:
 
 
 def hashed(*parts) -> int:
+    import xxhash
+
     return xxhash.xxh3_64_intdigest("\0".join(map(str, parts)))
 
 

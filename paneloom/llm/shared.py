@@ -66,9 +66,14 @@ def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8_000_000) -> Iter
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """New folder beside the checkpoints, which every executor reaches."""
-    folder = scratch_folder(spark, name)
-    return folder if ":" in folder.split("/")[0] else f"file://{folder}"
+    """New folder beside the checkpoints, which every executor reaches, with the scheme of its file system.
+
+    A folder without a scheme is one of the cluster's default file system, as Spark's checkpoints take it.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_folder(spark, name))
+    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    whole = path.makeQualified(system.getUri(), system.getWorkingDirectory()).toString()
+    return f"file://{whole.removeprefix('file:')}" if whole.startswith("file:/") and not whole.startswith("file://") else whole
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

@@ -55,7 +55,7 @@ def matching_paths(listed: DataFrame, include: Sequence[str], exclude: Sequence[
 
 
 def file_signatures(spark: SparkSession, paths: str | list[str], largest: int = LARGEST_FILE) -> DataFrame:
-    """Size, time, sha-256, byte-order mark and newline style of each file, of any size.
+    """Size, time, sha-256, byte-order mark and newline style of each file, of any size. Spark lists no empty files.
 
     Files of up to ``largest`` bytes are one cell of Spark's binary reader. Larger ones, which a cell can't
     hold, are streamed by one task each in pieces of bounded size; their store must be one that Arrow opens,

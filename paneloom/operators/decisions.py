@@ -14,7 +14,7 @@ from paneloom.functions.grid import with_grid
 from paneloom.functions.provenance import canonical_references, is_placeholder
 from paneloom.functions.sets import derived_key, disagree, json_array, merged_arrays, single_or_null, sorted_set
 from paneloom.functions.text import blank_to_null, norm_code, parse_flag
-from paneloom.operators.cells import rollup_cells
+from paneloom.operators.cells import PER_CELL, rollup_cells
 from paneloom.operators.ranking import attach
 
 PAIR = ["document_id", "entity_id"]
@@ -157,6 +157,11 @@ def decision_metadata(df: DataFrame, by: Sequence[str] = tuple(PAIR)) -> DataFra
     )
 
 
+def decision_cells(df: DataFrame, value: Column, by: Sequence[str] = tuple(PAIR), per_cell: int = PER_CELL) -> DataFrame:
+    """Sorted distinct ``value`` of each decision in bounded cells; for keys that may hold any share of the rows."""
+    return rollup_cells(df.select(*by, value.alias("_value")), list(by), "_value", per_cell)
+
+
 def resolve_decisions(df: DataFrame, taxonomy: Taxonomy) -> DataFrame:
     """One row per included (document, entity): year consensus, endpoint flags and metadata.
 

@@ -517,6 +517,24 @@ def _(fx: Inputs) -> DataFrame:
     return decisions.endpoint_cells(cut(_resolved(fx)), fx("fx_decisions").filter(decisions.included()), "decision_number")
 
 
+#: A third of the events belongs to one decision, each with a number of its own, so that key needs many cells.
+HOT_SQL = """
+    SELECT CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE concat('d', CAST(event_id % 90 AS STRING)) END AS document_id,
+           CASE WHEN event_id % 3 = 0 THEN 'hot' ELSE CAST(user_id % 40 AS STRING) END AS entity_id,
+           CASE WHEN event_id % 11 = 0 THEN ' ' WHEN event_id % 3 = 0 THEN concat(' n', CAST(event_id AS STRING)) ELSE concat('n', CAST(event_id % 70 AS STRING)) END AS decision_number
+    FROM events"""
+
+
+@query(
+    "decision_number_cells",
+    f"""SELECT document_id, entity_id, CAST((pos - 1) // 200 AS INT) AS cell, list(n ORDER BY n) AS values FROM (
+          SELECT *, row_number() OVER (PARTITION BY document_id, entity_id ORDER BY n) AS pos
+          FROM (SELECT DISTINCT document_id, entity_id, trim(decision_number) AS n FROM ({HOT_SQL}) h WHERE trim(decision_number) <> '') d) p GROUP BY 1, 2, 3""",
+)
+def _(fx: Inputs) -> DataFrame:
+    return decisions.decision_cells(fx.sql(HOT_SQL), F.trim("decision_number"), per_cell=200)
+
+
 LEDGER_SQL = f"""
     WITH d AS ({DEDUPED_SQL}), c AS (
       SELECT *, {YEAR} AS y, row_included AND hard_positive AS inc,

@@ -8,7 +8,7 @@ else by length alone. Products of the survivors are then computed exactly.
 
 The score to beat starts from a bounded seed: the products with ``SEED_ROWS`` vectors of smallest
 hash. It only prunes; every vector is met or provably below it. Queries reach only ranges whose
-longest vector could beat it.
+longest vector could beat it, and ranges only those blocks of queries that have one for them.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows with a null
 id, take no part; an empty vector is one of dimension 0; vectors of different dimension don't meet;
@@ -168,7 +168,8 @@ def exact_topk(
                 beat[at] = kth_best(scores, k)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(beat)], [*batch.schema.names, "beat"])
 
-    asked = queries.drop("range").mapInArrow(first_scores, "id long, vector array<long>, dim int, squared double, block long, beat long")
+    scored = queries.drop("range").mapInArrow(first_scores, "id long, vector array<long>, dim int, squared double, block long, beat long")
+    asked = stored(scored, "asked")
     tops = placed.groupBy("range", "dim").agg(F.max("squared").alias("top"))
     if ranges <= SMALL_LIST:  # a few dozen bytes each
         tops = F.broadcast(tops)
@@ -178,7 +179,9 @@ def exact_topk(
         .filter((F.col("beat") <= 0) | (F.col("beat").cast("double") <= F.sqrt(F.col("squared") * F.col("top")) * (1 + 1e-9)))
         .select("range", "dim", "block", "id", "vector", "beat")
     )
-    met = placed.select("range", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), "id", "vector")
+    # a range goes to the blocks that have a query for it, and to no other
+    wanted = routed.select("range", "dim", "block").distinct()
+    met = placed.join(wanted, ["range", "dim"]).select("range", "dim", "block", "id", "vector")
     both = routed.unionByName(met, allowMissingColumns=True)
 
     def meet(group: pa.Table) -> pa.Table:

@@ -81,6 +81,18 @@ def test_coordinates_past_the_threshold_lose_nothing(spark):
     assert got == want
 
 
+def test_ranges_and_blocks_lose_nothing(spark, monkeypatch):
+    from paneloom.llm import exact_topk as module
+
+    for name, value in (("RANGE_ROWS", 40), ("QUERY_ROWS", 3), ("SEED_ROWS", 10), ("BUCKET_ROWS", 16)):
+        monkeypatch.setattr(module, name, value)
+    rng = np.random.default_rng(12)
+    rows = [(i, (rng.normal(size=4) * rng.choice([0.1, 1, 30])).tolist(), "x") for i in range(400)]
+    whole = lambda v: [int(np.floor(64 * x)) for x in v]
+    got = {tuple(r) for r in exact_topk(frame(spark, rows), F.col("id") % 20 == 0, k=5).collect()}
+    assert got == brute(rows, 5, lambda v, w: sum(a * b for a, b in zip(whole(v), whole(w), strict=True)))
+
+
 def test_products_stay_exact():
     for size in (10, 2**20, 2**29, 2**40):
         a = np.array([[size, -size + 1, 3]])

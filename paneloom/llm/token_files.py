@@ -110,9 +110,10 @@ def write_token_files(
     """
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    # rows of one id lie in an order of their own, so that a third of all rows with one id is spread and no rerun differs
+    # rows of one id lie in order of a hash, so that a third of all rows with one id is spread and no rerun differs;
+    # texts stay out of the ranges, whose sample of keys goes to the driver
     keyed = rows.withColumn("_order", F.xxhash64("text"))
-    placed = keyed.repartitionByRange(parts, "id", "_order", "text").sortWithinPartitions(F.col("id").asc_nulls_first(), "_order", "text").drop("_order")
+    placed = keyed.repartitionByRange(parts, "id", "_order").sortWithinPartitions(F.col("id").asc_nulls_first(), "_order", "text").drop("_order")
     end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Words in each of two generations; a word takes about 200 bytes.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 400_000
 TEXTS_AT_ONCE = 500
 
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Mapping, Sequence
 from typing import Any
 
@@ -17,6 +16,8 @@ from paneloom.operators.nested import members
 from paneloom.operators.ranking import attach, cut
 
 KEY = ["entity_id", "period"]
+#: Losses that differ by no more are equal: sums of one model's terms differ in their last digits by their order.
+EQUAL = 1e-9
 
 
 def clipped(p: Column, eps: float) -> Column:
@@ -156,6 +157,12 @@ def score_cell(oof: DataFrame, targets: DataFrame, held: DataFrame) -> DataFrame
     )
 
 
+def first_of_least(found: Sequence[tuple[float, int]]) -> tuple[float, int]:
+    """(loss, setting) of the first setting whose loss is the smallest, up to EQUAL."""
+    least = min(loss for loss, _ in found)
+    return min((f for f in found if f[0] <= least + EQUAL), key=lambda f: f[1])
+
+
 def nested_refit(
     panel: DataFrame, channels: DataFrame, outer_year: int, features: Mapping[str, Sequence[str]], learner: str,
     targets: Mapping[str, Callable[[DataFrame], DataFrame]], settings: Sequence[Mapping[str, Any]] = ({},),
@@ -165,8 +172,9 @@ def nested_refit(
 
     ``targets`` builds a soft target (key, target_value) from channel rows. Each cell tunes ``settings`` on
     the soft cross-entropy of its out-of-fold scores; the fits of all (cell, setting, period) share their
-    passes, the cells' targets being one array of a row, and so do the calibrations. A setting with a fit
-    that did not converge is void; a cell without a valid one has status MODEL_NONCONVERGENCE.
+    passes, the cells' targets being one array of a row, and so do the calibrations. Losses within EQUAL of
+    the smallest are equal, and the first such setting is taken. A setting with a fit that did not converge
+    is void; a cell without a valid one has status MODEL_NONCONVERGENCE.
     """
     if learner != "logistic":
         raise ValueError("refit cells share logistic fits")
@@ -208,10 +216,11 @@ def nested_refit(
     oof = cut(found.select(*KEY, "i", "k", "prediction", F.col("labels")[F.col("i")].alias("target_value")))
     p = clipped(F.col("prediction"), 1e-9)
     losses = oof.groupBy("i", "k").agg(F.avg(cross_entropy(F.col("target_value"), p)).alias("loss")).collect()  # one row a (cell, setting)
-    best: dict[int, tuple[float, int]] = {}
+    tuned: dict[int, list[tuple[float, int]]] = {}
     for r in losses:
         if (str(r["i"]), str(r["k"])) not in void:
-            best[r["i"]] = min(best.get(r["i"], (math.inf, 0)), (r["loss"], r["k"]))
+            tuned.setdefault(r["i"], []).append((r["loss"], r["k"]))
+    best = {i: first_of_least(found) for i, found in tuned.items()}
     facts = [
         {"i": i, "candidate": candidate, "held_channel": held, "setting": best[i][1] if i in best else None,
          "tuning_loss": best[i][0] if i in best else None,

@@ -634,7 +634,7 @@ REFIT_SQL = f"""
     p AS (SELECT s.*, k, CASE WHEN k = 0 THEN (SELECT avg(t) FROM t e WHERE e.held = s.held AND e.period = 2015 AND e.web = s.web)
                  ELSE (SELECT avg(t) FROM t e WHERE e.held = s.held AND e.period = 2015) END AS prediction FROM t s JOIN o USING (held) CROSS JOIN (VALUES (0), (1)) v(k) WHERE period = 2016),
     l AS (SELECT held, k, -avg(t * ln(greatest(1e-9, least(1 - 1e-9, prediction))) + (1 - t) * ln(1 - greatest(1e-9, least(1 - 1e-9, prediction)))) AS loss FROM p GROUP BY 1, 2),
-    b AS (SELECT held, arg_min(k, (loss, k)) AS k, min(loss) AS loss FROM l GROUP BY 1),
+    b AS (SELECT held, min(k) AS k, arg_min(loss, k) AS loss FROM l JOIN (SELECT held, min(loss) AS least FROM l GROUP BY 1) USING (held) WHERE loss <= least + 1e-9 GROUP BY 1),
     m AS (SELECT p.*, CASE WHEN k = 0 THEN avg(t) OVER (PARTITION BY held, web) ELSE avg(t) OVER (PARTITION BY held) END AS fit FROM p JOIN b USING (held, k)),
     q AS (SELECT m.held, count(*) AS n, avg(-(y * ln(greatest(1e-6, least(1 - 1e-6, fit))) + (1 - y) * ln(1 - greatest(1e-6, least(1 - 1e-6, fit))))) AS ce
           FROM m JOIN (SELECT entity_id, period, channel_id AS held, CAST(outcome AS INT) AS y FROM c WHERE outcome IS NOT NULL) z USING (entity_id, period, held) GROUP BY 1)

@@ -170,11 +170,11 @@ _ALL = {**features.REGISTERED_RATIOS, **features.INDEX_RATIOS}
 
 @query(
     "statement_ratios",
-    """SELECT period, count(c.fs_aud_rebate / ((c.fs_aud_price + p.fs_aud_price) / 2)) AS ratio_roa,
+    """SELECT period, count(c.fs_aud_rebate / nullif((c.fs_aud_price + p.fs_aud_price) / 2, 0)) AS ratio_roa,
               count(c.fs_aud_orders / nullif(c.fs_aud_orders, 0)) AS ratio_current_ratio,
               count(c.fs_aud_rebate / nullif(c.fs_aud_returns, 0)) AS ratio_interest_coverage,
-              round(sum((c.fs_aud_tax / c.fs_aud_price) / nullif(p.fs_aud_tax / p.fs_aud_price, 0)), 3) AS dsri,
-              round(sum((p.fs_aud_tax / (p.fs_aud_tax + p.fs_aud_returns))
+              round(sum((c.fs_aud_tax / nullif(c.fs_aud_price, 0)) / nullif(p.fs_aud_tax / nullif(p.fs_aud_price, 0), 0)), 3) AS dsri,
+              round(sum((p.fs_aud_tax / nullif(p.fs_aud_tax + p.fs_aud_returns, 0))
                         / nullif(c.fs_aud_tax / nullif(c.fs_aud_tax + c.fs_aud_returns, 0), 0)), 4) AS depi
        FROM fx_features c LEFT JOIN (SELECT entity_id, period + 1 AS q, fs_aud_price, fs_aud_tax, fs_aud_returns FROM fx_features) p
          ON p.entity_id = c.entity_id AND q = c.period GROUP BY 1""",

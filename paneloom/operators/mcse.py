@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from paneloom.functions.grid import registry, with_grid
 from paneloom.functions.profile import melt
 from paneloom.operators.metrics import average_precision, precision_at, roc_auc
-from paneloom.operators.ranking import attach, quantiles
+from paneloom.operators.ranking import attach, cut, quantiles
 
 CELL = ["scenario_id", "method_id", "metric_id"]
 COMPANIONS = ("normalized_cost_regret", "cost_regret_vs_oracle", "cost_savings_vs_all_negative")
@@ -185,7 +185,8 @@ def validate_coverage(facts: DataFrame, methods: DataFrame, metrics: Sequence[st
     methods: scenario_id, method_id, learner_tier (the registered value).
     """
     spark, who = facts.sparkSession, ["scenario_id", "method_id"]
-    seen = facts.groupBy(*who).agg(F.min("learner_tier").alias("_lo"), F.max("learner_tier").alias("_hi"))
+    tiers = cut(facts.groupBy(*who, "metric_id", "learner_tier").agg(F.count(F.lit(1)).alias("n")))  # a few rows a cell
+    seen = tiers.groupBy(*who).agg(F.min("learner_tier").alias("_lo"), F.max("learner_tier").alias("_hi"))
     both = methods.withColumnRenamed("learner_tier", "_reg").withColumn("_m", F.lit(True)).join(seen.withColumn("_f", F.lit(True)), who, "full_outer")
     code = (
         F.when(F.col("_f").isNull(), "METHOD_MISSING")
@@ -195,8 +196,8 @@ def validate_coverage(facts: DataFrame, methods: DataFrame, metrics: Sequence[st
     none = F.lit(None).cast("string")
     first = both.select(*who, none.alias("metric_id"), code.alias("reason")).filter("reason IS NOT NULL")
     names = registry(spark, [{"metric_id": m} for m in metrics], {"metric_id": "string"})
-    cells = facts.select(*who, "metric_id").distinct()
-    wanted = with_grid(facts.select(*who).distinct(), [{"metric_id": m} for m in metrics], {"metric_id": "string"})
+    cells = tiers.select(*who, "metric_id").distinct()
+    wanted = with_grid(tiers.select(*who).distinct(), [{"metric_id": m} for m in metrics], {"metric_id": "string"})
     second = wanted.join(cells, [*who, "metric_id"], "left_anti").withColumn("reason", F.lit("METRIC_MISSING"))
     extra = cells.join(F.broadcast(names), "metric_id", "left_anti").select(*who, "metric_id").withColumn("reason", F.lit("METRIC_UNEXPECTED"))
     twice = (
@@ -207,12 +208,10 @@ def validate_coverage(facts: DataFrame, methods: DataFrame, metrics: Sequence[st
 
 
 def coordinate_bijection(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Coordinates that only one of two tables has."""
-    a, b = left.select(*keys).distinct(), right.select(*keys).distinct()
-    return (
-        a.join(b, list(keys), "left_anti").withColumn("side", F.lit("left_only"))
-        .unionByName(b.join(a, list(keys), "left_anti").withColumn("side", F.lit("right_only")))
-    )
+    """Coordinates that only one of two tables has; one aggregation of both."""
+    sides = left.select(*keys, F.lit(1).alias("_l"), F.lit(0).alias("_r")).unionByName(right.select(*keys, F.lit(0).alias("_l"), F.lit(1).alias("_r")))
+    found = sides.groupBy(*keys).agg(F.max("_l").alias("_l"), F.max("_r").alias("_r")).filter("_l + _r = 1")
+    return found.select(*keys, F.when(F.col("_l") == 1, "left_only").otherwise("right_only").alias("side"))
 
 
 def label_summary(panel: DataFrame, labels: DataFrame) -> DataFrame:

@@ -18,6 +18,8 @@ from paneloom.operators.nested import members
 from paneloom.operators.ranking import attach, cut, quantiles, running
 
 KEY = ["entity_id", "period"]
+#: Scored rows that a task ranks, about 0.5 KB each with the counts of all folds.
+RANGE_ROWS = 200_000
 
 
 def select_outcomes(df: DataFrame, target: str) -> DataFrame:
@@ -330,7 +332,8 @@ def domain_transfer(
         known = scored.filter((F.col("_out") != F.col("_level")) & F.col("outcome").isNotNull())
         hit, order = F.col("outcome").cast("long"), [("prediction", False), ("entity_id", True), ("period", True)]
         sums = {f"_h{f}": F.when(F.col("period") < f, hit).otherwise(0) for f in folds} | {f"_n{f}": (F.col("period") < f).cast("long") for f in folds}
-        ranked = running(known, [*by, "setting"], order, sums)
+        known = known.select(*by, "setting", "outcome", *[c for c, _ in order])
+        ranked = running(known, [*by, "setting"], order, sums, ranges=1 + known.count() // RANGE_ROWS)  # of a checkpoint
         inside = [F.col("outcome") & (F.col("period") < f) for f in folds]
         values = ranked.groupBy(*by, "setting").agg(
             *[F.sum(F.when(c, F.col(f"_h{f}") / F.col(f"_n{f}"))).alias(f"_s{f}") for c, f in zip(inside, folds, strict=True)],

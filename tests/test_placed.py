@@ -4,7 +4,9 @@ import re
 
 import duckdb
 
-from paneloom.operators import mcse
+from pyspark.sql import functions as F
+
+from paneloom.operators import mcse, ranking
 from paneloom.plans.bindings import TABLES, Inputs, comparison_sql
 
 FOLDER = "/root/testdata/sf0.01"
@@ -44,3 +46,15 @@ def test_coverage_reads_facts_for_copies_alone(spark):
         ("m", "", "METADATA_CONFLICT"), ("m", "x", "DUPLICATE_FACT"), ("m", "y", "METRIC_UNEXPECTED"), ("m", "z", "METRIC_MISSING"),
         ("o", "", "METHOD_UNEXPECTED"), ("o", "z", "METRIC_MISSING"), ("p", "", "METHOD_MISSING"),
     ]
+
+
+def test_running_sums_over_a_fixed_number_of_ranges(spark):
+    rows = spark.range(1000).selectExpr("id % 3 AS g", "id * 7919 % 1000 AS v")
+    some = ranking.running(rows, ["g"], [("v", True)], {"n": F.lit(1), "s": F.col("v")}, ranges=37)
+    assert some.rdd.getNumPartitions() == 37
+    got = sorted(map(tuple, some.select("g", "v", "n", "s").collect()))
+    want, n, s = [], {}, {}
+    for v, g in sorted((r["v"], r["g"]) for r in rows.collect()):
+        n[g], s[g] = n.get(g, 0) + 1, s.get(g, 0) + v
+        want.append((g, v, n[g], s[g]))
+    assert got == sorted(want)

@@ -45,20 +45,23 @@ class WordCache:
         self.now: dict = {}
         self.before: dict = {}
 
-    def load(self, words: list[str]) -> dict:
-        """Small mapping that holds the distinct ones of ``words``."""
+    def values(self, words: list[str]) -> list:
+        """The result of each of ``words``."""
         if len(self.now) > self.size:
             self.before, self.now = self.now, {}
-        wanted = dict.fromkeys(words)
-        new = list(filterfalse(self.now.__contains__, wanted))
+        new = list(dict.fromkeys(filterfalse(self.now.__contains__, words)))
         if new:
             unseen = list(filterfalse(self.before.__contains__, new))
             if len(unseen) < len(new):
                 self.now.update((w, self.before[w]) for w in new if w in self.before)
             if unseen:
                 self.now.update(zip(unseen, self.make(unseen), strict=True))
-        now = self.now
-        return {w: now[w] for w in wanted}
+        return list(map(self.now.__getitem__, words))
+
+    def load(self, words: list[str]) -> dict:
+        """Small mapping that holds the distinct ones of ``words``."""
+        wanted = list(dict.fromkeys(words))
+        return dict(zip(wanted, self.values(wanted), strict=True))
 
 
 #: A full stop or comma that is split off right after another one, with which it forms one unit.
@@ -105,7 +108,8 @@ def library(path: str) -> tuple[Callable, tuple[str, ...]]:
     specials = special_strings(path)
 
     def encode(texts: list[str]) -> list[bytes]:
-        if not specials or any(s in t for t in texts for s in specials):
+        whole = "\n".join(texts)
+        if not specials or any(s in whole for s in specials):
             return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]
         border, out = tokenizer.token_to_id(specials[0]), []
         for at in range(0, len(texts), TEXTS_AT_ONCE):
@@ -152,15 +156,12 @@ class Encoder:
         return word if self.lowered or word[:1] == "\n" or parted and word in (".", ",") else " " + word
 
     def _certain(self, word: str, parted: bool) -> bool:
-        """None is cached for other words: their texts are split in a plainer way or not at all.
-
-        A mark beside a split-off full stop or comma would have formed one unit with it, and so would
-        other white space beside a border.
-        """
+        """None is cached for other words, with white space of their own beside a border: their texts are
+        split in a plainer way or not at all."""
         if word in (".", ",") if parted else self.lowered:
             return True
         bare = word[1:] if word[:1] in ("\n", "\0") else word
-        return bool(bare) and bare.isprintable() and (not parted or bare[0].isalnum() and bare[-1].isalnum())
+        return bool(bare) and bare.isprintable()
 
     def _prepared(self, text: str) -> str | None:
         """The text with spaces as its only borders, or None if it must be encoded whole."""
@@ -179,10 +180,16 @@ class Encoder:
         numbered = split.values.dictionary_encode()
         # the words as one text and back: quicker than one by one
         words = " ".join(pc.binary_join(pa.ListArray.from_arrays([0, len(numbered.dictionary)], numbered.dictionary), " ").to_pylist()).split(" ")
-        found = cache.load(words)
-        values = [found[w] for w in words]
+        values = cache.values(words)
         at, ends = numbered.indices.to_numpy(), split.offsets.to_numpy()[1:].astype(np.int64)
         unsure = np.array([v is None for v in values], bool)[at]
+        if cache is self.parted:  # a mark right before a split-off full stop or comma would have formed one unit with it
+            stops = np.array([w in (".", ",") for w in words], bool)[at]
+            before = np.flatnonzero(stops[1:])
+            alone = np.ones(len(words), bool)
+            used = np.unique(at[before])
+            alone[used] = [words[i][-1:].isalnum() for i in used.tolist()]
+            unsure[before] |= ~alone[at[before]]
         upto = np.concatenate([[0], np.cumsum(unsure)])[np.concatenate([[0], ends])]
         return [r if sure else None for r, sure in zip(self.join(values, at, ends), np.diff(upto) == 0, strict=True)]
 

@@ -54,14 +54,23 @@ def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[t
         yield held, np.array([0])
 
 
+def release() -> None:
+    """Give memory that Arrow keeps for later, up to several slices of text, back to the system."""
+    pa.default_memory_pool().release_unused()
+
+
 def by_bytes(batch: pa.RecordBatch, column: str, limit: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with about so many bytes of text each, and a row at least."""
+    """Slices of a batch with about so many bytes of text each, and a row at least.
+
+    A worker outlives its tasks, so what a slice took is released before the next.
+    """
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = int(ends[at - 1]) if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, before + limit, side="right")))
         yield batch.slice(at, stop - at)
+        release()
         at = stop
 
 

@@ -8,9 +8,12 @@ import public_tokenizers as vocabularies
 import pytest
 from tokenizers import Tokenizer
 
+import pyarrow as pa
+
+from paneloom.llm import shared
 from paneloom.llm.chunks import Encoder, concatenated, library
 from paneloom.llm.packing import assign, pack
-from paneloom.llm.shared import scratch
+from paneloom.llm.shared import by_bytes, scratch
 from paneloom.llm.token_counts import count_tokens
 from paneloom.llm.token_files import decode_values, encode_values, read_token_files, write_token_files
 
@@ -42,6 +45,26 @@ def test_words_joined_give_the_ids_of_whole_texts(path, lowered):
     assert encoder.batch(cases[:50]) == whole[:50] and encoder.batch([]) == []
 
 
+@pytest.mark.parametrize(("path", "lowered"), [(WORD, True), (BYTE, False)])
+def test_marks_send_a_text_the_plainer_way_only_beside_a_split_off_stop(path, lowered):
+    encode, specials = library(path)
+    encoder = Encoder(encode, specials, concatenated, lowered)
+    cases = ["Marks!! (in) words%%% here, \"and\" there.\n(So) on. -- Yes", "first%%%", "(one) two. (three) four, !five"]
+    assert encoder.batch(cases) == [np.array(ids_of(path, t, ()), "<u4").tobytes() for t in cases]
+    assert not encoder.joined.now  # no text was split twice
+    beside = ["one!!. Two", "one%%%, two", "a \"b\". c", "one -. two"]
+    assert encoder.batch(beside) == [np.array(ids_of(path, t, ()), "<u4").tobytes() for t in beside]
+    assert encoder.joined.now
+
+
+def test_slices_of_text_release_what_they_took(monkeypatch):
+    released = []
+    monkeypatch.setattr(shared, "release", lambda: released.append(1))
+    batch = pa.RecordBatch.from_pydict({"text": ["ab", None, "cdef", "g"]})
+    assert [p.column("text").to_pylist() for p in by_bytes(batch, "text", 4)] == [["ab", None], ["cdef"], ["g"]]
+    assert len(released) == 3
+
+
 def test_variable_length_values_round_trip():
     values = np.array([0, 255, 256, 65535, 65536, 2**24 - 1, 2**24, 2**32 - 1, 7], np.uint32)
     for n in range(len(values) + 1):

@@ -295,15 +295,27 @@ class SharedFits:
     def fitted(self) -> list[str]:
         return [c.name for c in self.cells if self.fits[c.name].status == PASS]
 
-    def score(self, rows: DataFrame, keep: Sequence[str], asked: Column) -> DataFrame:
+    def score(self, rows: DataFrame, keep: Sequence[str], asked: Column, places: bool = False) -> DataFrame:
         """(keep, cell, prediction) of every row for the cells named in its array ``asked``; cells without
-        a fit score nothing. Predictions have 12 digits, so that equal rows score alike in any batch."""
+        a fit score nothing. Predictions have 12 digits, so that equal rows score alike in any batch.
+
+        With ``places`` a cell goes by its place in ``cells``, in ``asked`` and in the result: a row that many
+        cells score then carries numbers instead of names.
+        """
         names = self.fitted()
+        kind = T.StructField("cell", T.IntegerType() if places else T.StringType())
         if not names:
-            kinds = T.StructType([*[rows.schema[c] for c in keep], T.StructField("cell", T.StringType()), T.StructField("prediction", T.DoubleType())])
+            kinds = T.StructType([*[rows.schema[c] for c in keep], kind, T.StructField("prediction", T.DoubleType())])
             return rows.sparkSession.createDataFrame([], kinds)
-        number = F.create_map(*[x for i, n in enumerate(names) for x in (F.lit(n), F.lit(i))])
-        wanted = F.array_compact(F.transform(asked, lambda c: F.try_element_at(number, c)))
+        at = {n: i for i, n in enumerate(names)}
+        if places:
+            number = F.array(*[F.lit(at.get(c.name)).cast("int") for c in self.cells])
+            wanted = F.array_compact(F.transform(asked, lambda c: F.get(number, c)))
+            called = pa.array([k for k, c in enumerate(self.cells) if c.name in at], pa.int32())
+        else:
+            number = F.create_map(*[x for n, i in at.items() for x in (F.lit(n), F.lit(i))])
+            wanted = F.array_compact(F.transform(asked, lambda c: F.try_element_at(number, c)))
+            called = pa.array(names, pa.string())
         features, middle, spread = self.features, self.middle, self.spread
         a = np.stack([self.fits[n].raw for n in names], 1)
         alias = {c: f"_k{i}" for i, c in enumerate(keep)}
@@ -316,10 +328,10 @@ class SharedFits:
                 eta = (design(batch, features, middle, spread) @ a)[row, cell]
                 value = np.round(1 / (1 + np.exp(-np.clip(eta, -500, 500))), 12)
                 kept = [batch.column(k).take(pa.array(row)) for k in alias.values()]
-                yield pa.RecordBatch.from_arrays([*kept, pa.array(np.array(names, object)[cell], pa.string()), pa.array(value)], [*keep, "cell", "prediction"])
+                yield pa.RecordBatch.from_arrays([*kept, called.take(pa.array(cell)), pa.array(value)], [*keep, "cell", "prediction"])
 
         fields = [T.StructField(c, rows.schema[c].dataType) for c in keep]
-        return source.mapInArrow(run, T.StructType([*fields, T.StructField("cell", T.StringType()), T.StructField("prediction", T.DoubleType())]))
+        return source.mapInArrow(run, T.StructType([*fields, kind, T.StructField("prediction", T.DoubleType())]))
 
     def mean_score(self, rows: DataFrame, output: str = "prediction") -> DataFrame:
         """Rows with the mean prediction of all fitted cells; one product with all coefficients a batch."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paneloom.functions.draws import hash_number
@@ -13,7 +13,7 @@ from paneloom.functions.grid import lookup, with_grid
 from paneloom.functions.profile import melt, profile
 from paneloom.functions.sets import sorted_set
 from paneloom.operators.fits import OPEN, PASS, Cell, SharedFits
-from paneloom.operators.metrics import average_precision, roc_auc
+from paneloom.operators.metrics import average_precision, roc_auc, roc_auc_of_counts
 from paneloom.operators.nested import members
 from paneloom.operators.ranking import attach, cut, quantiles, running
 
@@ -159,27 +159,34 @@ def support_scores(
                     used = tuple(x for x in features if x != f)
                     cells.append(Cell(f"{case}|{k}|{f}", case * folds + k, used, i, 1 / inverse_regularization, True, f"{case}|{k}|" if f else None))
     fits = SharedFits(cut(prepared.filter(F.size("sets") > 0)), cells)
-    asked = F.flatten(F.transform("_cases", lambda c: F.array(*[F.concat_ws("|", c, F.col("_fold"), F.lit(f)) for f in left_out])))
-    scored = fits.score(rows, [*KEY, "_level"], asked)
-    case = F.split("cell", r"\|")[0].cast("int")
-    at = F.floor(case / spans).cast("int")
+    # cells lie by case, fold and feature left out; a row that dozens of them score carries their places
+    width = len(left_out)
+    asked = F.flatten(F.transform("_cases", lambda c: F.array(*[((c * folds + F.col("_fold")) * width + k).cast("int") for k in range(width)])))
+    scored = fits.score(rows, [*KEY, "_level"], asked, places=True)
 
-    def named(df: DataFrame) -> DataFrame:
-        names = F.try_element_at(F.array(*map(F.lit, levels)).cast("array<string>"), at + 1)
-        period = F.try_element_at(F.array(*map(F.lit, tops)).cast("array<int>"), (case % spans) + 1)
-        return df.withColumns({"level": names, "fold_period": period, "feature_id": F.split("cell", r"\|", 3)[2]})
+    def named(df: DataFrame, case: Column, feature: Column) -> DataFrame:
+        names = F.get(F.array(*map(F.lit, levels)).cast("array<string>"), F.floor(case / spans).cast("int"))
+        period = F.get(F.array(*map(F.lit, tops)).cast("array<int>"), case % spans)
+        return df.withColumns({"level": names, "fold_period": period, "feature_id": feature})
 
-    scores = named(scored).select("level", "fold_period", "feature_id", *KEY, (F.col("_level") == at).alias("is_held"), "prediction")
-    return scores, named(fits.receipts(rows.sparkSession)).withColumn("crossfit_fold", F.split("cell", r"\|")[1].cast("int")).drop("cell")
+    case = F.floor(F.col("cell") / (folds * width)).cast("int")
+    held = F.col("_level") == F.floor(case / spans).cast("int")
+    scores = named(scored, case, F.get(F.array(*map(F.lit, left_out)), F.col("cell") % width))
+    parts = F.split("cell", r"\|", 3)
+    receipts = named(fits.receipts(rows.sparkSession), parts[0].cast("int"), parts[2]).withColumn("crossfit_fold", parts[1].cast("int"))
+    return scores.select("level", "fold_period", "feature_id", *KEY, held.alias("is_held"), "prediction"), receipts.drop("cell")
 
 
 def domain_support(scores: DataFrame, bounds: tuple[float, float], by: Sequence[str] = ()) -> DataFrame:
     """Share of held rows inside the bounds and the AUC of the domain score."""
-    share = scores.groupBy(*by).agg(
-        F.count_if("is_held").alias("held_rows"),
-        F.avg(F.when(F.col("is_held"), F.col("prediction").between(*bounds).cast("double"))).alias("support_fraction"),
+    hits, inside = F.col("hits"), F.col("prediction").between(*bounds)
+    # every row counts once: equal scores of a group collapse as they are made, and only counts are kept
+    counts = cut(scores.groupBy(*by, "prediction").agg(F.count(F.lit(1)).alias("rows"), F.count_if("is_held").alias("hits")))
+    share = counts.groupBy(*by).agg(
+        F.sum("hits").alias("held_rows"),
+        F.try_divide(F.sum(F.when(inside, hits).otherwise(F.when(F.col("prediction").isNotNull(), 0))), F.sum(F.when(F.col("prediction").isNotNull(), hits))).alias("support_fraction"),
     )
-    return attach(share, roc_auc(scores.withColumn("outcome", F.col("is_held")), by), list(by))
+    return attach(share, roc_auc_of_counts(counts.filter("prediction IS NOT NULL"), by), list(by))
 
 
 def support_drivers(support: DataFrame, minimum: float, by: Sequence[str] = ("level", "fold_period")) -> DataFrame:
@@ -322,11 +329,25 @@ def domain_transfer(
     at = F.split("cell", r"\|")
     kinds = [at[0].cast("int").alias("_out"), at[1].cast("int").alias("fold"), at[2].alias("side"), at[3].cast("int").alias("setting")]
     receipts = cut(fits.receipts(spark).select(*kinds, "row_count", "status", "converged", "steps", "loss"))
-    asked = F.flatten(
-        F.transform(every if len(settings) > 1 else F.array("_level"), lambda i: F.array(
-            *[F.concat_ws("|", i, F.col("period"), F.lit(g), F.lit(k)) for g in groups for k in range(len(settings))]))
+    # cells lie by level, period, side and setting; a row that all levels score carries their places
+    width = len(groups) * len(settings)
+    top = F.array_position(F.array(*map(F.lit, tops)).cast("array<int>"), F.col("period")) - 1
+    asked = F.when(
+        F.col("_top") >= 0,
+        F.flatten(
+            F.transform(every if len(settings) > 1 else F.array("_level"), lambda i: F.array(
+                *[((i * span + F.col("_top")) * width + k).cast("int") for k in range(width)]))
+        ),
+    )
+    found = fits.score(rows.withColumn("_top", top), [*KEY, "_level", "outcome"], asked, places=True)
+    place = F.floor(F.col("cell") / width).cast("int")
+    sides = F.get(F.array(*map(F.lit, groups)), F.floor(F.col("cell") % width / len(settings)).cast("int"))
+    scored = cut(
+        found.select(
+            *KEY, "_level", "outcome", F.floor(place / span).cast("int").alias("_out"), F.get(F.array(*map(F.lit, tops)).cast("array<int>"), place % span).alias("fold"),
+            sides.alias("side"), (F.col("cell") % len(settings)).alias("setting"), "prediction",
+        )
     )
-    scored = cut(fits.score(rows, [*KEY, "_level", "outcome"], asked).select(*KEY, "_level", "outcome", *kinds, "prediction"))
     by = ["_out", "side"]
     if len(settings) > 1:
         known = scored.filter((F.col("_out") != F.col("_level")) & F.col("outcome").isNotNull())

@@ -365,8 +365,7 @@ def domain_transfer(
         # a setting with an inner fit that did not converge is void
         bad = receipts.filter(F.col("status") == OPEN).groupBy(*by, "setting").agg(F.min("fold").alias("_bad"))
         values = attach(values, bad, [*by, "setting"]).filter(F.col("inner_ap").isNotNull() & (F.col("_bad").isNull() | (F.col("_bad") >= F.col("fold"))))
-        best = F.max_by("setting", F.struct(F.col("inner_ap"), -F.col("setting")))
-        chosen = values.groupBy(*by, "fold").agg(best.alias("_setting"))
+        chosen = first_of_best(values, [*by, "fold"]).withColumnRenamed("setting", "_setting")
     else:
         chosen = receipts.filter(F.col("fold").isin(folds)).select(*by, "fold", F.col("setting").alias("_setting"))
     chosen = cut(chosen)
@@ -404,6 +403,14 @@ def domain_transfer(
     return result, receipts.select(names.alias("level"), "fold", "side", "setting", "row_count", "status", "converged", "steps", "loss")
 
 
+def first_of_best(values: DataFrame, by: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
+    """Per group the first setting whose inner_ap is the largest. Models that rank alike have values that
+    differ by the order of their sums, so what lies within the tolerance counts as equal."""
+    listed = values.groupBy(*by).agg(F.max("inner_ap").alias("_top"), F.collect_list(F.struct("setting", "inner_ap")).alias("_all"))  # a few settings
+    best = F.filter("_all", lambda x: x["inner_ap"] >= F.col("_top") - tolerance)
+    return listed.select(*by, F.array_min(F.transform(best, lambda x: x["setting"])).alias("setting"))
+
+
 def transfer_summary(cells: DataFrame, minimum_levels: int = 2) -> DataFrame:
     """Robust share over the expected grid, which is every level with rows in a fold; an incomplete grid, or
     one with too few levels, is no evidence."""

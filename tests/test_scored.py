@@ -42,3 +42,9 @@ def test_support_reads_scores_once_and_counts_them(spark):
         assert got[g]["held_rows"] == len(held) and abs(got[g]["roc_auc"] - aucs[g]) < 1e-12
         assert abs(got[g]["support_fraction"] - np.mean([0.2 <= p <= 0.7 for p in held])) < 1e-12
     assert got["none"]["held_rows"] == 0 and got["none"]["support_fraction"] is None and got["none"]["roc_auc"] is None
+
+
+def test_values_that_differ_by_rounding_choose_the_first_setting(spark):
+    rows = [("a", 0, 0.3), ("a", 1, 0.1 + 0.2), ("a", 2, 0.2), ("b", 0, 0.3), ("b", 1, 0.31)]
+    values = spark.createDataFrame(rows, "fold string, setting int, inner_ap double")
+    assert sorted(map(tuple, transport.first_of_best(values, ["fold"]).collect())) == [("a", 0), ("b", 1)]

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Callable
 from itertools import filterfalse
 from unicodedata import is_normalized
@@ -92,11 +93,36 @@ def summed(values: list[int | None], at: np.ndarray, ends: np.ndarray) -> list[i
     return np.diff(upto[np.concatenate([[0], ends])]).tolist()
 
 
+#: What a byte-level vocabulary writes for each byte.
+SHOWN = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
+BYTE_SYMBOLS = {b: chr(b) for b in SHOWN} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in SHOWN)}
+#: Letters below this one are looked at when plain words are told from others.
+LETTERS_END = 0x250
+
+
+def plain_words(tokenizer, specials: tuple[str, ...]) -> re.Pattern | None:
+    """Pattern of the words that the tokenizer neither normalises nor splits, so that its model alone decides.
+
+    They consist of Latin letters, after a space if the tokenizer keeps that as a part of the word.
+    None if it splits a run of all these letters, or writes bytes in another way.
+    """
+    changed = tokenizer.normalizer.normalize_str if tokenizer.normalizer else str
+    letters = "".join(c for c in map(chr, range(LETTERS_END)) if c.isalpha() and changed(c) == c)
+
+    def whole(text: str) -> bool:
+        pieces = [piece for piece, _ in tokenizer.pre_tokenizer.pre_tokenize_str(text)] if tokenizer.pre_tokenizer else []
+        return changed(text) == text and pieces == ["".join(map(BYTE_SYMBOLS.get, text.encode()))]
+
+    if not letters or any(s.strip().isalpha() for s in specials) or not whole(letters + letters[::-1]):
+        return None
+    return re.compile(f"{' ?' if whole(' ' + letters + letters[::-1]) else ''}[{letters}]+")
+
+
 def library(path: str) -> tuple[Callable, tuple[str, ...]]:
     """Call of the tokenizers library that gives each text's ids as little-endian 32-bit integers; its special strings.
 
-    Many texts go in one call with a special string between them, which the library splits off before
-    all else; its id then parts the ids.
+    Plain words go to the library's model at once. Many other texts go in one call with a special
+    string between them, which the library splits off before all else; its id then parts the ids.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -106,8 +132,28 @@ def library(path: str) -> tuple[Callable, tuple[str, ...]]:
     tokenizer.no_padding()
     batch = getattr(tokenizer, "encode_batch_fast", tokenizer.encode_batch)
     specials = special_strings(path)
+    plain, model = plain_words(tokenizer, specials), tokenizer.model
+    written = {b: c for b, c in BYTE_SYMBOLS.items() if b != ord("\n")}
 
     def encode(texts: list[str]) -> list[bytes]:
+        found = list(map(plain.fullmatch, texts)) if plain else [None] * len(texts)
+        words = encode_words([t for t, hit in zip(texts, found, strict=True) if hit])
+        if len(words) == len(texts):
+            return words
+        words, others = iter(words), iter(encode_others([t for t, hit in zip(texts, found, strict=True) if not hit]))
+        return [next(words) if hit else next(others) for hit in found]
+
+    def encode_words(words: list[str]) -> list[bytes]:
+        ids, ends = [], [0]
+        for symbols in "\n".join(words).encode().decode("latin-1").translate(written).split("\n") if words else ():
+            ids += [token.id for token in model.tokenize(symbols)]
+            ends.append(4 * len(ids))
+        raw = np.array(ids, "<u4").tobytes()
+        return [raw[x:y] for x, y in zip(ends, ends[1:], strict=False)]
+
+    def encode_others(texts: list[str]) -> list[bytes]:
+        if not texts:
+            return []
         whole = "\n".join(texts)
         if not specials or any(s in whole for s in specials):
             return [np.array(e.ids, "<u4").tobytes() for e in batch(texts, add_special_tokens=False)]

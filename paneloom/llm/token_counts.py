@@ -20,18 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.llm.chunks import Encoder, held, special_strings, summed
+from paneloom.llm.chunks import BYTE_SYMBOLS, Encoder, held, special_strings, summed
 from paneloom.llm.shared import by_bytes, query, table
 
 
-
-def byte_symbols() -> dict[int, str]:
-    """The printable character that stands for each byte in a byte-level vocabulary file."""
-    shown = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
-
-
 class PairMerger:
     """Counts of single texts: split by the published pattern, then merge each part."""
 
@@ -42,7 +34,7 @@ class PairMerger:
             merges = json.load(file)["model"]["merges"]
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in merges]
         self.rank = {pair: rank for rank, pair in enumerate(pairs)}
-        self.symbol = byte_symbols()
+        self.symbol = BYTE_SYMBOLS
         self.pattern = regex.compile(pattern)
         self.specials = special_strings(path)
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True))) or r"(?!)")

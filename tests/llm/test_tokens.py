@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 import pyarrow as pa
 
 from paneloom.llm import shared
-from paneloom.llm.chunks import Encoder, concatenated, library
+from paneloom.llm.chunks import Encoder, concatenated, library, plain_words
 from paneloom.llm.packing import assign, pack
 from paneloom.llm.shared import by_bytes, scratch
 from paneloom.llm.token_counts import count_tokens
@@ -45,6 +45,21 @@ def test_words_joined_give_the_ids_of_whole_texts(path, lowered):
     assert encoder.batch(cases[:50]) == whole[:50] and encoder.batch([]) == []
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_plain_words_have_the_ids_that_the_library_gives(path):
+    encode, specials = library(path)
+    tokenizer = Tokenizer.from_file(path)
+    plain = plain_words(tokenizer, specials)
+    letters = [chr(c) for c in range(0x370) if chr(c).isalpha()]
+    draw = random.Random(7)
+    words = [draw.choice(["", " "]) + "".join(draw.choices(letters, k=draw.randint(1, 12))) for _ in range(3000)]
+    words += ["word", " word", "Word", "two words", "don't", "o'clock", "a1", "ﬁ", "", " ", "\nx", "x\n", "e\u0301"]
+    assert encode(words) == [np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch(words, add_special_tokens=False)]
+    assert plain.fullmatch("word") and plain.fullmatch("é") and bool(plain.fullmatch(" word")) == (path == BYTE)
+    assert not any(map(plain.fullmatch, ["", " ", "two words", "don't", "a1", "\nx", "x\n", "e\u0301"]))
+    assert plain_words(tokenizer, ("end",)) is None  # a special string of letters could stand in a word
+
+
 @pytest.mark.parametrize(("path", "lowered"), [(WORD, True), (BYTE, False)])
 def test_marks_send_a_text_the_plainer_way_only_beside_a_split_off_stop(path, lowered):
     encode, specials = library(path)

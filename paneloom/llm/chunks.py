@@ -8,6 +8,7 @@ the tokenizer whole. The ids are the tokenizer's in either case.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import re
@@ -34,6 +35,7 @@ def held(key: tuple, make: Callable):
     """
     if key not in _HELD:
         _HELD.clear()
+        gc.collect()  # caches and their encoder name each other, so they don't go by themselves
         _HELD[key] = make()
     return _HELD[key]
 
@@ -59,11 +61,6 @@ class WordCache:
                 self.now.update(zip(unseen, self.make(unseen), strict=True))
         return list(map(self.now.__getitem__, words))
 
-    def load(self, words: list[str]) -> dict:
-        """Small mapping that holds the distinct ones of ``words``."""
-        wanted = list(dict.fromkeys(words))
-        return dict(zip(wanted, self.values(wanted), strict=True))
-
 
 #: A full stop or comma that is split off right after another one, with which it forms one unit.
 MARK_PAIRS = (" . . ", " . , ", " , . ", " , , ")

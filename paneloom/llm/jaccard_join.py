@@ -21,6 +21,7 @@ columns are not read.
 from __future__ import annotations
 
 import math
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paneloom.llm.chunks import WordCache, held
+from paneloom.llm.chunks import held
 from paneloom.llm.components import components
 from paneloom.llm.shared import by_bytes, query, stored, table, whole_runs
 
@@ -36,6 +37,8 @@ GRAM, THRESHOLD, RECALL, HASHES = 5, 0.8, 0.999999, 128
 #: Nodes of a bucket that meet in one block of a task.
 BLOCK_NODES = 512
 GRAMS_AT_ONCE = 4096
+#: Text whose words are hashed at once; words as objects take several times its size.
+BYTES_AT_ONCE = 4_000_000
 VOCABULARY_AT_ONCE = 4096
 
 def choose_bands(threshold: float, recall: float, hashes: int = HASHES) -> tuple[int, int]:
@@ -58,9 +61,10 @@ def word_hashes(texts: list[str]) -> list[np.ndarray]:
     """64-bit hashes of each text's words."""
     import xxhash
 
-    words_seen = held(("word hashes",), lambda: WordCache(lambda words: list(map(xxhash.xxh3_64_intdigest, words)), 200_000))
+    held(("word hashes",), dict)  # a hash costs no more than a cache of it; what other operators kept goes
     lists = [t.lower().encode("utf-8", "surrogatepass").split() for t in texts]
-    get = words_seen.load([w for words in lists for w in words]).__getitem__
+    wanted = list(dict.fromkeys(chain.from_iterable(lists)))
+    get = dict(zip(wanted, map(xxhash.xxh3_64_intdigest, wanted), strict=True)).__getitem__
     return [np.fromiter(map(get, words), np.uint64, len(words)) for words in lists]
 
 
@@ -105,7 +109,7 @@ def sketches(documents: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", BYTES_AT_ONCE):
                 sets = [grams(w, n) for w in word_hashes([t or "" for t in part.column("text").to_pylist()])]
                 digests = [digest(s) for s in sets]
                 marks = [signature(s, bands, rows) if len(s) else None for s in sets]
@@ -267,7 +271,7 @@ def near_duplicates(
 
     def sets(batches):
         for batch in batches:
-            for part in by_bytes(batch, "text"):
+            for part in by_bytes(batch, "text", BYTES_AT_ONCE):
                 found = [grams(w, n) for w in word_hashes([t or "" for t in part.column("text").to_pylist()])]
                 right = [digest(s) == d for s, d in zip(found, zip(part.column("d1").to_pylist(), part.column("d2").to_pylist(), strict=True), strict=True)]
                 out = pa.RecordBatch.from_arrays([part.column("node"), pa.array([s.tobytes() for s in found], pa.binary())], ["node", "set"])

@@ -1,13 +1,15 @@
 """Preference pairs, mixing, quality, near duplicates, page text and the pipeline on small fixtures."""
 
 import random
+import weakref
 import zlib
 from fractions import Fraction
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from paneloom.llm import jaccard_join, mixing, preference, quality, templates
+from paneloom.llm import chunks, jaccard_join, mixing, preference, quality, templates
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
 
@@ -299,3 +301,16 @@ def test_pipeline(spark):
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, folder)
     assert empty.count() == 0
+
+
+def test_a_worker_keeps_one_operators_tables_and_no_words_of_the_join():
+    class Table:
+        def __init__(self):
+            self.make = lambda: self  # names itself, as an encoder and its caches do
+
+    gone = weakref.ref(chunks.held(("first",), Table))
+    assert gone() is not None and chunks.held(("first",), Table) is gone()
+    hashes = jaccard_join.word_hashes(["One two one", "", "two\nThree"])
+    assert gone() is None and not any(chunks._HELD.values())
+    assert [len(h) for h in hashes] == [3, 0, 2] and hashes[0][0] == hashes[0][2] and hashes[0][1] == hashes[2][0]
+    assert hashes[2].tolist() == [xxhash.xxh3_64_intdigest(w) for w in (b"two", b"three")]

@@ -47,6 +47,21 @@ def plain_precision(rows, times):
     return total / positives if positives else None
 
 
+def test_draws_are_counted_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(resample, "CELLS", 70)  # ten units a bucket
+    rows = [(g, f"e{k}") for g, n in (("a", 95), (None, 33), ("b", 1)) for k in range(n)]
+    df = spark.createDataFrame(rows, "grp string, entity_id string").repartition(3)
+    arrays = resample.multiplicity_arrays(df, ["grp"], 7, "s")
+    assert "Generate" not in arrays._jdf.queryExecution().executedPlan().toString()  # no row per draw
+    got = {(r["grp"], r["entity_id"]): r["times"] for r in arrays.collect()}
+    want = {}
+    for g in ("a", None, "b"):
+        names = [e for x, e in rows if x == g]
+        each = [times_of(names, "s", g, rep) for rep in range(7)]
+        want |= {(g, e): [t[e] for t in each] for e in names if any(t[e] for t in each)}
+    assert got == want
+
+
 def test_replicates_match_plain_resampling(spark, scored):
     df = spark.createDataFrame(scored).repartition(5)
     for by in ([], ["period"]):

@@ -20,6 +20,8 @@ from paneloom.operators.ranking import attach, cut, quantiles, running
 KEY = ["entity_id", "period"]
 #: Scored rows that a task ranks, about 0.5 KB each with the counts of all folds.
 RANGE_ROWS = 200_000
+#: Scored rows that a task makes; it writes them to all ranges, sorted by range.
+SCORED_ROWS = 1_000_000
 
 
 def select_outcomes(df: DataFrame, target: str) -> DataFrame:
@@ -339,7 +341,8 @@ def domain_transfer(
                 *[((i * span + F.col("_top")) * width + k).cast("int") for k in range(width)]))
         ),
     )
-    found = fits.score(rows.withColumn("_top", top), [*KEY, "_level", "outcome"], asked, places=True)
+    made = width * (len(levels) if len(settings) > 1 else 1)
+    found = fits.score(spread(rows, made).withColumn("_top", top), [*KEY, "_level", "outcome"], asked, places=True)
     place = F.floor(F.col("cell") / width).cast("int")
     sides = F.get(F.array(*map(F.lit, groups)), F.floor(F.col("cell") % width / len(settings)).cast("int"))
     scored = cut(
@@ -403,6 +406,11 @@ def domain_transfer(
     return result, receipts.select(names.alias("level"), "fold", "side", "setting", "row_count", "status", "converged", "steps", "loss")
 
 
+def spread(rows: DataFrame, made: int) -> DataFrame:
+    """Rows of a checkpoint over so many tasks that one makes about SCORED_ROWS rows, of up to ``made`` per row."""
+    return rows.repartition(1 + rows.count() * made // SCORED_ROWS, *KEY)
+
+
 def first_of_best(values: DataFrame, by: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
     """Per group the first setting whose inner_ap is the largest. Models that rank alike have values that
     differ by the order of their sums, so what lies within the tolerance counts as equal."""

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paneloom.operators import metrics, ranking
+from paneloom.operators import metrics, ranking, transport
 
 
 @pytest.fixture(scope="module")
@@ -108,3 +108,21 @@ def test_pair_counts_beyond_64_bits(spark):
     assert reports.table_digest(a).first() != reports.table_digest(b).first()
     whole = spark.range(1).select((F.lit(6_000_000_000).cast(metrics.PAIRS) * F.lit(6_000_000_000).cast(metrics.PAIRS)).cast(metrics.COUNT).alias("n"))
     assert int(whole.first().n) == 36 * 10**18
+
+
+def test_ranges_are_written_without_values(spark, monkeypatch):
+    df = spark.range(40).selectExpr("id % 2 AS g", "id AS k", "id * 3 AS x")
+    seen = []
+    monkeypatch.setattr(ranking, "cut", lambda d: seen.append(d) or d.checkpoint())
+    ranking.checkpoint_folder(spark)
+    rows = ranking.running(df, ["g"], [("k", True)], {"upto": F.col("x") + 1}, ranges=5).collect()
+    assert {(r["g"], r["k"]): r["upto"] for r in rows} == {(k % 2, k): sum(3 * i + 1 for i in range(k % 2, k + 1, 2)) for k in range(40)}
+    below = seen[0]._jdf.queryExecution().optimizedPlan().toString().split("RepartitionByExpression", 1)[1]
+    assert "_v_" not in below  # the shuffle's writer sees the bare rows
+
+
+def test_scoring_tasks_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(transport, "SCORED_ROWS", 500)
+    rows = spark.range(1000).selectExpr("CAST(id AS STRING) AS entity_id", "1 AS period").coalesce(1)
+    sizes = transport.spread(rows, 10).groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 1000 and max(r["count"] for r in sizes) < 150
